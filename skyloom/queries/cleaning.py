@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.common import table
-from skyloom.operators import neighbours
+from skyloom.operators import neighbours, spikes
+from skyloom.sources import raw_lines
 
 #: Search radii of p1: pixels within a list, arcseconds on the sky.
 PIXELS, ARCSEC = 1.2345, 0.75
@@ -22,4 +23,19 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return out(lists, "starlist").unionByName(out(sky, "gaia")).unionByName(out(regions.select(F.col("region_id").alias("key_1"), F.col("key").alias("key_2")), "region"))
 
 
-QUERIES = {"p1_found": p1_found}
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Implausible readings of x, y, m and xe with the field at fault."""
+    return spikes.implausible(table(spark, d, "startable_obs"), table(spark, d, "lists"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each failing line of the undecoded lists with the first reason that holds."""
+    return raw_lines.failures(table(spark, d, "starlist_raw"))
+
+
+def p3_valid(spark: SparkSession, d: str) -> DataFrame:
+    """The valid lines of the undecoded lists as catalog rows."""
+    return raw_lines.load(table(spark, d, "starlist_raw"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_valid": p3_valid}
