@@ -30,7 +30,7 @@ HALF, CHUNK = 32, 4096
 #: A frozen run has at least so many epochs; a spike needs at least so many readings of the field.
 FROZEN, ENOUGH = 4, 9
 #: Outliers that the Hampel filter sets aside, and the verdict, in scatters; weight of the stated errors in the scatter, in readings.
-HAMPEL, SPIKE, PRIOR = 6.0, 8.5, 10.0
+HAMPEL, SPIKE, PRIOR = 6.0, 7.25, 10.0
 #: Usual scatter of the logarithm of a source's errors, and the verdict in such scatters (only upwards).
 ERROR_SCATTER, ERROR_SPIKE = 0.25, 6.0
 FIELDS = ("x", "y", "m", "xe")
@@ -95,14 +95,10 @@ def spikes(t: np.ndarray, v: np.ndarray, err: np.ndarray, moving: bool) -> np.nd
         e2 = (usual * usual)[:, None]
         lever = np.where(line, (stt - 2 * here * st + n * here * here) / np.where(line, det, 1.0), 1 / n)
         scatter = np.sqrt((sse + prior * e2) / (free + prior))
-        off = (value - a - b * here) / np.maximum(scatter * np.sqrt(1 + LEVER * np.minimum(lever, 4.0)), 1e-12)
+        off = (value - a - b * here) / np.maximum(scatter * np.sqrt(1 + np.minimum(lever, 4.0)), 1e-12)
     return np.where((free + prior > 0) & (n >= ENOUGH - 4), off, np.nan)
 
 
-#: Share of the extrapolation's own uncertainty that is granted to a reading at the end of its window.
-LEVER = 1.0
-
-
 def _judge(p: pd.DataFrame) -> pd.DataFrame:
     """Cases (key, field) among whole groups, in order of group and time. Columns: _g (group number), _t, fields, ye, me."""
     n = len(p)
