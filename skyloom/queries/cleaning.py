@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.common import table
-from skyloom.operators import neighbours, spikes
+from skyloom.operators import neighbours, spikes, unify
 from skyloom.sources import raw_lines
 
 #: Search radii of p1: pixels within a list, arcseconds on the sky.
@@ -38,4 +38,32 @@ def p3_valid(spark: SparkSession, d: str) -> DataFrame:
     return raw_lines.load(table(spark, d, "starlist_raw"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_valid": p3_valid}
+GAIA = dict(fields=[unify.Field("pmra", "motion", ("pmra_error",)), unify.Field("ra_error", "error", ("dec_error",))], texts=[("pm_unit", "motion"), ("err_unit", "error"), ("remark", "")])
+STARS = dict(fields=[unify.Field("vx", "motion", ("vxe",)), unify.Field("x0e", "error", ("y0e",))], texts=[("unit_note", "")])
+
+
+def _converted(spark: SparkSession, d: str) -> list[tuple[str, str, DataFrame, list[unify.Field]]]:
+    catalogs = table(spark, d, "catalogs")
+    return [(name, key, unify.with_units(table(spark, d, name), catalogs, **how), how["fields"]) for name, key, how in (("gaia", "source_id", GAIA), ("startable", "star_id", STARS))]
+
+
+def _fields(spark: SparkSession, d: str) -> DataFrame:
+    out = None
+    for name, key, df, fields in _converted(spark, d):
+        each = F.inline(F.array(*(F.struct(F.lit(f.column).alias("field"), F.col(f"{f.column}_unit").alias("unit"), F.col(f"{f.column}_mas").alias("value")) for f in fields)))
+        one = df.select(F.lit(name).alias("tbl"), F.col(key).alias("row_key"), each)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """The values of motions and errors that were recorded in another unit than mas/yr or mas."""
+    return _fields(spark, d).where(F.col("row_key").isNotNull() & ~F.col("unit").isin("mas", "mas/yr")).select("tbl", "row_key", "field", "unit").distinct()
+
+
+def p4_values(spark: SparkSession, d: str) -> DataFrame:
+    """All motions and errors of both tables in mas/yr and mas."""
+    return _fields(spark, d).where(F.col("value").isNotNull()).select("tbl", "row_key", "field", "value").distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_valid": p3_valid, "p4_found": p4_found, "p4_values": p4_values}
