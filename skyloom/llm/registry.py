@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skyloom.common import table
-from skyloom.llm import lookalike
+from skyloom.llm import leaks, lookalike
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """The reviews that hold passages of test items, with the items."""
+    return leaks.found(table(spark, d, "eval_items"), table(spark, d, "documents"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -13,5 +18,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.same_look(table(spark, d, "documents"))
 
 
-QUERIES = {"p8_found": p8_found}
+QUERIES = {"p6_found": p6_found, "p8_found": p8_found}
 SQL: dict[str, str] = {}
