@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skyloom.common import table
-from skyloom.llm import leaks, lookalike
+from skyloom.llm import leaks, lookalike, matching
+
+
+def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Detections of the same star in both observatories' lists, with a confidence."""
+    return matching.matched(table(spark, d, "starlist"), table(spark, d, "starlist_ext"), table(spark, d, "lists"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of p5_pairs alone."""
+    return p5_pairs(spark, d).select("row_id", "ext_id").distinct()
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -18,5 +28,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.same_look(table(spark, d, "documents"))
 
 
-QUERIES = {"p6_found": p6_found, "p8_found": p8_found}
+QUERIES = {"p5_found": p5_found, "p5_pairs": p5_pairs, "p6_found": p6_found, "p8_found": p8_found}
 SQL: dict[str, str] = {}
