@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skyloom.common import table
-from skyloom.llm import leaks, lookalike, matching
+from skyloom.llm import leaks, lookalike, matching, mixing
 
 
 def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -23,10 +23,20 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.found(table(spark, d, "eval_items"), table(spark, d, "documents"))
 
 
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The reviews of the largest mix that gives every source its target share, with their copies."""
+    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares that the mix reaches."""
+    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Reviews that look the same but differ in their characters."""
     return lookalike.same_look(table(spark, d, "documents"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_pairs": p5_pairs, "p6_found": p6_found, "p8_found": p8_found}
+QUERIES = {"p5_found": p5_found, "p5_pairs": p5_pairs, "p6_found": p6_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
 SQL: dict[str, str] = {}
