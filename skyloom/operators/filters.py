@@ -1,0 +1,157 @@
+"""Projections, filters and predicates over catalogs. NULL is the only missing value; a NULL never fails a range."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from skyloom.common import finite
+
+
+def outside(c: Column, low=None, high=None) -> Column:
+    """Whether a value lies on or beyond a bound; never for a NULL."""
+    out = F.lit(False)
+    if low is not None:
+        out = out | (c <= low)
+    if high is not None:
+        out = out | (c >= high)
+    return F.coalesce(out, F.lit(False))
+
+
+def restrict_by_value(df: DataFrame, **bounds) -> DataFrame:
+    """Rows within the open intervals ``column_min`` .. ``column_max``; the last part of a name says which end it is."""
+    for name, bound in bounds.items():
+        column, _, end = name.rpartition("_")
+        if end not in ("min", "max"):
+            raise ValueError(f"{name}: neither _min nor _max")
+        if bound is not None:
+            df = df.where(~outside(F.col(column), **{"low" if end == "min" else "high": bound}))
+    return df
+
+
+def restrict_by_area(df: DataFrame, x: tuple[float, float], y: tuple[float, float], exclude: bool = False, complement: bool = False) -> DataFrame:
+    """Rows in an open box. ``exclude`` keeps those outside by both coordinates, ``complement`` all that aren't inside."""
+    ix, iy = (F.col("x") > x[0]) & (F.col("x") < x[1]), (F.col("y") > y[0]) & (F.col("y") < y[1])
+    if complement:
+        return df.where(~F.coalesce(ix & iy, F.lit(False)))
+    if exclude:
+        return df.where(((F.col("x") < x[0]) | (F.col("x") > x[1])) & ((F.col("y") < y[0]) | (F.col("y") > y[1])))
+    return df.where(ix & iy)
+
+
+def restrict_by_use(pairs: DataFrame, use: str = "use") -> DataFrame:
+    """Pairs whose label may be used: its flag is anything but 0."""
+    return pairs.where(F.col(use).cast("string") != "0")
+
+
+def apply_mag_lim(df: DataFrame, low=None, high=None) -> DataFrame:
+    """Rows within open magnitude limits, by ``m0`` where there is one, else by ``m``."""
+    return restrict_by_value(df, **{f"{'m0' if 'm0' in df.columns else 'm'}_{e}": v for e, v in (("min", low), ("max", high))})
+
+
+def mag_lim_as_flag(df: DataFrame, low=None, high=None, m: str = "m", flag: str = "use_in_trans") -> DataFrame:
+    """The flag put to false outside [low, high)."""
+    out = F.lit(False)
+    if low is not None:
+        out = out | (F.col(m) < low)
+    if high is not None:
+        out = out | (F.col(m) >= high)
+    old = F.col(flag) if flag in df.columns else F.lit(True)
+    return df.withColumn(flag, F.when(F.coalesce(out, F.lit(False)), False).otherwise(old))
+
+
+def detections(obs: DataFrame, star: str = "star_id") -> DataFrame:
+    """(star, n_detect): in how many epochs a star has a position."""
+    return obs.groupBy(star).agg(F.count(finite("x")).alias("n_detect"))
+
+
+def drop_undetected(stars: DataFrame, counts: DataFrame, star: str = "star_id", keep_original: bool = False) -> DataFrame:
+    """Stars with detections; with ``keep_original`` also those that came from the reference list (``ref_orig``)."""
+    joined = stars.drop("n_detect").join(counts, star, "left").withColumn("n_detect", F.coalesce("n_detect", F.lit(0)))
+    keep = F.col("n_detect") > 0
+    return joined.where(keep | F.coalesce(F.col("ref_orig"), F.lit(False)) if keep_original else keep)
+
+
+def pick_good_ref_stars(stars: DataFrame, r_cut=None, m_cut=None, p_err_cut=None, pm_err_cut=None, name_cut: list[str] | None = None, reset: bool = True) -> DataFrame:
+    """Stars that satisfy every given limit: radius, magnitude, mean position error, mean velocity error, names left out."""
+    use = F.lit(True) if reset else F.coalesce(F.col("use_in_trans"), F.lit(False))
+    if r_cut is not None:
+        use = use & (F.sqrt(F.col("x0") * F.col("x0") + F.col("y0") * F.col("y0")) < r_cut)
+    if m_cut is not None:
+        use = use & (F.col("m0") < m_cut)
+    if p_err_cut is not None:
+        use = use & ((F.col("x0e") + F.col("y0e")) / 2 < p_err_cut)
+    if pm_err_cut is not None:
+        use = use & ((F.col("vxe") + F.col("vye")) / 2 < pm_err_cut)
+    if name_cut:
+        use = use & ~F.coalesce(F.col("name").isin(name_cut), F.lit(False))
+    return stars.where(use)
+
+
+def epoch(obs: DataFrame, stars: DataFrame, list_id: int) -> DataFrame:
+    """One epoch as a star list: its readings with the columns of the star."""
+    mine = obs.where(F.col("list_id") == list_id)
+    own = [c for c in stars.columns if c == "star_id" or c not in obs.columns]
+    return mine.join(stars.select(*own), "star_id", "left")
+
+
+RENAMED = {c: f"{c}0" for c in ("x", "y", "m", "t")} | {f"{c}e": f"{c}0e" for c in ("x", "y", "m")}
+
+
+def rename_for_ref(df: DataFrame) -> DataFrame:
+    """Readings renamed to a reference's columns: x to x0, xe to x0e, ..."""
+    return df.withColumnsRenamed({a: b for a, b in RENAMED.items() if a in df.columns})
+
+
+def fill_reference(df: DataFrame) -> DataFrame:
+    """Missing reading columns filled from the reference's: x from x0 ..."""
+    return df.withColumns({a: F.col(b) for a, b in RENAMED.items() if a not in df.columns and b in df.columns})
+
+
+def position_at(df: DataFrame, t, use_vel: bool = True) -> DataFrame:
+    """Columns x_t, y_t: the place at a time, by the motion where it is known."""
+    dt = F.lit(t) - F.col("t0") if "t0" in df.columns else None
+    out = {}
+    for c in "xy":
+        if dt is not None and use_vel and f"v{c}" in df.columns:
+            out[f"{c}_t"] = F.col(f"{c}0") + F.col(f"v{c}") * dt
+        else:
+            out[f"{c}_t"] = F.col(f"{c}0" if f"{c}0" in df.columns else c)
+    return df.withColumns(out)
+
+
+def reference_at(stars: DataFrame, t: float) -> DataFrame:
+    """The reference list at a time: place and its error by the motion, or as they are where that is missing."""
+    dt = F.lit(float(t)) - F.col("t0")
+    out = {}
+    for c in "xy":
+        v, ve, e = finite(f"v{c}"), finite(f"v{c}e"), F.col(f"{c}0e")
+        moving = finite("vx").isNotNull() & F.col("t0").isNotNull()
+        out[c] = F.when(moving, F.col(f"{c}0") + v * dt).otherwise(F.col(f"{c}0"))
+        out[f"{c}e"] = F.when(moving, F.sqrt(e * e + ve * dt * ve * dt)).otherwise(e)
+    return stars.withColumns(out | {"m": F.col("m0"), "me": F.col("m0e"), "t": F.lit(float(t))})
+
+
+def first_epochs(obs: DataFrame) -> DataFrame:
+    """(list_id, t): of each list the time of the first row (by obs_id) that has one."""
+    t = finite("t")
+    return obs.where(t.isNotNull()).groupBy("list_id").agg(F.min_by(t, "obs_id").alias("t"))
+
+
+def brightest(df: DataFrame, n: int, key: str = "row_id", m: str = "m") -> DataFrame:
+    """The n brightest rows with a magnitude; ties go to the lesser key."""
+    return df.where(finite(m).isNotNull()).orderBy(F.col(m).asc(), F.col(key).asc()).limit(n)
+
+
+def epoch_subset(obs: DataFrame, stars: DataFrame, lists: list[int], used: str = "used_in_trans", sigma: float = 3.0) -> DataFrame:
+    """The readings of some lists, their magnitudes moved by each list's zero point against the stars' combined ones.
+
+    The zero point is the mean of m0 - m over the stars used in every list's transform, after one clip at ``sigma``.
+    """
+    own = obs.where(F.col("list_id").isin(lists))
+    always = own.groupBy("star_id").agg(F.min(F.col(used).cast("int")).alias("_all"))
+    off = own.join(stars.select("star_id", "m0"), "star_id").join(always, "star_id").withColumn("_d", finite("m0") - finite("m"))
+    good = off.where((F.col("_all") == 1) & F.col("_d").isNotNull())
+    spread = good.groupBy("list_id").agg(F.median("_d").alias("_m"), F.stddev_pop("_d").alias("_s"))
+    zero = good.join(F.broadcast(spread), "list_id").where(F.abs(F.col("_d") - F.col("_m")) <= sigma * F.col("_s")).groupBy("list_id").agg(F.avg("_d").alias("zero_point"))
+    return own.join(F.broadcast(zero), "list_id", "left").withColumn("m", F.col("m") + F.coalesce("zero_point", F.lit(0.0)))
