@@ -67,3 +67,13 @@ def p4_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_valid": p3_valid, "p4_found": p4_found, "p4_values": p4_values}
+
+SQL = {
+    "p1_found": f"""select 'starlist' as kind, a.row_id as key_1, b.row_id as key_2 from starlist a join starlist b on a.list_id = b.list_id and a.row_id < b.row_id
+        and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {PIXELS} * {PIXELS}::double where not isnan(a.x) and not isnan(a.y) and not isnan(b.x) and not isnan(b.y)
+      union all select distinct 'gaia', a.source_id, b.source_id from gaia a join gaia b on a.source_id < b.source_id and abs(a.dec - b.dec) <= 0.001
+        and 2 * asin(least(1, sqrt(pow(sin(radians(a.dec - b.dec) / 2), 2) + cos(radians(a.dec)) * cos(radians(b.dec)) * pow(sin(radians(a.ra - b.ra) / 2), 2)))) <= radians({ARCSEC} / 3600.0::double) where not isnan(a.dec) and not isnan(b.dec) and not isnan(a.ra) and not isnan(b.ra)
+      union all select distinct 'region', r.region_id, g.source_id from sky_regions r join gaia g on not isnan(g.ra) and not isnan(g.dec) and (
+        (shape = 'box' and dec between dec_min and dec_max and case when ra_min <= ra_max then ra between ra_min and ra_max else ra >= ra_min or ra <= ra_max end)
+        or (shape = 'circle' and degrees(2 * asin(least(1, sqrt(pow(sin(radians(dec - dec_center) / 2), 2) + cos(radians(dec)) * cos(radians(dec_center)) * pow(sin(radians(ra - ra_center) / 2), 2))))) <= radius_deg + 1e-9))""",
+}
