@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.common import finite
+from skyloom.common import checkpointed, finite
 from skyloom.functions import models
 from skyloom.functions.models import Transform
 
@@ -182,13 +182,14 @@ def fit_clipped(pairs: DataFrame, order: int = 1, by: list[str] | None = None, k
         joined = moved.join(F.broadcast(stats), by) if by else moved.crossJoin(F.broadcast(stats))
         r = F.sqrt(F.col("_dx") ** 2 + F.col("_dy") ** 2)
         centre, spread = F.sqrt(F.col("_mx") ** 2 + F.col("_my") ** 2), F.sqrt(F.col("_sx") ** 2 + F.col("_sy") ** 2)
-        kept = joined.where(F.abs(r - centre) <= sigma * spread).select(*pairs.columns)
+        kept = checkpointed(joined.where(F.abs(r - centre) <= sigma * spread).select(*pairs.columns))
         fits = fit(kept, order, by, kind)
     return fits, kept
 
 
 def _residuals(pairs: DataFrame, fits: Fit, by: list[str]) -> DataFrame:
-    moved = applied(pairs.withColumns({"_x": F.col("x"), "_y": F.col("y")}), fits, by)
+    both = pairs.withColumns({"_x": F.col("x"), "_y": F.col("y")})
+    moved = applied_by_table(both, fits, by) if by else applied(both, fits)
     return moved.withColumns({"_dx": F.col("x_ref") - F.col("x"), "_dy": F.col("y_ref") - F.col("y"), "x": F.col("_x"), "y": F.col("_y")}).drop("_x", "_y")
 
 

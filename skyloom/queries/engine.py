@@ -30,8 +30,17 @@ def query(sql: str | None = None):
     return add
 
 
-def rounded(df: DataFrame, digits: int = 6, keep: tuple[str, ...] = ()) -> DataFrame:
-    return df.select(*((F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes))
+def near(v: Column, digits: int) -> Column:
+    """The value rounded, a little beside exact halves, which two engines may round apart."""
+    return F.round(v + F.lit(OFF * 10.0**-digits), digits) + F.lit(0.0)
+
+
+#: How far beside, in units of the last digit.
+OFF = 0.00137
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*(near(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 def fin(c: str) -> str:
@@ -39,7 +48,7 @@ def fin(c: str) -> str:
 
 
 def rnd(e: str, name: str, digits: int = 6) -> str:
-    return f"round({e}, {digits}) + 0.0 as {name}"
+    return f"round({e} + {OFF * 10.0**-digits!r}::double, {digits}) + 0.0 as {name}"
 
 
 # --- inputs: stars without re-sent rows, readings one an epoch, pairs of readings and their stars
@@ -152,18 +161,18 @@ def epoch_extract(spark, d):
     return rounded(filters.epoch(readings(spark, d), stars(spark, d), 7).select("star_id", "obs_id", "name", "t"), 4)
 
 
-@query(f"with {STARS} select star_id, {rnd(f'case when {fin('vx')} is null then null else x0 + vx * (2018.5 - t0) end', 'x_t', 9)}, {rnd(f'case when {fin('vy')} is null then null else y0 + vy * (2018.5 - t0) end', 'y_t', 9)} from stars where {fin('x0')} is not null and {fin('y0')} is not null")
+@query(f"with {STARS} select star_id, {rnd(f'case when {fin('vx')} is null then null else x0 + vx * (2018.5 - t0) end', 'x_t', 7)}, {rnd(f'case when {fin('vy')} is null then null else y0 + vy * (2018.5 - t0) end', 'y_t', 7)} from stars where {fin('x0')} is not null and {fin('y0')} is not null")
 def position_at_time(spark, d):
     """Places at a time by the motions."""
     s = stars(spark, d).withColumns({c: finite(c) for c in ("x0", "y0", "vx", "vy", "t0")}).where("x0 is not null and y0 is not null")
-    return rounded(filters.position_at(s, 2018.5).select("star_id", "x_t", "y_t"), 9)
+    return rounded(filters.position_at(s, 2018.5).select("star_id", "x_t", "y_t"), 7)
 
 
-@query(f"""with {STARS} select star_id, {rnd(f"case when {fin('vx')} is not null then x0 + vx * (2018.5 - t0) else x0 end", "x", 9)}, {rnd(f"case when {fin('vx')} is not null then sqrt(x0e * x0e + (vxe * (2018.5 - t0)) * (vxe * (2018.5 - t0))) else x0e end", "xe", 9)} from stars where {fin('x0')} is not null and {fin('x0e')} is not null and {fin('t0')} is not null""")
+@query(f"""with {STARS} select star_id, {rnd(f"case when {fin('vx')} is not null then x0 + vx * (2018.5 - t0) else x0 end", "x", 7)}, {rnd(f"case when {fin('vx')} is not null then sqrt(x0e * x0e + (vxe * (2018.5 - t0)) * (vxe * (2018.5 - t0))) else x0e end", "xe", 7)} from stars where {fin('x0')} is not null and {fin('x0e')} is not null and {fin('t0')} is not null""")
 def reference_list(spark, d):
     """The reference list at a time, with errors."""
     s = stars(spark, d).withColumns({c: finite(c) for c in ("x0", "y0", "x0e", "y0e", "vx", "vy", "vxe", "vye", "t0")}).where("x0 is not null and x0e is not null and t0 is not null")
-    return rounded(filters.reference_at(s, 2018.5).select("star_id", "x", "xe"), 9)
+    return rounded(filters.reference_at(s, 2018.5).select("star_id", "x", "xe"), 7)
 
 
 @query("select list_id, min_by(t, obs_id) as t from startable_obs where not isnan(t) and not isinf(t) group by list_id")
@@ -181,13 +190,13 @@ def sources(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "gaia").drop("loaded_at").distinct()
 
 
-@query(f"""with {GAIA} select source_id::varchar as name, {rnd(f'-{EAST} * cos(radians({DEC})) * 3600', 'x0', 5)}, {rnd(f"({fin('dec')} - ({DEC})) * 3600", 'y0', 5)}, {rnd(f"{fin('ra_error')} * cos(radians({DEC})) / 1000", 'x0e', 9)},
-  {rnd(f"coalesce({fin('pmra')}, 0) / -1000", 'vx', 9)}, {rnd(f"1.09 / {fin('phot_g_mean_flux_over_error')}", 'me', 9)} from g""")
+@query(f"""with {GAIA} select source_id::varchar as name, {rnd(f'-{EAST} * cos(radians({DEC})) * 3600', 'x0', 4)}, {rnd(f"({fin('dec')} - ({DEC})) * 3600", 'y0', 4)}, {rnd(f"{fin('ra_error')} * cos(radians({DEC})) / 1000", 'x0e', 9)},
+  {rnd(f"coalesce({fin('pmra')}, 0) / -1000", 'vx', 8)}, {rnd(f"1.09 / {fin('phot_g_mean_flux_over_error')}", 'me', 9)} from g""")
 def tangent_plane(spark, d):
     """Sources on a local plane."""
     p = sky.tangent_plane(sources(spark, d), RA, DEC)
-    n = {"x0": 5, "y0": 5, "x0e": 9, "vx": 9, "me": 9}
-    return p.select("name", *((F.round(c, k) + F.lit(0.0)).alias(c) for c, k in n.items()))
+    n = {"x0": 4, "y0": 4, "x0e": 9, "vx": 8, "me": 9}
+    return p.select("name", *(near(F.col(c), k).alias(c) for c, k in n.items()))
 
 
 @query(f"""with {GAIA} select source_id::varchar as name, {rnd(f"-({EAST} * cos(radians({DEC})) * 3600 + coalesce({fin('pmra')}, 0) / 1000 * (2020.5 - ref_epoch))", 'x', 5)},
@@ -195,7 +204,7 @@ def tangent_plane(spark, d):
 def gaia_at_epoch(spark, d):
     """Sources at an epoch."""
     p = sky.at_epoch(sources(spark, d).where(finite("ref_epoch").isNotNull()), 2020.5, RA, DEC)
-    return p.select("name", (F.round("x", 5) + 0.0).alias("x"), (F.round("ye", 7) + 0.0).alias("ye"))
+    return p.select("name", near(F.col("x"), 5).alias("x"), near(F.col("ye"), 7).alias("ye"))
 
 
 HAV = f"degrees(2 * asin(least(1, sqrt(pow(sin(radians(dec - ({DEC})) / 2), 2) + cos(radians(dec)) * cos(radians({DEC})) * pow(sin(radians(ra - {RA}) / 2), 2)))))"
@@ -347,7 +356,7 @@ def _votes_sql() -> str:
 def triangle_geometry(spark, d):
     """Triangles of the brightest."""
     t = triangles.triangles(triangles.ranked(bright(spark, d)[1], N_TRI))
-    return t.select("a", "b", "c", (F.round("vmax", 9) + 0.0).alias("vmax"), (F.round("angle", 7) + 0.0).alias("angle"))
+    return t.select("a", "b", "c", near(F.col("vmax"), 9).alias("vmax"), near(F.col("angle"), 7).alias("angle"))
 
 
 @query(f"{_votes_sql()} select id_1, id_2, votes from votes")
@@ -408,7 +417,7 @@ YX, YY = "(0.0004 - 2e-6 * x0 + 2e-6 * y0)", "(0.9997 + 2e-6 * x0 + 2e-6 * y0)"
 
 
 def model_columns(names: tuple[str, ...], values: tuple[Column, ...]) -> list[Column]:
-    return [(F.round(v, 6) + F.lit(0.0)).alias(n) for n, v in zip(names, values)]
+    return [near(v, 6).alias(n) for n, v in zip(names, values)]
 
 
 @query(f"with {MOVING} select star_id, {rnd(PX, 'x')}, {rnd(PY, 'y')}, {rnd(f'{fin("m0")} - 0.25', 'm')} from mv")
@@ -459,10 +468,10 @@ def legendre_apply(spark, d):
     return moving(spark, d).select("star_id", *model_columns(("x", "y"), LEG.position(u, v)))
 
 
-@query(f"with {MOVING} select star_id, {rnd('x0 / 1000 - 1', 'u', 9)}, {rnd('x0e / 1000', 'ue', 11)} from mv")
+@query(f"with {MOVING} select star_id, {rnd('x0 / 1000 - 1', 'u', 9)}, {rnd('x0e / 1000', 'ue', 9)} from mv")
 def domain_map(spark, d):
     """A domain mapped to [-1, 1]."""
-    return moving(spark, d).select("star_id", (F.round(models.to_domain(F.col("x0"), 0.0, 2000.0), 9) + 0.0).alias("u"), (F.round(models.error_to_domain(F.col("x0e"), 0.0, 2000.0), 11) + 0.0).alias("ue"))
+    return moving(spark, d).select("star_id", near(models.to_domain(F.col("x0"), 0.0, 2000.0), 9).alias("u"), near(models.error_to_domain(F.col("x0e"), 0.0, 2000.0), 9).alias("ue"))
 
 
 @query(f"with {PAIRS} select star_id, list_id, {rnd('1 / (xe * xe + ye * ye + xe_ref * xe_ref + ye_ref * ye_ref)', 'w')} from pairs")
@@ -494,7 +503,7 @@ def _fit_sql(weight: str) -> str:
 
 
 def _rounded_fit(df: DataFrame) -> DataFrame:
-    return df.select("list_id", *((F.round(c, 5 if c[1] == "0" else 7) + 0.0).alias(c) for c in df.columns if c[0] in "ab"), (F.round("mag_offset", 6) + 0.0).alias("mag_offset"))
+    return df.select("list_id", *((near(F.col(c), 5 if c[1] == "0" else 7)).alias(c) for c in df.columns if c[0] in "ab"), near(F.col("mag_offset"), 6).alias("mag_offset"))
 
 
 @query(_fit_sql("1.0::double"))
@@ -549,7 +558,7 @@ def shift_fit(spark, d):
 def similarity_fit(spark, d):
     """a similarity of each list."""
     s = fits.similarity_sums(pairs(spark, d), ["list_id"])
-    return s.select("list_id", *((F.round(c, k) + 0.0).alias(c) for c, k in (("a0", 4), ("a1", 6), ("a2", 6), ("b0", 4))))
+    return s.select("list_id", *(near(F.col(c), k).alias(c) for c, k in (("a0", 4), ("a1", 6), ("a2", 6), ("b0", 4))))
 
 
 R = "sqrt((x_ref - x) * (x_ref - x) + (y_ref - y) * (y_ref - y))"
@@ -592,7 +601,7 @@ def combine_weighted(spark, d):
 def combine_plain(spark, d):
     """G1 without weights."""
     c = combine.combine_lists(readings(spark, d), "y")
-    return c.select("star_id", (F.round("y0", 9) + 0.0).alias("y0"), (F.round("y0e", 5) + 0.0).alias("y0e"), F.col("n").cast("bigint").alias("n"))
+    return c.select("star_id", near(F.col("y0"), 9).alias("y0"), near(F.col("y0e"), 5).alias("y0e"), F.col("n").cast("bigint").alias("n"))
 
 
 @query(f"with {READINGS} select star_id, {rnd(f'-2.5 * log10(avg(pow(10.0, -{fin("m")} / 2.5)))', 'm_avg')} from readings where abs({fin('m')}) < 40 group by 1")
@@ -789,7 +798,7 @@ CHI = "(pow((x_ref - x) / sqrt(xe * xe + xe_ref * xe_ref), 2) + pow((y_ref - y)
 def chi2_alignment(spark, d):
     """Chi square of each list's alignment under six parameters."""
     out = quality.alignment_chi2(pairs(spark, d), 6, by=["list_id"]).where("dof > 0")
-    return out.select("list_id", (F.round("chi2", 2) + 0.0).alias("chi2"), "n", "dof", (F.round("red_chi2", 3) + 0.0).alias("red_chi2"))
+    return out.select("list_id", near(F.col("chi2"), 2).alias("chi2"), "n", "dof", near(F.col("red_chi2"), 3).alias("red_chi2"))
 
 
 IN = "(abs((x_ref - x) / sqrt(xe * xe + xe_ref * xe_ref)) < 10 and abs((y_ref - y) / sqrt(ye * ye + ye_ref * ye_ref)) < 10)"
@@ -801,11 +810,11 @@ def error_ratios(spark, d):
     return rounded(quality.error_ratios(pairs(spark, d))[1], 1)
 
 
-@query(f"with {STARS} select star_id, {rnd(f'sqrt({fin("x0")} * {fin("x0")} + {fin("y0")} * {fin("y0")})', 'r', 5)}, {rnd(f'({fin("vxe")} + {fin("vye")}) / 2 * 1000', 'pm_err', 4)} from stars")
+@query(f"with {STARS} select star_id, {rnd(f'sqrt({fin("x0")} * {fin("x0")} + {fin("y0")} * {fin("y0")})', 'r', 5)}, {rnd(f'({fin("vxe")} + {fin("vye")}) / 2 * 1000', 'pm_err', 6)} from stars")
 def errors_by_magnitude(spark, d):
     """Radius and errors of each star."""
     s = stars(spark, d).withColumns({c: finite(c) for c in ("x0", "y0", "x0e", "y0e", "vxe", "vye")})
-    return quality.errors_by_magnitude(s).select("star_id", (F.round("r", 5) + 0.0).alias("r"), (F.round("pm_err", 4) + 0.0).alias("pm_err"))
+    return quality.errors_by_magnitude(s).select("star_id", near(F.col("r"), 5).alias("r"), near(F.col("pm_err"), 6).alias("pm_err"))
 
 
 @query("select row_id, list_id from starlist where x > -1000 and y > -1000 and m > 14 and m < 18 and not isnan(x) and not isnan(y) and not isnan(m)")
@@ -818,7 +827,7 @@ def sky_view(spark, d):
 def charge_trend_line(spark, d):
     """The linear trend of residuals with magnitude."""
     t = quality.trend_line(modelled(spark, d).where("m is not null"), "m", "dy")
-    return t.select((F.round("slope", 7) + 0.0).alias("slope"), (F.round("intercept", 6) + 0.0).alias("intercept"))
+    return t.select(near(F.col("slope"), 7).alias("slope"), near(F.col("intercept"), 6).alias("intercept"))
 
 
 @query()
