@@ -13,6 +13,8 @@ an empty table gives an empty result; further columns are kept.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,7 +74,7 @@ def with_units(df: DataFrame, catalogs: DataFrame, fields: list[Field], texts: l
 def _guesses(told: DataFrame, fields: list[Field]) -> DataFrame | None:
     """Per catalog without a note on a field the unit in which its usual size comes nearest to that of the rows with a unit."""
     fac = {r.unit: (r.factor, r.pixels) for r in factors(told).collect()}
-    unknown = told.where(F.col("_catalog").isNotNull() & (F.greatest(*(F.col(f"_unit_{f.column}").isNull().cast("int") for f in fields)) == 1))
+    unknown = told.where(F.col("_catalog").isNotNull() & reduce(or_, (F.col(f"_unit_{f.column}").isNull() for f in fields)))
     lookup = F.create_map(*(x for u, (f, _) in fac.items() for x in (F.lit(u), F.lit(f))))
     pixels = F.array(*(F.lit(u) for u, (_, p) in fac.items() if p))
     shift = lambda u: F.log10(F.element_at(lookup, u)) + F.when(F.array_contains(pixels, u), F.log10("_scale")).otherwise(0.0)

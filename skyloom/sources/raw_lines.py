@@ -47,27 +47,32 @@ def cells(lines: DataFrame, line: str = "raw_line", layout: str = "layout") -> D
     text = F.trim(F.col(line), F.lit(BLANKS))
     comma = F.coalesce(F.col(layout) == "comma", F.lit(False))
     base = lines.withColumn("_text", F.translate(text, CUT, CUT_OUT)).where((F.length("_text") > 0) & ~F.startswith("_text", F.lit("#")))
-    pieces = F.split("_text", '"', -1)
-    base = base.withColumn("_pieces", pieces).withColumn("_n", F.size("_pieces")).withColumn("_comma", comma)
-    outside = lambda i: i % 2 == 0
-    inner = lambda i: (i > 0) & (i < F.col("_n") - 1)
-    ends = F.when(F.col("_comma"), F.lit(r",[ \t\r]*$")).otherwise(F.lit(r"[ \t]$"))
-    starts = F.when(F.col("_comma"), F.lit(r"^[ \t\r]*,")).otherwise(F.lit(r"^[ \t]"))
+    # bound once per line by a one-element transform: a lambda would compute them anew for each piece
+    whole = F.struct(F.split("_text", '"', -1).alias("pieces"), comma.alias("comma"))
     blank = lambda s: F.length(F.trim(s, F.lit(BLANKS))) == 0
 
-    def piece(s: Column, i: Column) -> Column:
-        doubled = outside(i) & inner(i) & (s == "")
-        fits = F.when(~outside(i) | doubled, True).otherwise(((i == 0) | F.regexp(s, starts)) & ((i == F.col("_n") - 1) | F.regexp(s, ends)) | ((i == 0) | (i == F.col("_n") - 1)) & blank(s))
-        cut = F.when(F.col("_comma"), F.replace(s, F.lit(","), F.lit(CUT))).otherwise(F.regexp_replace(s, r"[ \t]+", CUT))
-        return F.struct(F.when(doubled, F.lit('"')).when(outside(i), cut).otherwise(s).alias("v"), fits.alias("ok"))
-
-    plain = F.array(F.struct(F.when(F.col("_comma"), F.replace("_text", F.lit(","), F.lit(CUT))).otherwise(F.regexp_replace("_text", r"[ \t]+", CUT)).alias("v"), F.lit(True).alias("ok")))
-    base = base.withColumn("_done", F.when(F.col("_n") == 1, plain).otherwise(F.transform("_pieces", piece)))
-    joined = F.array_join(F.transform("_done", lambda p: p["v"]), "")
-    odd = F.col("_n") % 2 == 0
-    bad = odd | F.exists("_done", lambda p: ~p["ok"])
-    split = F.transform(F.split(joined, CUT, -1), lambda c: F.trim(c, F.lit(BLANKS)))
-    return base.withColumn("_cells", split).withColumn("_bad_quotes", bad).drop("_text", "_pieces", "_n", "_comma", "_done")
+    with_count = lambda q: F.struct(q["pieces"].alias("pieces"), q["comma"].alias("comma"), F.size(q["pieces"]).alias("n"))
+
+    def line_cells(q: Column) -> Column:
+        last = q["n"] - 1
+        ends = F.when(q["comma"], F.lit(r",[ \t\r]*$")).otherwise(F.lit(r"[ \t]$"))
+        starts = F.when(q["comma"], F.lit(r"^[ \t\r]*,")).otherwise(F.lit(r"^[ \t]"))
+
+        def piece(s: Column, i: Column) -> Column:
+            outside, edge = i % 2 == 0, (i == 0) | (i == last)
+            doubled = outside & ~edge & (s == "")
+            fits = F.when(~outside | doubled | (last == 0), True).otherwise(((i == 0) | F.regexp(s, starts)) & ((i == last) | F.regexp(s, ends)) | edge & blank(s))
+            cut = F.when(q["comma"], F.replace(s, F.lit(","), F.lit(CUT))).otherwise(F.regexp_replace(s, r"[ \t]+", CUT))
+            return F.struct(F.when(doubled, F.lit('"')).when(outside, cut).otherwise(s).alias("v"), fits.alias("ok"))
+
+        return F.struct(F.transform(q["pieces"], piece).alias("p"), (last % 2 == 1).alias("odd"))
+
+    def joined(q: Column) -> Column:
+        text = F.array_join(F.transform(q["p"], lambda p: p["v"]), "")
+        return F.struct(F.transform(F.split(text, CUT, -1), lambda c: F.trim(c, F.lit(BLANKS))).alias("cells"), (q["odd"] | F.exists(q["p"], lambda p: ~p["ok"])).alias("bad"))
+
+    done = F.element_at(F.transform(F.transform(F.transform(F.array(whole), with_count), line_cells), joined), 1)
+    return base.withColumn("_done", done).withColumn("_cells", F.col("_done.cells")).withColumn("_bad_quotes", F.col("_done.bad")).drop("_text", "_done")
 
 
 def failures(lines: DataFrame, key: str = "line_id", line: str = "raw_line", layout: str = "layout") -> DataFrame:
