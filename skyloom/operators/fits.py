@@ -67,6 +67,8 @@ def fit(pairs: DataFrame, order: int = 1, by: list[str] | None = None, kind: str
     sums += [F.avg(F.col("m_ref") - F.col("m")).alias("dm"), *(F.first(c).alias(c) for c in ("_cx", "_cy", "_sx", "_sy"))]
     out: Fit = {}
     for r in joined.groupBy(*by).agg(*sums).collect():
+        if r["a0_0"] is None:  # no pair at all
+            continue
         a = np.array([[r[f"a{min(p, q)}_{max(p, q)}"] for q in range(n)] for p in range(n)])
         cx, cy = (np.linalg.lstsq(a, np.array([r[f"{c}{p}"] for p in range(n)]), rcond=1e-12)[0] for c in ("x_ref", "y_ref"))
         dm = (r["dm"] or 0.0) if mag_trans else 0.0

@@ -73,11 +73,12 @@ class Mosaic:
         """A first transform from equal names or from triangles of the brightest."""
         a, b = ref.select(F.col("star_id").alias("id"), "name", "x", "y", "m"), lst.select("id", "name", "x", "y", "m")
         if self.init_guess_mode == "name":
-            pairs = crossmatch.guess_join(a, b).select("id_1", "id_2")
+            pairs = crossmatch.guess_join(a, b).select("id_1", "id_2", F.lit(1.0).alias("w"))
         else:
             n = min(self.n_bright, a.count(), b.count())
-            pairs = triangles.triangle_match(a, b, n).select("id_1", "id_2")
-        pairs = checkpointed(self._pairs(ref, lst, pairs))
+            # true pairs share most of their triangles, chance ones a few: votes weigh
+            pairs = triangles.triangle_match(a, b, n).select("id_1", "id_2", F.col("votes").cast("double").alias("w"))
+        pairs = checkpointed(self._pairs(ref, lst, pairs.select("id_1", "id_2")).join(pairs.select("id_2", "w"), "id_2"))
         if pairs.count() < 3:
             raise ValueError("fewer than three matches for the first transform")
         return fits.fit(pairs, self.init_order, mag_trans=self.mag_trans)[()]
@@ -211,20 +212,23 @@ def pair_alignment(ref: DataFrame, lst: DataFrame, steps: list[tuple[int, float]
     side = lambda df: df.withColumns({c: F.lit(1.0) for c in ("xe", "ye") if c not in df.columns})
     ref, lst = side(ref), side(lst)
 
-    def joined(m: DataFrame) -> DataFrame:
+    def joined(m: DataFrame, how: str | None) -> DataFrame:
         r = ref.select(F.col("id").alias("id_2"), *(F.col(c).alias(f"{c}_ref") for c in ("x", "y", "m", "xe", "ye")))
-        return fits.with_weight(m.select("id_1", "id_2").join(r, "id_2").join(lst.withColumnRenamed("id", "id_1"), "id_1"), weights)
+        return fits.with_weight(m.select("id_1", "id_2").join(r, "id_2").join(lst.withColumnRenamed("id", "id_1"), "id_1"), how)
 
     model = start
     if model is None:
-        swap = lambda m: m.select(F.col("id_2").alias("id_1"), F.col("id_1").alias("id_2"))
-        first = crossmatch.name_join(lst, ref) if mode == "name" else swap(triangles.triangle_match(ref, lst, n_bright))
-        pairs = checkpointed(joined(first))
+        if mode == "name":
+            first = crossmatch.name_join(lst, ref).withColumn("votes", F.lit(1))
+        else:
+            first = triangles.triangle_match(ref, lst, n_bright).select(F.col("id_2").alias("id_1"), F.col("id_1").alias("id_2"), "votes")
+        first = checkpointed(first)
+        pairs = checkpointed(joined(first, None).drop("w").join(first.select("id_1", F.col("votes").cast("double").alias("w")), "id_1"))
         if pairs.count() < 3:
             raise ValueError("fewer than three matches for the first transform")
         model = fits.fit(pairs, 1)[()]
     for order, dr in steps:
-        pairs = checkpointed(joined(crossmatch.transform_and_match(lst, ref, model, dr, dm_tol)))
+        pairs = checkpointed(joined(crossmatch.transform_and_match(lst, ref, model, dr, dm_tol), weights))
         model = fits.fit(pairs, order)[()]
     if sigma:
         there = fits.applied(pairs.withColumns({"_x": F.col("x"), "_y": F.col("y")}), {(): model})
