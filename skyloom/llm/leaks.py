@@ -33,6 +33,8 @@ WORDS, BUDGET, EVERY = 12, 2, 5
 TYPOS = 2
 #: Length of q-grams; half the width of a band and thus the shift within a passage, in characters.
 Q, BAND = 5, 24
+#: How often a q-gram may occur in a block's items to count as rare, tried in turn; shared q-grams that are enough to go by; the least ever asked for.
+RARE, ENOUGH, LEAST = (2, 4, 8, 16, 32, 64, 128), 9, 6
 #: Bits of a q-gram's hash in the table that turns most texts away.
 BITS = 22
 #: Characters of item text that one block may have: what is broadcast at once.
@@ -85,24 +87,43 @@ class Items:
             places.append(at)
             items.append(np.full(len(at), k))
         self.hash, self.place, self.item = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hashes, places, items))
+        _, back, often = np.unique(self.hash, return_inverse=True, return_counts=True)
+        times = often[back] if len(back) else back
+        # q-grams of everyday wording cost most and tell least: the rarest are kept for which the lemma still asks for enough
+        for limit in (*RARE, None):
+            keep = times <= limit if limit else np.ones(len(times), bool)
+            self.least = self._least(keep)
+            if self.least >= ENOUGH:
+                break
+        self.least = max(LEAST, self.least)
+        self.hash, self.place, self.item = self.hash[keep], self.place[keep], self.item[keep]
         order = np.argsort(self.hash, kind="stable")
         self.hash, self.place, self.item = self.hash[order], self.place[order], self.item[order]
         self.table = np.zeros(1 << BITS, bool)
         self.table[self.hash >> np.uint64(64 - BITS)] = True
-        self.least = self._least()
 
-    def _least(self) -> int:
-        """The q-grams that any passage still shares, whatever BUDGET of its words are altered; sets ``reach``, the longest passage."""
+    def _least(self, keep: np.ndarray) -> int:
+        """The kept q-grams that any passage still shares, whatever BUDGET of its words are altered; sets ``reach``, the longest passage."""
         least, self.reach = None, 0
-        for w in self.words:
-            n = np.array([len(x) + 1 for x in w])
-            if len(n) < WORDS:
+        for k, w in enumerate(self.words):
+            if len(w) < WORDS:
                 continue
-            win = np.lib.stride_tricks.sliding_window_view(n, WORDS)
-            kept = win.sum(1) - 1 - Q + 1 - np.sort(win, axis=1)[:, -BUDGET:].sum(1) - BUDGET * (Q - 1)
-            least = int(kept.min()) if least is None else min(least, int(kept.min()))
-            self.reach = max(self.reach, int(win.sum(1).max()) + BAND)
-        return max(6, least or 0)
+            mine = self.item == k
+            there = np.zeros(len(self.strings[k]) + 1)
+            there[self.place[mine & keep]] = 1
+            sums = np.r_[0, np.cumsum(there)]
+            s, e = self.starts[k][:-1], self.starts[k][1:] - 1
+            a, b = s[: len(w) - WORDS + 1], e[WORDS - 1 :]
+            own = np.lib.stride_tricks.sliding_window_view(np.array(self.own[k]), WORDS).all(1)
+            whole = sums[np.maximum(b - Q + 1, a)] - sums[a]
+            # an altered word takes the q-grams that touch it with it
+            took = sums[np.minimum(e, len(there))] - sums[np.maximum(s - Q + 1, 0)]
+            worst = np.sort(np.lib.stride_tricks.sliding_window_view(took, WORDS), axis=1)[:, -BUDGET:].sum(1)
+            if own.any():
+                n = int((whole - worst)[own].min())
+                least = n if least is None else min(least, n)
+            self.reach = max(self.reach, int((b - a).max()) + BAND)
+        return least or 0
 
     def bands(self, s: str) -> Iterator[tuple[int, int, int, int]]:
         """(item, first place in the text, last place, diagonal) of the regions with enough shared q-grams."""
@@ -115,7 +136,9 @@ class Items:
         h = g[at]
         lo, hi = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
         n = hi - lo
-        if (n > 0).sum() < self.least:
+        some = at[n > 0]
+        m = self.least - 1
+        if len(some) <= m or (some[m:] - some[: len(some) - m]).min() > self.reach:
             return
         doc = np.repeat(at, n)
         idx = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
