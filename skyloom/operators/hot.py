@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 #: A key is hot with more than this share of the rows. At most 1/HOT_SHARE keys can be hot: the bound of what is broadcast.
@@ -15,12 +15,13 @@ SAMPLE = 0.02
 
 def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE, rows: int = HOT_ROWS, sample: float = SAMPLE) -> DataFrame | None:
     """The hot combinations of ``keys``: at most 1/share rows, or None if there are none."""
-    counts = df.select(*keys).sample(sample, seed=7).groupBy(*keys).count()
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    least = max(share * total, rows * sample)
-    if total <= least:
+    seen = Observation()
+    looked = df.select(*keys).sample(sample, seed=7).observe(seen, F.count(F.lit(1)).alias("n"))
+    most = looked.groupBy(*keys).count().orderBy(F.desc("count")).limit(int(1 / share)).collect()  # no more can be hot
+    if not most:
         return None
-    found = counts.where(F.col("count") > least).limit(int(1 / share) + 1).collect()
+    least = max(share * seen.get["n"], rows * sample)
+    found = [r for r in most if r["count"] > least]
     if not found:
         return None
     return df.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in found], df.select(*keys).schema)
