@@ -14,6 +14,7 @@ reported each, distinct; rows or items without an id are left out; empty tables
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import unicodedata
@@ -291,12 +292,12 @@ def _blocks(ids: list[int], texts: list[str]) -> Iterator[tuple[list[int], list[
 
 
 @lru_cache(maxsize=4)
-def _index(key: str, load) -> Items:
-    return Items(*load())
+def _index(block: _Block) -> Items:
+    return Items(*block.sent.value)
 
 
 class _Block:
-    """A broadcast block, whose index each Python worker builds once."""
+    """A broadcast block, told by the digest of what it holds; each Python worker builds its index once."""
 
     def __init__(self, sent, key: str):
         self.sent, self.key = sent, key
@@ -307,10 +308,6 @@ class _Block:
     def __hash__(self) -> int:
         return hash(self.key)
 
-    def __call__(self):
-        return self.sent.value
-
-
 def found(items: DataFrame, docs: DataFrame, item_key: str = "item_id", doc_key: str = "doc_id", text: str = "text", most: int = 64_000_000) -> DataFrame:
     """Distinct (item_id, doc_id): the texts that hold WORDS successive words of an item.
 
@@ -324,11 +321,11 @@ def found(items: DataFrame, docs: DataFrame, item_key: str = "item_id", doc_key:
     base = docs.where(F.col(doc_key).isNotNull() & (F.length(text) > 0)).select(F.col(doc_key).cast("long").alias("d"), F.col(text).alias("t"))
     sc = docs.sparkSession.sparkContext
     out = None
-    for n, part in enumerate(_blocks([r[0] for r in rows], [r[1] for r in rows])):
-        block = _Block(sc.broadcast(part), f"{id(part)}-{n}-{len(part[0])}")
+    for part in _blocks([r[0] for r in rows], [r[1] for r in rows]):
+        block = _Block(sc.broadcast(part), hashlib.md5(repr(part).encode()).hexdigest())
 
         def search(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
-            index = _index(block.key, block)
+            index = _index(block)
             for b in batches:
                 pairs = [(i, d) for d, t in zip(b["d"], b["t"]) for i in leaked(index, t)]
                 yield pd.DataFrame(pairs, columns=["item_id", "doc_id"], dtype="int64")
