@@ -1 +1 @@
-
+"""Transform models and unit names."""

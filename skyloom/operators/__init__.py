@@ -1 +1 @@
-
+"""Operators over DataFrames: neighbours, matching, fits, combining, motions, quality."""

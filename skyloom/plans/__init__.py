@@ -1 +1 @@
-
+"""Multi-step plans: mosaics, bootstrap, stitching."""

@@ -1 +1 @@
-
+"""Catalog files and undecoded lines."""
