@@ -5,10 +5,11 @@
 2. MinHash blocking across attributes: the set of small cells under a detection's search disc, and the set of letter
    groups of its name. Detections that agree in one band are candidates.
 3. The best candidates make tracks: each second-collection star gets a motion from all lists, and is sought at the
-   place where each list's epoch should show it.
+   place where each list's epoch should show it. The pairs found there and all candidates of the blocking are judged together, each
+   by its offset from the track; the accepted ones make the tracks anew, and all are judged once more.
 4. Features of position and brightness feed a logistic classifier, trained on weak labels (names that agree or
    contradict); names then add their own log-odds, measured on the pairs that position decides; the result is calibrated on
-   other stars than it was trained on.
+   other stars than it was trained on. Pairs that only their names brought up are judged, but teach nothing: their names agree by choice.
 5. Within each pair of lists a detection keeps its best partner where the choice is mutual.
 
 Copies of one detection are matched once and written out for each. Defined cases: rows without a position, key or list take no
@@ -173,20 +174,20 @@ def _name_bands(k: Settings) -> Column:
 
 
 def _candidates(a: DataFrame, b: DataFrame, k: Settings) -> DataFrame:
-    """(ia, ib): the distinct pairs that agree in a band."""
+    """(ia, ib, blind): the distinct pairs that agree in a band; blind where a band of their places is among those."""
 
     def banded(df: DataFrame, name: str) -> DataFrame:
-        places = df.select("id", "u", "v").mapInPandas(_place_bands(k), "id long, band array<long>").select("id", F.explode("band").alias("band"))
+        places = df.select("id", "u", "v").mapInPandas(_place_bands(k), "id long, band array<long>").select("id", F.explode("band").alias("band"), F.lit(True).alias("blind"))
         often = df.where(F.col("tag").isNotNull()).groupBy("tag").count().where(F.col("count") > k.common).select("tag")
-        names = df.where(F.col("tag").isNotNull()).join(often, "tag", "left_anti").select("id", F.explode(_name_bands(k)).alias("band"))
+        names = df.where(F.col("tag").isNotNull()).join(often, "tag", "left_anti").select("id", F.explode(_name_bands(k)).alias("band"), F.lit(False).alias("blind"))
         return places.unionByName(names).withColumnRenamed("id", name)
 
-    left, right = banded(a, "ia"), banded(b, "ib")
+    left, right = banded(a, "ia"), banded(b, "ib").drop("blind")
     # hot bands are sought on a sample of the detections, drawn before they are hashed
     few = 0.02
     hot = hot_keys(banded(a.sample(few, seed=7), "ia"), ["band"], rows=max(1, int(HOT_ROWS * few)), sample=1.0)
     left, right, keys = salted(left, right, ["band"], F.col("ia"), hot)
-    return left.join(right, keys).select("ia", "ib").distinct()
+    return left.join(right, keys).groupBy("ia", "ib").agg(F.max("blind").alias("blind"))
 
 
 def _pairs(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
@@ -240,14 +241,14 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+JUDGED = ["ia", "ib", "lista", "listb", "agree", "blind", "off", "n", "wa", "wb", "ta", "tb", "ua", "va", "ub", "vb", "var0", "varb"]
 LINK = ["ia", "ib", "ta", "tb", "ua", "va", "ub", "vb", "var", "var0", "varb"]
 
 
-def _sought(a: DataFrame, b: DataFrame, tracks: DataFrame, k: Settings, base: dict, agree: Column, dm: Column, dt: Column) -> DataFrame:
+def _sought(a: DataFrame, b: DataFrame, tracks: DataFrame, k: Settings, base: dict, agree: Column, dm: Column, dt: Column, epochs: Column) -> DataFrame:
     """The candidates near the places where each list should show each b star, by grid cells."""
     b2 = b.join(tracks, b["id"] == tracks["ib"], "left").drop("ib").fillna(0.0, ["p0", "p1", "q0", "q1"]).fillna(0, ["n"])
-    epochs = a.groupBy("list").agg(F.percentile_approx("t", 0.5).alias("te")).withColumnRenamed("list", "lista")
-    ahead = b2.withColumn("at", F.explode(_epochs(epochs))).select("*", F.col("at.list").alias("lista"), F.col("at.te").alias("te"))
+    ahead = b2.withColumn("at", F.explode(epochs)).select("*", F.col("at.list").alias("lista"), F.col("at.te").alias("te"))
     dte = F.coalesce(F.col("te") - F.col("t"), F.lit(0.0))
     ahead = ahead.withColumns({"pu": F.col("u") + F.col("p0") + F.col("p1") * dte, "pv": F.col("v") + F.col("q0") + F.col("q1") * dte})
     side, reach = 2 * k.sought, k.sought * (1 + 1e-9)
@@ -259,8 +260,27 @@ def _sought(a: DataFrame, b: DataFrame, tracks: DataFrame, k: Settings, base: di
     left, right, keys = salted(left, right, keys, F.col("ia"), hot_keys(left, keys))
     off = F.hypot(F.col("ua") - F.col("pu"), F.col("va") - F.col("pv"))
     found = left.join(right, keys).withColumn("off", off).where((F.col("off") < k.sought) & (dm < 3.0))
-    found = found.withColumns({"var0": base["var0"] + F.when(F.col("n") < 3, F.pow(k.motion * dt, 2)).otherwise(0.0), "varb": base["varb"], "agree": agree})
-    return checkpointed(found.select("ia", "ib", "lista", "listb", "agree", "off", "n", "wa", "wb", "ta", "tb", "ua", "va", "ub", "vb", "var0", "varb", _features().alias("f")))
+    found = found.withColumns({"var0": base["var0"] + F.when(F.col("n") < 3, F.pow(k.motion * dt, 2)).otherwise(0.0), "varb": base["varb"], "agree": agree, "blind": F.lit(True)})
+    return found.select(*JUDGED)
+
+
+def _judged(first: DataFrame, sought: DataFrame, tracks: DataFrame, k: Settings, dm: Column, dt: Column, epochs: Column) -> DataFrame:
+    """The candidates of the blocking, with their offsets from the tracks, and the sought ones, each pair once, with features."""
+    at = first.join(tracks, "ib", "left").fillna(0.0, ["p0", "p1", "q0", "q1"]).fillna(0, ["n"])
+    dte = F.coalesce(F.element_at(F.map_from_entries(epochs), F.col("lista")) - F.col("tb"), F.lit(0.0))
+    off = F.hypot(F.col("ua") - (F.col("ub") + F.col("p0") + F.col("p1") * dte), F.col("va") - (F.col("vb") + F.col("q0") + F.col("q1") * dte))
+    # nearer ones are all among the sought
+    far = at.withColumn("off", off).where((F.col("off") >= k.sought) & (dm < 3.0))
+    far = far.withColumn("var0", F.col("var0") + F.when(F.col("n") < 3, F.pow(k.motion * dt, 2)).otherwise(0.0)).select(*JUDGED)
+    return checkpointed(sought.unionByName(far).withColumn("f", _features()))
+
+
+def _accepted(pairs: DataFrame, k: Settings) -> DataFrame:
+    """The pairs with a confidence of a half at least that are each other's best in their two lists."""
+    scored = pairs.withColumn("confidence", _classifier(pairs, k))
+    one = F.row_number().over(Window.partitionBy("ib", "lista").orderBy(F.desc("confidence"), "off", "ia"))
+    two = F.row_number().over(Window.partitionBy("ia", "listb").orderBy(F.desc("confidence"), "off", "ib"))
+    return scored.where(F.col("confidence") >= 0.5).withColumn("one", one).withColumn("two", two).where("one = 1 and two = 1")
 
 
 def matched(star: DataFrame, ext: DataFrame, lists: DataFrame, k: Settings = Settings()) -> DataFrame:
@@ -278,27 +298,25 @@ def matched(star: DataFrame, ext: DataFrame, lists: DataFrame, k: Settings = Set
     dm = F.coalesce(F.abs(F.col("wa") - F.col("wb")), F.lit(0.15))
 
     # tentative links: the best of each b star in each list, and the other way round
-    first = _pairs(_candidates(a, b, k), a, b).withColumns(base).withColumn("agree", agree).withColumn("d", F.hypot(F.col("ua") - F.col("ub"), F.col("va") - F.col("vb")))
-    first = first.where((dm < 0.6) & ((F.col("d") < 4 * F.sqrt("var")) | (F.col("agree") == 1) & (F.col("d") < 60)))
-    first = first.withColumn("cost", F.col("d") * F.col("d") / F.col("var") / F.when(F.col("agree") == 1, 20.0).otherwise(1.0) + F.pow(dm / 0.15, 2) - 6 * F.col("agree"))
+    first = _pairs(_candidates(a, b, k), a, b).withColumns(base).withColumn("agree", agree).where(dm < 3.0)
+    first = checkpointed(first.select("ia", "ib", "lista", "listb", "agree", "blind", "wa", "wb", "ta", "tb", "ua", "va", "ub", "vb", "var0", "varb", "var"))
+    near = first.withColumn("d", F.hypot(F.col("ua") - F.col("ub"), F.col("va") - F.col("vb")))
+    near = near.where((dm < 0.6) & ((F.col("d") < 4 * F.sqrt("var")) | (F.col("agree") == 1) & (F.col("d") < 60)))
+    near = near.withColumn("cost", F.col("d") * F.col("d") / F.col("var") / F.when(F.col("agree") == 1, 20.0).otherwise(1.0) + F.pow(dm / 0.15, 2) - 6 * F.col("agree"))
     one = F.row_number().over(Window.partitionBy("ib", "lista").orderBy("cost", "ia"))
     two = F.row_number().over(Window.partitionBy("ia", "listb").orderBy("cost", "ib"))
-    links = first.withColumn("one", one).withColumn("two", two).where("one = 1 and two = 1 and ta is not null and tb is not null")
+    links = near.withColumn("one", one).withColumn("two", two).where("one = 1 and two = 1 and ta is not null and tb is not null")
     # a name that agrees vouches for a fast star: its place then counts in full
     links = links.withColumn("var", F.when(F.col("agree") == 1, F.col("var0")).otherwise(F.col("var")))
-    second = _sought(a, b, _tracks(links.select(*LINK)), k, base, agree, dm, dt)
-    # once more with the motions that these show
-    one = F.row_number().over(Window.partitionBy("ib", "lista").orderBy("cost", "ia"))
-    two = F.row_number().over(Window.partitionBy("ia", "listb").orderBy("cost", "ib"))
-    again = second.where("ta is not null and tb is not null").withColumn("cost", F.col("off") * F.col("off") / F.col("var0") + F.pow(dm / 0.15, 2) - 6 * F.col("agree")).where(dm < 0.6)
-    links = again.withColumn("one", one).withColumn("two", two).where("one = 1 and two = 1").withColumn("var", F.col("var0") + 0.04)
-    second = _sought(a, b, _tracks(links.select(*LINK)), k, base, agree, dm, dt)
+    epochs = _epochs(a.groupBy("list").agg(F.percentile_approx("t", 0.5).alias("te")).withColumnRenamed("list", "lista"))
 
-    score = _classifier(second, k)
-    scored = second.withColumn("confidence", score)
-    one = F.row_number().over(Window.partitionBy("ib", "lista").orderBy(F.desc("confidence"), "off", "ia"))
-    two = F.row_number().over(Window.partitionBy("ia", "listb").orderBy(F.desc("confidence"), "off", "ib"))
-    best = scored.where(F.col("confidence") >= 0.5).withColumn("one", one).withColumn("two", two).where("one = 1 and two = 1").select("ia", "ib", "confidence")
+    def judged(links: DataFrame) -> DataFrame:
+        tracks = checkpointed(_tracks(links.select(*LINK)))
+        return _judged(first, _sought(a, b, tracks, k, base, agree, dm, dt, epochs), tracks, k, dm, dt, epochs)
+
+    # once more with the motions that the accepted pairs show
+    links = _accepted(judged(links), k).where("ta is not null and tb is not null").withColumn("var", F.col("var0") + 0.04)
+    best = _accepted(judged(links), k).select("ia", "ib", "confidence")
     # every copy
     same = lambda df, key: df.select(F.col(key).cast("long").alias("id"), F.col("list_id").cast("long").alias("list"), finite("x").alias("x"), finite("y").alias("y"), finite("m").alias("m"))
     eq = lambda p, q: (p["list"] == q["list"]) & (p["x"] == q["x"]) & (p["y"] == q["y"]) & p["m"].eqNullSafe(q["m"])
@@ -329,7 +347,7 @@ def _posterior(logit: np.ndarray, agree: np.ndarray, wrong: float, chance: float
 def _classifier(pairs: DataFrame, k: Settings) -> Column:
     """The calibrated confidence of a candidate pair as an expression."""
     h = F.pmod(F.xxhash64("ib"), F.lit(1_000_000))
-    labelled = pairs.where("agree <> 0").select((F.col("agree") == 1).cast("int").alias("y"), "f", F.pmod(h, F.lit(2)).alias("half"), F.xxhash64("ia", "ib").alias("o"))
+    labelled = pairs.where("agree <> 0 and blind").select((F.col("agree") == 1).cast("int").alias("y"), "f", F.pmod(h, F.lit(2)).alias("half"), F.xxhash64("ia", "ib").alias("o"))
     rows = labelled.orderBy("o").limit(k.sample).select("y", "f", "half").toPandas()
     wrong, chance = 0.08, 0.01  # how often a match's names contradict and a chance pair's agree: starting values
     if len(rows) < 30 or rows["y"].nunique() < 2:

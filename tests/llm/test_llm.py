@@ -172,3 +172,17 @@ def test_matching_planted(spark):
 def test_matching_empty(spark):
     lists = spark.createDataFrame([], "list_id long, list_time double")
     assert matching.matched(spark.createDataFrame([], STAR), spark.createDataFrame([], EXT), lists).count() == 0
+
+
+def test_matching_keeps_pairs_that_only_a_band_found(spark):
+    """Fast stars seen once, whose track ends short of the place where they are."""
+    star, ext, _ = observed(random.Random(5))
+    fast = set()
+    for i in range(8):
+        x, y, name = 40.0 + 55 * i, 250.0 + 7 * i, f"zyr{900 + i}"
+        ext.append((20_000 + i, 61, name, x, y, -3.0, 0.05, 0.05, 0.02, 2015.0, 0))
+        star.append((5_000 + i, 2, name, x + 9.0 + 0.5, y + 3.0 + 1.5, 15.0, None, None, 2021.0, 0))
+        fast.add((5_000 + i, 20_000 + i))
+    lists = spark.createDataFrame([(0, 2012.0), (1, 2016.0), (2, 2021.0), (61, 2015.0)], "list_id long, list_time double")
+    got = {(r.row_id, r.ext_id) for r in matching.matched(spark.createDataFrame(star, STAR), spark.createDataFrame(ext, EXT), lists).collect()}
+    assert len(got & fast) >= 7
