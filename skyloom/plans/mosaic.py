@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.common import checkpointed
+from skyloom.common import checkpointed, finite
 from skyloom.functions import models
 from skyloom.functions.models import Transform
 from skyloom.operators import combine, crossmatch, filters, fits, motion, triangles
@@ -183,7 +183,8 @@ def bootstrap_errors(stars: DataFrame, obs: DataFrame, n_boot: int = 100, order:
     """Errors from reference stars drawn with replacement.
 
     (star_id, list_id, xe_boot, ye_boot, me_boot) and, if asked for, the spreads of the motions (star_id, x0e_boot, ...). For
-    every draw and list the transform is fitted anew, in one aggregate over all of them, and every reading moved by it.
+    every draw and list the transform is fitted anew, in one aggregate over all of them, and every reading moved by it. For the motions
+    as many lists as there are are drawn with replacement too, the same for all stars in a draw; t0 stays the star's (its mean time where it has none).
     """
     good = obs.join(stars.where("use_in_trans").select("star_id", F.col("x0").alias("x_ref"), F.col("y0").alias("y_ref"), F.col("m0").alias("m_ref")), "star_id").where("x_orig is not null and x_ref is not null")
     ranked = good.withColumn("_k", F.row_number().over(Window.partitionBy("list_id").orderBy("star_id")) - 1).withColumn("_n", F.count("*").over(Window.partitionBy("list_id")))
@@ -198,8 +199,13 @@ def bootstrap_errors(stars: DataFrame, obs: DataFrame, n_boot: int = 100, order:
     readings = moved.groupBy("star_id", "list_id").agg(*(F.stddev_samp(c).alias(f"{c}e_boot") for c in "xym"))
     if not with_velocities:
         return readings, stars.select("star_id").where(F.lit(False))
-    again = moved.withColumn("star_id", F.struct("star_id", "boot"))
-    v = motion.fit_velocities(again)
+    every = obs.select("list_id").distinct().withColumn("_k", F.row_number().over(Window.orderBy("list_id")) - 1)
+    n = every.count()
+    drawn = every.select("_k", b).withColumn("_k", F.pmod(F.xxhash64(F.lit(seed), F.lit("epochs"), "boot", "_k"), F.lit(n)).cast("int")).join(every, "_k").drop("_k")
+    again = moved.join(F.broadcast(drawn), ["boot", "list_id"]).withColumn("star_id", F.struct("star_id", "boot"))  # n_boot rows a list
+    own = motion.fit_velocities(obs.select("star_id", "list_id", "t", "x", "y", "xe", "ye")).select("star_id", F.col("t0").alias("_own"))
+    t0 = stars.select("star_id", finite("t0").alias("t0")).join(own, "star_id").select("star_id", F.coalesce("t0", "_own").alias("t0"), b).select(F.struct("star_id", "boot").alias("star_id"), "t0")
+    v = motion.fit_velocities(again, fixed_t0=t0)
     spread = v.groupBy(F.col("star_id.star_id").alias("star_id")).agg(*(F.stddev_samp(a).alias(e) for a, e in (("x0", "x0e_boot"), ("y0", "y0e_boot"), ("vx", "vxe_boot"), ("vy", "vye_boot"))))
     return readings, spread
 

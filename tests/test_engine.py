@@ -212,6 +212,24 @@ def test_mosaic_recovers_shifts(spark):
     assert readings.where("xe_boot > 0").count() > 100 and v.count() > 0
 
 
+def test_bootstrap_draws_epochs_and_keeps_t0(spark):
+    rng = np.random.default_rng(6)
+    stars = [(f"s{i}", float(x), float(y), 15.0, None, True) for i, (x, y) in enumerate(rng.uniform(0, 1000, (25, 2)))]
+    obs = [(s, k, x, y, 15.0, 2010.0 + k) for s, x, y, *_ in stars for k in range(6)]
+    # exact transforms: what is left is the epochs' own scatter, the same for both shaky stars, and none for the one on a line
+    for name, place in (("line", lambda k: 300.0 + 2.0 * k), ("shaky", lambda k: 400.0 + (-1) ** k), ("shaky2", lambda k: 500.0 + (-1) ** k)):
+        stars.append((name, place(0), 50.0, 15.0, 2012.0 if name == "line" else None, False))
+        obs += [(name, k, place(k), 50.0, 15.0, 2010.0 + k) for k in range(6)]
+    s = spark.createDataFrame(stars, "star_id string, x0 double, y0 double, m0 double, t0 double, use_in_trans boolean")
+    o = spark.createDataFrame([(a, b, x, y, m, 0.1, 0.1, 0.1, t, x, y, m) for a, b, x, y, m, t in obs], "star_id string, list_id long, x double, y double, m double, xe double, ye double, me double, t double, x_orig double, y_orig double, m_orig double")
+    readings, v = bootstrap_errors(s, o, n_boot=12)
+    got = {r.star_id: r for r in v.collect()}
+    assert all(r.xe_boot < 1e-6 for r in readings.collect()) and got["s0"].vxe_boot < 1e-6
+    assert got["line"].vxe_boot < 1e-6 and got["line"].x0e_boot < 1e-6
+    assert got["shaky"].vxe_boot > 0.02 and got["shaky"].x0e_boot > 0.1
+    assert math.isclose(got["shaky"].vxe_boot, got["shaky2"].vxe_boot, abs_tol=1e-6)
+
+
 def test_mosaic_to_reference_keeps_it(spark):
     lists, (x, y, m) = lists_of(spark)
     ref = spark.createDataFrame([(i, f"n{i}", float(a), float(b), float(c)) for i, (a, b, c) in enumerate(zip(x, y, m))], "row_id long, name string, x0 double, y0 double, m0 double")
