@@ -1,9 +1,14 @@
-"""Straight-line motions per star: closed-form weighted regressions over grouped sums."""
+"""Motions per star, straight or of any degree in time: weighted regressions over grouped sums."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skyloom.common import finite
 
@@ -119,3 +124,66 @@ def bootstrap_velocities(obs: DataFrame, n_boot: int, seed: int = 11, weighting:
         t0 = fixed_t0.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).select(F.struct(F.col("star_id").alias("_star"), "_b").alias("star_id"), "t0")
     fits = fit_velocities(one.select("star_id", "list_id", "t", "x", "y", "xe", "ye"), weighting, fixed_t0=t0)
     return fits.groupBy(F.col("star_id._star").alias("star_id")).agg(*(F.stddev_pop(a).alias(b) for a, b in (("x0", "x0e_boot"), ("y0", "y0e_boot"), ("vx", "vxe_boot"), ("vy", "vye_boot"))))
+
+
+def polynomial_motion(obs: DataFrame, degree: int) -> DataFrame:
+    """(star_id, t0, n, dof, px, pxe, chi2x, py, pye, chi2y): x and y of each star as polynomials in t - t0, the constant first.
+
+    obs: star_id, t, x, y, xe, ye. Weights 1/sigma^2, errors from the covariance scaled by chi2/dof; t0 and missing errors as in
+    ``fit_velocities``. NULL where the times don't determine the polynomial, errors NULL also without a degree of freedom.
+    """
+    if degree < 0:
+        raise ValueError("degree: 0 or more")
+    by_star = Window.partitionBy("star_id")
+    rows = obs.select("star_id", *(finite(c).alias(c) for c in ("t", "x", "y")), *(F.when(finite(c) != 0, F.abs(finite(c))).alias(c) for c in ("xe", "ye")))
+    rows = rows.withColumns({c: F.coalesce(c, F.avg(F.when(F.col("x").isNotNull(), F.col(c))).over(by_star), F.lit(1.0)) for c in ("xe", "ye")})
+    wt = 1 / F.sqrt(F.col("xe") * F.col("xe") + F.col("ye") * F.col("ye"))
+    good = rows.where("t is not null and x is not null and y is not null").withColumn("t0", F.sum(F.col("t") * wt).over(by_star) / F.sum(wt).over(by_star))
+    good = good.withColumn("d", F.col("t") - F.col("t0"))
+    # powers of times within [-1, 1]
+    half = F.max(F.abs("d")).over(by_star)
+    good = good.withColumn("half", F.when(half > 0, half).otherwise(1.0))
+    u = [F.pow(F.col("d") / F.col("half"), F.lit(k)) for k in range(2 * degree + 1)]
+    aggs = [F.count("*").alias("n"), F.first("t0").alias("t0"), F.first("half").alias("half")]
+    for c in "xy":
+        w = 1 / (F.col(f"{c}e") * F.col(f"{c}e"))
+        aggs += [F.array(*(F.sum(w * p) for p in u)).alias(f"s{c}"), F.array(*(F.sum(w * p * F.col(c)) for p in u[: degree + 1])).alias(f"b{c}")]
+    sums = good.groupBy("star_id").agg(*aggs)
+    many = T.ArrayType(T.DoubleType())
+    schema = T.StructType([sums.schema["star_id"], T.StructField("t0", T.DoubleType()), T.StructField("n", T.LongType()), *(T.StructField(f"{a}{c}", many) for c in "xy" for a in "pv")])
+    found = sums.mapInPandas(_solved(degree), schema)
+    # chi squares from the residuals: exact where the sums would cancel
+    back = good.join(found.select("star_id", "px", "py"), "star_id")
+    chi = []
+    for c in "xy":
+        r = (F.col(c) - F.aggregate(F.reverse(f"p{c}"), F.lit(0.0), lambda v, p: v * F.col("d") + p)) / F.col(f"{c}e")
+        chi.append(F.sum(r * r).alias(f"chi2{c}"))
+    fit = found.join(back.groupBy("star_id").agg(*chi), "star_id").withColumn("dof", F.col("n") - (degree + 1))
+    error = lambda c: F.when(F.col("dof") > 0, F.transform(f"v{c}", lambda v: F.sqrt(v * F.col(f"chi2{c}") / F.col("dof")))).alias(f"p{c}e")
+    fit = fit.select("star_id", "t0", "n", "dof", *(e for c in "xy" for e in (f"p{c}", error(c), f"chi2{c}")))
+    return obs.select("star_id").distinct().join(fit, "star_id", "left").fillna(0, ["n"])
+
+
+def _solved(degree: int):
+    """Coefficients and the diagonal of the inverse normal matrix of each star, NULL where that has none."""
+    at = np.add.outer(np.arange(degree + 1), np.arange(degree + 1))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            out = p[["star_id", "t0", "n"]].copy()
+            scale = p["half"].to_numpy()[:, None] ** np.arange(degree + 1)
+            for c in "xy":
+                a = np.array(p[f"s{c}"].tolist()).reshape(len(p), 2 * degree + 1)[:, at]
+                b = np.array(p[f"b{c}"].tolist()).reshape(len(p), degree + 1)
+                size = a[:, 0, 0][:, None]
+                a, b = a / size[:, :, None], b / size
+                value, vector = np.linalg.eigh(a)
+                ok = (value[:, 0] > 1e-13 * value[:, -1]) & (p["n"].to_numpy() > degree)
+                inv = np.einsum("sik,sk,sjk->sij", vector, 1 / np.where(ok[:, None], value, 1.0), vector)
+                coef = np.einsum("sij,sj->si", inv, b) / scale
+                var = np.einsum("sii->si", inv) / size / scale**2
+                out[f"p{c}"] = [list(v) if k else None for v, k in zip(coef, ok)]
+                out[f"v{c}"] = [list(v) if k else None for v, k in zip(var, ok)]
+            yield out
+
+    return run

@@ -694,6 +694,14 @@ def line_chi2(spark, d):
     return rounded(motion.line_chi2(p, ["star_id"], "dt", "x", "s", F.lit(0.1), F.lit(200.0)), 5)
 
 
+@query()
+def motion_polynomial(spark, d):
+    """Motions with an acceleration."""
+    p = motion.polynomial_motion(plausible(spark, d), 2)
+    part = lambda c: [F.get(f"p{c}{e}", F.lit(k)).alias(f"{n}{e}") for k, n in enumerate((f"{c}0", f"v{c}", f"a{c}")) for e in ("", "e")]
+    return rounded(p.select("star_id", "t0", "n", "dof", *part("x"), "chi2x", *part("y"), "chi2y"), 5)
+
+
 @query()
 def motion_bootstrap(spark, d):
     """Spreads of motions under resampled epochs."""

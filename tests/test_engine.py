@@ -123,6 +123,25 @@ def test_motion_goldens_and_degenerate_stars(spark):
     assert len(boot) == 10 and all(r.vxe_boot <= 1 for r in boot)
 
 
+@pytest.mark.parametrize("degree", [0, 1, 2, 4])
+def test_polynomial_motion(spark, degree):
+    rng = np.random.default_rng(9)
+    data = {s: (np.sort(rng.uniform(2005, 2022, n)), rng.normal(0, 50, n), rng.normal(0, 50, n), rng.uniform(0.05, 0.3, n), rng.uniform(0.05, 0.3, n)) for s, n in ((1, 12), (2, 7), (3, degree + 1), (4, degree))}
+    rows = [(s, *map(float, r)) for s, v in data.items() for r in zip(*v)] + [(5, 2010.0, 1.0, 1.0, 0.1, 0.1)] * (degree + 3)
+    got = {r.star_id: r for r in motion.polynomial_motion(spark.createDataFrame(rows, "star_id long, t double, x double, y double, xe double, ye double"), degree).collect()}
+    for s in (1, 2):
+        t, x, y, xe, ye = data[s]
+        w = 1 / np.hypot(xe, ye)
+        t0 = np.average(t, weights=w)
+        for v, e, p, pe, chi2 in ((x, xe, got[s].px, got[s].pxe, got[s].chi2x), (y, ye, got[s].py, got[s].pye, got[s].chi2y)):
+            c, cov = np.polyfit(t - t0, v, degree, w=1 / e, cov=True)
+            assert np.allclose(p[::-1], c, rtol=1e-6) and np.allclose(pe[::-1], np.sqrt(np.diag(cov)), rtol=1e-6)
+            assert math.isclose(chi2, (((np.polyval(c, t - t0) - v) / e) ** 2).sum(), rel_tol=1e-6)
+        assert math.isclose(got[s].t0, t0) and got[s].dof == len(t) - degree - 1
+    assert got[3].dof == 0 and got[3].pxe is None and got[3].chi2x < 1e-6
+    assert (got[5].px is None) == (degree > 0) and (degree == 0 or got[4].px is None)
+
+
 def test_weighted_line(spark):
     x, y, s = np.array([1.0, 2, 3, 4]), np.array([1.0, 2, 5, 6]), np.array([0.4, 0.2, 0.1, 0.3])
     df = spark.createDataFrame([(1, *map(float, r)) for r in zip(x, y, s)], "k long, x double, y double, s double")
