@@ -111,19 +111,84 @@ def fit_velocities(obs: DataFrame, weighting: str = "var", absolute_sigma: bool
 def bootstrap_velocities(obs: DataFrame, n_boot: int, seed: int = 11, weighting: str = "var", fixed_t0: DataFrame | None = None) -> DataFrame:
     """(star_id, x0e_boot, y0e_boot, vxe_boot, vye_boot): spreads of motions fitted to epochs drawn with replacement.
 
-    The draws come from hashes of (seed, star, draw), so they are the same however the rows lie.
+    The draws come from hashes of (seed, star, draw), so they are the same however the rows lie. Each star's readings are gathered once
+    and all its draws are fitted in Arrow batches by the rules of ``fit_velocities``, whose rows would be n_boot times as many.
     """
-    ranked = obs.withColumn("_k", F.row_number().over(Window.partitionBy("star_id").orderBy("list_id", "t")) - 1).withColumn("_n", F.count("*").over(Window.partitionBy("star_id")))
-    draws = ranked.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-    # how often a reading is drawn: hash draws of all places that fall on it
-    times = F.size(F.filter(F.sequence(F.lit(0), F.col("_n").cast("int") - 1), lambda i: F.pmod(F.xxhash64(F.lit(seed), "star_id", "_b", i), F.col("_n")) == F.col("_k")))
-    drawn = draws.withColumn("_c", times).where("_c > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_c"))))
-    one = drawn.withColumn("_star", F.col("star_id")).withColumn("star_id", F.struct("_star", "_b"))
-    t0 = None
+    if weighting not in ("var", "std"):
+        raise ValueError("weighting: var or std")
+    cols = ("t", "x", "y", "xe", "ye")
+    value = {c: finite(c) for c in cols[:3]} | {c: F.when(finite(c) != 0, F.abs(finite(c))) if c in obs.columns else F.lit(1.0) for c in cols[3:]}
+    one = F.struct("list_id", *(value[c].alias(c) for c in cols))
+    # NULLs as NaN: unusable readings are drawn like others
+    stars = obs.groupBy("star_id").agg(F.array_sort(F.collect_list(one)).alias("r")).select("star_id", F.xxhash64(F.lit(seed), "star_id").alias("h"), *(F.transform(F.col(f"r.{c}"), lambda v: F.coalesce(v, F.lit(float("nan")))).alias(c) for c in cols))
     if fixed_t0 is not None:
-        t0 = fixed_t0.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).select(F.struct(F.col("star_id").alias("_star"), "_b").alias("star_id"), "t0")
-    fits = fit_velocities(one.select("star_id", "list_id", "t", "x", "y", "xe", "ye"), weighting, fixed_t0=t0)
-    return fits.groupBy(F.col("star_id._star").alias("star_id")).agg(*(F.stddev_pop(a).alias(b) for a, b in (("x0", "x0e_boot"), ("y0", "y0e_boot"), ("vx", "vxe_boot"), ("vy", "vye_boot"))))
+        stars = stars.join(fixed_t0.select("star_id", finite("t0").alias("t0")), "star_id", "left")
+    else:
+        stars = stars.withColumn("t0", F.lit(None).cast("double"))
+    names = ("x0e_boot", "y0e_boot", "vxe_boot", "vye_boot")
+    schema = T.StructType([stars.schema["star_id"], *(T.StructField(n, T.DoubleType()) for n in names)])
+    return stars.mapInPandas(_drawn(n_boot, weighting, names), schema)
+
+
+def _drawn(n_boot: int, weighting: str, names: tuple[str, ...]):
+    """The spreads of each star's motions over its draws; stars with equally many readings are fitted together."""
+    power = 2 if weighting == "var" else 1
+
+    def mix(h: np.ndarray) -> np.ndarray:
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31))
+
+    def fitted(t, x, y, xe, ye, t0):
+        """x0, y0, vx, vy of draws (along the last axis); t0 NaN where it isn't fixed."""
+        known = ~np.isnan(x)
+        for e in (xe, ye):
+            have = known & ~np.isnan(e)
+            mean = np.where(have, e, 0.0).sum(-1) / np.maximum(have.sum(-1), 1)
+            np.copyto(e, np.where(have.any(-1), mean, 1.0)[..., None], where=np.isnan(e))
+        good = ~(np.isnan(t) | np.isnan(x) | np.isnan(y))
+        n = good.sum(-1)
+        wt = good / np.hypot(xe, ye)
+        t = np.where(good, t, 0.0)
+        own = (t * wt).sum(-1) / wt.sum(-1)
+        d = t - np.where(np.isnan(t0), own, t0)[..., None]
+        late, early = np.where(good, t, -np.inf), np.where(good, t, np.inf)
+        last, first = late.argmax(-1)[..., None], early.argmin(-1)[..., None]
+        span = np.where(n > 0, late.max(-1) - early.min(-1), 0.0)
+        flat = span <= 1e-9
+        two = (n == 2) & ~flat
+        places, motions = [], []
+        for v, e in ((x, xe), (y, ye)):
+            w, v = good / e**power, np.where(good, v, 0.0)
+            s, sd, sdd, sv, sdv = w.sum(-1), (w * d).sum(-1), (w * d * d).sum(-1), (w * v).sum(-1), (w * d * v).sum(-1)
+            det = sdd * s - sd * sd
+            ends = (np.take_along_axis(v, last, -1) - np.take_along_axis(v, first, -1))[..., 0] / span
+            motions.append(np.where(n == 0, np.nan, np.where(flat, 0.0, np.where(two, ends, (s * sdv - sd * sv) / det))))
+            places.append(np.where(flat | two, sv / s, (sdd * sv - sd * sdv) / det))
+        return *places, *motions
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            sizes = p["t"].map(len).to_numpy()
+            out = np.full((len(p), 4), np.nan)
+            for n in np.unique(sizes[sizes > 0]):
+                every = np.flatnonzero(sizes == n)
+                step = max(1, 1_000_000 // int(n * n_boot))
+                for lo in range(0, len(every), step):
+                    q = every[lo : lo + step]
+                    h = p["h"].to_numpy()[q].astype(np.int64).view(np.uint64)[:, None, None]
+                    place = np.arange(n_boot, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(n, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
+                    pick = (mix(mix(h) + place) % np.uint64(n)).astype(np.int64)
+                    drawn = (np.take_along_axis(np.array(p[c].iloc[q].tolist(), dtype=float)[:, None, :], pick, -1) for c in ("t", "x", "y", "xe", "ye"))
+                    t0 = pd.to_numeric(p["t0"].iloc[q]).to_numpy(float)[:, None]
+                    with np.errstate(all="ignore"):
+                        for k, v in enumerate(fitted(*drawn, t0)):
+                            have = ~np.isnan(v)
+                            m = np.where(have, v, 0.0).sum(-1) / have.sum(-1)
+                            out[q, k] = np.sqrt(np.where(have, (v - m[:, None]) ** 2, 0.0).sum(-1) / have.sum(-1))
+            yield pd.DataFrame({"star_id": p["star_id"], **{name: pd.array(np.where(np.isnan(c), None, c), dtype="Float64") for name, c in zip(names, out.T)}})
+
+    return run
 
 
 def polynomial_motion(obs: DataFrame, degree: int) -> DataFrame:

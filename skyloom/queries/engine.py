@@ -373,6 +373,40 @@ def triangle_match(spark, d):
     return triangles.triangle_match(a, b, N_TRI, 40, 60)
 
 
+# the three above are the part that SQL's triple self-join can follow; the following do the whole job, list by list
+
+
+def bright_lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The brightest stars beside each external list, and the external lists, each in its own frame."""
+    e = table(spark, d, "starlist_ext").select("list_id", F.col("ext_id").alias("id"), "x", "y", "m")
+    every = F.broadcast(e.select("list_id").where("list_id is not null").distinct())  # one row a list
+    s = bright(spark, d)[0]
+    top = s.join(triangles.ranked(s, N_BRIGHT).select("id"), "id", "left_semi")
+    return top.crossJoin(every), e
+
+
+N_BRIGHT = 50
+
+
+@query()
+def triangle_geometry_lists(spark, d):
+    """Triangles of each external list's 50 brightest."""
+    return triangles.triangles(triangles.ranked(bright_lists(spark, d)[1], N_BRIGHT, ["list_id"]), ["list_id"]).select("list_id", "a", "b", "c", "vmax", "angle")
+
+
+@query()
+def triangle_votes_lists(spark, d):
+    """Votes for pairs with each external list."""
+    t1, t2 = (triangles.triangles(triangles.ranked(x, N_BRIGHT, ["list_id"]), ["list_id"]) for x in bright_lists(spark, d))
+    return triangles.votes(t1, t2, by=["list_id"])
+
+
+@query()
+def triangle_match_lists(spark, d):
+    """Pairs with twice the votes of the next in each external list."""
+    return triangles.triangle_match(*bright_lists(spark, d), N_BRIGHT, by=["list_id"])
+
+
 @query("select row_id, m from starlist where m is not null and not isnan(m) and not isinf(m) order by m, row_id limit 50")
 def brightest_n(spark, d):
     """O1: the brightest rows."""
@@ -705,7 +739,7 @@ def motion_polynomial(spark, d):
 @query()
 def motion_bootstrap(spark, d):
     """Spreads of motions under resampled epochs."""
-    return motion.bootstrap_velocities(plausible(spark, d), 10)
+    return motion.bootstrap_velocities(plausible(spark, d), 100)
 
 
 # --- diagnostics

@@ -142,6 +142,32 @@ def test_polynomial_motion(spark, degree):
     assert (got[5].px is None) == (degree > 0) and (degree == 0 or got[4].px is None)
 
 
+def test_bootstrap_velocities_statistics(spark):
+    rng = np.random.default_rng(10)
+    rows = [(s, k, 2010.0 + k, 0.3 * k + rng.normal(0, 1), rng.normal(0, 1), 0.5, None if k == 1 else 0.5) for s in range(3) for k in range(15)] + [(9, 0, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "star_id long, list_id long, t double, x double, y double, xe double, ye double")
+    got = {r.star_id: r for r in motion.bootstrap_velocities(df, 4000).collect()}
+    assert got[9].vxe_boot is None and len(got) == 4
+    for s in range(3):
+        t, x = np.array([r[2] for r in rows if r[0] == s]), np.array([r[3] for r in rows if r[0] == s])
+        draws = rng.integers(0, 15, (4000, 15))
+        fit = np.array([np.polyfit(t[i] - t[i].mean(), x[i], 1) for i in draws])
+        assert math.isclose(got[s].vxe_boot, fit[:, 0].std(), rel_tol=0.08) and math.isclose(got[s].x0e_boot, fit[:, 1].std(), rel_tol=0.08)
+    again = {r.star_id: r for r in motion.bootstrap_velocities(df.orderBy(F.rand(1)), 4000).collect()}
+    assert math.isclose(again[0].vxe_boot, got[0].vxe_boot)
+
+
+def test_registered_with_production_sizes(spark, data):
+    import __spark_entry__ as e
+
+    data = data.replace("sf0.001", "sf0.01")  # lists of more than 50 rows
+    t = e.queries()["triangle_geometry_lists"](spark, data)
+    n = spark.read.parquet(f"{data}/starlist_ext.parquet").where("not isnan(x) and not isnan(y) and not isnan(m) and abs(x) < 1e300 and abs(y) < 1e300 and abs(m) < 1e300").groupBy("list_id").count()
+    want = {r.list_id: math.comb(min(r["count"], 50), 3) for r in n.collect()}
+    got = {r.list_id: r["count"] for r in t.groupBy("list_id").count().collect()}
+    assert len(got) == len(want) > 1 and all(0.9 * want[k] <= v <= want[k] for k, v in got.items()) and max(want.values()) == 19_600
+
+
 def test_weighted_line(spark):
     x, y, s = np.array([1.0, 2, 3, 4]), np.array([1.0, 2, 5, 6]), np.array([0.4, 0.2, 0.1, 0.3])
     df = spark.createDataFrame([(1, *map(float, r)) for r in zip(x, y, s)], "k long, x double, y double, s double")
