@@ -96,7 +96,8 @@ def spikes(t: np.ndarray, v: np.ndarray, err: np.ndarray, moving: bool) -> np.nd
         lever = np.where(line, (stt - 2 * here * st + n * here * here) / np.where(line, det, 1.0), 1 / n)
         scatter = np.sqrt((sse + prior * e2) / (free + prior))
         off = (value - a - b * here) / np.maximum(scatter * np.sqrt(1 + np.minimum(lever, 4.0)), 1e-12)
-    return np.where((free + prior > 0) & (n >= ENOUGH - 4), off, np.nan)
+    # three others determine the line; one degree of freedom without a stated error is no scatter to judge by
+    return np.where((n > 2) & (free + prior > 1), off, np.nan)
 
 
 def _judge(p: pd.DataFrame) -> pd.DataFrame:

@@ -104,6 +104,17 @@ def test_implausible_readings(spark):
     assert spikes.implausible(df.limit(0), lists).count() == 0
 
 
+def test_spike_among_few_usable_readings(spark):
+    rng = random.Random(8)
+    rows = sky_star(1, 9, 100, rng) + sky_star(2, 9, 200, rng)
+    for k in (0, 1, 2, 3):
+        rows[k][4] = 33.0  # frozen y
+    rows[6][4] += 9  # a spike among the five others
+    lists = spark.createDataFrame([(i, 2000.0 + i) for i in range(9)], "list_id long, list_time double")
+    got = {(r.obs_id, r.field) for r in spikes.implausible(spark.createDataFrame([tuple(r) for r in rows], OBS), lists).collect()}
+    assert got == {*((i, "y") for i in (100, 101, 102, 103)), (106, "y")}
+
+
 def test_hot_source_is_cut_alike(spark, monkeypatch):
     rng = random.Random(6)
     rows = sky_star(1, 700, 1000, rng)
