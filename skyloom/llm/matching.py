@@ -44,7 +44,6 @@ class Settings:
     mag_floor: float = 0.08  # scatter of magnitudes between filters
     sought: float = 3.0  # radius in pixels about the predicted place
     serial: float = 0.1  # a name stem with a larger share of a collection's rows is numbering
-    common: int = 500  # a name that occurs more often tells nothing
     sample: int = 60_000  # most labelled pairs that the classifier is fitted on
 
 
@@ -178,8 +177,7 @@ def _candidates(a: DataFrame, b: DataFrame, k: Settings) -> DataFrame:
 
     def banded(df: DataFrame, name: str) -> DataFrame:
         places = df.select("id", "u", "v").mapInPandas(_place_bands(k), "id long, band array<long>").select("id", F.explode("band").alias("band"), F.lit(True).alias("blind"))
-        often = df.where(F.col("tag").isNotNull()).groupBy("tag").count().where(F.col("count") > k.common).select("tag")
-        names = df.where(F.col("tag").isNotNull()).join(often, "tag", "left_anti").select("id", F.explode(_name_bands(k)).alias("band"), F.lit(False).alias("blind"))
+        names = df.where(F.col("tag").isNotNull()).select("id", F.explode(_name_bands(k)).alias("band"), F.lit(False).alias("blind"))
         return places.unionByName(names).withColumnRenamed("id", name)
 
     left, right = banded(a, "ia"), banded(b, "ib").drop("blind")

@@ -186,3 +186,11 @@ def test_matching_keeps_pairs_that_only_a_band_found(spark):
     lists = spark.createDataFrame([(0, 2012.0), (1, 2016.0), (2, 2021.0), (61, 2015.0)], "list_id long, list_time double")
     got = {(r.row_id, r.ext_id) for r in matching.matched(spark.createDataFrame(star, STAR), spark.createDataFrame(ext, EXT), lists).collect()}
     assert len(got & fast) >= 7
+
+
+def test_names_of_any_frequency_are_blocked(spark):
+    cols = "id long, u double, v double, stem string, num string, suf string, tag string"
+    a = spark.createDataFrame([(i, 100.0 * i, 0.0, "zyr", "7", "", "zyr7") for i in range(510)], cols)
+    b = spark.createDataFrame([(9_000, 100.0 * 44, 30.0, "zyr", "7", "", "zyr7")], cols)
+    got = {(r.ia, r.ib, r.blind) for r in matching._candidates(a, b, matching.Settings()).collect()}
+    assert got == {(i, 9_000, False) for i in range(510)}
