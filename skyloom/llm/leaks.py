@@ -1,12 +1,22 @@
-"""Passages of test items in a corpus, found by counting shared character q-grams in diagonal bands.
+r"""Passages of test items in a corpus, found by counting shared character q-grams in diagonal bands.
 
-Items and texts are reduced to bare words (no case, accents, signs, markup or look-alike letters). An item passage of
-``WORDS`` words of which ``BUDGET`` are altered still shares a least number of q-grams with the text on nearby diagonals (the
-q-gram lemma, a changed word costing its length and q - 1 more); bands with fewer are dropped, the others verified by a
-banded alignment of words. The items go to the executors in blocks of bounded size, each held against the whole corpus,
-so neither the items nor the texts are ever joined by pairs, and no text is shuffled.
+The rule: a text leaks an item if it holds ``WORDS`` successive words of it, first and last among them, of which at most
+``BUDGET`` are altered (another word in place, a word missing, a word too many); a word written with small alterations of
+spelling (``alike``) counts as the word itself, however many of them there are. Wording of ``WORDS`` and more words that
+several items share counts for none of them.
 
-Wording of ``WORDS`` and more words that several items share counts for none of them.
+The search loses no text that the rule accepts, so neither the order nor the number of items changes what is found:
+
+1. Texts and items are reduced to bare words (no case, accents, signs, markup or look-alike letters). Words of the text are
+   compared with those of the items by the q-gram lemma: with e slips allowed, two words of which the longer has L letters share
+   at least L + Q - 1 - e (Q + 1) of their padded q-grams. Each distinct word is looked up once a worker.
+2. Of every item passage the ``RAREST`` rarest words are kept at least, weighed by the q-grams that any admissible spelling still
+   shares. A passage with its budget spent keeps the sum of these weights less the ``BUDGET`` largest; regions of an
+   item's diagonal band (in words; bands overlap, so a passage with its shifts lies within one) that reach the least such sum are retained.
+3. A banded alignment of words verifies the rule itself.
+
+The items go to the executors in blocks of bounded size; a text is cut into words once and held against all blocks, so neither
+the items nor the texts are joined by pairs, and no text is shuffled.
 
 Defined cases: NULL and empty texts hold nothing; texts of any length are read whole; repeated rows and items are
 reported each, distinct; rows or items without an id are left out; empty tables give an empty result; further columns are ignored.
@@ -18,6 +28,7 @@ import hashlib
 import html
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,25 +37,32 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.lookalike import TO_LATIN, plain
-
-#: Successive words that make a case, how many of so many may be altered, and one in how many of a longer passage.
-WORDS, BUDGET, EVERY = 12, 2, 5
-#: Words of the budgeted passage that may besides be misspelled and yet be found alike.
-TYPOS = 2
-#: Length of q-grams; half the width of a band and thus the shift within a passage, in characters.
-Q, BAND = 5, 24
-#: How often a q-gram may occur in a block's items to count as rare, tried in turn; shared q-grams that are enough to go by; the least ever asked for.
-RARE, ENOUGH, LEAST = (2, 4, 8, 16, 32, 64, 128), 9, 6
-#: Bits of a q-gram's hash in the table that turns most texts away.
-BITS = 22
-#: Characters of item text that one block may have: what is broadcast at once.
-BLOCK = 4_000_000
+from skyloom.llm.lookalike import INVISIBLE, TO_LATIN, Table, _one
+
+#: Successive words that make a case, and how many of them may be altered.
+WORDS, BUDGET = 12, 2
+#: Length of q-grams; least number of kept words of each passage (more than BUDGET, so some are always left).
+Q, RAREST = 3, 7
+#: Words of the text that a passage spans at most, less one; width of a diagonal band and the step from one to the next.
+REACH, BAND, STEP = WORDS + BUDGET - 1, 2 * BUDGET, BUDGET
+#: Characters of item text that one block may have, and of texts that are searched at a time.
+BLOCK, CHUNK = 4_000_000, 2_000_000
+#: Distinct words whose spellings a worker keeps.
+KNOWN = 300_000
 
 MARKUP = re.compile(r"</?[A-Za-z][^<>]{0,200}>|\[\.\.\.\]")
 WORD = re.compile(r"[^\W_]+")
 
 
+def _bare(c: str) -> str | None:
+    if c in INVISIBLE:
+        return None
+    return "".join(TO_LATIN.get(x, x) for x in unicodedata.normalize("NFKD", _one(c)) if not unicodedata.combining(x))
+
+
+BARE = Table(_bare)
+
+
 def words(text: str) -> list[str]:
     """The bare words of a text."""
     if "<" in text or "[" in text:
@@ -52,131 +70,22 @@ def words(text: str) -> list[str]:
     if "&" in text:
         text = html.unescape(text)
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", plain(text))
-        text = "".join(TO_LATIN.get(c, c) for c in text if not unicodedata.combining(c))
+        text = text.translate(BARE)
     return WORD.findall(text.casefold())
 
 
-def grams(s: str) -> np.ndarray:
-    """The hashed q-grams of a string at each place."""
-    a = np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    if len(a) < Q:
-        return np.zeros(0, np.uint64)
-    h = np.zeros(len(a) - Q + 1, np.uint64)
-    for k in range(Q):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + a[k : len(a) - Q + 1 + k]
-        h ^= h >> np.uint64(29)
-    return h
+def _slips(length: int) -> int:
+    """Slips of spelling allowed between two words of which the longer has so many letters."""
+    return max(1, length // 4)
 
 
-class Items:
-    """The index of a block of items: a table of q-grams and where each of them occurs."""
-
-    def __init__(self, ids: list[int], texts: list[str], shared: list[set[int]]):
-        self.ids, self.words, self.shared = ids, [words(t) for t in texts], shared
-        self.vocabulary: dict[str, int] = {}
-        self.numbers = [np.array([self.vocabulary.setdefault(x, len(self.vocabulary)) for x in w]) for w in self.words]
-        self.own = [[i not in s for i in range(len(w))] for w, s in zip(self.words, shared)]
-        self.strings = [" ".join(w) for w in self.words]
-        self.starts = [np.cumsum([0, *(len(x) + 1 for x in w)]) for w in self.words]
-        hashes, places, items = [], [], []
-        for k, s in enumerate(self.strings):
-            g = grams(s)
-            own = np.repeat([i not in shared[k] for i in range(len(self.words[k]))], np.diff(self.starts[k]))
-            at = np.flatnonzero(own[: len(g)] | own[Q - 1 : Q - 1 + len(g)])  # q-grams within shared wording say nothing
-            hashes.append(g[at])
-            places.append(at)
-            items.append(np.full(len(at), k))
-        self.hash, self.place, self.item = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hashes, places, items))
-        _, back, often = np.unique(self.hash, return_inverse=True, return_counts=True)
-        times = often[back] if len(back) else back
-        # q-grams of everyday wording cost most and tell least: the rarest are kept for which the lemma still asks for enough
-        for limit in (*RARE, None):
-            keep = times <= limit if limit else np.ones(len(times), bool)
-            self.least = self._least(keep)
-            if self.least >= ENOUGH:
-                break
-        self.least = max(LEAST, self.least)
-        self.hash, self.place, self.item = self.hash[keep], self.place[keep], self.item[keep]
-        order = np.argsort(self.hash, kind="stable")
-        self.hash, self.place, self.item = self.hash[order], self.place[order], self.item[order]
-        self.table = np.zeros(1 << BITS, bool)
-        self.table[self.hash >> np.uint64(64 - BITS)] = True
-
-    def _least(self, keep: np.ndarray) -> int:
-        """The kept q-grams that any passage still shares, whatever BUDGET of its words are altered; sets ``reach``, the longest passage."""
-        least, self.reach = None, 0
-        for k, w in enumerate(self.words):
-            if len(w) < WORDS:
-                continue
-            mine = self.item == k
-            there = np.zeros(len(self.strings[k]) + 1)
-            there[self.place[mine & keep]] = 1
-            sums = np.r_[0, np.cumsum(there)]
-            s, e = self.starts[k][:-1], self.starts[k][1:] - 1
-            a, b = s[: len(w) - WORDS + 1], e[WORDS - 1 :]
-            own = np.lib.stride_tricks.sliding_window_view(np.array(self.own[k]), WORDS).all(1)
-            whole = sums[np.maximum(b - Q + 1, a)] - sums[a]
-            # an altered word takes the q-grams that touch it with it
-            took = sums[np.minimum(e, len(there))] - sums[np.maximum(s - Q + 1, 0)]
-            worst = np.sort(np.lib.stride_tricks.sliding_window_view(took, WORDS), axis=1)[:, -BUDGET:].sum(1)
-            if own.any():
-                n = int((whole - worst)[own].min())
-                least = n if least is None else min(least, n)
-            self.reach = max(self.reach, int((b - a).max()) + BAND)
-        return least or 0
-
-    def bands(self, s: str) -> Iterator[tuple[int, int, int, int]]:
-        """(item, first place in the text, last place, diagonal) of the regions with enough shared q-grams."""
-        g = grams(s)
-        if len(g) < self.least:
-            return
-        at = np.flatnonzero(self.table[g >> np.uint64(64 - BITS)])
-        if len(at) < self.least:
-            return
-        h = g[at]
-        lo, hi = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
-        n = hi - lo
-        some = at[n > 0]
-        m = self.least - 1
-        if len(some) <= m or (some[m:] - some[: len(some) - m]).min() > self.reach:
-            return
-        doc = np.repeat(at, n)
-        idx = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        item, diag = self.item[idx], self.place[idx] - doc
-        width = np.int64(1) << 40
-        found = set()
-        for half in (0, 1):  # overlapping bands
-            band = (diag + half * BAND + (1 << 38)) // (2 * BAND)
-            key = item * width + band
-            order = np.lexsort((doc, key))
-            k, d, dg = key[order], doc[order], diag[order]
-            # least q-grams at different places within the length that a passage may have
-            first = np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])]
-            k, d, dg = k[first], d[first], dg[first]
-            if len(k) < self.least:
-                continue
-            m = self.least - 1
-            close = (k[m:] == k[: len(k) - m]) & (d[m:] - d[: len(d) - m] <= self.reach)
-            if not close.any():
-                continue
-            # regions that follow each other in a band make one
-            j = np.flatnonzero(close)
-            new = np.r_[True, (j[1:] != j[:-1] + 1) & (d[j[1:]] > d[j[:-1] + m]) | (k[j[1:]] != k[j[:-1]])]
-            ends = np.r_[np.flatnonzero(new)[1:] - 1, len(j) - 1]
-            for u, v in zip(j[new], j[ends]):
-                found.add((int(k[u] // width), int(d[u]), int(d[v + m]), int(np.median(dg[u : v + m + 1]))))
-        yield from sorted(found)
-
-
-@lru_cache(maxsize=200_000)
-def _alike(a: str, b: str) -> bool:
-    """Whether two words are the same or differ by small alterations of spelling."""
+def alike(a: str, b: str) -> bool:
+    """Whether two words are the same or differ by small alterations of spelling (letters changed, missing, added or swapped)."""
     if a == b:
         return True
     if a.isdigit() or b.isdigit():
         return False
-    most = max(1, max(len(a), len(b)) // 4)
+    most = _slips(max(len(a), len(b)))
     if min(len(a), len(b)) < 3 or abs(len(a) - len(b)) > most:
         return False
     last2, last = None, list(range(len(b) + 1))
@@ -193,105 +102,258 @@ def _alike(a: str, b: str) -> bool:
     return last[-1] <= most
 
 
-def align(item: list[str], text: list[str], shift: int, width: int, own: list[bool]) -> bool:
-    r"""Whether WORDS own words of the item, few of them altered, lie between the ends of a local alignment near the diagonal.
+def _shared_grams(length: int) -> int:
+    """The q-grams that two words alike share at least, the longer of so many letters (the q-gram lemma; a swap spoils Q + 1)."""
+    return length + Q - 1 - (Q + 1) * _slips(length)
+
+
+def _weight(word: str) -> int:
+    """The q-grams that every admissible spelling of a word shares with it."""
+    n = len(word)
+    if n < 3 or word.isdigit():
+        return n + Q - 1
+    return max(1, min(_shared_grams(m) for m in range(n, n + 1 + _slips(n + _slips(n)))))
+
+
+def _padded_grams(word: str) -> list[str]:
+    s = "\0" * (Q - 1) + word + "\0" * (Q - 1)
+    return [s[i : i + Q] for i in range(len(word) + Q - 1)]
+
+
+class Spellings:
+    """Which words of a vocabulary are alike to a given one: candidates by counts of shared q-grams, verified letter by letter."""
+
+    def __init__(self, vocabulary: list[str]):
+        self.words, self.number = vocabulary, {w: k for k, w in enumerate(vocabulary)}
+        self.lengths = np.array([len(w) for w in vocabulary], np.int64)
+        # what can be misspelled at all; a q-gram met n times in a word is n different ones
+        rows: dict[tuple[str, int], list[int]] = {}
+        for k, w in enumerate(vocabulary):
+            if len(w) >= 3 and not w.isdigit():
+                seen: Counter = Counter()
+                for g in _padded_grams(w):
+                    rows.setdefault((g, seen[g]), []).append(k)
+                    seen[g] += 1
+        self.rows = {g: np.array(r, np.int64) for g, r in rows.items()}
+        self.letters = np.zeros((len(vocabulary), 32), np.int16)
+        for k, w in enumerate(vocabulary):
+            np.add.at(self.letters[k], self._hashed(w), 1)
+
+    @staticmethod
+    def _hashed(word: str) -> np.ndarray:
+        return np.frombuffer(word.encode("utf-32-le"), np.uint32) % 32
+
+    def of(self, word: str) -> list[int]:
+        """The numbers of the words alike to ``word``, itself among them."""
+        k = self.number.get(word)
+        found = [] if k is None else [k]
+        n = len(word)
+        if n < 3 or word.isdigit() or not self.words:
+            return found
+        seen: Counter = Counter()
+        posts = []
+        for g in _padded_grams(word):
+            if (r := self.rows.get((g, seen[g]))) is not None:
+                posts.append(r)
+            seen[g] += 1
+        if not posts:
+            return found
+        at, count = np.unique(np.concatenate(posts), return_counts=True)
+        longer = np.maximum(self.lengths[at], n)
+        slips = np.maximum(1, longer // 4)
+        at, slips = (x[(np.abs(self.lengths[at] - n) <= slips) & (count >= np.maximum(1, longer + Q - 1 - (Q + 1) * slips))] for x in (at, slips))
+        if not len(at):
+            return found
+        own = np.zeros(32, np.int16)
+        np.add.at(own, self._hashed(word), 1)
+        diff = self.letters[at] - own
+        apart = np.maximum(np.where(diff > 0, diff, 0).sum(1), np.where(diff < 0, -diff, 0).sum(1))  # slips at least
+        return found + [int(v) for v in at[apart <= slips] if v != k and alike(word, self.words[v])]
 
-    Its cells are the places (i, j) with \|i - j - shift\| <= width; a word in its place counts 1, a changed, missing or
-    added one costs 1.
+
+class Items:
+    """The index of a block of items: its vocabulary and where the kept words of each item stand.
+
+    ``shared``: of each item the words within wording that another item has too.
     """
-    ahead = np.cumsum([0, *own]).tolist()
-    last: dict[int, tuple[int, int, int]] = {}  # i -> score, first word, altered
-    for j, w in enumerate(text):
-        now: dict[int, tuple[int, int, int]] = {}
-        for i in range(max(0, j + shift - width), min(len(item), j + shift + width + 1)):
-            s, start, bad = last.get(i - 1, (0, i, 0))
-            if _alike(item[i], w):
-                now[i] = (s + 1, start if s > 0 else i, bad if s > 0 else 0)
-                s, start, bad = now[i]
-                span = ahead[i + 1] - ahead[start]
-                if span >= WORDS and bad * EVERY <= span:
-                    return True
+
+    def __init__(self, ids: list[int], texts: list[str], shared: list[set[int]]):
+        self.ids = ids
+        cut = [words(t) for t in texts]
+        self.vocabulary = sorted({w for c in cut for w in c})
+        self.spellings = Spellings(self.vocabulary)
+        self.numbers = [[self.spellings.number[w] for w in c] for c in cut]
+        self.own = [[i not in s for i in range(len(c))] for c, s in zip(cut, shared)]
+        often = np.bincount(np.concatenate([*map(np.array, filter(None, self.numbers)), np.zeros(0, np.int64)]).astype(np.int64), minlength=len(self.vocabulary))
+        weight = np.array([_weight(w) for w in self.vocabulary], np.int64)
+        at, place, least = [], [], np.zeros(len(ids), np.int64)
+        for k, nums in enumerate(self.numbers):
+            if len(nums) < WORDS:
+                continue
+            v = np.array(nums)
+            window = np.lib.stride_tricks.sliding_window_view
+            whole = np.flatnonzero(window(np.array(self.own[k]), WORDS).all(1))
+            if not len(whole):
                 continue
-            options = [(s - 1, start, bad + 1)]
-            if p := last.get(i):
-                options.append((p[0] - 1, p[1], p[2] + 1))
-            if p := now.get(i - 1):
-                options.append((p[0] - 1, p[1], p[2] + 1))
-            if (o := max(options, key=lambda x: (x[0], -x[1])))[0] > 0:
-                now[i] = o
-        last = now
-    return False
-
-
-def _plausible(item: np.ndarray, text: np.ndarray, shift: int, width: int) -> bool:
-    """Whether enough words of some stretch of the text stand unaltered in the item, near the diagonal."""
-    at = np.arange(len(text))[None, :] + shift + np.arange(-width, width + 1)[:, None]
-    same = ((item[np.clip(at, 0, len(item) - 1)] == text[None, :]) & (at >= 0) & (at < len(item))).any(0)
-    n = np.cumsum(np.r_[0, same])
-    long = WORDS + 2 * BUDGET
-    return int((n[min(long, len(text)) :] - n[: len(n) - min(long, len(text))]).max()) >= WORDS - BUDGET - TYPOS
-
-
-def shared_words(texts: list[str]) -> list[set[int]]:
-    """Of each item the words that lie in wording of WORDS words that another item has too."""
-    all_words = [words(t) for t in texts]
-    where: dict[tuple, set[int]] = {}
-    for k, w in enumerate(all_words):
-        for i in range(len(w) - WORDS + 1):
-            where.setdefault(tuple(w[i : i + WORDS]), set()).add(k)
-    out = []
-    distinct = [tuple(w) for w in all_words]
-    for w in all_words:
-        s: set[int] = set()
-        for i in range(len(w) - WORDS + 1):
-            if len({distinct[k] for k in where[tuple(w[i : i + WORDS])]}) > 1:
-                s.update(range(i, i + WORDS))
-        out.append(s)
-    return out
-
-
-def leaked(block: Items, text: str) -> list[int]:
-    """The ids of the items of a block that a text holds WORDS successive words of."""
-    w = words(text)
-    if len(w) < WORDS - BUDGET:
-        return []
-    starts = np.cumsum([0, *(len(x) + 1 for x in w)])
-    numbers = None
-    hit: set[int] = set()
-    for item, first, end, diag in block.bands(" ".join(w)):
-        if item in hit:
-            continue
-        if numbers is None:
-            numbers = np.array([block.vocabulary.get(x, -1) for x in w])
-        a, b = int(np.searchsorted(starts, first, "right")) - 1, int(np.searchsorted(starts, end, "right"))
-        i = int(np.searchsorted(block.starts[item], max(0, first + diag), "right")) - 1
-        lo, hi = max(0, a - WORDS), min(len(w), b + WORDS)
-        if _plausible(block.numbers[item], numbers[lo:hi], i - a + lo, NEAR) and align(block.words[item], w[lo:hi], i - a + lo, NEAR, block.own[item]):
-            hit.add(item)
-    return [block.ids[k] for k in hit]
-
-
-#: How many words off the diagonal an alignment may go.
-NEAR = 7
-
-
-def _blocks(ids: list[int], texts: list[str]) -> Iterator[tuple[list[int], list[str], list[set[int]]]]:
+            rank = np.argsort(window(often[v], WORDS)[whole], axis=1, kind="stable")[:, :RAREST]
+            keep = np.unique(whole[:, None] + rank)
+            w = np.zeros(len(v), np.int64)
+            w[keep] = weight[v[keep]]
+            sums = window(w, WORDS)[whole]
+            least[k] = (sums.sum(1) - np.sort(sums, axis=1)[:, -BUDGET:].sum(1)).min()
+            at.append(np.full(len(keep), k))
+            place.append(keep)
+        empty = np.zeros(0, np.int64)
+        self.least = least
+        item, place = (np.concatenate([*x, empty]) for x in (at, place))
+        word = np.array([self.numbers[k][i] for k, i in zip(item, place)], np.int64)
+        order = np.argsort(word, kind="stable")
+        self.item, self.place, self.weight = item[order], place[order], weight[word[order]] if len(word) else empty
+        self.first = np.searchsorted(word[order], np.arange(len(self.vocabulary) + 1))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.seen: dict[str, int] = {}  # word of a text -> its number here
+        self.alike: list[frozenset[int]] = []
+        self.hits: list[np.ndarray] = []
+        self.flat = (0, np.zeros(1, np.int64), np.zeros(0, np.int64))
+
+    def _number(self, flat: list[str]) -> np.ndarray:
+        """The words of texts as numbers; new ones are compared with the vocabulary."""
+        if len(self.seen) > KNOWN:
+            self._forget()
+        for w in set(flat).difference(self.seen):
+            self.seen[w] = len(self.alike)
+            same = self.spellings.of(w)
+            self.alike.append(frozenset(same))
+            self.hits.append(np.concatenate([np.arange(self.first[v], self.first[v + 1]) for v in same]) if same else np.zeros(0, np.int64))
+        if self.flat[0] != len(self.hits):
+            self.flat = (len(self.hits), np.cumsum([0, *map(len, self.hits)]), np.concatenate([np.zeros(0, np.int64), *self.hits]))
+            self.best = np.array([self.weight[h].max() if len(h) else 0 for h in self.hits], np.int64)
+        return np.fromiter(map(self.seen.__getitem__, flat), np.int64, len(flat))
+
+    def search(self, texts: list[list[str]]) -> list[tuple[int, int]]:
+        """(item id, number of the text) of the texts, cut into words, that hold passages of items."""
+        if not len(self.item):
+            return []
+        sizes = np.array([len(t) for t in texts], np.int64)
+        numbers = self._number([w for t in texts for w in t])
+        text = np.repeat(np.arange(len(texts)), sizes)
+        begin = np.cumsum(sizes) - sizes
+        inside = np.arange(len(numbers)) - begin[text]
+        _, first, all_hits = self.flat
+        n = first[numbers + 1] - first[numbers]
+        at = self._dense(np.flatnonzero(n), numbers, text)
+        if not len(at):
+            return []
+        n = n[at]
+        at, start = np.repeat(at, n), np.repeat(first[numbers[at]], n)
+        hit = all_hits[np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + start]
+        item, diagonal = self.item[hit], self.place[hit] - inside[at]
+        found: set[tuple[int, int]] = set()
+        low = int(inside.max()) + 1
+        for half in (0, 1):  # bands of BAND diagonals, STEP apart: each half holds every other one
+            band = (diagonal + low + half * STEP) // BAND
+            # words come in order, so a stable sort by item and band leaves texts and places in order within each
+            order = np.argsort(item * (int(band.max()) + 1) + band, kind="stable")
+            t, i, b, d, w = text[at][order], item[order], band[order], at[order], self.weight[hit][order]
+            new = np.r_[True, (t[1:] != t[:-1]) | (i[1:] != i[:-1]) | (b[1:] != b[:-1])]
+            other = new | np.r_[True, d[1:] != d[:-1]]
+            start = np.flatnonzero(other)
+            best = np.maximum.reduceat(w, start)  # a word of the text counts once
+            group, d1 = (np.cumsum(new) - 1)[start], d[start]
+            total = np.cumsum(np.r_[0, best])
+            key = group * (len(numbers) + REACH + 2) + d1
+            back = np.searchsorted(key, np.maximum(key - REACH, group * (len(numbers) + REACH + 2)))
+            enough = np.flatnonzero(total[1:] - total[back] >= self.least[i[start]])
+            if not len(enough):
+                continue
+            # regions that overlap make one
+            apart = np.flatnonzero(np.r_[True, (group[enough[1:]] != group[enough[:-1]]) | (d1[back[enough[1:]]] > d1[enough[:-1]] + REACH)])
+            for u, v in zip(apart, np.r_[apart[1:], len(enough)]):
+                lo, hi, g = d1[back[enough[u]]], d1[enough[v - 1]], start[enough[u]]
+                k, which = int(i[g]), int(t[g])
+                if (self.ids[k], which) in found:
+                    continue
+                a, e = max(int(lo - begin[which]) - REACH, 0), min(int(hi - begin[which]) + REACH + 1, int(sizes[which]))
+                from_ = int(b[g]) * BAND - low - half * STEP
+                if self._aligned(k, [self.alike[x] for x in numbers[begin[which] + a : begin[which] + e]], a + from_):
+                    found.add((self.ids[k], which))
+        return sorted(found)
+
+    def _dense(self, at: np.ndarray, numbers: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Those places of kept words about which enough of them stand for any item."""
+        if not len(at):
+            return at
+        total = np.cumsum(np.r_[0, self.best[numbers[at]]])
+        shifted = at + text[at] * (REACH + 1)  # no reach across texts
+        last = np.searchsorted(shifted, shifted + REACH, "right")
+        full = total[last] - total[:-1] >= self.least[self.least > 0].min()
+        marks = np.zeros(len(at) + 1, np.int64)
+        np.add.at(marks, np.flatnonzero(full), 1)
+        np.add.at(marks, last[full], -1)
+        return at[np.cumsum(marks[:-1]) > 0]
+
+    def _aligned(self, k: int, text: list[frozenset[int]], shift: int) -> bool:
+        """Whether the rule holds on the diagonals shift to shift + BAND - 1 of an item and a stretch of a text.
+
+        For each place (i, j) and number of altered words the longest passage of own words that ends there.
+        """
+        item, own = self.numbers[k], self.own[k]
+        none = (0,) * (BUDGET + 1)
+        last: dict[int, tuple[int, ...]] = {}
+        for j, same in enumerate(text):
+            now: dict[int, tuple[int, ...]] = {}
+            for i in range(max(0, j + shift), min(len(item), j + shift + BAND)):
+                if not own[i]:
+                    continue
+                p, left, up = last.get(i - 1, none), last.get(i, none), now.get(i - 1, none)
+                fits = item[i] in same
+                row = [p[0] + 1 if fits else 0]
+                for c in range(1, BUDGET + 1):
+                    best = max(left[c - 1], up[c - 1] + 1 if up[c - 1] else 0, p[c - 1] + 1 if p[c - 1] else 0)
+                    row.append(max(best, p[c] + 1 if fits else 0))
+                if fits and p[BUDGET] + 1 >= WORDS:
+                    return True
+                if row[BUDGET]:
+                    now[i] = tuple(row)
+            last = now
+        return False
+
+
+def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(i, t, text, at, window): the hashed passages of WORDS words of each item."""
+    for b in batches:
+        for key, text in zip(b["i"], b["t"]):
+            w = words(text)
+            digest = int.from_bytes(hashlib.blake2b(" ".join(w).encode(), digest_size=8).digest(), "little", signed=True)
+            rows = [(key, text, digest, k, hashlib.blake2b(" ".join(w[k : k + WORDS]).encode(), digest_size=16).hexdigest()) for k in range(len(w) - WORDS + 1)]
+            yield pd.DataFrame(rows, columns=["i", "t", "digest", "at", "window"])
+
+
+def shared_words(items: DataFrame) -> DataFrame:
+    """(i, t, starts): the items (i, t) that have passages of WORDS words in common with an item of other wording, and where those begin."""
+    each = items.mapInPandas(_windows, "i long, t string, digest long, at int, window string")
+    common = each.groupBy("window").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("window")
+    return each.select(F.col("i"), F.md5("t").alias("t"), "at", "window").join(common, "window").groupBy("i", "t").agg(F.collect_list("at").alias("starts"))
+
+
+def _blocks(rows: list[tuple[int, str, set[int]]]) -> Iterator[tuple[list[int], list[str], list[set[int]]]]:
     """The items in blocks of at most BLOCK characters (an item longer than that is a block of its own)."""
-    shared = shared_words(texts)
     part: tuple[list, list, list] = ([], [], [])
     size = 0
-    for i, t, s in zip(ids, texts, shared):
-        if part[0] and size + len(t) > BLOCK:
+    for row in rows:
+        if part[0] and size + len(row[1]) > BLOCK:
             yield part
             part, size = ([], [], []), 0
-        for x, y in zip(part, (i, t, s)):
+        for x, y in zip(part, row):
             x.append(y)
-        size += len(t)
+        size += len(row[1])
     if part[0]:
         yield part
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=64)
 def _index(block: _Block) -> Items:
     return Items(*block.sent.value)
 
@@ -308,30 +370,36 @@ class _Block:
     def __hash__(self) -> int:
         return hash(self.key)
 
+
+def _chunks(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """The rows in parts of about CHUNK characters."""
+    part = b["t"].str.len().to_numpy().cumsum() // CHUNK
+    for _, p in b.groupby(part, sort=False):
+        yield p
+
+
 def found(items: DataFrame, docs: DataFrame, item_key: str = "item_id", doc_key: str = "doc_id", text: str = "text", most: int = 64_000_000) -> DataFrame:
-    """Distinct (item_id, doc_id): the texts that hold WORDS successive words of an item.
+    """Distinct (item_id, doc_id): the texts that hold passages of an item by the rule above.
 
-    The test items are read by the driver, at most ``most`` characters of them: a test set, not a corpus.
+    The test items are sent to all executors, at most ``most`` characters of them: a test set, not a corpus.
     """
     ask = items.where(F.col(item_key).isNotNull() & (F.length(text) > 0)).select(F.col(item_key).cast("long").alias("i"), F.col(text).alias("t")).distinct()
     size = ask.agg(F.sum(F.length("t"))).first()[0] or 0
     if size > most:
         raise ValueError(f"the test items have {size} characters; split them into sets of at most {most}")
-    rows = sorted((r.i, r.t) for r in ask.collect())
+    shared = shared_words(ask).withColumnsRenamed({"i": "i_", "t": "t_"})
+    marked = ask.join(shared, (F.col("i") == F.col("i_")) & (F.md5("t") == F.col("t_")), "left").select("i", "t", "starts").collect()
+    rows = sorted(((r.i, r.t, {k for s in r.starts or () for k in range(s, s + WORDS)}) for r in marked), key=lambda r: r[:2])
     base = docs.where(F.col(doc_key).isNotNull() & (F.length(text) > 0)).select(F.col(doc_key).cast("long").alias("d"), F.col(text).alias("t"))
     sc = docs.sparkSession.sparkContext
-    out = None
-    for part in _blocks([r[0] for r in rows], [r[1] for r in rows]):
-        block = _Block(sc.broadcast(part), hashlib.md5(repr(part).encode()).hexdigest())
-
-        def search(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
-            index = _index(block)
-            for b in batches:
-                pairs = [(i, d) for d, t in zip(b["d"], b["t"]) for i in leaked(index, t)]
+    blocks = [_Block(sc.broadcast(part), hashlib.md5(repr([*part[:2], [sorted(s) for s in part[2]]]).encode()).hexdigest()) for part in _blocks(rows)]
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for p in _chunks(b):
+                cut, keys = [words(t) for t in p["t"]], p["d"].to_numpy()
+                pairs = [(i, keys[k]) for block in blocks for i, k in _index(block).search(cut)]
                 yield pd.DataFrame(pairs, columns=["item_id", "doc_id"], dtype="int64")
 
-        one = base.mapInPandas(search, "item_id long, doc_id long")
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        return base.select(F.col("d").alias("item_id"), F.col("d").alias("doc_id")).where(F.lit(False))
-    return out.distinct()
+    return base.mapInPandas(search, "item_id long, doc_id long").distinct()
+

@@ -38,6 +38,18 @@ TOKEN = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f])*")
 INVISIBLES = re.compile(f"[{INVISIBLE}]+")
 
 
+class Table(dict):
+    """A table for ``str.translate`` that is worked out for each character when it first comes up."""
+
+    def __init__(self, form):
+        super().__init__()
+        self.form = form
+
+    def __missing__(self, code: int) -> str | None:
+        found = self[code] = self.form(chr(code))
+        return found
+
+
 @lru_cache(maxsize=4096)
 def _one(c: str) -> str:
     """The plain form of a character, where it differs only in width, style or being joined."""
