@@ -121,7 +121,8 @@ def region_members(points: DataFrame, key: str, ra: str, dec: str, regions: Data
 
     ``regions``: shape ``box`` (ra_min eastwards to ra_max, dec_min to dec_max) or ``circle`` (ra_center, dec_center,
     radius_deg). Each region is laid on the grid level whose cells are about its size, so it covers few cells however
-    large it is; points are looked up once per level in use (at most seven). Regions of another shape or with a bound missing hold nothing.
+    large it is; points are looked up once per level in use (at most four). The widest cells are 4 degrees (about 2,600 on the
+    sphere), and cells with very many points are salted. Regions of another shape or with a bound missing hold nothing.
     """
     box = F.col("shape") == "box"
     g = {c: finite(c).alias(c) for c in ("ra_min", "ra_max", "dec_min", "dec_max", "ra_center", "dec_center", "radius_deg")}
@@ -136,9 +137,9 @@ def region_members(points: DataFrame, key: str, ra: str, dec: str, regions: Data
     width = F.when(box, F.when(F.col("ra_max") >= F.col("ra_min"), F.least(F.lit(360.0), F.col("ra_max") - F.col("ra_min"))).otherwise(F.pmod(F.col("ra_max") - F.col("ra_min"), F.lit(360.0))) + 2 * pad).otherwise(2 * half)
     rg = rg.withColumns({"_lo": lo, "_hi": hi, "_west": west, "_width": width})
     size = F.greatest(F.col("_hi") - F.col("_lo"), F.col("_width") * F.cos(F.radians((F.col("_hi") + F.col("_lo")) / 2)) / 32)
-    top = 6
+    top = 3
     rg = rg.withColumn("_level", F.greatest(F.lit(0), F.least(F.lit(top), F.ceil(F.log2(size / REGION_CELL) / 2))).cast("int"))
-    levels = sorted(r[0] for r in rg.select("_level").distinct().collect())  # at most seven numbers
+    levels = sorted(r[0] for r in rg.select("_level").distinct().collect())  # at most four numbers
     covers = []
     for k in levels:
         h = REGION_CELL * 4**k
@@ -159,4 +160,6 @@ def region_members(points: DataFrame, key: str, ra: str, dec: str, regions: Data
     whole = F.col("ra_max") - F.col("ra_min") >= 360
     in_ra = whole | F.when(start <= end, (east >= start) & (east <= end)).otherwise((east >= start) | (east <= end))
     inside = F.when(box, in_ra & (F.col("_dec") >= F.col("dec_min")) & (F.col("_dec") <= F.col("dec_max"))).otherwise(_angle(F.col("_ra"), F.col("_dec"), F.col("ra_center"), F.col("dec_center")) <= F.col("radius_deg") + EDGE)
-    return looked.join(cover, ["_level", "_b", "_s"]).where(inside).select(F.col("_r").alias("region_id"), F.col("_k").alias("key")).distinct()
+    keys = ["_level", "_b", "_s"]
+    looked, cover, keys = salted(looked, cover, keys, F.col("_k"), hot_keys(looked, keys))
+    return looked.join(cover, keys).where(inside).select(F.col("_r").alias("region_id"), F.col("_k").alias("key")).distinct()

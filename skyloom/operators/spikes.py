@@ -10,7 +10,8 @@ share of all rows is first reduced to its distinct epochs and then cut into runs
 of overlap, so no task gets all of it and each window is still whole.
 
 Defined cases: NULL and NaN are missing, never a case; a reading without a time (own or of its list) or without a source is only
-tested for impossible values; repeated rows of one epoch are judged as one and all reported; rows without an id count
+tested for impossible values; repeated rows (the same source, list, time and values) are judged as one reading and all reported,
+other rows of the same list are readings of their own; a row without a list repeats none; rows without an id count
 as readings but can't be reported; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -23,8 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.common import finite
-from skyloom.operators.hot import hot_keys
+from skyloom.common import finite, present
+from skyloom.operators.hot import hot_keys, salted
 
 HALF, CHUNK = 32, 4096
 #: A frozen run has at least so many epochs; a spike needs at least so many readings of the field.
@@ -167,17 +168,17 @@ def _kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Judges sorted rows; the last group of a batch waits for the next, as it may go on there."""
 
     def judged(p: pd.DataFrame) -> pd.DataFrame:
-        star, chunk, lst, t = (p[c].to_numpy() for c in ("_star", "_chunk", "_list", "_t"))
+        star, chunk, one, two = (p[c].to_numpy() for c in ("_star", "_chunk", "_c1", "_c2"))
         new = np.r_[True, (star[1:] != star[:-1]) | (chunk[1:] != chunk[:-1])]
-        # copies of one epoch follow each other; without a list each row is an epoch
-        known = ~p["_list_null"].to_numpy(bool)
-        again = np.r_[False, ~new[1:] & (lst[1:] == lst[:-1]) & known[1:] & known[:-1]]
+        # copies of one reading follow each other
+        alone = p["_alone"].to_numpy(bool)
+        again = np.r_[False, ~new[1:] & (one[1:] == one[:-1]) & (two[1:] == two[:-1]) & ~alone[1:] & ~alone[:-1]]
         epoch = np.cumsum(~again) - 1
         q = p[~again].assign(_g=np.cumsum(new)[~again]).reset_index(drop=True)
         cases = _judge(q)
         # back to every copy
         rows = pd.DataFrame({"_i": epoch, "_row": np.arange(len(p))}).merge(cases, on="_i")
-        out = p.iloc[rows["_row"].to_numpy()][["_id", "_star", "_list", "_core"]].assign(field=rows["field"].to_numpy())
+        out = p.iloc[rows["_row"].to_numpy()][["_id", "_named", "_star", "_c1", "_c2", "_alone", "_core"]].assign(field=rows["field"].to_numpy())
         return out[out["_core"]].drop(columns="_core")
 
     kept: list[pd.DataFrame] = []
@@ -198,52 +199,60 @@ def _kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield judged(pd.concat(kept, ignore_index=True))
 
 
+ORDER = ["_t", "_list", "_c1", "_c2", "_id"]
+KEPT = ["_id", "_named", "_star", "_t", *FIELDS, "ye", "me", "_c1", "_c2", "_alone", "_chunk", "_core"]
+
+
 def implausible(obs: DataFrame, lists: DataFrame, key: str = "obs_id", star: str = "star_id", epoch: str = "list_id") -> DataFrame:
     """Distinct (obs_id, field) of the implausible readings."""
     times = lists.where(F.col("list_id").isNotNull()).groupBy(F.col("list_id").alias("_list")).agg(F.min(finite("list_time")).alias("_list_time"))
-    values = [F.col(f).cast("double").alias(f) for f in (*FIELDS, "ye", "me")]
-    base = obs.select(F.col(key).alias("_id"), F.col(star).alias("_star"), F.col(epoch).alias("_list"), finite("t").alias("_own"), *values)
+    values = [present(f).alias(f) for f in (*FIELDS, "ye", "me")]
+    # an id of 0 stands for a missing one, which _named tells: with NULLs pandas would make doubles of all
+    base = obs.select(F.coalesce(F.col(key), F.lit(0)).cast("long").alias("_id"), F.col(key).isNotNull().alias("_named"), F.col(star).alias("_star"), F.col(epoch).alias("_list"), finite("t").alias("_own"), *values)
     base = base.join(times, "_list", "left").withColumn("_t", F.coalesce("_own", "_list_time")).drop("_own", "_list_time")
-    rows = base.where(F.col("_star").isNotNull()).withColumns({"_chunk": F.lit(0).cast("long"), "_core": F.lit(True), "_list_null": F.col("_list").isNull(), "_list": F.coalesce(F.col("_list"), F.lit(-1).cast("long"))})
-    lone = base.where(F.col("_star").isNull()).withColumn("field", F.explode(F.array_compact(F.array(*(F.when(impossible(f), F.lit(f)) for f in FIELDS))))).select("_id", "field")
+    # 128 bits tell a reading from others; NULLs are marked, as the hash passes over them
+    whole = [F.col("_list"), *(x for c in ("_t", *FIELDS, "ye", "me") for x in (F.col(c), F.col(c).isNull()))]
+    same = {"_c1": F.xxhash64(*whole), "_c2": F.xxhash64(F.lit(1), *whole), "_alone": F.col("_list").isNull()}
+    rows = base.where(F.col("_star").isNotNull()).withColumns({**same, "_chunk": F.lit(0).cast("long"), "_core": F.lit(True)})
+    lone = base.where(F.col("_star").isNull()).withColumn("field", F.explode(F.array_compact(F.array(*(F.when(impossible(f), F.lit(f)) for f in FIELDS))))).where("_named").select("_id", "field")
 
     def cases(df: DataFrame) -> DataFrame:
-        parted = df.repartition("_star", "_chunk").sortWithinPartitions("_star", "_chunk", F.col("_t").asc_nulls_last(), "_list", "_id")
-        cols = ["_id", "_star", "_list", "_t", *FIELDS, "ye", "me", "_chunk", "_core", "_list_null"]
-        return parted.select(*cols).mapInPandas(_kernel, "_id long, _star long, _list long, field string")
+        parted = df.repartition("_star", "_chunk").sortWithinPartitions("_star", "_chunk", F.col("_t").asc_nulls_last(), *ORDER[1:])
+        return parted.select(*KEPT).mapInPandas(_kernel, "_id long, _named boolean, _star long, _c1 long, _c2 long, _alone boolean, field string")
 
     hot = hot_keys(rows, ["_star"])
     if hot is None:
-        found = cases(rows).select("_id", "field")
+        found = cases(rows).where("_named").select("_id", "field")
     else:
-        mark = F.broadcast(hot)
-        found = cases(rows.join(mark, "_star", "left_anti")).select("_id", "field")
+        mark = F.broadcast(hot.drop("_salts"))
+        found = cases(rows.join(mark, "_star", "left_anti")).where("_named").select("_id", "field")
         much = rows.join(mark, "_star")
-        epochs = _chunked(much)
-        flagged = cases(epochs).select("_star", "_list", "field", F.col("_id").alias("_rep"))
-        # epochs without a list can't have copies: they are reported by their own id
-        copies = much.where(~F.col("_list_null")).select("_star", "_list", "_id").join(flagged.where(F.col("_list") != -1).drop("_rep"), ["_star", "_list"]).select("_id", "field")
-        found = found.unionByName(copies).unionByName(flagged.where(F.col("_list") == -1).select(F.col("_rep").alias("_id"), "field"))
-    return found.unionByName(lone).where(F.col("_id").isNotNull()).distinct().select(F.col("_id").alias("obs_id"), "field")
+        flagged = cases(_chunked(much))
+        # a reading without a list has no copies: it is reported by its own id
+        own, keys = flagged.where("_alone and _named").select("_id", "field"), ["_star", "_c1", "_c2"]
+        copies, cases_of = much.where("_named and not _alone").select(*keys, "_id"), flagged.where("not _alone").select(*keys, "field")
+        copies, cases_of, keys = salted(copies, cases_of, keys, F.col("_id"), hot_keys(copies, keys))
+        found = found.unionByName(copies.join(cases_of, keys).select("_id", "field")).unionByName(own)
+    return found.unionByName(lone).distinct().select(F.col("_id").alias("obs_id"), "field")
 
 
 def _chunked(rows: DataFrame) -> DataFrame:
-    """The distinct epochs of the hot sources, cut into chunks with ``HALF`` epochs of overlap.
+    """The distinct readings of the hot sources, cut into chunks with ``HALF`` of overlap.
 
     Places in the order of time come from counts per slice (quantiles of time) plus the place within the slice.
     """
-    value = F.struct(*[F.col(c) for c in ("_id", "_t", *FIELDS, "ye", "me")])
-    own = F.when(F.col("_list_null"), F.col("_id"))
-    reps = rows.groupBy("_star", "_list", "_list_null", own.alias("_own")).agg(F.min_by(value, "_id").alias("v")).select("_star", "_list", "_list_null", "v.*")
+    once = rows.where("not _alone").groupBy("_star", "_list", "_t", *FIELDS, "ye", "me", "_c1", "_c2", "_alone").agg(F.min("_id").alias("_id"), F.max("_named").alias("_named"))
+    cols = ["_star", "_list", "_t", *FIELDS, "ye", "me", "_c1", "_c2", "_alone", "_id", "_named"]
+    reps = once.select(*cols).unionByName(rows.where("_alone").select(*cols))
     timed = reps.where(F.col("_t").isNotNull())
     cuts = timed.groupBy("_star").agg(F.percentile_approx("_t", [i / 256 for i in range(1, 256)], 10_000).alias("_cuts"))
-    sliced = timed.join(F.broadcast(cuts), "_star").withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col("_t")))).drop("_cuts")  # hot sources: at most 256
+    sliced = timed.join(cuts, "_star").withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col("_t")))).drop("_cuts")
     counts = sliced.groupBy("_star", "_slice").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("_star").orderBy("_slice")) - F.col("_n")).drop("_n")
-    place = F.row_number().over(Window.partitionBy("_star", "_slice").orderBy("_t", "_list", "_id")) - 1 + F.col("_before")
-    placed = sliced.join(F.broadcast(before), ["_star", "_slice"]).withColumn("_place", place)
+    place = F.row_number().over(Window.partitionBy("_star", "_slice").orderBy(*ORDER)) - 1 + F.col("_before")
+    placed = sliced.join(before, ["_star", "_slice"]).withColumn("_place", place)
     near = F.explode(F.array_distinct(F.array(*(F.floor((F.col("_place") + s) / CHUNK) for s in (-HALF, 0, HALF)))))
     cut = placed.withColumn("_chunk", near).where(F.col("_chunk") >= 0).withColumn("_core", F.floor(F.col("_place") / CHUNK) == F.col("_chunk"))
-    rest = reps.where(F.col("_t").isNull()).withColumns({"_chunk": -1 - F.pmod(F.xxhash64("_list", "_id"), F.lit(256)), "_core": F.lit(True)})
-    cols = ["_id", "_star", "_list", "_t", *FIELDS, "ye", "me", "_chunk", "_core", "_list_null"]
+    rest = reps.where(F.col("_t").isNull()).withColumns({"_chunk": -1 - F.pmod("_c1", F.lit(256)), "_core": F.lit(True)})
+    cols = [*KEPT, "_list"]
     return cut.select(*cols).unionByName(rest.select(*cols))

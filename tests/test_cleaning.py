@@ -33,7 +33,7 @@ def test_planar_pairs_brute_force(spark):
 
 
 def test_planar_pairs_hot_cell(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "hot_keys", lambda df, keys: hot_module.hot_keys(df, keys, share=0.1, rows=20, sample=1.0))
+    monkeypatch.setattr(neighbours, "hot_keys", lambda df, keys: hot_module.hot_keys(df, keys, rows=20, sample=1.0))
     rng = random.Random(2)
     rows = [(i, rng.gauss(0, 0.2), rng.gauss(0, 0.2)) for i in range(300)] + [(i + 1000, rng.uniform(-50, 50), rng.uniform(-50, 50)) for i in range(100)]
     df = spark.createDataFrame(rows, "id long, x double, y double")
@@ -126,11 +126,51 @@ def test_hot_source_is_cut_alike(spark, monkeypatch):
     lists = spark.createDataFrame([], "list_id long, list_time double")
     plain = {(r.obs_id, r.field) for r in spikes.implausible(df, lists).collect()}
     monkeypatch.setattr(spikes, "CHUNK", 128)
-    monkeypatch.setattr(spikes, "hot_keys", lambda d, keys: hot_module.hot_keys(d, keys, share=0.5, rows=10, sample=1.0))
+    monkeypatch.setattr(spikes, "hot_keys", lambda d, keys: hot_module.hot_keys(d, keys, rows=10, sample=1.0))
     cut = {(r.obs_id, r.field) for r in spikes.implausible(df, lists).collect()}
     assert plain == cut and {(1050, "x"), (1333, "x"), (77777, "x"), (1640, "x"), (1250, "m"), (1255, "m")} <= cut
 
 
+def test_same_list_twice_is_judged_alike_on_both_paths(spark, monkeypatch):
+    """A second reading of a list, of another time and place, is no copy of the first; neither is list -1 a missing list."""
+    rows = sky_star(1, 700, 5000, random.Random(9))
+    t = {r[0]: r[9] for r in rows}
+    later = list(rows[333])
+    later[0], later[3], later[9] = 9000, later[3] + 9, (t[5333] or 2000.0) + 7
+    below = list(rows[100])
+    below[0], below[2], below[3] = 9001, -1, below[3] + 9
+    again = [9002, *below[1:]]
+    unlisted = [[9003, 1, None, *below[3:]]]
+    nameless = [None, *rows[20][1:]]
+    df = spark.createDataFrame([tuple(r) for r in [*rows, later, below, again, *unlisted, nameless]], OBS)
+    lists = spark.createDataFrame([], "list_id long, list_time double")
+    plain = {(r.obs_id, r.field) for r in spikes.implausible(df, lists).collect()}
+    monkeypatch.setattr(spikes, "CHUNK", 128)
+    monkeypatch.setattr(spikes, "hot_keys", lambda d, keys: hot_module.hot_keys(d, keys, rows=10, sample=1.0))
+    assert plain == {(r.obs_id, r.field) for r in spikes.implausible(df, lists).collect()}
+    assert {(9000, "x"), (9001, "x"), (9002, "x")} <= plain and not any(i in (5333, 5100) for i, _ in plain)
+
+
+def test_hot_cell_of_points_and_regions(spark, monkeypatch):
+    """Four in ten points in one cell of the widest level, where large regions lie too."""
+    seen = []
+
+    def hot(df, keys):
+        seen.append(hot_module.hot_keys(df, keys, rows=20, sample=1.0))
+        return seen[-1]
+
+    monkeypatch.setattr(neighbours, "hot_keys", hot)
+    rng = random.Random(12)
+    pts = [(i, rng.uniform(9.0, 9.4), rng.uniform(5.0, 5.4)) if i % 5 < 2 else (i, rng.uniform(0, 360), math.degrees(math.asin(rng.uniform(-1, 1)))) for i in range(500)]
+    df = spark.createDataFrame(pts, "k long, ra double, dec double")
+    shapes = [(1, "box", 0.0, 360.0, -90.0, 90.0, None, None, None), (2, "box", 300.0, 60.0, -30.0, 40.0, None, None, None), (3, "circle", None, None, None, None, 9.2, 5.2, 0.1), (4, "circle", None, None, None, None, 0.0, 89.0, 30.0)]
+    regions = spark.createDataFrame(shapes, "region_id long, shape string, ra_min double, ra_max double, dec_min double, dec_max double, ra_center double, dec_center double, radius_deg double")
+    got = sorted((r.region_id, r.key) for r in neighbours.region_members(df, "k", "ra", "dec", regions).collect())
+    want = [(1, k) for k, _, _ in pts] + [(2, k) for k, ra, dec in pts if (ra >= 300 or ra <= 60) and -30 <= dec <= 40]
+    want += [(3, k) for k, ra, dec in pts if angle((ra, dec), (9.2, 5.2)) <= 0.1] + [(4, k) for k, ra, dec in pts if angle((ra, dec), (0.0, 89.0)) <= 30]
+    assert got == sorted(want) and seen[0] is not None and max(r["_salts"] for r in seen[0].collect()) > 1
+
+
 def test_raw_lines(spark):
     ok = "a 1 2 3 4 5 6 7 0.5 2 9"
     lines = [
@@ -177,5 +217,5 @@ def test_units_of_rows(spark):
 
 def test_hot_keys_find_only_heavy_ones(spark):
     df = spark.range(1000).select(F.when(F.col("id") < 500, 1).otherwise(F.col("id")).alias("k"))
-    assert [r.k for r in hot_module.hot_keys(df, ["k"], share=0.1, rows=10, sample=1.0).collect()] == [1]
+    assert [r.k for r in hot_module.hot_keys(df, ["k"], rows=10, sample=1.0).collect()] == [1]
     assert hot_module.hot_keys(df, ["k"]) is None and hot_module.hot_keys(df.limit(0), ["k"]) is None
