@@ -38,7 +38,7 @@ def test_same_look(spark):
 
 
 def test_same_look_hot_class(spark, monkeypatch):
-    monkeypatch.setattr(lookalike, "hot_keys", lambda d, keys: hot_module.hot_keys(d, keys, share=0.2, rows=10, sample=1.0))
+    monkeypatch.setattr(lookalike, "hot_keys", lambda d, keys: hot_module.hot_keys(d, keys, rows=10, sample=1.0))
     df = spark.createDataFrame([(i, "same text") for i in range(60)] + [(100, "same text"), (101, "other")], "doc_id long, text string")
     got = [(r.doc_id_1, r.doc_id_2) for r in lookalike.same_look(df).collect()]
     assert sorted(got) == [(i, 100) for i in range(60)]
