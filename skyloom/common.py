@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,22 +29,51 @@ def finite(c: Column | str) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through files that all executors can read.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: the cluster's ``spark.checkpoint.dir``.
 
-    The folder is the cluster's ``spark.checkpoint.dir``. Only where that is unset, as in tests, a local
-    temporary folder is named; that is safe in local mode alone, so elsewhere it is refused.
+    Only where that is unset, as in tests, a local temporary folder is named; that is safe in local mode alone, so elsewhere it is refused.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = os.path.join(tempfile.gettempdir(), "skyloom-checkpoint")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = os.path.join(tempfile.gettempdir(), "skyloom-checkpoint")
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage through a table written in the shared folder, which all executors can read.
+
+    Being columns on disk it is smaller than a checkpoint of rows, and only the columns in use are read again. It is removed when
+    the driver ends, or before by ``released``. Tables that Parquet can't hold (columns of no type, names that
+    differ in case alone) are checkpointed as they are.
+    """
+    spark, names = df.sparkSession, [c.lower() for c in df.columns]
+    folder = shared_folder(spark)
+    if len(set(names)) < len(names) or not names or any(t == "void" for _, t in df.dtypes):
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(folder)
+        return df.checkpoint(eager=True)
+    path = f"{folder}/skyloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _hadoop(spark, path, lambda fs, p: fs.deleteOnExit(p))
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def released(*dfs: DataFrame | None) -> None:
+    """Remove the tables of ``checkpointed`` that nothing will read any more."""
+    for df in dfs:
+        if (path := getattr(df, "_kept_at", None)) is not None:
+            _hadoop(df.sparkSession, path, lambda fs, p: fs.delete(p, True))
+
+
+def _hadoop(spark: SparkSession, path: str, do) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    do(p.getFileSystem(spark._jsc.hadoopConfiguration()), p)
 
 
 def free_name(df: DataFrame, base: str) -> str:
