@@ -2,14 +2,16 @@
 
 1. Names that tell something (not mere numbering) give anchors; from them every list's frame is fitted to one frame (affine,
    outliers clipped), and every list's magnitude zero point.
-2. MinHash blocking across attributes: the set of small cells under a detection's search disc, and the set of letter
+2. MinHash blocking across attributes: the set of small cells under a disc about a detection, and the set of letter
    groups of its name. Detections that agree in one band are candidates.
-3. The best candidates make tracks: each second-collection star gets a motion from all lists, and is sought at the
-   place where each list's epoch should show it. The pairs found there and all candidates of the blocking are judged together, each
-   by its offset from the track; the accepted ones make the tracks anew, and all are judged once more.
-4. Features of position and brightness feed a logistic classifier, trained on weak labels (names that agree or
-   contradict); names then add their own log-odds, measured on the pairs that position decides; the result is calibrated on
-   other stars than it was trained on. Pairs that only their names brought up are judged, but teach nothing: their names agree by choice.
+3. Each second-collection star's candidates vote for its motion (cells of velocity, one vote a list); the candidates along the motion
+   with most votes make its track. Stars whose track takes them out of their own disc are hashed once more at the place where each
+   epoch bin (a year) should show them, and blocked with the first collection's detections of that bin.
+4. The candidates of both blockings, and nothing else, are judged by their offset from the track: features of position and brightness
+   feed a logistic classifier, trained on weak labels (names that agree or contradict); names then add their own
+   log-odds, measured on the pairs that position decides; the result is calibrated on other stars than it was
+   trained on. Pairs that only their names brought up are judged, but teach nothing: their names agree by choice. The
+   accepted pairs make the tracks anew, and all are judged once more.
 5. Within each pair of lists a detection keeps its best partner where the choice is mutual.
 
 Copies of one detection are matched once and written out for each. Defined cases: rows without a position, key or list take no
@@ -34,16 +36,19 @@ from skyloom.operators.hot import HOT_ROWS, hot_keys, salted
 
 @dataclass(frozen=True)
 class Settings:
-    disc: float = 3.0  # radius of the search disc in pixels: candidates lie up to twice as far apart
-    cell: float = 0.5  # side of the small cells whose set is hashed
-    place_hashes: int = 14  # a pair 2 pixels apart is missed with a chance of 1 in 1,600
-    name_bands: int = 8
+    disc: float = 6.0  # radius in pixels of the disc whose cells are hashed: candidates lie up to twice as far apart
+    cell: float = 1.0  # side of those cells
+    place_hashes: int = 7  # a pair 2 pixels apart is missed with a chance of 1 in 1,700, one 4 apart of 1 in 40
+    name_bands: int = 6
     name_rows: int = 3
     motion: float = 0.15  # usual motion in pixels a year
     floor: float = 0.05  # error of a frame in pixels
     mag_floor: float = 0.08  # scatter of magnitudes between filters
-    sought: float = 3.0  # radius in pixels about the predicted place
+    speed_cell: float = 0.2  # side of the cells of velocity that candidates vote for, in pixels a year
+    votes: int = 3  # lists that must vote for a motion other than none
+    moved: float = 1.0  # pixels off the own place from which on a predicted place is blocked anew
     serial: float = 0.1  # a name stem with a larger share of a collection's rows is numbering
+    taught: float = 3.0  # pairs farther off their track are judged too, but teach the classifier nothing
     sample: int = 60_000  # most labelled pairs that the classifier is fitted on
 
 
@@ -130,7 +135,7 @@ def _frames(a: DataFrame, b: DataFrame, k: Settings) -> dict:
 
 
 def _place_bands(k: Settings):
-    """The MinHash of the cells under a detection's disc, for each of the hash functions."""
+    """(id, bin, band) from (id, bin, u, v): the MinHash of the cells under the disc about a place, by each of the hash functions."""
     r = int(np.ceil(k.disc / k.cell))
     ox, oy = (g.ravel() for g in np.meshgrid(np.arange(-r, r + 1), np.arange(-r, r + 1)))
     inside = (ox * ox + oy * oy) * k.cell**2 <= k.disc**2
@@ -143,17 +148,18 @@ def _place_bands(k: Settings):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            parts = []
-            for lo in range(0, len(p), 4096):
-                q = p.iloc[lo : lo + 4096]
+            for lo in range(0, len(p), 8192):
+                q = p.iloc[lo : lo + 8192]
                 cx = np.floor(q["u"].to_numpy() / k.cell).astype(np.int64)[:, None] + ox
                 cy = np.floor(q["v"].to_numpy() / k.cell).astype(np.int64)[:, None] + oy
                 h = mix(cx.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(cy.astype(np.uint64)))
-                best = [(h ^ np.uint64(0x1234567 * (2 * j + 1))) * np.uint64(0x9E3779B97F4A7C15 + 2 * 0xABCD1357 * j) for j in range(k.place_hashes)]
-                best = np.stack([(x ^ (x >> np.uint64(29))).min(1) ^ np.uint64(j) for j, x in enumerate(best)], axis=1)
-                parts.append(pd.DataFrame({"id": q["id"].to_numpy(), "band": list(best.view(np.int64))}))
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
+                bin_ = q["bin"].to_numpy().astype(np.uint64)
+                bands = []
+                for j in range(k.place_hashes):
+                    x = (h ^ np.uint64(0x1234567 * (2 * j + 1))) * np.uint64(0x9E3779B97F4A7C15 + 2 * 0xABCD1357 * j)
+                    x ^= x >> np.uint64(29)
+                    bands.append(mix(x.min(1) ^ mix(bin_ * np.uint64(64) + np.uint64(j))))
+                yield pd.DataFrame({"id": np.repeat(q["id"].to_numpy(), k.place_hashes), "band": np.stack(bands, axis=1).ravel().view(np.int64)})
 
     return run
 
@@ -172,46 +178,111 @@ def _name_bands(k: Settings) -> Column:
     return F.when(F.col("tag").isNotNull(), bands)
 
 
+def _agreeing(left: DataFrame, right: DataFrame, sample: DataFrame) -> DataFrame:
+    """The rows of left (ia, band, ...) and right (ib, band, ...) joined on the band; ``sample``: bands of a few rows of left, for hot ones."""
+    hot = hot_keys(sample.select("band"), ["band"], rows=max(1, int(HOT_ROWS * FEW)), sample=1.0)
+    left, right, keys = salted(left, right, ["band"], F.col("ia"), hot)
+    return left.join(right, keys)
+
+
+#: Hot bands are sought on so small a part of the detections, drawn before they are hashed.
+FEW = 0.02
+ANY = -1  # the bin of detections that are compared whatever their time
+
+
+def _places(df: DataFrame, k: Settings, name: str) -> DataFrame:
+    """(name, band) of the places (u, v) in their epoch bins."""
+    return df.select("id", "bin", "u", "v").mapInPandas(_place_bands(k), "id long, band long").withColumnRenamed("id", name)
+
+
 def _candidates(a: DataFrame, b: DataFrame, k: Settings) -> DataFrame:
     """(ia, ib, blind): the distinct pairs that agree in a band; blind where a band of their places is among those."""
 
     def banded(df: DataFrame, name: str) -> DataFrame:
-        places = df.select("id", "u", "v").mapInPandas(_place_bands(k), "id long, band array<long>").select("id", F.explode("band").alias("band"), F.lit(True).alias("blind"))
-        names = df.where(F.col("tag").isNotNull()).select("id", F.explode(_name_bands(k)).alias("band"), F.lit(False).alias("blind"))
-        return places.unionByName(names).withColumnRenamed("id", name)
-
-    left, right = banded(a, "ia"), banded(b, "ib").drop("blind")
-    # hot bands are sought on a sample of the detections, drawn before they are hashed
-    few = 0.02
-    hot = hot_keys(banded(a.sample(few, seed=7), "ia"), ["band"], rows=max(1, int(HOT_ROWS * few)), sample=1.0)
-    left, right, keys = salted(left, right, ["band"], F.col("ia"), hot)
-    return left.join(right, keys).groupBy("ia", "ib").agg(F.max("blind").alias("blind"))
+        places = _places(df.withColumn("bin", F.lit(ANY)), k, name).withColumn("blind", F.lit(True))
+        names = df.where(F.col("tag").isNotNull()).select(F.col("id").alias(name), F.explode(_name_bands(k)).alias("band"), F.lit(False).alias("blind"))
+        return places.unionByName(names)
+
+    found = _agreeing(banded(a, "ia"), banded(b, "ib").drop("blind"), banded(a.sample(FEW, seed=7), "ia"))
+    return found.groupBy("ia", "ib").agg(F.max("blind").alias("blind"))
 
 
-def _pairs(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    cols = ("id", "list", "u", "v", "w", "s", "t", "stem", "num", "suf", "tag")
-    left = a.select(*(F.col(c).alias(f"{c}a" if c != "id" else "ia") for c in cols))
-    right = b.select(*(F.col(c).alias(f"{c}b" if c != "id" else "ib") for c in cols))
-    return pairs.join(left, "ia").join(right, "ib")
+def _predicted(a: DataFrame, b: DataFrame, tracks: DataFrame, known: DataFrame, k: Settings) -> DataFrame:
+    """(ia, ib): further pairs, of the detections of an epoch bin and the places where tracks should be then, that agree in a band."""
+    bins = F.broadcast(a.where("t is not null").select(F.floor("t").cast("int").alias("bin")).distinct())  # one row a year
+    ahead = b.join(tracks, b["id"] == tracks["ib"]).where("t is not null").crossJoin(bins).withColumn("dt", F.col("bin") + 0.5 - F.col("t"))
+    ahead = ahead.withColumns({"du": F.col("p0") + F.col("p1") * F.col("dt"), "dv": F.col("q0") + F.col("q1") * F.col("dt")}).where(F.hypot("du", "dv") > k.moved)
+    ahead = ahead.select("id", "bin", (F.col("u") + F.col("du")).alias("u"), (F.col("v") + F.col("dv")).alias("v"))
+    at = a.where("t is not null").select("id", F.floor("t").cast("int").alias("bin"), "u", "v")
+    found = _agreeing(_places(at, k, "ia"), _places(ahead, k, "ib"), _places(at.sample(FEW, seed=7), k, "ia"))
+    return found.select("ia", "ib").distinct().join(known, ["ia", "ib"], "left_anti")
+
+
+SIDE = ("list", "u", "v", "w", "s", "t", "num", "tag")
+
+
+def _pairs(pairs: DataFrame, a: DataFrame, b: DataFrame, k: Settings) -> DataFrame:
+    """The candidates with what they are judged by."""
+    left = a.select(F.col("id").alias("ia"), F.substring("stem", 1, 3).alias("stema"), *(F.col(c).alias(f"{c}a") for c in SIDE))
+    right = b.select(F.col("id").alias("ib"), F.substring("stem", 1, 3).alias("stemb"), *(F.col(c).alias(f"{c}b") for c in SIDE))
+    both = pairs.join(left, "ia").join(right, "ib")
+    # slips of a letter or digit are neither agreement nor contradiction
+    agree = F.when(F.col("taga").isNull() | F.col("tagb").isNull(), 0).when(F.col("taga") == F.col("tagb"), 1).when((F.col("stema") != F.col("stemb")) & (F.levenshtein("numa", "numb") >= 2), -1).otherwise(0)
+    sq = lambda c: F.pow(F.coalesce(c, F.lit(0.3)), 2)
+    out = {
+        "agree": agree.cast("byte"), "dm": F.abs(F.col("wa") - F.col("wb")).cast("float"), "dt": (F.col("ta") - F.col("tb")).cast("float"), "du": (F.col("ua") - F.col("ub")).cast("float"), "dv": (F.col("va") - F.col("vb")).cast("float"),
+        "var0": (sq("sa") + sq("sb") + k.floor**2).cast("float"), "varb": (sq("sb") + k.floor**2).cast("float"),
+    }
+    return both.select("ia", "ib", F.col("lista").cast("long"), F.col("listb").cast("long"), "blind", *(c.alias(n) for n, c in out.items()))
+
+
+#: A year or so must lie between two detections for them to tell a motion.
+APART = 0.4
+
+
+def _motions(pairs: DataFrame, k: Settings) -> DataFrame:
+    """(ib, vx, vy, votes): the motion that most lists of candidates vote for; no motion without ``votes`` lists for another."""
+    usable = pairs.where(F.abs("dt") >= APART).select("ib", "lista", (F.col("du") / F.col("dt")).alias("vx"), (F.col("dv") / F.col("dt")).alias("vy")).repartition("ib")
+    # two grids each way, half a cell apart, so that agreeing motions share a cell of one of them
+    cells = lambda c: F.array(F.floor(F.col(c) / k.speed_cell) * 2, F.floor(F.col(c) / k.speed_cell + 0.5) * 2 - 1)
+    votes = usable.withColumn("cx", F.explode(cells("vx"))).withColumn("cy", F.explode(cells("vy")))
+    each = votes.groupBy("ib", "cx", "cy", "lista").agg(F.avg("vx").alias("vx"), F.avg("vy").alias("vy"))
+    sums = each.groupBy("ib", "cx", "cy").agg(F.count("*").alias("votes"), F.avg("vx").alias("vx"), F.avg("vy").alias("vy"))
+    speed = F.hypot("vx", "vy")
+    sums = sums.where((F.col("votes") >= k.votes) | (speed < k.speed_cell))
+    best = F.max_by(F.struct("vx", "vy", "votes"), F.struct("votes", -speed, "cx", "cy"))
+    return sums.groupBy("ib").agg(best.alias("m")).select("ib", "m.*")
+
+
+def _links(pairs: DataFrame, k: Settings) -> DataFrame:
+    """The candidate of each list that lies best along its star's motion, if near enough."""
+    at = pairs.repartition("ib").join(_motions(pairs, k), "ib", "left").fillna(0.0, ["vx", "vy"]).where("dt is not null")
+    off = F.hypot(F.col("du") - F.col("vx") * F.col("dt"), F.col("dv") - F.col("vy") * F.col("dt"))
+    slack = F.sqrt(F.col("var0") + F.pow(F.when(F.col("votes") >= k.votes, k.speed_cell / 2).otherwise(k.motion) * F.col("dt"), 2))
+    # a name that agrees draws, an odd brightness repels
+    cost = F.pow(off / slack, 2) + F.pow(F.least(F.coalesce(F.col("dm"), F.lit(0.15)) / 0.15, F.lit(20.0)), 2) - 6 * F.col("agree")
+    near = at.withColumn("cost", cost).where((off < 4 * slack) & (F.coalesce("dm", F.lit(0.0)) < 3.0))
+    best = F.row_number().over(Window.partitionBy("ib", "lista").orderBy("cost", "ia"))
+    return near.withColumn("one", best).where("one = 1").withColumn("var", F.col("var0") + F.when(F.col("votes") >= k.votes, 0.04).otherwise(F.pow(k.motion * F.col("dt"), 2)))
 
 
 def _tracks(links: DataFrame) -> DataFrame:
     """Motion of each b star by a clipped straight line through its links: ib, p0, p1 (x), q0, q1 (y), n."""
     w = Window.partitionBy("ib")
-    cols = links.withColumn("wt", 1 / F.col("var")).withColumn("dt", F.col("ta") - F.col("tb"))
+    cols = links.select("ib", "dt", "du", "dv", "var", "var0", "varb").withColumn("wt", 1 / F.col("var"))
     s = lambda e: F.sum(e).over(w)
     for _ in range(2):
         n, t, tt = s(F.col("wt")), s(F.col("wt") * F.col("dt")), s(F.col("wt") * F.col("dt") * F.col("dt"))
         # the b detection itself is a point at dt = 0; a weak pull to no motion keeps short tracks sane
         n, tt = n + 1 / F.col("varb"), tt + 4.0 / 0.09
         fit = {}
-        for c, v in (("p", F.col("ua") - F.col("ub")), ("q", F.col("va") - F.col("vb"))):
+        for c, v in (("p", F.col("du")), ("q", F.col("dv"))):
             y, ty = s(F.col("wt") * v), s(F.col("wt") * F.col("dt") * v)
             det = n * tt - t * t
             fit[f"{c}1"] = (n * ty - t * y) / det
             fit[f"{c}0"] = (tt * y - t * ty) / det
         cols = cols.withColumns(fit)
-        off = F.hypot(F.col("ua") - F.col("ub") - F.col("p0") - F.col("p1") * F.col("dt"), F.col("va") - F.col("vb") - F.col("q0") - F.col("q1") * F.col("dt"))
+        off = F.hypot(F.col("du") - F.col("p0") - F.col("p1") * F.col("dt"), F.col("dv") - F.col("q0") - F.col("q1") * F.col("dt"))
         scale = F.greatest(F.sqrt("var0"), F.percentile(off, 0.5).over(w))
         cols = cols.withColumn("wt", F.when(off > 4 * scale, 1e-6).otherwise(1 / (F.col("var0") + off * off / 9)))
     good = F.count(F.when(F.col("wt") > 1e-5, 1))
@@ -220,9 +291,9 @@ def _tracks(links: DataFrame) -> DataFrame:
 
 def _features() -> Column:
     """Position and brightness of a candidate pair as numbers for the classifier."""
-    z = F.least(F.col("off") / F.sqrt("var0"), F.lit(30.0))
-    dm = F.least(F.coalesce(F.abs(F.col("wa") - F.col("wb")), F.lit(0.15)) / F.lit(0.1), F.lit(30.0))
-    return F.array(F.lit(1.0), z, F.log1p(z * z), F.log1p(F.col("off") * 10), dm, F.log1p(dm * dm), F.when(F.col("wa").isNull() | F.col("wb").isNull(), 1.0).otherwise(0.0), F.log1p("n"))
+    z = F.least(F.col("off") / F.sqrt("var1"), F.lit(30.0))
+    dm = F.least(F.coalesce("dm", F.lit(0.15)) / F.lit(0.1), F.lit(30.0))
+    return F.array(F.lit(1.0), z, F.log1p(z * z), F.log1p(F.col("off") * 10), dm, F.log1p(dm * dm), F.when(F.col("dm").isNull(), 1.0).otherwise(0.0), F.log1p("n"))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -239,46 +310,21 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-JUDGED = ["ia", "ib", "lista", "listb", "agree", "blind", "off", "n", "wa", "wb", "ta", "tb", "ua", "va", "ub", "vb", "var0", "varb"]
-LINK = ["ia", "ib", "ta", "tb", "ua", "va", "ub", "vb", "var", "var0", "varb"]
-
-
-def _sought(a: DataFrame, b: DataFrame, tracks: DataFrame, k: Settings, base: dict, agree: Column, dm: Column, dt: Column, epochs: Column) -> DataFrame:
-    """The candidates near the places where each list should show each b star, by grid cells."""
-    b2 = b.join(tracks, b["id"] == tracks["ib"], "left").drop("ib").fillna(0.0, ["p0", "p1", "q0", "q1"]).fillna(0, ["n"])
-    ahead = b2.withColumn("at", F.explode(epochs)).select("*", F.col("at.list").alias("lista"), F.col("at.te").alias("te"))
-    dte = F.coalesce(F.col("te") - F.col("t"), F.lit(0.0))
-    ahead = ahead.withColumns({"pu": F.col("u") + F.col("p0") + F.col("p1") * dte, "pv": F.col("v") + F.col("q0") + F.col("q1") * dte})
-    side, reach = 2 * k.sought, k.sought * (1 + 1e-9)
-    cell = lambda c: F.floor(c / side)
-    near = lambda c: F.sequence(cell(F.col(c) - reach), cell(F.col(c) + reach))
-    right = ahead.withColumn("cx", F.explode(near("pu"))).withColumn("cy", F.explode(near("pv"))).select("lista", "cx", "cy", F.col("id").alias("ib"), "pu", "pv", "n", *(F.col(c).alias(f"{c}b") for c in ("list", "u", "v", "w", "s", "t", "stem", "num", "tag")))
-    left = a.select(F.col("id").alias("ia"), F.col("list").alias("lista"), cell(F.col("u")).alias("cx"), cell(F.col("v")).alias("cy"), F.col("u").alias("ua"), F.col("v").alias("va"), *(F.col(c).alias(f"{c}a") for c in ("w", "s", "t", "stem", "num", "tag")))
-    keys = ["lista", "cx", "cy"]
-    left, right, keys = salted(left, right, keys, F.col("ia"), hot_keys(left, keys))
-    off = F.hypot(F.col("ua") - F.col("pu"), F.col("va") - F.col("pv"))
-    found = left.join(right, keys).withColumn("off", off).where((F.col("off") < k.sought) & (dm < 3.0))
-    found = found.withColumns({"var0": base["var0"] + F.when(F.col("n") < 3, F.pow(k.motion * dt, 2)).otherwise(0.0), "varb": base["varb"], "agree": agree, "blind": F.lit(True)})
-    return found.select(*JUDGED)
-
-
-def _judged(first: DataFrame, sought: DataFrame, tracks: DataFrame, k: Settings, dm: Column, dt: Column, epochs: Column) -> DataFrame:
-    """The candidates of the blocking, with their offsets from the tracks, and the sought ones, each pair once, with features."""
-    at = first.join(tracks, "ib", "left").fillna(0.0, ["p0", "p1", "q0", "q1"]).fillna(0, ["n"])
-    dte = F.coalesce(F.element_at(F.map_from_entries(epochs), F.col("lista")) - F.col("tb"), F.lit(0.0))
-    off = F.hypot(F.col("ua") - (F.col("ub") + F.col("p0") + F.col("p1") * dte), F.col("va") - (F.col("vb") + F.col("q0") + F.col("q1") * dte))
-    # nearer ones are all among the sought
-    far = at.withColumn("off", off).where((F.col("off") >= k.sought) & (dm < 3.0))
-    far = far.withColumn("var0", F.col("var0") + F.when(F.col("n") < 3, F.pow(k.motion * dt, 2)).otherwise(0.0)).select(*JUDGED)
-    return checkpointed(sought.unionByName(far).withColumn("f", _features()))
+def _judged(pairs: DataFrame, tracks: DataFrame, k: Settings) -> DataFrame:
+    """The candidates with their offsets from the tracks."""
+    at = pairs.join(tracks, "ib", "left").fillna(0.0, ["p0", "p1", "q0", "q1"]).fillna(0, ["n"])
+    dt = F.coalesce("dt", F.lit(0.0))
+    off = F.hypot(F.col("du") - F.col("p0") - F.col("p1") * dt, F.col("dv") - F.col("q0") - F.col("q1") * dt)
+    slow = F.when(F.col("n") < 3, F.pow(k.motion * F.coalesce("dt", F.lit(5.0)), 2)).otherwise(0.0)
+    return at.withColumns({"off": off, "var1": F.col("var0") + slow}).drop("p0", "p1", "q0", "q1")
 
 
 def _accepted(pairs: DataFrame, k: Settings) -> DataFrame:
     """The pairs with a confidence of a half at least that are each other's best in their two lists."""
-    scored = pairs.withColumn("confidence", _classifier(pairs, k))
+    scored = pairs.withColumn("confidence", _classifier(pairs.withColumn("f", _features()), k)).where(F.col("confidence") >= 0.5)
     one = F.row_number().over(Window.partitionBy("ib", "lista").orderBy(F.desc("confidence"), "off", "ia"))
     two = F.row_number().over(Window.partitionBy("ia", "listb").orderBy(F.desc("confidence"), "off", "ib"))
-    return scored.where(F.col("confidence") >= 0.5).withColumn("one", one).withColumn("two", two).where("one = 1 and two = 1")
+    return scored.withColumn("one", one).withColumn("two", two).where("one = 1 and two = 1").drop("one", "two")
 
 
 def matched(star: DataFrame, ext: DataFrame, lists: DataFrame, k: Settings = Settings()) -> DataFrame:
@@ -288,33 +334,14 @@ def matched(star: DataFrame, ext: DataFrame, lists: DataFrame, k: Settings = Set
     a, b = checkpointed(a), checkpointed(b)
     fits = _frames(a, b, k)
     a, b = _apply(a, fits), _apply(b, fits)
-    sa, sb = F.coalesce("sa", F.lit(0.3)), F.coalesce("sb", F.lit(0.3))
-    var0, dt = sa * sa + sb * sb + k.floor**2, F.coalesce(F.col("ta") - F.col("tb"), F.lit(5.0))
-    base = {"var0": var0, "varb": sb * sb + k.floor**2, "var": var0 + F.pow(k.motion * dt, 2)}
-    # slips of a letter or digit are neither agreement nor contradiction
-    agree = F.when(F.col("taga").isNull() | F.col("tagb").isNull(), 0).when(F.col("taga") == F.col("tagb"), 1).when((F.substring("stema", 1, 3) != F.substring("stemb", 1, 3)) & (F.levenshtein("numa", "numb") >= 2), -1).otherwise(0)
-    dm = F.coalesce(F.abs(F.col("wa") - F.col("wb")), F.lit(0.15))
-
-    # tentative links: the best of each b star in each list, and the other way round
-    first = _pairs(_candidates(a, b, k), a, b).withColumns(base).withColumn("agree", agree).where(dm < 3.0)
-    first = checkpointed(first.select("ia", "ib", "lista", "listb", "agree", "blind", "wa", "wb", "ta", "tb", "ua", "va", "ub", "vb", "var0", "varb", "var"))
-    near = first.withColumn("d", F.hypot(F.col("ua") - F.col("ub"), F.col("va") - F.col("vb")))
-    near = near.where((dm < 0.6) & ((F.col("d") < 4 * F.sqrt("var")) | (F.col("agree") == 1) & (F.col("d") < 60)))
-    near = near.withColumn("cost", F.col("d") * F.col("d") / F.col("var") / F.when(F.col("agree") == 1, 20.0).otherwise(1.0) + F.pow(dm / 0.15, 2) - 6 * F.col("agree"))
-    one = F.row_number().over(Window.partitionBy("ib", "lista").orderBy("cost", "ia"))
-    two = F.row_number().over(Window.partitionBy("ia", "listb").orderBy("cost", "ib"))
-    links = near.withColumn("one", one).withColumn("two", two).where("one = 1 and two = 1 and ta is not null and tb is not null")
-    # a name that agrees vouches for a fast star: its place then counts in full
-    links = links.withColumn("var", F.when(F.col("agree") == 1, F.col("var0")).otherwise(F.col("var")))
-    epochs = _epochs(a.groupBy("list").agg(F.percentile_approx("t", 0.5).alias("te")).withColumnRenamed("list", "lista"))
-
-    def judged(links: DataFrame) -> DataFrame:
-        tracks = checkpointed(_tracks(links.select(*LINK)))
-        return _judged(first, _sought(a, b, tracks, k, base, agree, dm, dt, epochs), tracks, k, dm, dt, epochs)
-
+    first = checkpointed(_pairs(_candidates(a, b, k), a, b, k))
+    tracks = checkpointed(_tracks(_links(first, k)))
+    known = first.select("ia", "ib")
     # once more with the motions that the accepted pairs show
-    links = _accepted(judged(links), k).where("ta is not null and tb is not null").withColumn("var", F.col("var0") + 0.04)
-    best = _accepted(judged(links), k).select("ia", "ib", "confidence")
+    links = _accepted(_judged(first, tracks, k), k).where("dt is not null").withColumn("var", F.col("var0") + 0.04)
+    tracks = checkpointed(_tracks(links).unionByName(tracks.join(links.select("ib"), "ib", "left_anti")))
+    second = checkpointed(_pairs(_predicted(a, b, tracks, known, k).withColumn("blind", F.lit(True)), a, b, k))
+    best = _accepted(_judged(first.unionByName(second), tracks, k), k).select("ia", "ib", "confidence")
     # every copy
     same = lambda df, key: df.select(F.col(key).cast("long").alias("id"), F.col("list_id").cast("long").alias("list"), finite("x").alias("x"), finite("y").alias("y"), finite("m").alias("m"))
     eq = lambda p, q: (p["list"] == q["list"]) & (p["x"] == q["x"]) & (p["y"] == q["y"]) & p["m"].eqNullSafe(q["m"])
@@ -327,14 +354,6 @@ def matched(star: DataFrame, ext: DataFrame, lists: DataFrame, k: Settings = Set
     return out.select("row_id", "ext_id", "confidence")
 
 
-def _epochs(epochs: DataFrame) -> Column:
-    """The lists and their times as an array literal: one entry a list."""
-    rows = sorted((r["lista"], r["te"]) for r in epochs.collect())
-    if not rows:
-        return F.array().cast("array<struct<list:bigint,te:double>>")
-    return F.array(*(F.struct(F.lit(i).cast("long").alias("list"), F.lit(t).cast("double").alias("te")) for i, t in rows))
-
-
 def _posterior(logit: np.ndarray, agree: np.ndarray, wrong: float, chance: float) -> np.ndarray:
     """The chance of a match given position and brightness (logit) and whether the names agree."""
     p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
@@ -345,7 +364,7 @@ def _posterior(logit: np.ndarray, agree: np.ndarray, wrong: float, chance: float
 def _classifier(pairs: DataFrame, k: Settings) -> Column:
     """The calibrated confidence of a candidate pair as an expression."""
     h = F.pmod(F.xxhash64("ib"), F.lit(1_000_000))
-    labelled = pairs.where("agree <> 0 and blind").select((F.col("agree") == 1).cast("int").alias("y"), "f", F.pmod(h, F.lit(2)).alias("half"), F.xxhash64("ia", "ib").alias("o"))
+    labelled = pairs.where((F.col("agree") != 0) & F.col("blind") & (F.col("off") < k.taught)).select((F.col("agree") == 1).cast("int").alias("y"), "f", F.pmod(h, F.lit(2)).alias("half"), F.xxhash64("ia", "ib").alias("o"))
     rows = labelled.orderBy("o").limit(k.sample).select("y", "f", "half").toPandas()
     wrong, chance = 0.08, 0.01  # how often a match's names contradict and a chance pair's agree: starting values
     if len(rows) < 30 or rows["y"].nunique() < 2:
@@ -363,7 +382,7 @@ def _classifier(pairs: DataFrame, k: Settings) -> Column:
             chance = float(np.clip((1 - soft[train]) @ y[train] / max((1 - soft[train]).sum(), 1e-9), 1e-4, 0.2))
         # Platt's calibration on the held-out stars
         shift, scale = _logistic(np.c_[np.ones(held.sum()), x[held] @ w], _posterior(x[held] @ w, y[held], wrong, chance))
-    logit = F.lit(float(shift)) + F.lit(float(scale)) * F.aggregate(F.zip_with("f", F.array(*(F.lit(float(v)) for v in w)), lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    logit = F.lit(float(shift)) + F.lit(float(scale)) * F.aggregate(F.zip_with(_features(), F.array(*(F.lit(float(v)) for v in w)), lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     yes, no = np.log((1 - wrong) / chance), np.log(wrong / (1 - chance))
     odds = logit + F.when(F.col("agree") == 1, F.lit(float(yes))).when(F.col("agree") == -1, F.lit(float(no))).otherwise(0.0)
     return 1 / (1 + F.exp(-odds))
