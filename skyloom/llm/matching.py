@@ -45,10 +45,9 @@ class Settings:
     floor: float = 0.05  # error of a frame in pixels
     mag_floor: float = 0.08  # scatter of magnitudes between filters
     speed_cell: float = 0.2  # side of the cells of velocity that candidates vote for, in pixels a year
-    votes: int = 3  # lists that must vote for a motion other than none
+    votes: int = 3  # votes that a motion other than none needs at least
     moved: float = 1.0  # pixels off the own place from which on a predicted place is blocked anew
     serial: float = 0.1  # a name stem with a larger share of a collection's rows is numbering
-    taught: float = 3.0  # pairs farther off their track are judged too, but teach the classifier nothing
     sample: int = 60_000  # most labelled pairs that the classifier is fitted on
 
 
@@ -236,34 +235,37 @@ def _pairs(pairs: DataFrame, a: DataFrame, b: DataFrame, k: Settings) -> DataFra
     return both.select("ia", "ib", F.col("lista").cast("long"), F.col("listb").cast("long"), "blind", *(c.alias(n) for n, c in out.items()))
 
 
-#: A year or so must lie between two detections for them to tell a motion.
-APART = 0.4
+#: Years that must lie between two detections for them to tell a motion, and magnitudes within which a candidate may vote.
+APART, ALIKE = 0.4, 1.0
 
 
 def _motions(pairs: DataFrame, k: Settings) -> DataFrame:
-    """(ib, vx, vy, votes): the motion that most lists of candidates vote for; no motion without ``votes`` lists for another."""
-    usable = pairs.where(F.abs("dt") >= APART).select("ib", "lista", (F.col("du") / F.col("dt")).alias("vx"), (F.col("dv") / F.col("dt")).alias("vy")).repartition("ib")
+    """(ib, vx, vy): the motions that more lists vote for than for standing still; ``votes`` votes at least, names that agree counting twice."""
+    usable = pairs.where((F.coalesce("dm", F.lit(0.0)) < ALIKE) & F.col("dt").isNotNull()).select("ib", "lista", "agree", "dt", "du", "dv", "var0").repartition("ib")
+    still = F.hypot("du", "dv") < 4 * F.sqrt(F.col("var0") + F.pow(k.motion * F.col("dt"), 2))
+    vx, vy = F.col("du") / F.col("dt"), F.col("dv") / F.col("dt")
     # two grids each way, half a cell apart, so that agreeing motions share a cell of one of them
-    cells = lambda c: F.array(F.floor(F.col(c) / k.speed_cell) * 2, F.floor(F.col(c) / k.speed_cell + 0.5) * 2 - 1)
-    votes = usable.withColumn("cx", F.explode(cells("vx"))).withColumn("cy", F.explode(cells("vy")))
-    each = votes.groupBy("ib", "cx", "cy", "lista").agg(F.avg("vx").alias("vx"), F.avg("vy").alias("vy"))
-    sums = each.groupBy("ib", "cx", "cy").agg(F.count("*").alias("votes"), F.avg("vx").alias("vx"), F.avg("vy").alias("vy"))
-    speed = F.hypot("vx", "vy")
-    sums = sums.where((F.col("votes") >= k.votes) | (speed < k.speed_cell))
-    best = F.max_by(F.struct("vx", "vy", "votes"), F.struct("votes", -speed, "cx", "cy"))
-    return sums.groupBy("ib").agg(best.alias("m")).select("ib", "m.*")
+    cells = lambda v: (F.floor(v / k.speed_cell) * 2, F.floor(v / k.speed_cell + 0.5) * 2 - 1)
+    at = lambda moving, cx, cy, x, y: F.struct(F.lit(moving).alias("moving"), cx.alias("cx"), cy.alias("cy"), x.alias("vx"), y.alias("vy"))
+    none = F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(0.0), F.lit(0.0)
+    ballots = [F.when(still, at(False, *none)), *(F.when(F.abs("dt") >= APART, at(True, cx, cy, vx, vy)) for cx in cells(vx) for cy in cells(vy))]
+    votes = usable.select("ib", "lista", "agree", F.explode(F.array_compact(F.array(*ballots))).alias("v")).select("ib", "lista", "agree", "v.*")
+    each = votes.groupBy("ib", "moving", "cx", "cy", "lista").agg(F.avg("vx").alias("vx"), F.avg("vy").alias("vy"), F.max(F.when(F.col("agree") == 1, 1).otherwise(0)).alias("named"))
+    sums = each.groupBy("ib", "moving", "cx", "cy").agg((F.count("*") + F.sum("named")).alias("votes"), F.avg("vx").alias("vx"), F.avg("vy").alias("vy"))
+    best = F.max_by(F.struct("moving", "vx", "vy"), F.struct("votes", ~F.col("moving"), -F.hypot("vx", "vy"), "cx", "cy"))
+    return sums.where((F.col("votes") >= k.votes) | ~F.col("moving")).groupBy("ib").agg(best.alias("m")).select("ib", "m.*").where("moving")
 
 
 def _links(pairs: DataFrame, k: Settings) -> DataFrame:
     """The candidate of each list that lies best along its star's motion, if near enough."""
     at = pairs.repartition("ib").join(_motions(pairs, k), "ib", "left").fillna(0.0, ["vx", "vy"]).where("dt is not null")
     off = F.hypot(F.col("du") - F.col("vx") * F.col("dt"), F.col("dv") - F.col("vy") * F.col("dt"))
-    slack = F.sqrt(F.col("var0") + F.pow(F.when(F.col("votes") >= k.votes, k.speed_cell / 2).otherwise(k.motion) * F.col("dt"), 2))
+    slack = F.sqrt(F.col("var0") + F.pow(F.when(F.col("moving"), k.speed_cell / 2).otherwise(k.motion) * F.col("dt"), 2))
     # a name that agrees draws, an odd brightness repels
     cost = F.pow(off / slack, 2) + F.pow(F.least(F.coalesce(F.col("dm"), F.lit(0.15)) / 0.15, F.lit(20.0)), 2) - 6 * F.col("agree")
     near = at.withColumn("cost", cost).where((off < 4 * slack) & (F.coalesce("dm", F.lit(0.0)) < 3.0))
     best = F.row_number().over(Window.partitionBy("ib", "lista").orderBy("cost", "ia"))
-    return near.withColumn("one", best).where("one = 1").withColumn("var", F.col("var0") + F.when(F.col("votes") >= k.votes, 0.04).otherwise(F.pow(k.motion * F.col("dt"), 2)))
+    return near.withColumn("one", best).where("one = 1").withColumn("var", F.col("var0") + F.when(F.col("moving"), 0.04).otherwise(F.pow(k.motion * F.col("dt"), 2)))
 
 
 def _tracks(links: DataFrame) -> DataFrame:
@@ -364,7 +366,7 @@ def _posterior(logit: np.ndarray, agree: np.ndarray, wrong: float, chance: float
 def _classifier(pairs: DataFrame, k: Settings) -> Column:
     """The calibrated confidence of a candidate pair as an expression."""
     h = F.pmod(F.xxhash64("ib"), F.lit(1_000_000))
-    labelled = pairs.where((F.col("agree") != 0) & F.col("blind") & (F.col("off") < k.taught)).select((F.col("agree") == 1).cast("int").alias("y"), "f", F.pmod(h, F.lit(2)).alias("half"), F.xxhash64("ia", "ib").alias("o"))
+    labelled = pairs.where("agree <> 0 and blind").select((F.col("agree") == 1).cast("int").alias("y"), "f", F.pmod(h, F.lit(2)).alias("half"), F.xxhash64("ia", "ib").alias("o"))
     rows = labelled.orderBy("o").limit(k.sample).select("y", "f", "half").toPandas()
     wrong, chance = 0.08, 0.01  # how often a match's names contradict and a chance pair's agree: starting values
     if len(rows) < 30 or rows["y"].nunique() < 2:

@@ -194,3 +194,32 @@ def test_names_of_any_frequency_are_blocked(spark):
     b = spark.createDataFrame([(9_000, 100.0 * 44, 30.0, "zyr", "7", "", "zyr7")], cols)
     got = {(r.ia, r.ib, r.blind) for r in matching._candidates(a, b, matching.Settings()).collect()}
     assert got == {(i, 9_000, False) for i in range(510)}
+
+
+def test_nothing_is_matched_without_bands(spark, monkeypatch):
+    """Every judged pair comes from the blocking: with no band agreeing there is no result."""
+    star, ext, _ = observed(random.Random(6))
+    lists = spark.createDataFrame([(0, 2012.0), (1, 2016.0), (2, 2021.0), (61, 2015.0)], "list_id long, list_time double")
+    agreeing = matching._agreeing
+    monkeypatch.setattr(matching, "_agreeing", lambda *x: agreeing(*x).where(F.lit(False)))
+    assert matching.matched(spark.createDataFrame(star, STAR), spark.createDataFrame(ext, EXT), lists).count() == 0
+
+
+def test_fast_stars_without_names(spark):
+    """Stars of two pixels a year are found in lists years away, by their candidates' votes and the places they are predicted at."""
+    rng = random.Random(7)
+    times = [2011.0, 2012.5, 2014.2, 2014.6, 2015.6, 2016.1, 2018.0, 2022.0]
+    stars = [(rng.uniform(0, 900), rng.uniform(0, 900), rng.uniform(12, 19), *(rng.gauss(0, 0.05) for _ in "xy")) for _ in range(400)]
+    fast = [(rng.uniform(50, 850), rng.uniform(50, 850), rng.uniform(12, 19), *rng.choice([(2.0, 0.5), (-1.5, 1.5), (0.3, -2.2)])) for _ in range(12)]
+    star, ext, far = [], [], {}
+    for i, (x, y, m, vx, vy) in enumerate(stars + fast):
+        name = f"{rng.choice(['wen', 'tel', 'zar', 'kal'])}{rng.choice(['dra', 'mun', ''])}{i + 11}" if i < 400 else None
+        ext.append((10_000 + i, 61, name, x, y, m, 0.05, 0.05, 0.02, 2015.0, 0))
+        for lst, t in enumerate(times):
+            star.append((len(star) + 1, lst, name, x + vx * (t - 2015) + rng.gauss(0, 0.05), y + vy * (t - 2015) + rng.gauss(0, 0.05), m + rng.gauss(0, 0.04), 0.05, 0.05, t, 0))
+            if i >= 400:
+                d = abs(t - 2015) * (vx * vx + vy * vy) ** 0.5
+                far.setdefault("near" if d < 4 else "middle" if d < 8 else "far", set()).add((len(star), 10_000 + i))
+    lists = spark.createDataFrame([*enumerate(times), (61, 2015.0)], "list_id long, list_time double")
+    got = {(r.row_id, r.ext_id) for r in matching.matched(spark.createDataFrame(star, STAR), spark.createDataFrame(ext, EXT), lists).collect()}
+    assert all(len(got & part) / len(part) >= 0.9 for part in far.values()) and len(far["far"]) > 10
