@@ -45,7 +45,8 @@ class Settings:
     floor: float = 0.05  # error of a frame in pixels
     mag_floor: float = 0.08  # scatter of magnitudes between filters
     speed_cell: float = 0.2  # side of the cells of velocity that candidates vote for, in pixels a year
-    votes: int = 3  # votes that a motion other than none needs at least
+    votes: int = 3  # votes that a motion other than none needs at least; a list votes once, with a name that agrees three times
+    fastest: float = 10.0  # pixels a year beyond which no motion is drafted
     moved: float = 1.0  # pixels off the own place from which on a predicted place is blocked anew
     serial: float = 0.1  # a name stem with a larger share of a collection's rows is numbering
     sample: int = 60_000  # most labelled pairs that the classifier is fitted on
@@ -240,7 +241,7 @@ APART, ALIKE = 0.4, 1.0
 
 
 def _motions(pairs: DataFrame, k: Settings) -> DataFrame:
-    """(ib, vx, vy): the motions that more lists vote for than for standing still; ``votes`` votes at least, names that agree counting twice."""
+    """(ib, vx, vy): the motions that more lists vote for than for standing still; ``votes`` votes at least."""
     usable = pairs.where((F.coalesce("dm", F.lit(0.0)) < ALIKE) & F.col("dt").isNotNull()).select("ib", "lista", "agree", "dt", "du", "dv", "var0").repartition("ib")
     still = F.hypot("du", "dv") < 4 * F.sqrt(F.col("var0") + F.pow(k.motion * F.col("dt"), 2))
     vx, vy = F.col("du") / F.col("dt"), F.col("dv") / F.col("dt")
@@ -248,9 +249,9 @@ def _motions(pairs: DataFrame, k: Settings) -> DataFrame:
     cells = lambda v: (F.floor(v / k.speed_cell) * 2, F.floor(v / k.speed_cell + 0.5) * 2 - 1)
     at = lambda moving, cx, cy, x, y: F.struct(F.lit(moving).alias("moving"), cx.alias("cx"), cy.alias("cy"), x.alias("vx"), y.alias("vy"))
     none = F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(0.0), F.lit(0.0)
-    ballots = [F.when(still, at(False, *none)), *(F.when(F.abs("dt") >= APART, at(True, cx, cy, vx, vy)) for cx in cells(vx) for cy in cells(vy))]
+    ballots = [F.when(still, at(False, *none)), *(F.when((F.abs("dt") >= APART) & (F.hypot(vx, vy) <= k.fastest), at(True, cx, cy, vx, vy)) for cx in cells(vx) for cy in cells(vy))]
     votes = usable.select("ib", "lista", "agree", F.explode(F.array_compact(F.array(*ballots))).alias("v")).select("ib", "lista", "agree", "v.*")
-    each = votes.groupBy("ib", "moving", "cx", "cy", "lista").agg(F.avg("vx").alias("vx"), F.avg("vy").alias("vy"), F.max(F.when(F.col("agree") == 1, 1).otherwise(0)).alias("named"))
+    each = votes.groupBy("ib", "moving", "cx", "cy", "lista").agg(F.avg("vx").alias("vx"), F.avg("vy").alias("vy"), F.max(F.when(F.col("agree") == 1, 2).otherwise(0)).alias("named"))
     sums = each.groupBy("ib", "moving", "cx", "cy").agg((F.count("*") + F.sum("named")).alias("votes"), F.avg("vx").alias("vx"), F.avg("vy").alias("vy"))
     best = F.max_by(F.struct("moving", "vx", "vy"), F.struct("votes", ~F.col("moving"), -F.hypot("vx", "vy"), "cx", "cy"))
     return sums.where((F.col("votes") >= k.votes) | ~F.col("moving")).groupBy("ib").agg(best.alias("m")).select("ib", "m.*").where("moving")
@@ -258,7 +259,7 @@ def _motions(pairs: DataFrame, k: Settings) -> DataFrame:
 
 def _links(pairs: DataFrame, k: Settings) -> DataFrame:
     """The candidate of each list that lies best along its star's motion, if near enough."""
-    at = pairs.repartition("ib").join(_motions(pairs, k), "ib", "left").fillna(0.0, ["vx", "vy"]).where("dt is not null")
+    at = pairs.repartition("ib").join(_motions(pairs, k), "ib", "left").fillna(0.0, ["vx", "vy"]).where("dt is not null").withColumn("v2", F.expr("vx * vx + vy * vy"))
     off = F.hypot(F.col("du") - F.col("vx") * F.col("dt"), F.col("dv") - F.col("vy") * F.col("dt"))
     slack = F.sqrt(F.col("var0") + F.pow(F.when(F.col("moving"), k.speed_cell / 2).otherwise(k.motion) * F.col("dt"), 2))
     # a name that agrees draws, an odd brightness repels
@@ -268,15 +269,15 @@ def _links(pairs: DataFrame, k: Settings) -> DataFrame:
     return near.withColumn("one", best).where("one = 1").withColumn("var", F.col("var0") + F.when(F.col("moving"), 0.04).otherwise(F.pow(k.motion * F.col("dt"), 2)))
 
 
-def _tracks(links: DataFrame) -> DataFrame:
+def _tracks(links: DataFrame, k: Settings) -> DataFrame:
     """Motion of each b star by a clipped straight line through its links: ib, p0, p1 (x), q0, q1 (y), n."""
     w = Window.partitionBy("ib")
-    cols = links.select("ib", "dt", "du", "dv", "var", "var0", "varb").withColumn("wt", 1 / F.col("var"))
+    cols = links.select("ib", "dt", "du", "dv", "var", "var0", "varb", "v2").withColumn("wt", 1 / F.col("var"))
     s = lambda e: F.sum(e).over(w)
     for _ in range(2):
         n, t, tt = s(F.col("wt")), s(F.col("wt") * F.col("dt")), s(F.col("wt") * F.col("dt") * F.col("dt"))
-        # the b detection itself is a point at dt = 0; a weak pull to no motion keeps short tracks sane
-        n, tt = n + 1 / F.col("varb"), tt + 4.0 / 0.09
+        # the b detection itself is a point at dt = 0; a pull to no motion, weaker the faster the drafted motion, keeps short tracks sane
+        n, tt = n + 1 / F.col("varb"), tt + 1 / (k.motion**2 + F.col("v2"))
         fit = {}
         for c, v in (("p", F.col("du")), ("q", F.col("dv"))):
             y, ty = s(F.col("wt") * v), s(F.col("wt") * F.col("dt") * v)
@@ -318,7 +319,7 @@ def _judged(pairs: DataFrame, tracks: DataFrame, k: Settings) -> DataFrame:
     dt = F.coalesce("dt", F.lit(0.0))
     off = F.hypot(F.col("du") - F.col("p0") - F.col("p1") * dt, F.col("dv") - F.col("q0") - F.col("q1") * dt)
     slow = F.when(F.col("n") < 3, F.pow(k.motion * F.coalesce("dt", F.lit(5.0)), 2)).otherwise(0.0)
-    return at.withColumns({"off": off, "var1": F.col("var0") + slow}).drop("p0", "p1", "q0", "q1")
+    return at.withColumns({"off": off, "var1": F.col("var0") + slow, "v2": F.expr("p1 * p1 + q1 * q1")}).drop("p0", "p1", "q0", "q1")
 
 
 def _accepted(pairs: DataFrame, k: Settings) -> DataFrame:
@@ -337,11 +338,11 @@ def matched(star: DataFrame, ext: DataFrame, lists: DataFrame, k: Settings = Set
     fits = _frames(a, b, k)
     a, b = _apply(a, fits), _apply(b, fits)
     first = checkpointed(_pairs(_candidates(a, b, k), a, b, k))
-    tracks = checkpointed(_tracks(_links(first, k)))
+    tracks = checkpointed(_tracks(_links(first, k), k))
     known = first.select("ia", "ib")
     # once more with the motions that the accepted pairs show
     links = _accepted(_judged(first, tracks, k), k).where("dt is not null").withColumn("var", F.col("var0") + 0.04)
-    tracks = checkpointed(_tracks(links).unionByName(tracks.join(links.select("ib"), "ib", "left_anti")))
+    tracks = checkpointed(_tracks(links, k).unionByName(tracks.join(links.select("ib"), "ib", "left_anti")))
     second = checkpointed(_pairs(_predicted(a, b, tracks, known, k).withColumn("blind", F.lit(True)), a, b, k))
     best = _accepted(_judged(first.unionByName(second), tracks, k), k).select("ia", "ib", "confidence")
     # every copy
