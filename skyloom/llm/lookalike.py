@@ -24,16 +24,21 @@ from pyspark.sql import types as T
 from skyloom.common import checkpointed, free_name
 from skyloom.operators.hot import hot_keys, salted
 
-# Letters of Cyrillic and Greek that look like a Latin one, as pairs.
-CYRILLIC = dict(zip("асеорхуіјѕԁһԛԝАВЕЅІЈКМНОРСТХУԌ", "aceopxyijsdhqwABESIJKMHOPCTXYG"))
-GREEK = dict(zip("ονΑΒΕΖΗΙΚΜΝΟΡΤΥΧϳ", "ovABEZHIKMNOPTYXj"))
+# Letters that the published tables of confusable characters give as looking like a Latin letter, as pairs, each script's
+# own letters by turns with the Latin ones. Of two letters that look like the same Latin one the first is put back in its place.
+CONFUSABLE = {
+    "cyrillic": "аa гr еe оo рp сc уy хx ѕs іi јj һh ӏl ԁd ԛq ԝw ѡw ѵv үy АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX ҮY ѴV ԌG ԚQ ԜW",
+    "greek": "αa γy ιi νv οo ρp σo υu ϳj ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX",
+    "armenian": "օo սu ոn հh ցg զq յj ռn ՕO ՍU ՏS",
+    "cherokee": "ᎠD ᎡR ᎢT Ꭵi ᎪA ᎫJ ᎬE ᎳW ᎷM ᎻH ᎽY ᏀG ᏃZ ᏟC ᏢP ᏦK ᏙV ᏚS ᏞL ᏴB",
+}
 # Characters without a picture of their own, and the marks that make one picture of several emoji.
 INVISIBLE = "\u00ad\u034f\u061c\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufeff"
 JOINER = "\u200d"
 SAME_SIGN = {"\u2010": "-", "\u2011": "-", "\u00b5": "\u03bc", "\r": "\n", "\u2028": "\n", "\u2029": "\n", "\x85": "\n", "\t": " "}
 
-TO_LATIN = CYRILLIC | GREEK
-FROM_LATIN = {"cyrillic": {v: k for k, v in CYRILLIC.items()}, "greek": {v: k for k, v in GREEK.items()}}
+TO_LATIN = {p[0]: p[1] for pairs in CONFUSABLE.values() for p in pairs.split()}
+FROM_LATIN = {script: {p[1]: p[0] for p in reversed(pairs.split())} for script, pairs in CONFUSABLE.items()}
 TOKEN = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f])*")
 INVISIBLES = re.compile(f"[{INVISIBLE}]+")
 
@@ -50,7 +55,6 @@ class Table(dict):
         return found
 
 
-@lru_cache(maxsize=4096)
 def _one(c: str) -> str:
     """The plain form of a character, where it differs only in width, style or being joined."""
     if unicodedata.category(c) == "Zs":
@@ -64,6 +68,9 @@ def _one(c: str) -> str:
     return SAME_SIGN.get(c, c)
 
 
+PLAIN = Table(_one)
+
+
 def _emoji(c: str) -> bool:
     return unicodedata.category(c) in ("So", "Sk") or c in "\ufe0f\u2640\u2642"
 
@@ -79,7 +86,7 @@ def plain(text: str) -> str:
     if text.isascii():
         return text.replace("\r\n", "\n").replace("\r", "\n").replace("\t", " ")
     text = INVISIBLES.sub(_seen, text.replace("\r\n", "\n"))
-    return unicodedata.normalize("NFD", "".join(map(_one, text)))
+    return unicodedata.normalize("NFD", text.translate(PLAIN))
 
 
 @lru_cache(maxsize=4096)
@@ -91,15 +98,25 @@ def _script(c: str) -> str:
         return "greek"
     if 0x400 <= o < 0x530:
         return "cyrillic"
+    if 0x530 <= o < 0x590:
+        return "armenian"
+    if 0x13A0 <= o < 0x1400:
+        return "cherokee"
     return "other"
 
 
 def _own(letters: str) -> str | None:
-    """The script of the letters that no other script has alike, if they agree on one."""
+    """The script of the letters that no other script of the token has alike, if they agree on one."""
+    return _own_known(letters) if len(letters) < 40 else _own_known.__wrapped__(letters)
+
+
+@lru_cache(maxsize=100_000)
+def _own_known(letters: str) -> str | None:
+    others = {s for c in letters if (s := _script(c)) in FROM_LATIN} or FROM_LATIN.keys()
     found = None
     for c in letters:
         s = _script(c)
-        if s == "latin" and (c in FROM_LATIN["cyrillic"] or c in FROM_LATIN["greek"]) or c in TO_LATIN or unicodedata.combining(c):
+        if c in TO_LATIN or unicodedata.combining(c) or s == "latin" and any(c in FROM_LATIN[o] for o in others):
             continue
         if s == "other" or found not in (None, s):
             return "mixed"
@@ -108,9 +125,11 @@ def _own(letters: str) -> str | None:
 
 
 def _to(token: str, script: str) -> str:
-    latin = "".join(TO_LATIN.get(c, c) for c in token)
+    """The token with the letters of other scripts changed to those of ``script`` that look like them."""
     back = FROM_LATIN.get(script)
-    return latin if back is None else "".join(back.get(c, c) for c in latin)
+    if back is None:
+        return "".join(TO_LATIN.get(c, c) for c in token)
+    return "".join(c if _script(c) == script else back.get(TO_LATIN.get(c, c), c) for c in token)
 
 
 def repairs(text: str) -> list[tuple[int, str, str]]:
@@ -161,12 +180,20 @@ def _finished(texts: pd.Series, words: pd.Series) -> pd.Series:
     return pd.Series([repaired(plain(t), set(w) if w is not None else set()) for t, w in zip(texts, words)], dtype=object)
 
 
+ASCII = r"^[\x00-\x7F]*\z"
+
+
 def _scanned(text: str):
-    """struct(plain, old, new): the form of a text without doubtful tokens, or its tokens and what they would be repaired to."""
-    return F.pandas_udf(_prepared, PREPARED)(text)
+    """struct(plain, old, new): the form of a text without doubtful tokens, or its tokens and what they would be repaired to. Only texts beyond ASCII go to Python."""
+    simple = F.translate(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")), "\r\t", "\n ")
+    none = F.array().cast("array<string>")
+    other = F.pandas_udf(_prepared, PREPARED)(F.when(~F.rlike(text, F.lit(ASCII)), F.col(text)))
+    return F.when(F.rlike(text, F.lit(ASCII)), F.struct(simple.alias("plain"), none.alias("old"), none.alias("new"))).otherwise(other)
 
 
 WORD = r"\p{L}[\p{L}\p{M}]*"
+#: Words sought in the corpus that are sent to all executors; with more the texts' words are shuffled instead, to the same result.
+FEW_WORDS = 1_000_000
 
 
 def _good_words(doubtful: DataFrame, texts: DataFrame) -> DataFrame:
@@ -174,8 +201,11 @@ def _good_words(doubtful: DataFrame, texts: DataFrame) -> DataFrame:
     pairs = checkpointed(doubtful.select(F.explode(F.arrays_zip("old", "new")).alias("z")).select(F.col("z.new").alias("word"), F.col("z.old").alias("written")).distinct())
     # as texts have them: composed or decomposed
     wanted = pairs.select("word").distinct().select("word", F.explode(F.array_distinct(F.array("word", F.pandas_udf(_composed, T.StringType())("word")))).alias("w"))
-    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)))).alias("w")).distinct()
-    genuine = wanted.join(words, "w", "left_semi").select("word", F.col("word").alias("written"))
+    wanted = checkpointed(wanted)
+    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)))).alias("w"))
+    if wanted.count() <= FEW_WORDS:  # sought where the texts lie; else words are made distinct before they travel
+        words = words.join(F.broadcast(wanted.select("w").distinct()), "w", "left_semi")
+    genuine = wanted.join(words.distinct(), "w", "left_semi").select("word", F.col("word").alias("written"))
     return pairs.unionByName(genuine).groupBy("word").agg(F.countDistinct("written").alias("n")).where(F.col("n") > 1).select("word")
 
 
@@ -206,19 +236,35 @@ def one_form(df: DataFrame, text: str = "text") -> DataFrame:
     return clear.unionByName(mended)
 
 
-def same_look(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id_1 < doc_id_2) of the non-empty texts that differ in their characters but have one form.
-
-    Texts stay where they are; digests of texts and forms travel, and the doubtful texts. Pairs are made between classes of equal texts
-    within one form and members join afterwards, so no pair of equal texts ever arises.
-    """
+def _looks(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(k, digest, form): of every non-empty text the digests of itself and of its form."""
     base = df.where(F.col(key).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("k"), F.col(text).alias("_t"))
     scanned = base.select("k", "_t", _scanned("_t").alias("p"))
     fair = F.size("p.old") == 0
     seen = checkpointed(scanned.select("k", F.md5("_t").alias("digest"), F.when(fair, F.md5("p.plain")).alias("form"), F.when(~fair, F.col("_t")).alias("_t"), "p.old", "p.new"))
     doubtful = seen.where(F.col("form").isNull())
-    repaired_forms = _repaired(doubtful, base.select("_t")).select("digest", F.md5("one_form").alias("form"))
-    looks = checkpointed(seen.where(F.col("form").isNotNull()).select("k", "digest", "form").unionByName(doubtful.select("k", "digest").join(repaired_forms, "digest").select("k", "digest", "form")))
+    forms = _repaired(doubtful, base.select("_t")).select("digest", F.md5("one_form").alias("form"))
+    return checkpointed(seen.where(F.col("form").isNotNull()).select("k", "digest", "form").unionByName(doubtful.select("k", "digest").join(forms, "digest").select("k", "digest", "form")))
+
+
+def look_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, class_id, members, spellings): of every non-empty text its class of texts that look the same, told by the least id in it,
+    with the class's number of texts and of different texts. One row a text however large a class is."""
+    looks = _looks(df, key, text)
+    each = looks.groupBy("form", "digest").agg(F.min("k").alias("k"), F.count("*").alias("n"))  # copies first, so a large class is small
+    classes = each.groupBy("form").agg(F.min("k").alias("class_id"), F.sum("n").alias("members"), F.count("*").alias("spellings"))
+    left, right, keys = salted(looks, classes, ["form"], F.col("k"), hot_keys(looks, ["form"]))
+    return left.join(right, keys).select(F.col("k").alias("doc_id"), "class_id", "members", "spellings").distinct()
+
+
+def same_look(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id_1 < doc_id_2) of the non-empty texts that differ in their characters but have one form.
+
+    Texts stay where they are; digests of texts and forms travel, and the doubtful texts. Pairs are made between classes of equal texts
+    within one form and members join afterwards, so no pair of equal texts ever arises. A class of many spellings has as many
+    pairs as there are; ``look_classes`` gives the same in one row a text.
+    """
+    looks = _looks(df, key, text)
     classes = looks.groupBy("form", "digest").agg(F.count("*").alias("n"))
     shared = classes.groupBy("form").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("form")
     classes = checkpointed(classes.select("form", "digest").join(shared, "form"))

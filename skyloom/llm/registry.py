@@ -33,10 +33,20 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p7_stretched(spark: SparkSession, d: str) -> DataFrame:
+    """The shares of a mix twice as large as all sources can fill: what some lack goes to others near them in the tree."""
+    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"), stretch=2.0)[1]
+
+
+def p8_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every review's class of reviews that look the same."""
+    return lookalike.look_classes(table(spark, d, "documents"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Reviews that look the same but differ in their characters."""
     return lookalike.same_look(table(spark, d, "documents"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_pairs": p5_pairs, "p6_found": p6_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
+QUERIES = {f.__name__: f for f in (p5_found, p5_pairs, p6_found, p7_mix, p7_shares, p7_stretched, p8_classes, p8_found)}
 SQL: dict[str, str] = {}

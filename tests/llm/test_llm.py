@@ -223,3 +223,53 @@ def test_fast_stars_without_names(spark):
     lists = spark.createDataFrame([*enumerate(times), (61, 2015.0)], "list_id long, list_time double")
     got = {(r.row_id, r.ext_id) for r in matching.matched(spark.createDataFrame(star, STAR), spark.createDataFrame(ext, EXT), lists).collect()}
     assert {n: len(got & part) / len(part) >= 0.9 for n, part in far.items()} == dict.fromkeys(("near", "middle", "far"), True), {n: (len(got & part), len(part)) for n, part in far.items()}
+
+
+# --- further scripts, classes, shortages
+
+
+def test_more_scripts_than_two(spark):
+    plainly = "the noun found on our path has copies"
+    texts = [
+        (1, plainly), (2, plainly.replace("o", "օ", 1)), (3, plainly.replace("u", "ս", 1)), (4, plainly.replace("a", "α")), (5, plainly.replace("p", "ρ")), (6, plainly.title()), (7, plainly.title().replace("H", "Ꮋ")),
+        (8, "σοφός λόγος"), (9, "σoφός λόγoς"), (10, "noun noun"), (11, "abc "), (12, "abc\n"), (13, "a\tb\r\n"), (14, "a b\n"),
+    ]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {(r.doc_id_1, r.doc_id_2) for r in lookalike.same_look(df).collect()}
+    group = [1, 2, 3, 4, 5]
+    assert got == {(a, b) for a in group for b in group if a < b} | {(6, 7), (8, 9), (11, 12), (13, 14)}
+    rows = {r.doc_id: (r.class_id, r.members, r.spellings) for r in lookalike.look_classes(df.unionByName(df.where("doc_id = 2"))).collect()}
+    assert {rows[i] for i in group} == {(1, 6, 5)} and rows[9] == (8, 2, 2) and rows[10] == (10, 1, 1) and len(rows) == 14
+    assert lookalike.look_classes(df.limit(0)).count() == 0
+
+
+def test_words_are_sought_alike_on_both_plans(spark, monkeypatch):
+    texts = [(1, "a fine table here"), (2, "a fine tаble here"), (3, "a zqz tаblе"), (4, "a zqz table")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    few = sorted(lookalike.same_look(df).collect())
+    monkeypatch.setattr(lookalike, "FEW_WORDS", 0)
+    assert few == sorted(lookalike.same_look(df).collect()) and len(few) == 2
+
+
+@pytest.mark.skipif(not Path(mixing.TOKENIZER).exists(), reason="no tokenizer")
+def test_shortages_go_to_siblings_first(spark):
+    rng = random.Random(8)
+    rows = []
+    for domain, lang, source, n in (("AA-11", "en", "alpha", 40), ("AA-11", "en", "beta", 40), ("AA-11", "de", "alpha", 40), ("BB-22", "en", "alpha", 80), ("BB-22", "en", "beta", 80)):
+        rows += [(len(rows) + i, sentence(rng, 20), lang, source, f"{domain}9") for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, item_sku string")
+    targets = spark.createDataFrame([("alpha", 0.3, 1), ("beta", 0.7, 2)], "source string, target_share double, max_repeats long")
+    even, report = mixing.mixed(docs, targets)
+    r = {x.source: x for x in report.collect()}
+    assert abs(r["alpha"].share - 0.3) < 0.01 and abs(r["beta"].share - 0.7) < 0.01
+    total = 1.1 * sum(x.tokens for x in r.values())
+    mix, report = mixing.mixed(docs, targets, total=total)
+    assert mix.where("source = 'alpha' and copies > 1 or copies > 2").count() == 0
+    r = {x.source: x for x in report.collect()}
+    assert abs(sum(x.tokens for x in r.values()) / total - 1) < 0.02 and r["beta"].share < 0.7 - 0.01  # beta is used up, alpha took its place
+    part = {(x.domain, x.lang, x.source): x.n for x in mix.groupBy("domain", "lang", "source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("n")).collect()}
+    was = {(x.domain, x.lang, x.source): x.n for x in even.groupBy("domain", "lang", "source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("n")).collect()}
+    # what beta lacks in a domain's language goes to alpha beside it; German, without beta, grows as planned only
+    beside = part["BB-22", "en", "alpha"] / was["BB-22", "en", "alpha"]
+    assert beside > 1.3 and abs(part["AA-11", "de", "alpha"] / was["AA-11", "de", "alpha"] - 1.1) < 0.05
+    assert mixing.mixed(docs, targets.limit(0))[0].count() == 0
