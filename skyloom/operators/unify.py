@@ -13,13 +13,11 @@ an empty table gives an empty result; further columns are kept.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.common import finite
+from skyloom.common import checkpointed, finite
 from skyloom.functions import units
 
 
@@ -74,22 +72,27 @@ def with_units(df: DataFrame, catalogs: DataFrame, fields: list[Field], texts: l
 def _guesses(told: DataFrame, fields: list[Field]) -> DataFrame | None:
     """Per catalog without a note on a field the unit in which its usual size comes nearest to that of the rows with a unit."""
     fac = {r.unit: (r.factor, r.pixels) for r in factors(told).collect()}
-    unknown = told.where(F.col("_catalog").isNotNull() & reduce(or_, (F.col(f"_unit_{f.column}").isNull() for f in fields)))
     lookup = F.create_map(*(x for u, (f, _) in fac.items() for x in (F.lit(u), F.lit(f))))
     pixels = F.array(*(F.lit(u) for u, (_, p) in fac.items() if p))
     shift = lambda u: F.log10(F.element_at(lookup, u)) + F.when(F.array_contains(pixels, u), F.log10("_scale")).otherwise(0.0)
     cols = [(f, c) for f in fields for c in (f.column, *f.like)]
-    usual = told.agg(*(F.percentile_approx(_size(c) + shift(F.col(f"_unit_{f.column}")), 0.5).alias(f"{f.column}:{c}") for f, c in cols)).first()
-    theirs = unknown.groupBy("_catalog", "_scale").agg(*(F.percentile_approx(F.when(F.col(f"_unit_{f.column}").isNull(), _size(c)), 0.5).alias(f"_m_{f.column}_{c}") for f, c in cols))
+    # of all rows and of each catalog in one pass, as the texts are read on the way
+    known = [F.percentile_approx(_size(c) + shift(F.col(f"_unit_{f.column}")), 0.5).alias(f"{f.column}:{c}") for f, c in cols]
+    each = [F.percentile_approx(F.when(F.col(f"_unit_{f.column}").isNull(), _size(c)), 0.5).alias(f"_m_{f.column}_{c}") for f, c in cols]
+    sums = checkpointed(told.rollup("_catalog").agg(F.grouping_id().alias("_all"), F.max("_scale").alias("_scale"), *known, *each))  # one row a catalog
+    usual = sums.where("_all = 1").first()
+    if usual is None:
+        return None
+    theirs = sums.where("_all = 0 and _catalog is not null").drop(*(f"{f.column}:{c}" for f, c in cols))
     out = {}
     for f in fields:
         ends = [u for u in fac if ("/" in u) == (f.kind == "motion")]
-        known = [c for ff, c in cols if ff is f and usual[f"{f.column}:{c}"] is not None]
+        like = [c for ff, c in cols if ff is f and usual[f"{f.column}:{c}"] is not None]
         best = None
         for u in ends:
-            miss = sum((F.coalesce(F.abs(F.col(f"_m_{f.column}_{c}") + shift(F.lit(u)) - F.lit(usual[f"{f.column}:{c}"])), F.lit(0.0)) for c in known), F.lit(0.0))
+            miss = sum((F.coalesce(F.abs(F.col(f"_m_{f.column}_{c}") + shift(F.lit(u)) - F.lit(usual[f"{f.column}:{c}"])), F.lit(0.0)) for c in like), F.lit(0.0))
             usable = F.when(F.array_contains(pixels, F.lit(u)), F.col("_scale").isNotNull()).otherwise(True)
-            s = F.when(usable & F.col(f"_m_{f.column}_{f.column}").isNotNull() & F.lit(bool(known)), F.struct(miss.alias("miss"), F.lit(u).alias("unit")))
+            s = F.when(usable & F.col(f"_m_{f.column}_{f.column}").isNotNull() & F.lit(bool(like)), F.struct(miss.alias("miss"), F.lit(u).alias("unit")))
             best = s if best is None else F.least(best, s)
         out[f"_guess_{f.column}"] = best["unit"]
     return theirs.select("_catalog", *(c.alias(n) for n, c in out.items()))

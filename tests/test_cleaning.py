@@ -193,6 +193,9 @@ def test_raw_lines(spark):
     [
         ("pm given as mas yr-1", ("mas/yr", None)), ("errors in as", (None, "arcsec")), ('sigma is " here', (None, "arcsec")), ("as/100yr // µas", ("arcsec/cy", "uas")), ("errors quoted in pixels and motions quoted in px/yr", ("pix/yr", "pix")),
         ("NB units! °/yr for motion and 0.001 arcsec for errors", ("deg/yr", "mas")), ("see night log", (None, None)), ("", (None, None)), (None, (None, None)), ("Centennial proper motion, arcsec; mean error of right ascension, arcsec.", ("arcsec/cy", "arcsec")),
+        ("Values in 10^-3 arcsec; motions per annum", ("mas/yr", "mas")), ("Motions are in arcseconds per hundred years, while uncertainties are given in detector pixels", ("arcsec/cy", "pix")), ("all columns in decimal degrees", ("deg/yr", "deg")),
+        ("errors below 0.3 arcsec, motions mas yr⁻¹", ("mas/yr", "arcsec")), ("1/1000 arcsec for errors", (None, "mas")), ("pm in 1e-6 arcsec/yr", ("uas/yr", None)), ("milli-arc-seconds a year", ("mas/yr", None)), ("motion: arcsec a century; sigma: a thousandth of that", ("arcsec/cy", "mas")),
+        ("millionths of an arcsecond each year", ("uas/yr", None)), ("0.5 arcsec errors", (None, "arcsec")), ("all entries in pixels", ("pix/yr", "pix")),
         ("Velocities are detector pixels each year, and position errors are pixels too.", ("pix/yr", "pix")), ("x" * 100_000, (None, None)), ("mas/yr " * 20_000, ("mas/yr", None)),
     ],
 )
