@@ -108,6 +108,12 @@ def fit_velocities(obs: DataFrame, weighting: str = "var", absolute_sigma: bool
     return stars.join(fit, "star_id", "left").fillna(0, ["n_vfit"])
 
 
+def fit_complete(obs: DataFrame, lists: list[int], weighting: str = "var", absolute_sigma: bool = True) -> DataFrame:
+    """As ``fit_velocities`` over the chosen lists, of the stars with a usable reading in each of them; the other stars get NULLs."""
+    fit = fit_velocities(obs.where(F.col("list_id").isin(lists)), weighting, absolute_sigma, all_detected=len(set(lists)))
+    return obs.select("star_id").distinct().join(fit, "star_id", "left").fillna(0, ["n_vfit"])
+
+
 def bootstrap_velocities(obs: DataFrame, n_boot: int, seed: int = 11, weighting: str = "var", fixed_t0: DataFrame | None = None) -> DataFrame:
     """(star_id, x0e_boot, y0e_boot, vxe_boot, vye_boot): spreads of motions fitted to epochs drawn with replacement.
 

@@ -29,28 +29,35 @@ def ranked(df: DataFrame, n: int, by: list[str] | None = None) -> DataFrame:
 def triangles(top: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by..., a, b, c ids by rank, ra, rb, rc, vmax, angle) of all triples of ranked rows."""
     by = by or []
-    part = lambda n: top.select(*by, *(F.col(c).alias(f"{c}{n}") for c in ("id", "x", "y", "r")))
-    join = lambda p, q, on: p.join(q, [*by], "inner").where(on) if by else p.join(q, on)
-    t = join(join(part("a"), part("b"), F.col("ra") < F.col("rb")), part("c"), F.col("rb") < F.col("rc"))
-    ux, uy, wx, wy = (F.col(p) - F.col(q) for p, q in (("xb", "xa"), ("yb", "ya"), ("xc", "xa"), ("yc", "ya")))
-    u2, w2 = ux * ux + uy * uy, wx * wx + wy * wy
+    # a group's N brightest are a small array, from which all triples are dealt out in place
+    t = top.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("r", "id", "x", "y"))).alias("_top"))
+    later = lambda c: F.explode(F.filter("_top", lambda e: e["r"] > F.col(f"{c}.r")))
+    t = t.withColumn("_a", F.explode("_top")).withColumn("_b", later("_a")).withColumn("_c", later("_b")).drop("_top")
+    ux, uy, wx, wy = (F.col(f"_{p}.{c}") - F.col(f"_a.{c}") for p in "bc" for c in "xy")
+    # each step is generated, so that the next takes its columns and not its expressions, which would multiply
+    t = t.withColumn("_s", F.explode(F.array(F.struct(*(v.alias(n) for n, v in zip(("ux", "uy", "wx", "wy"), (ux, uy, wx, wy)))))))
+    t = t.select(*by, *(F.col(f"_{p}.id").alias(p) for p in "abc"), *(F.col(f"_{p}.r").alias(f"r{p}") for p in "abc"), "_s.*")
+    u2, w2 = F.expr("ux * ux + uy * uy"), F.expr("wx * wx + wy * wy")
     vmax = F.when(u2 < w2, -u2 / w2).otherwise(w2 / u2)
-    angle = F.degrees(F.atan2(ux * wx + uy * wy, ux * wy - uy * wx))
-    t = t.where((u2 > 0) & (w2 > 0)).withColumns({"vmax": vmax, "angle": F.when(angle < 0, angle + 360).otherwise(angle)})
-    return t.select(*by, F.col("ida").alias("a"), F.col("idb").alias("b"), F.col("idc").alias("c"), "ra", "rb", "rc", "vmax", "angle")
+    angle = F.degrees(F.expr("atan2(ux * wx + uy * wy, ux * wy - uy * wx)"))
+    found = F.struct(vmax.alias("vmax"), F.when(angle < 0, angle + 360).otherwise(angle).alias("angle"))
+    t = t.withColumn("_g", F.explode(F.when((u2 > 0) & (w2 > 0), F.array(found))))
+    return t.select(*by, "a", "b", "c", "ra", "rb", "rc", "_g.*")
 
 
 def bin_edges(bins_vmax: int, bins_angle: int) -> tuple[np.ndarray, np.ndarray]:
     """The lower edges of the bins of vmax in [-1, 1] and of the angle in [0, 360]."""
+    # fixed values: the ends and steps of the edges
     return np.arange(-1, 1.01, 2.0 / bins_vmax), np.arange(0, 361, 360.0 / bins_angle)
 
 
 def digitize(v: Column, edges: np.ndarray) -> Column:
-    """How many edges are at or below a value: the guess by the even step, put right by the edges beside it."""
+    """How many of evenly spaced edges are at or below a value: the guess by the step, put right by the edges beside it."""
     step, n = float(edges[1] - edges[0]), len(edges)
-    table = F.array(*(F.lit(float(e)) for e in edges))
-    guess = F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((v - float(edges[0])) / step))).cast("int")
-    at = lambda i: F.get(table, i)
+    first, at = float(edges[0]), lambda i: F.lit(float(edges[0])) + i * F.lit(step)
+    if not np.array_equal(edges, first + np.arange(n) * step):
+        raise ValueError("the edges must be even")
+    guess = F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((v - first) / step))).cast("int")
     up = F.when((guess + 1 < n) & (v >= at(guess + 1)), guess + 2).when(v >= at(guess), guess + 1).otherwise(guess)
     return up.cast("int")
 
@@ -60,7 +67,11 @@ def votes(t1: DataFrame, t2: DataFrame, bins_vmax: int = 200, bins_angle: int =
     by = by or []
     ev, ea = bin_edges(bins_vmax, bins_angle)
     binned = lambda t: t.withColumns({"bv": digitize(F.col("vmax"), ev), "ba": digitize(F.col("angle"), ea)}).where(F.col("bv").between(1, len(ev) - 1) & F.col("ba").between(1, len(ea) - 1))
-    first = binned(t1).groupBy(*by, "bv", "ba").agg(F.min_by(F.struct("a", "b", "c"), F.struct("ra", "rb", "rc")).alias("one"))
+    # ranks as one number, and the corners found again by it: a plain aggregate
+    rank = F.col("ra").cast("long") * (1 << 42) + F.col("rb").cast("long") * (1 << 21) + F.col("rc").cast("long")
+    ordered = binned(t1).withColumn("_rank", rank)
+    least = ordered.groupBy(*by, "bv", "ba").agg(F.min("_rank").alias("_rank"))
+    first = ordered.join(least, [*by, "bv", "ba", "_rank"]).select(*by, "bv", "ba", F.struct("a", "b", "c").alias("one"))
     hits = first.join(binned(t2), [*by, "bv", "ba"])
     pairs = hits.select(*by, F.inline(F.array(*(F.struct(F.col(f"one.{k}").alias("id_1"), F.col(k).alias("id_2")) for k in "abc"))))
     return pairs.groupBy(*by, "id_1", "id_2").agg(F.count("*").alias("votes"))

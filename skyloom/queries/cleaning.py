@@ -68,7 +68,29 @@ def p4_values(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_valid": p3_valid, "p4_found": p4_found, "p4_values": p4_values}
 
+def _lines_sql() -> str:
+    """CTE ``f``: the lines that are neither blank nor comments, with the first reason that holds (or NULL) and their unquoted cells."""
+    quoted = '"(?:[^"]|"")*"'
+    blank, comma = f'(?:{quoted}|[^" \\t]+)', f'[ \\t\\r]*(?:{quoted}[ \\t\\r]*|[^",]*)'
+    blank, comma = blank.replace("\\\\", "\\"), comma.replace("\\\\", "\\")
+    number = raw_lines.NUMBER
+    val = lambda k: f"c[{k}]"
+    within = lambda k, test: f"regexp_full_match({val(k)}, '{number[1:-1]}') and coalesce(try_cast({val(k)} as double) {test}, false)"
+    return f"""t0 as (select line_id, list_id, layout = 'comma' and layout is not null as comma, trim(raw_line, chr(32) || chr(9) || chr(13)) as t from starlist_raw where line_id is not null and raw_line is not null),
+  t as (select * from t0 where t <> '' and not starts_with(t, '#')),
+  k as (select *, case when comma then regexp_full_match(t, '{comma}(?:,{comma})*') else regexp_full_match(t, '{blank}(?:[ \t]+{blank})*') end as good,
+    case when comma then regexp_extract_all(t || ',', '({comma}),', 1) else regexp_extract_all(t, '{blank}') end as raw from t),
+  u as (select *, list_transform(list_transform(raw, lambda r: trim(r, chr(32) || chr(9) || chr(13))), lambda r: case when starts_with(r, '"') then trim(replace(r[2:-2], '""', '"'), chr(32) || chr(9) || chr(13)) else r end) as c from k),
+  f as (select *, case when not good then 'quotes' when len(c) <> 11 then 'columns' when trim(c[1]) = '' or contains(c[1], chr(65533)) then 'name'
+    when not ({within(9, 'between 0 and 1')}) then 'corr' when not (regexp_full_match({val(10)}, '{raw_lines.COUNT[1:-1]}') and coalesce(try_cast({val(10)} as double) >= 1, false)) then 'n_frames'
+    when not ({within(11, "> 0")} and not isinf(try_cast({val(11)} as double))) then 'flux' end as reason from u)"""
+
+
+_NUMBERS = ", ".join(f"try_cast(c[{k}] as {'bigint' if n == 'n_frames' else 'double'}) as {n}" for k, n in enumerate(raw_lines.FIELDS, 1) if n != "name")
+
 SQL = {
+    "p3_found": f"with {_lines_sql()} select line_id, reason from f where reason is not null",
+    "p3_valid": f"with {_lines_sql()} select line_id, list_id, nullif(c[1], '') as name, {_NUMBERS} from f where reason is null",
     "p1_found": f"""select 'starlist' as kind, a.row_id as key_1, b.row_id as key_2 from starlist a join starlist b on a.list_id = b.list_id and a.row_id < b.row_id
         and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {PIXELS} * {PIXELS}::double where not isnan(a.x) and not isnan(a.y) and not isnan(b.x) and not isnan(b.y)
       union all select distinct 'gaia', a.source_id, b.source_id from gaia a join gaia b on a.source_id < b.source_id and abs(a.dec - b.dec) <= 0.001

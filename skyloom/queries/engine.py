@@ -225,18 +225,22 @@ def epochs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return r, r.withColumn("list_id", F.col("list_id") - 1)
 
 
-def _match_sql(dr: float, dm: float | None, near: str = "dr", move: tuple[str, str] = ("x", "y")) -> str:
-    inf = lambda c: fin(c)
+def _match_ctes(dr: float, dm: float | None, near: str = "dr") -> str:
+    """The match of a with b (list_id, id, x, y, m): its result is q where sm = 1 and sd = 1."""
     keep = f"where adm <= {dm}" if dm else ""
     accept = f"and adm < {dm}" if dm else ""
-    return f"""with {READINGS}, a as (select list_id, obs_id as id, {move[0]} as x, {move[1]} as y, {inf('m')} as m from (select * from readings where {inf('x')} is not null and {inf('y')} is not null)),
-  b as (select list_id - 1 as list_id, obs_id as id, x, y, {inf('m')} as m from readings where {inf('x')} is not null and {inf('y')} is not null),
-  c0 as (select list_id, a.id as id_1, b.id as id_2, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) as dr, abs(a.x - b.x) as adx, a.m - b.m as dm, abs(a.m - b.m) as adm from a join b using (list_id)
+    return f"""c0 as (select list_id, a.id as id_1, b.id as id_2, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) as dr, abs(a.x - b.x) as adx, a.m - b.m as dm, abs(a.m - b.m) as adm from a join b using (list_id)
     where abs(a.x - b.x) <= {dr} and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {dr} * {dr}::double),
   c as (select * from c0 {keep}),
   o as (select *, row_number() over (partition by list_id, id_1 order by adm nulls first, id_2) as rm, row_number() over (partition by list_id, id_1 order by {near}, id_2) as rd from c),
   p as (select * from o where rm = 1 and rd = 1 {accept}),
-  q as (select *, row_number() over (partition by list_id, id_2 order by adm nulls first, id_1) as sm, row_number() over (partition by list_id, id_2 order by dr, id_1) as sd from p)
+  q as (select *, row_number() over (partition by list_id, id_2 order by adm nulls first, id_1) as sm, row_number() over (partition by list_id, id_2 order by dr, id_1) as sd from p)"""
+
+
+def _match_sql(dr: float, dm: float | None, near: str = "dr", move: tuple[str, str] = ("x", "y")) -> str:
+    return f"""with {READINGS}, a as (select list_id, obs_id as id, {move[0]} as x, {move[1]} as y, {fin('m')} as m from (select * from readings where {fin('x')} is not null and {fin('y')} is not null)),
+  b as (select list_id - 1 as list_id, obs_id as id, x, y, {fin('m')} as m from readings where {fin('x')} is not null and {fin('y')} is not null),
+  {_match_ctes(dr, dm, near)}
   select list_id, id_1, id_2, {rnd('dr', 'dr')}, {rnd('dm', 'dm')} from q where sm = 1 and sd = 1"""
 
 
@@ -302,16 +306,20 @@ def labelled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return s, s.select("id", F.concat("name", F.when(F.col("id") % 3 == 0, F.lit("_new")).otherwise(F.lit(""))).alias("name"), (F.col("x") + 0.01).alias("x"), "y", "m")
 
 
-@query(f"with {STARS}, s as (select star_id, name from stars where {fin('x0')} is not null and {fin('y0')} is not null and {fin('m0')} is not null) select star_id as id, name as name_orig from s")
-def relabel(spark, d):
-    """Stars renamed after labels; here the old names, which must all stay."""
-    s, labels = labelled(spark, d)
-    return crossmatch.relabel(s, labels).select("id", "name_orig")
+def _relabel_sql() -> str:
+    usable = " and ".join(f"{fin(c)} is not null" for c in ("x0", "y0", "m0"))
+    first = lambda t: f"select name, min(id) as id from {t} where name is not null and not starts_with(name, 'star') group by 1"
+    return f"""with {STARS}, s as (select star_id as id, name, x0 as x, y0 as y, m0 as m from stars where {usable}),
+  l as (select id, name || (case when id % 3 = 0 then '_new' else '' end) as name, x + 0.01 as x, y, m from s), fs as ({first('s')}), fl as ({first('l')}),
+  off as (select avg(s.x - l.x) as dx, avg(s.y - l.y) as dy, avg(s.m - l.m) as dm from fl join fs using (name) join l on l.id = fl.id join s on s.id = fs.id),
+  a as (select 0 as list_id, id, x, y, m from s), b as (select 0 as list_id, id, x + coalesce(dx, 0) as x, y + coalesce(dy, 0) as y, m + coalesce(dm, 0) as m from l, off),
+  {_match_ctes(0.05, 0.3)}, found as (select id_1 as id, l.name as label from q join l on l.id = q.id_2 where sm = 1 and sd = 1)
+  select s.id, coalesce(label, s.name) as name, s.name as name_orig from s left join found using (id)"""
 
 
-@query()
-def relabelled(spark, d):
-    """The new names."""
+@query(_relabel_sql())
+def relabel(spark, d):
+    """Stars renamed after the labels they match, with their old names."""
     s, labels = labelled(spark, d)
     return crossmatch.relabel(s, labels).select("id", "name", "name_orig")
 
@@ -324,86 +332,62 @@ def pair_table(spark, d):
     return crossmatch.pair_table(a.select("id", "name"), b.select("id", "name"), m)
 
 
-N_TRI = 24
-
-
-def bright(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    e = table(spark, d, "starlist_ext")
-    s = stars(spark, d)
-    return s.select(F.col("star_id").alias("id"), F.col("x0").alias("x"), F.col("y0").alias("y"), F.col("m0").alias("m")), e.select(F.col("ext_id").alias("id"), "x", "y", "m")
+N_BRIGHT, FIRST = 50, 43
 
 
-def _bright_sql(n: int = N_TRI) -> str:
-    top = lambda t, i, x, y, m: f"select id, x, y, row_number() over (order by m, id) as r from (select {i} as id, {x} as x, {y} as y, {m} as m from {t} where {fin(x)} is not null and {fin(y)} is not null and {fin(m)} is not null order by m, id limit {n})"
-    tri = lambda t: f"select a.id as a, b.id as b, c.id as c, a.r as ra, b.r as rb, c.r as rc, b.x - a.x as ux, b.y - a.y as uy, c.x - a.x as wx, c.y - a.y as wy from {t} a join {t} b on a.r < b.r join {t} c on b.r < c.r"
-    geo = lambda t: f"select *, case when ux * ux + uy * uy < wx * wx + wy * wy then -(ux * ux + uy * uy) / (wx * wx + wy * wy) else (wx * wx + wy * wy) / (ux * ux + uy * uy) end as vmax, case when degrees(atan2(ux * wx + uy * wy, ux * wy - uy * wx)) < 0 then degrees(atan2(ux * wx + uy * wy, ux * wy - uy * wx)) + 360 else degrees(atan2(ux * wx + uy * wy, ux * wy - uy * wx)) end as angle from ({t}) where ux * ux + uy * uy > 0 and wx * wx + wy * wy > 0"
-    return f"with {STARS}, t1 as ({top('stars', 'star_id', 'x0', 'y0', 'm0')}), t2 as ({top('starlist_ext', 'ext_id', 'x', 'y', 'm')}), g1 as ({geo(tri('t1'))}), g2 as ({geo(tri('t2'))})"
+def bright_lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """One list's rows beside every list, and all lists, each in its own frame; re-sent rows once."""
+    b = table(spark, d, "starlist").groupBy("list_id", "x", "y", "m").agg(F.min("row_id").alias("id"))
+    every = F.broadcast(table(spark, d, "lists").where("kind = 'unmatched'").select("list_id"))  # one row a list
+    return b.where(F.col("list_id") == FIRST).drop("list_id").crossJoin(every), b
 
 
-def _bins(v: str, edges) -> str:
-    return f"len(list_filter([{', '.join(repr(float(e)) for e in edges)}]::double[], lambda e: e <= {v}))"
+def _triangles_sql(source: str, name: str, by: str = "list_id") -> str:
+    """CTE ``name``: the triangles of the brightest rows of each list of ``source`` (list_id, id, x, y, m)."""
+    angle = "degrees(atan2(ux * wx + uy * wy, ux * wy - uy * wx))"
+    return f"""{name}_t as (select * from (select *, row_number() over (partition by list_id order by m, id) as r from ({source}) where {fin('x')} is not null and {fin('y')} is not null and {fin('m')} is not null) where r <= {N_BRIGHT}),
+  {name}_s as (select a.list_id, a.id as a, b.id as b, c.id as c, a.r as ra, b.r as rb, c.r as rc, b.x - a.x as ux, b.y - a.y as uy, c.x - a.x as wx, c.y - a.y as wy
+    from {name}_t a join {name}_t b on a.list_id = b.list_id and a.r < b.r join {name}_t c on b.list_id = c.list_id and b.r < c.r),
+  {name} as (select *, case when ux * ux + uy * uy < wx * wx + wy * wy then -(ux * ux + uy * uy) / (wx * wx + wy * wy) else (wx * wx + wy * wy) / (ux * ux + uy * uy) end as vmax,
+    case when {angle} < 0 then {angle} + 360 else {angle} end as angle from {name}_s where ux * ux + uy * uy > 0 and wx * wx + wy * wy > 0)"""
 
 
 def _votes_sql() -> str:
-    ev, ea = triangles.bin_edges(40, 60)
-    bins = lambda g: f"select * from (select *, {_bins('vmax', ev)} as bv, {_bins('angle', ea)} as ba from {g}) where bv between 1 and {len(ev) - 1} and ba between 1 and {len(ea) - 1}"
-    return f"""{_bright_sql()}, b1 as ({bins('g1')}), b2 as ({bins('g2')}), f as (select * from (select *, row_number() over (partition by bv, ba order by ra, rb, rc) as k from b1) where k = 1),
-  h as (select f.a as a1, b2.a as a2, f.b as b1, b2.b as b2, f.c as c1, b2.c as c2 from f join b2 using (bv, ba)),
-  u as (select a1 as id_1, a2 as id_2 from h union all select b1, b2 from h union all select c1, c2 from h), votes as (select id_1, id_2, count(*) as votes from u group by 1, 2)"""
+    ev, ea = triangles.bin_edges(200, 360)
+    edges = f"e as (select [{', '.join(repr(float(x)) for x in ev)}]::double[] as ev, [{', '.join(repr(float(x)) for x in ea)}]::double[] as ea)"
 
+    def place(v: str, edge: str, values) -> str:
+        g = f"greatest(0, least({len(values) - 1}, floor(({v} - ({float(values[0])!r})) / {float(values[1] - values[0])!r}::double)))::int"
+        return f"(case when {g} + 1 < {len(values)} and {v} >= {edge}[{g} + 2] then {g} + 2 when {v} >= {edge}[{g} + 1] then {g} + 1 else {g} end)"
 
-@query(f"{_bright_sql()} select a, b, c, {rnd('vmax', 'vmax', 9)}, {rnd('angle', 'angle', 7)} from g2")
-def triangle_geometry(spark, d):
-    """Triangles of the brightest."""
-    t = triangles.triangles(triangles.ranked(bright(spark, d)[1], N_TRI))
-    return t.select("a", "b", "c", near(F.col("vmax"), 9).alias("vmax"), near(F.col("angle"), 7).alias("angle"))
-
+    every = "select list_id, x, y, m, min(row_id) as id from starlist group by 1, 2, 3, 4"
+    bins = lambda g: f"select * from (select {g}.*, {place('vmax', 'ev', ev)} as bv, {place('angle', 'ea', ea)} as ba from {g}, e) where bv between 1 and {len(ev) - 1} and ba between 1 and {len(ea) - 1}"
+    return f"""with {edges}, {_triangles_sql(f"select l.list_id, x, y, m, id from ({every}) s, lists l where s.list_id = {FIRST} and l.kind = 'unmatched'", 'g1')}, {_triangles_sql(every, 'g2')},
+  b1 as ({bins('g1')}), b2 as ({bins('g2')}), f as (select * from (select *, row_number() over (partition by list_id, bv, ba order by ra, rb, rc) as k from b1) where k = 1),
+  h as (select f.list_id, f.a as a1, b2.a as a2, f.b as b1, b2.b as b2, f.c as c1, b2.c as c2 from f join b2 on f.list_id = b2.list_id and f.bv = b2.bv and f.ba = b2.ba),
+  u as (select list_id, a1 as id_1, a2 as id_2 from h union all select list_id, b1, b2 from h union all select list_id, c1, c2 from h), votes as (select list_id, id_1, id_2, count(*) as votes from u group by 1, 2, 3)"""
 
-@query(f"{_votes_sql()} select id_1, id_2, votes from votes")
-def triangle_votes(spark, d):
-    """Votes for pairs."""
-    t1, t2 = (triangles.triangles(triangles.ranked(x, N_TRI)) for x in bright(spark, d))
-    return triangles.votes(t1, t2, 40, 60)
-
-
-@query(f"{_votes_sql()}, w as (select *, row_number() over (partition by id_2 order by votes desc, id_1) as k, lead(votes) over (partition by id_2 order by votes desc, id_1) as nxt from votes) select id_1, id_2, votes from w where k = 1 and votes > 2 * coalesce(nxt, 0)")
-def triangle_match(spark, d):
-    """Pairs with twice the votes of the next."""
-    a, b = bright(spark, d)
-    return triangles.triangle_match(a, b, N_TRI, 40, 60)
 
-
-# the three above are the part that SQL's triple self-join can follow; the following do the whole job, list by list
-
-
-def bright_lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The brightest stars beside each external list, and the external lists, each in its own frame."""
-    e = table(spark, d, "starlist_ext").select("list_id", F.col("ext_id").alias("id"), "x", "y", "m")
-    every = F.broadcast(e.select("list_id").where("list_id is not null").distinct())  # one row a list
-    s = bright(spark, d)[0]
-    top = s.join(triangles.ranked(s, N_BRIGHT).select("id"), "id", "left_semi")
-    return top.crossJoin(every), e
-
-
-N_BRIGHT = 50
-
-
-@query()
-def triangle_geometry_lists(spark, d):
+@query(f"with {_triangles_sql('select list_id, ext_id as id, x, y, m from starlist_ext', 'g')} select list_id, a, b, c, {rnd('vmax', 'vmax', 9)}, {rnd('angle', 'angle', 7)} from g")
+def triangle_geometry(spark, d):
     """Triangles of each external list's 50 brightest."""
-    return triangles.triangles(triangles.ranked(bright_lists(spark, d)[1], N_BRIGHT, ["list_id"]), ["list_id"]).select("list_id", "a", "b", "c", "vmax", "angle")
+    e = table(spark, d, "starlist_ext").select("list_id", F.col("ext_id").alias("id"), "x", "y", "m")
+    t = triangles.triangles(triangles.ranked(e, N_BRIGHT, ["list_id"]), ["list_id"])
+    return t.select("list_id", "a", "b", "c", near(F.col("vmax"), 9).alias("vmax"), near(F.col("angle"), 7).alias("angle"))
 
 
-@query()
-def triangle_votes_lists(spark, d):
-    """Votes for pairs with each external list."""
+@query(f"{_votes_sql()} select list_id, id_1, id_2, votes from votes")
+def triangle_votes(spark, d):
+    """Votes for pairs of one list with every other."""
     t1, t2 = (triangles.triangles(triangles.ranked(x, N_BRIGHT, ["list_id"]), ["list_id"]) for x in bright_lists(spark, d))
     return triangles.votes(t1, t2, by=["list_id"])
 
 
-@query()
-def triangle_match_lists(spark, d):
-    """Pairs with twice the votes of the next in each external list."""
+@query(f"""{_votes_sql()}, n1 as (select list_id from g1_t group by 1 having count(*) >= {N_BRIGHT} intersect select list_id from g2_t group by 1 having count(*) >= {N_BRIGHT}),
+  w as (select *, row_number() over (partition by list_id, id_2 order by votes desc, id_1) as k, lead(votes) over (partition by list_id, id_2 order by votes desc, id_1) as nxt from votes where list_id in (select list_id from n1))
+  select list_id, id_1, id_2, votes from w where k = 1 and votes > 2 * coalesce(nxt, 0)""")
+def triangle_match(spark, d):
+    """Of one list with every other the pairs with twice the votes of the next."""
     return triangles.triangle_match(*bright_lists(spark, d), N_BRIGHT, by=["list_id"])
 
 
@@ -522,20 +506,49 @@ def _coefficients(spark: SparkSession, found: fits.Fit, n: int) -> DataFrame:
     return spark.createDataFrame(rows, "list_id long, " + ", ".join(f"{c}{i} double" for c in "ab" for i in range(n)) + ", mag_offset double")
 
 
-def _fit_sql(weight: str) -> str:
+def _fit_sql(weight: str, source: str = "pairs") -> str:
     s = lambda p, q: f"sum(w * w * {p} * {q})"
-    sums = ", ".join(f"{s(p, q)} as {n}" for p, q, n in (("u", "u", "uu"), ("u", "v", "uv"), ("v", "v", "vv"), ("u", "x_ref", "ux"), ("v", "x_ref", "vx"), ("u", "y_ref", "uy"), ("v", "y_ref", "vy"), ("u", "1", "u1"), ("v", "1", "v1"), ("1", "1", "n1"), ("x_ref", "1", "x1"), ("y_ref", "1", "y1")))
+    products = (("u", "u", "uu"), ("u", "v", "uv"), ("v", "v", "vv"), ("u", "x_ref", "ux"), ("v", "x_ref", "vx"), ("u", "y_ref", "uy"), ("v", "y_ref", "vy"), ("u", "1", "u1"), ("v", "1", "v1"), ("1", "1", "n1"), ("x_ref", "1", "x1"), ("y_ref", "1", "y1"))
+    sums = ", ".join(f"{s(p, q)} as {n}" for p, q, n in products)
     # centred by the weighted means, so the constant drops out
     out = []
     for c in "xy":
         a, b = f"((u{c} * vv - v{c} * uv) / (uu * vv - uv * uv))", f"((v{c} * uu - u{c} * uv) / (uu * vv - uv * uv))"
         k = "a" if c == "x" else "b"
         out += [rnd(f"{c}1 / n1 - {a} * cx - {b} * cy", f"{k}0", 5), rnd(a, f"{k}1", 7), rnd(b, f"{k}2", 7)]
-    return f"""with {PAIRS}, p as (select *, {weight} as w from pairs), c as (select list_id, sum(w * w * x) / sum(w * w) as cx, sum(w * w * y) / sum(w * w) as cy from p group by 1),
+    return f"""with {PAIRS}, p as (select *, {weight} as w from {source}), c as (select list_id, sum(w * w * x) / sum(w * w) as cx, sum(w * w * y) / sum(w * w) as cy from p group by 1),
   q as (select p.*, x - cx as u, y - cy as v, cx, cy from p join c using (list_id)), s as (select list_id, any_value(cx) as cx, any_value(cy) as cy, {sums}, avg(m_ref - m) as dm from q group by 1)
   select list_id, {', '.join(out)}, {rnd('dm', 'mag_offset')} from s"""
 
 
+def _regressed_sql(source: str, basis: list[str]) -> str:
+    """The rows of ``source`` with the least-squares values x_fit, y_fit of x_ref, y_ref list by list: the basis made orthogonal term by term."""
+    over = lambda e: f"sum({e}) over (partition by list_id)"
+    at = f"select *, (x - 650) / 400 as u, (y - 650) / 400 as v from {source}"
+    for k, term in enumerate(basis):
+        less = "".join(f" - {over(f'({term}) * q{j}')} / {over(f'q{j} * q{j}')} * q{j}" for j in range(k))
+        at = f"select *, {term}{less} as q{k} from ({at})"
+    fit = lambda c: " + ".join(f"{over(f'{c}_ref * q{k}')} / {over(f'q{k} * q{k}')} * q{k}" for k in range(len(basis)))
+    drop = ", ".join(["u", "v", *(f"q{k}" for k in range(len(basis)))])
+    return f"select * exclude ({drop}), {fit('x')} as x_fit, {fit('y')} as y_fit from ({at})"
+
+
+def _clipped_sql(rounds: int = 3) -> str:
+    out, source = [f"k0 as ({_regressed_sql('pairs', ['1.0', 'u', 'v'])})"], "k0"
+    over = lambda f, e: f"{f}({e}) over (partition by list_id)"
+    for k in range(1, rounds + 1):
+        dx, dy = "x_ref - x_fit", "y_ref - y_fit"
+        stats = f"sqrt(pow({over('avg', dx)}, 2) + pow({over('avg', dy)}, 2)) as centre, sqrt({over('var_pop', dx)} + {over('var_pop', dy)}) as spread"
+        kept = f"(select * exclude (x_fit, y_fit, centre, spread) from (select *, {stats} from {source}) where abs(sqrt(pow({dx}, 2) + pow({dy}, 2)) - centre) <= 3 * spread)"
+        out.append(f"k{k} as ({_regressed_sql(kept, ['1.0', 'u', 'v'])})")
+        source = f"k{k}"
+    return f"with {PAIRS}, {', '.join(out)} select star_id, list_id, {rnd('x_fit', 'x', 5)}, {rnd('y_fit', 'y', 5)} from {source}"
+
+
+def _moved(df: DataFrame) -> DataFrame:
+    return df.select("star_id", "list_id", near(F.col("x"), 5).alias("x"), near(F.col("y"), 5).alias("y"))
+
+
 def _rounded_fit(df: DataFrame) -> DataFrame:
     return df.select("list_id", *((near(F.col(c), 5 if c[1] == "0" else 7)).alias(c) for c in df.columns if c[0] in "ab"), near(F.col("mag_offset"), 6).alias("mag_offset"))
 
@@ -552,32 +565,38 @@ def poly_fit_weighted(spark, d):
     return _rounded_fit(_coefficients(spark, fits.fit(fits.with_weight(pairs(spark, d), "both,var"), 1, by=["list_id"]), 3))
 
 
-@query()
+ORDER2_TERMS = ["1.0", "u", "v", "u * u", "u * v", "v * v"]
+
+
+@query(f"with {PAIRS}, f as ({_regressed_sql('pairs', ORDER2_TERMS)}) select star_id, list_id, {rnd('x_fit', 'x', 5)}, {rnd('y_fit', 'y', 5)} from f")
 def poly_fit_order2(spark, d):
-    """F1 of order 2."""
-    return _coefficients(spark, fits.fit(pairs(spark, d), 2, by=["list_id"]), 6)
+    """F1 of order 2, T7: the readings moved by each list's fit."""
+    p = pairs(spark, d)
+    return _moved(fits.applied_by_table(p, fits.fit(p, 2, by=["list_id"]), ["list_id"]))
 
 
-@query()
+@query(f"with {PAIRS}, f as ({_regressed_sql('pairs', ['1.0', 'u', 'v', 'u * v'])}) select star_id, list_id, {rnd('x_fit', 'x', 5)}, {rnd('y_fit', 'y', 5)} from f")
 def legendre_fit(spark, d):
-    """a Legendre series of each list on the mapped domain."""
+    """The readings moved by each list's Legendre series on the mapped domain."""
     p = pairs(spark, d)
     p = p.withColumns({c: models.to_domain(F.col(c), 0.0, 2000.0) for c in ("x", "y")})
-    found = fits.fit(p, 1, by=["list_id"], kind="legendre")
-    rows = [(k[0], float(dict(t.px).get((1, 0), 0.0)), float(dict(t.py).get((0, 1), 0.0))) for k, t in found.items()]
-    return spark.createDataFrame(rows, "list_id long, ax double, by double")
+    return _moved(fits.applied(p, fits.fit(p, 1, by=["list_id"], kind="legendre"), ["list_id"]))
 
 
-@query()
+@query(_clipped_sql())
 def poly_fit_clipped(spark, d):
-    """a fit with outliers clipped in rounds."""
-    return _coefficients(spark, fits.fit_clipped(pairs(spark, d), 1, by=["list_id"])[0], 3)
+    """The readings that stay when outliers are clipped in rounds, moved by the last fit."""
+    found, kept = fits.fit_clipped(pairs(spark, d), 1, by=["list_id"])
+    return _moved(fits.applied_by_table(kept, found, ["list_id"]))
 
 
-@query()
+TURNED = "(select star_id, list_id, x_ref as x, y_ref as y, m_ref as m, x as x_ref, y as y_ref, m as m_ref from pairs)"
+
+
+@query(_fit_sql("1.0::double", TURNED))
 def inverse_fit(spark, d):
     """The inverse transforms."""
-    return _coefficients(spark, fits.fit_inverse(pairs(spark, d), 1, by=["list_id"]), 3)
+    return _rounded_fit(_coefficients(spark, fits.fit_inverse(pairs(spark, d), 1, by=["list_id"]), 3))
 
 
 @query(f"with {PAIRS} select list_id, {rnd('avg(x_ref - x)', 'dx', 7)}, {rnd('avg(y_ref - y)', 'dy', 7)}, {rnd('stddev_samp(x_ref - x) / sqrt(count(*))', 'dxe', 7)}, {rnd('stddev_samp(y_ref - y) / sqrt(count(*))', 'dye', 7)}, count(*) as n from pairs group by 1")
@@ -644,13 +663,28 @@ def mean_magnitude(spark, d):
     return rounded(combine.mean_magnitude(readings(spark, d).where(F.abs(finite("m")) < 40)))
 
 
-@query()
+FLUX_OF, FLUX_E = f"pow(10.0, -{fin('m')} / 2.5)", f"({fin('me')} * pow(10.0, -{fin('m')} / 2.5) * {combine.FLUX!r}::double)"
+
+
+def _combined_sql(c: str) -> str:
+    """star_id, <c>0, <c>0e, n of a weighted, clipped mean; magnitudes as fluxes."""
+    if c == "m":
+        v, e = FLUX_OF, FLUX_E
+        out, err = "-2.5 * log10(mean)", f"(case when n = 1 then e else sqrt(var) end) / {combine.FLUX!r}::double / mean"
+    else:
+        v, e = fin(c), fin(f"{c}e")
+        out, err = "mean", "case when n = 1 then e else sqrt(var) end"
+    end = f"select e.star_id, {rnd(out, f'{c}0')}, {rnd(err, f'{c}0e')}, coalesce(n, 0)::bigint as n from e left join m using (star_id) left join z using (star_id)"
+    return _combine_sql(v, f"(case when {e} <> 0 then 1 / ({e} * {e}) end)", e, end, True)
+
+
+@query(_combined_sql("m"))
 def combine_magnitude(spark, d):
     """Magnitudes combined as weighted fluxes."""
-    return rounded(combine.combine_lists(readings(spark, d), "m", "me", ismag=True))
+    return rounded(combine.combine_lists(readings(spark, d), "m", "me", ismag=True).withColumn("n", F.col("n").cast("bigint")))
 
 
-@query()
+@query(f"select star_id, x0, x0e, y0, y0e, m0, m0e from ({_combined_sql('x')}) a join ({_combined_sql('y')}) b using (star_id) join ({_combined_sql('m')}) c using (star_id)")
 def combine_all(spark, d):
     """Places and magnitudes."""
     return rounded(combine.combine_lists_xym(readings(spark, d)))
@@ -680,37 +714,62 @@ def plausible(spark: SparkSession, d: str) -> DataFrame:
 PLAUSIBLE = f"{READINGS}, good as (select star_id, list_id, t, x, y, {fin('m')} as m, xe, ye, {fin('me')} as me from readings where {fin('t')} is not null and abs({fin('x')}) < 10000 and abs({fin('y')}) < 10000 and {fin('xe')} > 0 and {fin('ye')} > 0)"
 
 
-def _motion_sql(power: int, least: int = 3) -> str:
-    e = lambda c: f"({c}e * {c}e)" if power == 2 else f"{c}e"
-    sums = ", ".join(f"sum(1 / {e(c)}) as s{c}, sum(d / {e(c)}) as sd{c}, sum(d * d / {e(c)}) as sdd{c}, sum({c} / {e(c)}) as sv{c}, sum(d * {c} / {e(c)}) as sdv{c}" for c in "xy")
-    cols = []
+def loose(spark: SparkSession, d: str) -> DataFrame:
+    """All distinct readings; values beyond the field and errors that can't be count as missing."""
+    r = readings(spark, d).select("star_id", "list_id", *(finite(c).alias(c) for c in ("t", "x", "y", "xe", "ye")))
+    within = F.coalesce((F.abs("x") < 10000) & (F.abs("y") < 10000), F.lit(False))
+    return r.withColumns({**{c: F.when(within, F.col(c)) for c in "xy"}, **{c: F.when(F.col(c) > 0, F.col(c)) for c in ("xe", "ye")}})
+
+
+LOOSE = f"""{READINGS}, loose as (select star_id, list_id, {fin('t')} as t, case when abs({fin('x')}) < 10000 and abs({fin('y')}) < 10000 then x end as x, case when abs({fin('x')}) < 10000 and abs({fin('y')}) < 10000 then y end as y,
+  case when {fin('xe')} > 0 then xe end as xe, case when {fin('ye')} > 0 then ye end as ye from readings)"""
+
+
+def _motions_sql(power: int, source: str = "loose", complete: int | None = None) -> str:
+    """Motions with every branch: no epoch, one time, two epochs, more; missing errors filled by the star's mean."""
+    w = lambda c: f"(1 / ({c}e * {c}e))" if power == 2 else f"(1 / {c}e)"
+    mean = lambda c: f"avg(case when x is not null then {c} end) over (partition by star_id)"
+    fill = {c: c if complete else f"coalesce({c}, {mean(c)}, 1.0)" for c in ("xe", "ye")}
+    sums = ", ".join(f"sum({w(c)}) as s{c}, sum({w(c)} * d) as sd{c}, sum({w(c)} * d * d) as sdd{c}, sum({w(c)} * {c}) as sv{c}, sum({w(c)} * d * {c}) as sdv{c}, max_by({c}, t) as l{c}, min_by({c}, t) as f{c}" for c in "xy")
+    det = lambda c: f"(sdd{c} * s{c} - sd{c} * sd{c})"
+    fit = ", ".join(f"case when span <= 1e-9 then 0 when n = 2 then (l{c} - f{c}) / span else (s{c} * sdv{c} - sd{c} * sv{c}) / {det(c)} end as v{c}, case when span <= 1e-9 or n = 2 then sv{c} / s{c} else (sdd{c} * sv{c} - sd{c} * sdv{c}) / {det(c)} end as {c}0" for c in "xy")
+    chi = ", ".join(f"sum(pow({c} - {c}0 - v{c} * d, 2) * {w(c)}) as chi{c}" for c in "xy")
+    out = []
     for c in "xy":
-        det = f"(sdd{c} * s{c} - sd{c} * sd{c})"
-        cols += [rnd(f"(sdd{c} * sv{c} - sd{c} * sdv{c}) / {det}", f"{c}0", 5), rnd(f"(s{c} * sdv{c} - sd{c} * sv{c}) / {det}", f"v{c}", 5), rnd(f"sqrt(sdd{c} / {det})", f"{c}0e", 5), rnd(f"sqrt(s{c} / {det})", f"v{c}e", 5)]
-    return f"""with {PLAUSIBLE}, z as (select star_id, sum(t / sqrt(xe * xe + ye * ye)) / sum(1 / sqrt(xe * xe + ye * ye)) as t0 from good group by 1), q as (select good.*, t - t0 as d, t0 from good join z using (star_id)),
-  s as (select star_id, any_value(t0) as t0, count(*) as n_vfit, {sums} from q group by 1 having count(*) >= {least}) select star_id, {', '.join(cols)}, {rnd('t0', 't0', 5)}, n_vfit from s"""
+        out += [rnd(f"{c}0", f"{c}0", 5), rnd(f"case when span <= 1e-9 then sqrt(chi{c} / s{c}) when n = 2 then abs(l{c} - f{c}) / sqrt(2.0) else sqrt(sdd{c} / {det(c)}) end", f"{c}0e", 5), rnd(f"v{c}", f"v{c}", 5)]
+        out += [rnd(f"case when span <= 1e-9 or n = 2 then 0 else sqrt(s{c} / {det(c)}) end", f"v{c}e", 5), rnd(f"case when span <= 1e-9 then 0 else chi{c} end", f"chi2_v{c}", 2)]
+    having = f"having count(*) >= {complete}" if complete else ""
+    return f"""with {LOOSE}, src as (select * from {source}), filled as (select star_id, t, x, y, {fill['xe']} as xe, {fill['ye']} as ye from src),
+  ok as (select *, 1 / sqrt(xe * xe + ye * ye) as w from filled where t is not null and x is not null and y is not null and xe is not null and ye is not null), z as (select star_id, sum(t * w) / sum(w) as t0 from ok group by 1),
+  q as (select ok.*, t - t0 as d, t0 from ok join z using (star_id)), g as (select star_id, any_value(t0) as t0, count(*) as n, max(t) - min(t) as span, {sums} from q group by 1 {having}), h as (select *, {fit} from g),
+  k as (select star_id, {chi} from (select q.*, h.x0, h.y0, h.vx, h.vy from q join h using (star_id)) group by 1), every as (select distinct star_id from readings)
+  select every.star_id, {', '.join(out)}, {rnd('t0', 't0', 5)}, coalesce(n, 0)::bigint as n_vfit from every left join h using (star_id) left join k using (star_id)"""
 
 
 def _motions(df: DataFrame) -> DataFrame:
-    return rounded(df.where("n_vfit >= 3").select("star_id", "x0", "vx", "x0e", "vxe", "y0", "vy", "y0e", "vye", "t0", "n_vfit"), 5)
+    digits = {"chi2_vx": 2, "chi2_vy": 2}
+    return df.select(*(near(F.col(c), digits.get(c, 5)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
-@query(_motion_sql(2))
+@query(_motions_sql(2))
 def motion_fit_var(spark, d):
-    """Motions weighted by inverse variance."""
-    return _motions(motion.fit_velocities(plausible(spark, d)))
+    """Motions weighted by inverse variance, of stars with any number of epochs."""
+    return _motions(motion.fit_velocities(loose(spark, d)))
 
 
-@query(_motion_sql(1))
+@query(_motions_sql(1))
 def motion_fit_std(spark, d):
     """G8 weighted by inverse errors."""
-    return _motions(motion.fit_velocities(plausible(spark, d), "std"))
+    return _motions(motion.fit_velocities(loose(spark, d), "std"))
 
 
-@query(_motion_sql(2, 12))
+COMPLETE = (3, 5, 7, 9)
+
+
+@query(_motions_sql(2, f"(select * from loose where list_id in {COMPLETE})", len(COMPLETE)))
 def motion_fit_complete(spark, d):
-    """Motions of stars with at least twelve usable epochs."""
-    return _motions(motion.fit_velocities(plausible(spark, d), all_detected=12))
+    """Motions of the stars that are usable in all of the chosen lists; the others have none."""
+    return _motions(motion.fit_complete(loose(spark, d), list(COMPLETE)))
 
 
 @query(f"""with {PLAUSIBLE}, c as (select star_id, sum(t / (xe * xe)) / sum(1 / (xe * xe)) as c, sum(1 / (xe * xe)) as s, sum(x / (xe * xe)) as sy, count(*) as n from good group by 1),
@@ -881,14 +940,21 @@ def charge_trend_power(spark, d):
 # --- files
 
 
-@query()
+LIS = "printf('%-13s  %6.3f  %8.3f  %9.3f  %9.3f  %9.3f  %9.3f  %20.4f  %6.2f  %8d  %20.0f', coalesce(name, ''), " + ", ".join(f"coalesce({fin(c)}, 0)::double" for c in ("m", "t", "x", "y", "xe", "ye", "snr", "corr")) + ", n_frames::bigint, flux::double)"
+
+
+@query(f"select {LIS} as value from starlist where n_frames is not null and flux is not null")
 def lis_lines(spark, d):
     """Star lists as lines of .lis files."""
-    s = table(spark, d, "starlist").withColumns({c: F.coalesce(finite(c), F.lit(0.0)) for c in ("m", "t", "x", "y", "xe", "ye", "snr", "corr")})
+    s = table(spark, d, "starlist").where("n_frames is not null and flux is not null").withColumns({c: F.coalesce(finite(c), F.lit(0.0)) for c in ("m", "t", "x", "y", "xe", "ye", "snr", "corr")})
     return catalogs.to_lis_lines(s)
 
 
-@query()
+WIDE = {"name": "coalesce(name, '')", **{c: f"coalesce({fin(c)}, 0)::double" for c in ("m", "t", "x", "y", "xe", "ye", "snr", "corr")}, "n_frames": "coalesce(n_frames, 0)::bigint", "flux": "coalesce(flux, 0)::double"}
+
+
+@query("select printf('" + " ".join(catalogs.WIDTHS[c] for c in WIDE) + "', " + ", ".join(WIDE.values()) + ") as value from starlist")
 def fixed_width_lines(spark, d):
     """Star lists as lines of fixed width."""
-    return catalogs.to_fixed_width(table(spark, d, "starlist"))
+    s = table(spark, d, "starlist")
+    return catalogs.to_fixed_width(s.select(F.coalesce("name", F.lit("")).alias("name"), *(F.coalesce(finite(c), F.lit(0.0)).alias(c) for c in ("m", "t", "x", "y", "xe", "ye", "snr", "corr")), F.coalesce("n_frames", F.lit(0)).alias("n_frames"), F.coalesce("flux", F.lit(0)).alias("flux")))

@@ -95,8 +95,8 @@ def failures(lines: DataFrame, key: str = "line_id", line: str = "raw_line", lay
         )
     )
     broken = rows.select("_key", "_bad_quotes", "_count", "_value", at).join(rules, "_at").where(~holds)
-    first = broken.groupBy("_key").agg(F.min_by("reason", "rule").alias("reason"))
-    return first.select(F.col("_key").alias("line_id"), "reason")
+    first = broken.groupBy("_key").agg(F.min("rule").alias("rule"))
+    return first.join(F.broadcast(rule_table(spark).select("rule", "reason")), "rule").select(F.col("_key").alias("line_id"), "reason")
 
 
 def load(lines: DataFrame, key: str = "line_id", line: str = "raw_line", layout: str = "layout", failing: DataFrame | None = None) -> DataFrame:
