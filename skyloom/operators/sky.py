@@ -48,12 +48,28 @@ def tangent_plane(df: DataFrame, ra: float, dec: float) -> DataFrame:
     )
 
 
+#: Targets at most that ``name_targets`` takes: a list kept by hand, sent to all executors.
+TARGETS_MOST = 10_000
+
+
 def name_targets(plane: DataFrame, targets: DataFrame, dr_max: float = 0.2) -> DataFrame:
-    """The star nearest to each target (name, x, y: a short list) within ``dr_max`` takes the target's name."""
+    """The star nearest to each target (name, x, y) within ``dr_max`` takes the target's name; ties go to the lesser name.
+
+    A star nearest to several targets takes the first of their names. More than ``TARGETS_MOST`` targets are refused.
+    """
+    short = targets.select(F.col("name").alias("tn"), finite("x").alias("tx"), finite("y").alias("ty")).where("tn is not null and tx is not null and ty is not null")
+    if short.limit(TARGETS_MOST + 1).count() > TARGETS_MOST:
+        raise ValueError(f"more than {TARGETS_MOST} targets")
+    # by cells twice as wide as the reach, so each star meets the targets about it only
+    side, reach = 2 * dr_max, dr_max * (1 + 1e-9)
+    cell = lambda c: F.floor(c / side)
+    t = short
+    for c, n in (("tx", "_cx"), ("ty", "_cy")):
+        t = t.withColumn(n, F.explode(F.sequence(cell(F.col(c) - reach), cell(F.col(c) + reach))))
     dr = F.sqrt((F.col("x0") - F.col("tx")) ** 2 + (F.col("y0") - F.col("ty")) ** 2)
-    t = F.broadcast(targets.select(F.col("name").alias("tn"), F.col("x").alias("tx"), F.col("y").alias("ty")))
-    best = plane.join(t, dr < dr_max).groupBy("tn").agg(F.min_by("name", dr).alias("name"))
-    return plane.join(best, "name", "left").withColumn("name", F.coalesce("tn", "name")).drop("tn").select(*plane.columns)
+    near = plane.withColumns({"_cx": cell(F.col("x0")), "_cy": cell(F.col("y0"))}).join(F.broadcast(t), ["_cx", "_cy"]).withColumn("_dr", dr).where(F.col("_dr") < dr_max)
+    best = near.groupBy("tn").agg(F.min(F.struct("_dr", "name")).alias("_b")).select("tn", F.col("_b.name").alias("name")).groupBy("name").agg(F.min("tn").alias("tn"))
+    return plane.join(F.broadcast(best), "name", "left").withColumn("name", F.coalesce("tn", "name")).drop("tn").select(*plane.columns)
 
 
 def at_epoch(df: DataFrame, epoch: float, ra: float, dec: float) -> DataFrame:

@@ -31,12 +31,8 @@ def query(sql: str | None = None):
 
 
 def near(v: Column, digits: int) -> Column:
-    """The value rounded, a little beside exact halves, which two engines may round apart."""
-    return F.round(v + F.lit(OFF * 10.0**-digits), digits) + F.lit(0.0)
-
-
-#: How far beside, in units of the last digit.
-OFF = 0.00137
+    """The value rounded, so that the order of sums doesn't show; -0 as 0."""
+    return F.round(v, digits) + F.lit(0.0)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -48,7 +44,7 @@ def fin(c: str) -> str:
 
 
 def rnd(e: str, name: str, digits: int = 6) -> str:
-    return f"round({e} + {OFF * 10.0**-digits!r}::double, {digits}) + 0.0 as {name}"
+    return f"round({e}, {digits}) + 0.0 as {name}"
 
 
 # --- inputs: stars without re-sent rows, readings one an epoch, pairs of readings and their stars
@@ -146,11 +142,11 @@ def good_ref_stars(spark, d):
 
 @query(f"""with {PAIRS}, g as (select *, m_ref - m as d from pairs), s as (select list_id, median(d) as md, stddev_pop(d) as sd from g group by 1),
   z as (select list_id, avg(d) as zp from g join s using (list_id) where abs(d - md) <= 3 * sd group by 1)
-  select star_id, list_id, {rnd('m + coalesce(zp, 0)', 'm', 7)} from pairs left join z using (list_id)""")
+  select star_id, list_id, {rnd('m + coalesce(zp, 0)', 'm', 7)} from pairs left join z using (list_id) where list_id in (select list_id from lists where filt = 'kp')""")
 def epoch_zero_point(spark, d):
-    """All lists' magnitudes moved by their zero points."""
+    """The magnitudes of one filter's lists moved by their zero points."""
     p = pairs(spark, d).withColumn("used_in_trans", F.lit(True))
-    every = [r["list_id"] for r in table(spark, d, "lists").where("kind = 'matched'").select("list_id").collect()]
+    every = [r["list_id"] for r in table(spark, d, "lists").where("filt = 'kp'").select("list_id").collect()]
     s = p.select("star_id", F.col("m_ref").alias("m0")).distinct()
     return rounded(filters.epoch_subset(p.select("star_id", "list_id", "m", "used_in_trans"), s, every).select("star_id", "list_id", "m"), 7)
 
@@ -161,18 +157,39 @@ def epoch_extract(spark, d):
     return rounded(filters.epoch(readings(spark, d), stars(spark, d), 7).select("star_id", "obs_id", "name", "t"), 4)
 
 
-@query(f"with {STARS} select star_id, {rnd(f'case when {fin('vx')} is null then null else x0 + vx * (2018.5 - t0) end', 'x_t', 7)}, {rnd(f'case when {fin('vy')} is null then null else y0 + vy * (2018.5 - t0) end', 'y_t', 7)} from stars where {fin('x0')} is not null and {fin('y0')} is not null")
+AT = ", ".join(f"{fin(f'{c}0')} + {fin(f'v{c}')} * (2018.5::double - {fin('t0')}) as {c}_t" for c in "xy")
+
+
+@query(f"with {STARS} select star_id, {AT} from stars")
 def position_at_time(spark, d):
-    """Places at a time by the motions."""
-    s = stars(spark, d).withColumns({c: finite(c) for c in ("x0", "y0", "vx", "vy", "t0")}).where("x0 is not null and y0 is not null")
-    return rounded(filters.position_at(s, 2018.5).select("star_id", "x_t", "y_t"), 7)
+    """Places at a time by the motions."""
+    s = stars(spark, d).withColumns({c: finite(c) for c in ("x0", "y0", "vx", "vy", "t0")})
+    return filters.position_at(s, 2018.5).select("star_id", "x_t", "y_t")
+
+
+@query(f"""with r as (select distinct on (list_id, x, y, m) * from starlist order by list_id, x, y, m, row_id) select row_id, name, x as x0, y as y0, m as m0, t as t0, xe as x0e, ye as y0e, x, y, m, t, xe, ye from r where list_id = 43""")
+def renamed_for_reference(spark, d):
+    """A list's columns renamed to a reference's and its reading columns filled in again."""
+    s = table(spark, d, "starlist").where("list_id = 43").select("row_id", "name", "x", "y", "m", "t", "xe", "ye")
+    once = s.join(s.groupBy("x", "y", "m").agg(F.min("row_id").alias("row_id")).select("row_id"), "row_id", "left_semi")
+    return filters.fill_reference(filters.rename_for_ref(once)).select("row_id", "name", "x0", "y0", "m0", "t0", "x0e", "y0e", "x", "y", "m", "t", "xe", "ye")
+
+
+def _reference_sql() -> str:
+    moves = f"{fin('vx')} is not null"
+    cols = [c for c in ("x0", "y0", "x0e", "y0e", "vx", "vy", "vxe", "vye", "t0")]
+    at = lambda c: f"case when {moves} then {c}0 + v{c} * (2018.5::double - t0) else {c}0 end"
+    err = lambda c: f"case when {moves} then sqrt({c}0e * {c}0e + (v{c}e * (2018.5 - t0)) * (v{c}e * (2018.5 - t0))) else {c}0e end"
+    clean = ", ".join(f"{fin(c)} as {c}" for c in cols)
+    return f"""with {STARS}, s as (select star_id, {clean} from stars) select star_id, {at('x')} as x, {at('y')} as y, {rnd(err('x'), 'xe', 6)}, {rnd(err('y'), 'ye', 6)}
+  from s where x0 is not null and x0e is not null and t0 is not null"""
 
 
-@query(f"""with {STARS} select star_id, {rnd(f"case when {fin('vx')} is not null then x0 + vx * (2018.5 - t0) else x0 end", "x", 7)}, {rnd(f"case when {fin('vx')} is not null then sqrt(x0e * x0e + (vxe * (2018.5 - t0)) * (vxe * (2018.5 - t0))) else x0e end", "xe", 7)} from stars where {fin('x0')} is not null and {fin('x0e')} is not null and {fin('t0')} is not null""")
+@query(_reference_sql())
 def reference_list(spark, d):
     """The reference list at a time, with errors."""
     s = stars(spark, d).withColumns({c: finite(c) for c in ("x0", "y0", "x0e", "y0e", "vx", "vy", "vxe", "vye", "t0")}).where("x0 is not null and x0e is not null and t0 is not null")
-    return rounded(filters.reference_at(s, 2018.5).select("star_id", "x", "xe"), 7)
+    return filters.reference_at(s, 2018.5).select("star_id", "x", "y", near(F.col("xe"), 6).alias("xe"), near(F.col("ye"), 6).alias("ye"))
 
 
 @query("select list_id, min_by(t, obs_id) as t from startable_obs where not isnan(t) and not isinf(t) group by list_id")
@@ -190,21 +207,47 @@ def sources(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "gaia").drop("loaded_at").distinct()
 
 
-@query(f"""with {GAIA} select source_id::varchar as name, {rnd(f'-{EAST} * cos(radians({DEC})) * 3600', 'x0', 4)}, {rnd(f"({fin('dec')} - ({DEC})) * 3600", 'y0', 4)}, {rnd(f"{fin('ra_error')} * cos(radians({DEC})) / 1000", 'x0e', 9)},
-  {rnd(f"coalesce({fin('pmra')}, 0) / -1000", 'vx', 8)}, {rnd(f"1.09 / {fin('phot_g_mean_flux_over_error')}", 'me', 9)} from g""")
+ZERO = {c: f"coalesce({fin(c)}, 0)" for c in ("pmra", "pmdec", "pmra_error", "pmdec_error")}
+PLANE = {
+    "x0": rnd(f"-{EAST} * cos(radians({DEC})) * 3600", "x0", 4), "y0": rnd(f"({fin('dec')} - ({DEC})) * 3600", "y0", 4), "x0e": rnd(f"{fin('ra_error')} * cos(radians({DEC})) / 1000", "x0e", 9), "y0e": f"{fin('dec_error')} / 1000 as y0e",
+    "vx": f"{ZERO['pmra']} / -1000 + 0.0 as vx", "vy": f"{ZERO['pmdec']} / 1000 as vy", "vxe": f"{ZERO['pmra_error']} / 1000 as vxe", "vye": f"{ZERO['pmdec_error']} / 1000 as vye",
+    "t0": f"{fin('ref_epoch')} as t0", "m": f"{fin('phot_g_mean_mag')} as m", "me": rnd(f"1.09 / {fin('phot_g_mean_flux_over_error')}", "me", 9),
+}
+
+
+@query(f"with {GAIA} select source_id::varchar as name, {', '.join(PLANE.values())} from g")
 def tangent_plane(spark, d):
     """Sources on a local plane."""
     p = sky.tangent_plane(sources(spark, d), RA, DEC)
-    n = {"x0": 4, "y0": 4, "x0e": 9, "vx": 8, "me": 9}
-    return p.select("name", *(near(F.col(c), k).alias(c) for c, k in n.items()))
+    n = {"x0": 4, "y0": 4, "x0e": 9, "me": 9}
+    return p.select("name", *((near(F.col(c), n[c]) if c in n else F.col(c) + F.lit(0.0) if c == "vx" else F.col(c)).alias(c) for c in PLANE))
+
+
+def _epoch_sql() -> str:
+    east, north, dt = f"{EAST} * cos(radians({DEC})) * 3600", f"({fin('dec')} - ({DEC})) * 3600", "(2020.5 - ref_epoch)"
+    err = lambda e, v: f"sqrt(({fin(e)} / 1000) * ({fin(e)} / 1000) + ({ZERO[v]} / 1000 * {dt}) * ({ZERO[v]} / 1000 * {dt}))"
+    return f"""with {GAIA} select source_id::varchar as name, {rnd(f"-({east} + {ZERO['pmra']} / 1000 * {dt})", 'x', 5)}, {rnd(f"{north} + {ZERO['pmdec']} / 1000 * {dt}", 'y', 5)}, {rnd(err('ra_error', 'pmra_error'), 'xe', 7)}, {rnd(err('dec_error', 'pmdec_error'), 'ye', 7)},
+  {fin('phot_g_mean_mag')} as m, {rnd(f"1 / {fin('phot_g_mean_flux_over_error')}", 'me', 9)} from g where not isnan(ref_epoch) and ref_epoch is not null"""
 
 
-@query(f"""with {GAIA} select source_id::varchar as name, {rnd(f"-({EAST} * cos(radians({DEC})) * 3600 + coalesce({fin('pmra')}, 0) / 1000 * (2020.5 - ref_epoch))", 'x', 5)},
-  {rnd(f"sqrt(({fin('dec_error')} / 1000) * ({fin('dec_error')} / 1000) + (coalesce({fin('pmdec_error')}, 0) / 1000 * (2020.5 - ref_epoch)) * (coalesce({fin('pmdec_error')}, 0) / 1000 * (2020.5 - ref_epoch)))", 'ye', 7)} from g where not isnan(ref_epoch) and ref_epoch is not null""")
+@query(_epoch_sql())
 def gaia_at_epoch(spark, d):
     """Sources at an epoch."""
     p = sky.at_epoch(sources(spark, d).where(finite("ref_epoch").isNotNull()), 2020.5, RA, DEC)
-    return p.select("name", near(F.col("x"), 5).alias("x"), near(F.col("ye"), 7).alias("ye"))
+    n = {"x": 5, "y": 5, "xe": 7, "ye": 7, "me": 9}
+    return p.select("name", "m", *(near(F.col(c), k).alias(c) for c, k in n.items()))
+
+
+TARGETS = [("target_a", 120.0, -80.0), ("target_b", -400.0, 300.0), ("target_c", 1500.0, 900.0)]
+
+
+@query(f"""with {GAIA}, p as (select source_id::varchar as name, {PLANE['x0']}, {PLANE['y0']} from g), t(tn, tx, ty) as (values {', '.join(f"('{n}', {x}::double, {y}::double)" for n, x, y in TARGETS)}),
+  c as (select tn, name, row_number() over (partition by tn order by sqrt((x0 - tx) * (x0 - tx) + (y0 - ty) * (y0 - ty)), name) as k from p, t where sqrt((x0 - tx) * (x0 - tx) + (y0 - ty) * (y0 - ty)) < 5000)
+  select coalesce(tn, p.name) as name, x0, y0 from p left join (select * from c where k = 1) using (name)""")
+def named_targets(spark, d):
+    """The sources nearest to targets take their names."""
+    p = sky.tangent_plane(sources(spark, d), RA, DEC).select("name", near(F.col("x0"), 4).alias("x0"), near(F.col("y0"), 4).alias("y0"))
+    return sky.name_targets(p, spark.createDataFrame(TARGETS, "name string, x double, y double"), 5000.0)
 
 
 HAV = f"degrees(2 * asin(least(1, sqrt(pow(sin(radians(dec - ({DEC})) / 2), 2) + cos(radians(dec)) * cos(radians({DEC})) * pow(sin(radians(ra - {RA}) / 2), 2)))))"
@@ -486,10 +529,10 @@ def legendre_apply(spark, d):
     return moving(spark, d).select("star_id", *model_columns(("x", "y"), LEG.position(u, v)))
 
 
-@query(f"with {MOVING} select star_id, {rnd('x0 / 1000 - 1', 'u', 9)}, {rnd('x0e / 1000', 'ue', 9)} from mv")
+@query(f"with {MOVING} select star_id, {rnd('x0 / 1000 - 1', 'u', 9)}, {rnd('x0e / 1000', 'ue', 10)} from mv")
 def domain_map(spark, d):
     """A domain mapped to [-1, 1]."""
-    return moving(spark, d).select("star_id", near(models.to_domain(F.col("x0"), 0.0, 2000.0), 9).alias("u"), near(models.error_to_domain(F.col("x0e"), 0.0, 2000.0), 9).alias("ue"))
+    return moving(spark, d).select("star_id", near(models.to_domain(F.col("x0"), 0.0, 2000.0), 9).alias("u"), near(models.error_to_domain(F.col("x0e"), 0.0, 2000.0), 10).alias("ue"))
 
 
 @query(f"with {PAIRS} select star_id, list_id, {rnd('1 / (xe * xe + ye * ye + xe_ref * xe_ref + ye_ref * ye_ref)', 'w')} from pairs")
