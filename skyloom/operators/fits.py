@@ -6,9 +6,13 @@ Weights multiply the residuals, so a weight w counts as w squared in the sums.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skyloom.common import checkpointed, finite
 from skyloom.functions import models
@@ -126,7 +130,7 @@ def fit_inverse(pairs: DataFrame, order: int = 1, by: list[str] | None = None) -
 
 
 def applied(df: DataFrame, fits: Fit, by: list[str] | None = None, compat: bool = False) -> DataFrame:
-    """x, y, m (and xe, ye, vx, ... where there are) moved by each group's transform; a group without one stays.
+    """x, y, m (and xe, ye, vx, ..., with motions also x0, y0, x0e, y0e, where there are) moved by each group's transform; a group without one stays.
 
     Errors are evaluated at the original place; ``compat`` evaluates them at the moved one.
     """
@@ -142,20 +146,31 @@ def applied(df: DataFrame, fits: Fit, by: list[str] | None = None, compat: bool
             c = F.when(is_it, model_value(t)[i]).otherwise(c)
         return c
 
-    x, y = F.col("x"), F.col("y")
-    at = (lambda t: t.position(x, y)) if compat else (lambda t: (x, y))
-    new = {"x": pick(0, "x", lambda t: t.position(x, y)), "y": pick(1, "y", lambda t: t.position(x, y))}
+    new = {}
+
+    def moved(x: str, y: str, xe: str, ye: str) -> None:
+        cx, cy = F.col(x), F.col(y)
+        at = (lambda t: t.position(cx, cy)) if compat else (lambda t: (cx, cy))
+        for i, c in enumerate((x, y)):
+            new[c] = pick(i, c, lambda t: t.position(cx, cy))
+        if {xe, ye} <= set(df.columns):
+            for i, c in enumerate((xe, ye)):
+                new[c] = pick(i, c, lambda t: t.position_error(*at(t), F.col(xe), F.col(ye)))
+
+    moved("x", "y", "xe", "ye")
     if "m" in df.columns:
         new["m"] = pick(0, "m", lambda t: (t.magnitude(F.col("m")),))
-    if {"xe", "ye"} <= set(df.columns):
-        for i, c in enumerate(("xe", "ye")):
-            new[c] = pick(i, c, lambda t: t.position_error(*at(t), F.col("xe"), F.col("ye")))
     if {"vx", "vy"} <= set(df.columns):
+        own = {"x0", "y0"} <= set(df.columns)
+        if own:
+            moved("x0", "y0", "x0e", "y0e")
+        # a motion starts from the place at the reference time where there is one
+        x, y, e = (F.col("x0"), F.col("y0"), ("x0e", "y0e")) if own else (F.col("x"), F.col("y"), ("xe", "ye"))
         for i, c in enumerate(("vx", "vy")):
             new[c] = pick(i, c, lambda t: t.velocity(x, y, F.col("vx"), F.col("vy")))
-        if {"vxe", "vye", "xe", "ye"} <= set(df.columns):
+        if {"vxe", "vye", *e} <= set(df.columns):
             for i, c in enumerate(("vxe", "vye")):
-                new[c] = pick(i, c, lambda t: t.velocity_error(x, y, F.col("vx"), F.col("vy"), F.col("xe"), F.col("ye"), F.col("vxe"), F.col("vye")))
+                new[c] = pick(i, c, lambda t: t.velocity_error(x, y, F.col("vx"), F.col("vy"), F.col(e[0]), F.col(e[1]), F.col("vxe"), F.col("vye")))
     return out.withColumns(new)
 
 
@@ -214,9 +229,21 @@ def residual_sigma_cut(pairs: DataFrame, k: float, by: list[str] | None = None)
 
 
 def monte_carlo_errors(df: DataFrame, model: Transform, n: int = 500, seed: int = 5, key: str = "id") -> DataFrame:
-    """(key, x_mc, y_mc): the spread of the transformed place over n draws of the measurement."""
-    draws = df.select(key, "x", "y", "xe", "ye").withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    x, y = F.col("x") + F.col("xe") * F.randn(seed), F.col("y") + F.col("ye") * F.randn(seed + 1)
-    draws = draws.withColumns({"_x": x, "_y": y})
-    px, py = model.position(F.col("_x"), F.col("_y"))
-    return draws.groupBy(key).agg(F.stddev_pop(px).alias("x_mc"), F.stddev_pop(py).alias("y_mc"))
+    """(key, x_mc, y_mc): the spread of the transformed place over n draws of the measurement.
+
+    Each row's draws are made and reduced where the row lies, from a generator seeded by the row's own values.
+    """
+    cols = ("x", "y", "xe", "ye")
+    rows = df.select(key, *(finite(c).alias(c) for c in cols)).withColumn("_h", F.xxhash64(F.lit(seed), key, *cols))
+    schema = T.StructType([df.schema[key], *(T.StructField(c, T.DoubleType()) for c in ("x_mc", "y_mc"))])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lo in range(0, len(b), 2000):
+                p = b.iloc[lo : lo + 2000]
+                x, y, xe, ye = (p[c].to_numpy(float)[:, None] for c in cols)
+                draws = np.stack([np.random.default_rng(h).standard_normal((2, n)) for h in p["_h"].to_numpy().astype(np.int64).view(np.uint64)])
+                moved = model.position(x + xe * draws[:, 0], y + ye * draws[:, 1])
+                yield pd.DataFrame({key: p[key], **{c: v.std(axis=1) for c, v in zip(("x_mc", "y_mc"), moved)}})
+
+    return rows.mapInPandas(run, schema)

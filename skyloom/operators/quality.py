@@ -112,15 +112,46 @@ def tagged_positions(a: DataFrame, b: DataFrame, matches: DataFrame) -> DataFram
     return mark(a, "id_1", "reference").unionByName(mark(b, "id_2", "list"))
 
 
-def velocity_ratios(pairs: DataFrame) -> DataFrame:
-    """Differences of velocities, plain and over their joint errors."""
-    out = {}
+def velocity_ratios(pairs: DataFrame, scale: float | None = None) -> DataFrame:
+    """Differences of velocities and over their joint errors; ``scale`` multiplies the differences and their errors alike."""
+    k, out = 1.0 if scale is None else float(scale), {}
     for c in "xy":
-        d = F.col(f"v{c}_ref") - F.col(f"v{c}")
-        out |= {f"dv{c}": d, f"rv{c}": d / F.sqrt(F.col(f"v{c}e") ** 2 + F.col(f"v{c}e_ref") ** 2)}
+        d, e = F.col(f"v{c}_ref") - F.col(f"v{c}"), F.sqrt(F.col(f"v{c}e") ** 2 + F.col(f"v{c}e_ref") ** 2)
+        out |= {f"dv{c}": d * k, f"dv{c}e": e * k, f"rv{c}": d / F.when(e > 0, e)}
     return pairs.withColumns(out)
 
 
+def residual_arrows(pairs: DataFrame, outlier: float | None = None, errs: str | None = None) -> DataFrame:
+    """The residuals at the reference's places; those of |d| below ``outlier`` alone, in errors where ``errs`` names them."""
+    r = residuals(pairs)
+    if outlier is not None:
+        r = r.where((F.abs("dx") < outlier) & (F.abs("dy") < outlier))
+    if errs is not None:
+        sx, sy = _errors(errs)
+        r = r.withColumns({"dx": F.col("dx") / F.when(sx > 0, sx), "dy": F.col("dy") / F.when(sy > 0, sy)})
+    return r.where("dx is not null and dy is not null")
+
+
+def velocity_points(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The velocities of both lists (id, vx, vy), told apart by ``source``."""
+    part = lambda df, src: df.select(F.lit(src).alias("source"), "id", finite("vx").alias("vx"), finite("vy").alias("vy")).where("vx is not null and vy is not null")
+    return part(a, "reference").unionByName(part(b, "list"))
+
+
+def proper_motions(stars: DataFrame, scale: float = 1e3) -> DataFrame:
+    """Each star's motion, scaled."""
+    return stars.where(finite("vx").isNotNull() & finite("vy").isNotNull()).select("star_id", (finite("vx") * scale).alias("pm_x"), (finite("vy") * scale).alias("pm_y"))
+
+
+def centred_offsets(sources: DataFrame, key: str = "source_id") -> DataFrame:
+    """Places in arcseconds from the mean place, the right ascension shortened by its declination, and motions from the mean motion."""
+    c = sources.select(key, *(finite(v).alias(v) for v in ("ra", "dec", "pmra", "pmdec"))).where("ra is not null and dec is not null")
+    mean = F.broadcast(c.agg(*(F.avg(v).alias(f"_{v}") for v in ("ra", "dec", "pmra", "pmdec"))))  # one row
+    at = c.crossJoin(mean)
+    turn = F.pmod(F.col("ra") - F.col("_ra") + 180, F.lit(360.0)) - 180
+    return at.select(key, (turn * F.cos(F.radians("_dec")) * 3600).alias("dx"), ((F.col("dec") - F.col("_dec")) * 3600).alias("dy"), (F.col("pmra") - F.col("_pmra")).alias("dpm_x"), (F.col("pmdec") - F.col("_pmdec")).alias("dpm_y"))
+
+
 # --- stars and their readings
 
 
@@ -156,6 +187,36 @@ def quiver(m: DataFrame, scale: float = 1e3) -> DataFrame:
     return m.where("dx is not null and dy is not null").select("list_id", "star_id", "x", "y", (F.col("dx") * scale).alias("dx"), (F.col("dy") * scale).alias("dy"), (F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2) * scale).alias("dr"))
 
 
+def quiver_statistics(m: DataFrame, reference: str = "use_in_trans", scale: float = 1e3) -> DataFrame:
+    """(list_id, kind, n, mean and population spread of dx and dy, scaled): ``GOOD`` of all stars with residuals, ``REF`` of the flagged ones."""
+    good = m.where("dx is not null and dy is not null").withColumn("kind", F.explode(F.when(F.coalesce(F.col(reference), F.lit(False)), F.array(F.lit("GOOD"), F.lit("REF"))).otherwise(F.array(F.lit("GOOD")))))
+    aggs = [f(F.col(f"d{c}") * scale).alias(f"d{c}_{n}") for c in "xy" for f, n in ((F.avg, "mean"), (F.stddev_pop, "std"))]
+    return good.groupBy("list_id", "kind").agg(F.count("*").alias("n"), *aggs)
+
+
+def residuals_of_detected(m: DataFrame, n_detect: int) -> DataFrame:
+    """Residual, error and ratio of every reading of the stars with exactly so many detections."""
+    good = m.where("sig_x is not null and sig_y is not null")
+    stars = good.groupBy("star_id").agg(F.count("*").alias("n_detect")).where(F.col("n_detect") == n_detect).select("star_id")
+    return good.join(stars, "star_id", "left_semi").select("star_id", "list_id", "dx", "dy", "xe", "ye", "sig_x", "sig_y")
+
+
+def several_alignments(parts: dict[str, DataFrame], turn: float, scale: float = 0.04) -> DataFrame:
+    """The residuals of several alignments in the original frame, under their names."""
+    out = None
+    for name, m in parts.items():
+        one = original_frame(m, turn, scale).withColumn("alignment", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no alignment")
+    return out
+
+
+def by_time(obs: DataFrame) -> DataFrame:
+    """Each star's readings numbered by time, those without one last."""
+    return obs.withColumn("n", F.row_number().over(Window.partitionBy("star_id").orderBy(finite("t").asc_nulls_last(), "list_id")))
+
+
 def mean_residual_per_star(m: DataFrame) -> DataFrame:
     """(star_id, n, dr_mean) over a star's epochs."""
     dr = F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2)
@@ -189,9 +250,13 @@ def sigma_flags(m: DataFrame, limit: float = 4.0) -> DataFrame:
 
 
 def radial_tangential(m: DataFrame) -> DataFrame:
-    """Each reading's residual along and across the direction from the origin to its star."""
+    """Each reading's residual along and across the direction from the origin to its star, with the errors of both where x and y have errors."""
     r0 = F.sqrt(F.col("x0") ** 2 + F.col("y0") ** 2)
-    return m.where(r0 > 0).select("star_id", "list_id", ((F.col("dx") * F.col("x0") + F.col("dy") * F.col("y0")) / r0).alias("d_r"), ((F.col("dx") * F.col("y0") - F.col("dy") * F.col("x0")) / r0).alias("d_t"))
+    out = [((F.col("dx") * F.col("x0") + F.col("dy") * F.col("y0")) / r0).alias("d_r"), ((F.col("dx") * F.col("y0") - F.col("dy") * F.col("x0")) / r0).alias("d_t")]
+    if {"xe", "ye"} <= set(m.columns):
+        along = lambda a, b: F.sqrt((F.col("xe") * F.col(a)) ** 2 + (F.col("ye") * F.col(b)) ** 2) / r0
+        out += [along("x0", "y0").alias("d_r_err"), along("y0", "x0").alias("d_t_err")]
+    return m.where(r0 > 0).select("star_id", "list_id", *out)
 
 
 def angle_of(x: Column, y: Column) -> Column:
@@ -267,8 +332,3 @@ def in_box(df: DataFrame, x: tuple[float, float], y: tuple[float, float]) -> Dat
 def epochs_of(obs: DataFrame) -> DataFrame:
     """Distinct finite times."""
     return obs.select(finite("t").alias("t")).where("t is not null").distinct()
-
-
-def first_or_last(obs: DataFrame) -> DataFrame:
-    """Each star's readings by time, numbered."""
-    return obs.withColumn("n", F.row_number().over(Window.partitionBy("star_id").orderBy("t", "list_id")))

@@ -7,13 +7,14 @@ off with a checkpoint in the shared folder.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.common import checkpointed, finite
+from skyloom.common import checkpointed, finite, released
 from skyloom.functions import models
 from skyloom.functions.models import Transform
 from skyloom.operators import combine, crossmatch, filters, fits, motion, triangles
@@ -44,6 +45,8 @@ class Mosaic:
     mag_lim: dict[int, tuple] | None = None
     ref_mag_lim: tuple | None = None
     weights: str | None = None
+    weighting: str | None = "var"  # of the stars' means and motions: by errors (var, std) or, with None, plain
+    compat: bool = False  # with motions the magnitudes are weighted just where the rest isn't
     trans_input: dict[int, Transform] | None = None
     use_vel: bool = False
     calc_trans_inverse: bool = False
@@ -55,6 +58,31 @@ class Mosaic:
     trans: dict[int, Transform] = field(default_factory=dict)
     trans_inverse: dict[int, Transform] = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        if not self.lists:
+            raise ValueError("a mosaic needs a list")
+        for name in ("dr_tol", "dm_tol", "outlier_tol", "order"):
+            setattr(self, name, per_iteration(getattr(self, name), self.iters, name))
+        if self.mag_lim is not None and not isinstance(self.mag_lim, dict):  # one pair for all lists
+            self.mag_lim = {k: tuple(self.mag_lim) for k in self.lists}
+        if self.trans_input is not None and not isinstance(self.trans_input, dict):  # one model for each list in turn
+            if len(self.trans_input) != len(self.lists):
+                raise ValueError(f"trans_input: {len(self.trans_input)} models for {len(self.lists)} lists")
+            self.trans_input = dict(zip(self.lists, self.trans_input))
+        if self.weighting not in (None, "var", "std") or self.init_guess_mode not in ("miracle", "name"):
+            raise ValueError("weighting: var, std or None; init_guess_mode: miracle or name")
+
+    def settings(self) -> dict:
+        """The settings as plain values, for the log of a run."""
+        plain = {k: v for k, v in vars(self).items() if k not in ("lists", "reference", "iter_callback", "trans", "trans_inverse")}
+        models_ = {k: {"kind": t.kind, "coefficients": t.coefficients, "mag_offset": t.mag_offset} for k, t in (self.trans_input or {}).items()}
+        return plain | {"lists": list(self.lists), "to_reference": self.reference is not None, "trans_input": models_}
+
+    def write_settings(self, path: str) -> None:
+        """The settings as a JSON file of the driver."""
+        with open(path, "w") as f:
+            json.dump(self.settings(), f, indent=1, default=str)
+
     def _std(self, df: DataFrame, lst: int) -> DataFrame:
         base = {"xe": 1.0, "ye": 1.0, "me": 1.0, "t": 0.0}
         out = df.withColumns({c: F.lit(v) for c, v in base.items() if c not in df.columns})
@@ -89,7 +117,7 @@ class Mosaic:
         r = ref.select(F.col("star_id").alias("id_1"), "use_in_trans", *(F.col(c).alias(f"{c}_ref") for c in ("x", "y", "m", "xe", "ye")))
         return matches.select("id_1", "id_2").join(r, "id_1").join(lst.withColumnRenamed("id", "id_2"), "id_2")
 
-    def one_pass(self, stars: DataFrame, obs: DataFrame | None, lst_id: int, it: int) -> tuple[DataFrame, DataFrame]:
+    def one_pass(self, stars: DataFrame, obs: list[DataFrame] | None, lst_id: int, it: int) -> tuple[DataFrame, list[DataFrame]]:
         """Fit one list to the stars and take its readings in."""
         lst = checkpointed(self._std(self.lists[lst_id], lst_id))
         t = lst.agg(F.min_by("t", "id")).first()[0] or 0.0
@@ -129,21 +157,26 @@ class Mosaic:
         none = F.lit(None).cast("double")
         new_stars = fresh.select("star_id", crossmatch.new_name(F.col("list_id"), F.col("name")).alias("name"), F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("m").alias("m0"), F.col("xe").alias("x0e"), F.col("ye").alias("y0e"), F.col("me").alias("m0e"), *(none.alias(c) for c in ("vx", "vy", "vxe", "vye")), F.col("t").alias("t0"), F.lit(self.use_ref_new).alias("use_in_trans"), F.lit(False).alias("ref_orig"))
         readings = rows.select(*cols).unionByName(fresh.select(*cols))
-        obs = readings if obs is None else obs.unionByName(readings)
-        stars = stars.unionByName(new_stars)
-        obs = checkpointed(obs)
+        # each list's readings are written once; what is read again is only the columns that the means take
+        obs = [*(obs or []), checkpointed(readings)]
+        grown = stars.unionByName(new_stars)
         if self.update_ref_orig != "periter":
-            stars = self.aggregates(stars, obs)
-        return checkpointed(stars), obs
+            grown = self.aggregates(grown, _together(obs))
+        out = checkpointed(grown)
+        released(stars, moved, found)
+        return out, obs
 
     def aggregates(self, stars: DataFrame, obs: DataFrame) -> DataFrame:
         """The stars' places, magnitudes and (if asked for) motions from their readings so far."""
-        m = combine.combine_lists(obs, "m", None if self.use_vel else "me", ismag=True).drop("n")
+        weighted = self.weighting is not None
+        m = combine.combine_lists(obs, "m", "me" if weighted != (self.compat and self.use_vel) else None, ismag=True).drop("n")
         if self.use_vel:
-            v = motion.fit_velocities(obs).drop("chi2_vx", "chi2_vy", "n_vfit")
+            even = obs if weighted else obs.withColumns({"xe": F.lit(1.0), "ye": F.lit(1.0)})
+            v = motion.fit_velocities(even, self.weighting or "var").drop("chi2_vx", "chi2_vy", "n_vfit")
             fresh = v.join(m, "star_id")
         else:
-            fresh = combine.combine_lists(obs, "x", "xe").drop("n").join(combine.combine_lists(obs, "y", "ye").drop("n"), "star_id").join(m, "star_id")
+            e = lambda c: f"{c}e" if weighted else None
+            fresh = combine.combine_lists(obs, "x", e("x")).drop("n").join(combine.combine_lists(obs, "y", e("y")).drop("n"), "star_id").join(m, "star_id")
         return combine.updated_aggregates(stars, fresh, keep_original=self.update_ref_orig is False)
 
     def fit(self) -> tuple[DataFrame, DataFrame, dict[int, Transform]]:
@@ -153,8 +186,9 @@ class Mosaic:
             obs = None
             for lst in self.lists:
                 stars, obs = self.one_pass(stars, obs, lst, it)
-            counts = filters.detections(obs)
-            stars = checkpointed(filters.drop_undetected(stars, counts, keep_original=self.reference is not None).drop("n_detect"))
+            counts = filters.detections(_together(obs))
+            before, stars = stars, checkpointed(filters.drop_undetected(stars, counts, keep_original=self.reference is not None).drop("n_detect"))
+            released(before, *obs)
             if self.iter_callback:
                 self.iter_callback(stars, it)
         obs = self.match_lists(stars, per_iteration(self.dr_tol, self.iters, "dr_tol")[-1], per_iteration(self.dm_tol, self.iters, "dm_tol")[-1])
@@ -179,6 +213,13 @@ class Mosaic:
         return checkpointed(rows.select("star_id", "list_id", "x", "y", "m", "xe", "ye", "me", "t", "x_orig", "y_orig", "m_orig", F.col("name").alias("name_in_list"), F.col("id").alias("obs_id")))
 
 
+def _together(obs: list[DataFrame]) -> DataFrame:
+    out = obs[0]
+    for df in obs[1:]:
+        out = out.unionByName(df)
+    return out
+
+
 def bootstrap_errors(stars: DataFrame, obs: DataFrame, n_boot: int = 100, order: int = 1, seed: int = 3, epochs_min: int = -1, with_velocities: bool = True) -> tuple[DataFrame, DataFrame]:
     """Errors from reference stars drawn with replacement.
 
@@ -210,13 +251,19 @@ def bootstrap_errors(stars: DataFrame, obs: DataFrame, n_boot: int = 100, order:
     return readings, spread
 
 
-def pair_alignment(ref: DataFrame, lst: DataFrame, steps: list[tuple[int, float]], dm_tol: float | None = None, weights: str | None = None, start: Transform | None = None, mode: str = "triangle", n_bright: int = 50, sigma: float | None = None) -> tuple[Transform, DataFrame]:
+def pair_alignment(ref: DataFrame, lst: DataFrame, steps: list[tuple[int, float]], dm_tol: float | None = None, weights: str | None = None, start: Transform | None = None, mode: str = "triangle", n_bright: int = 50, sigma: float | None = None, area: tuple[tuple[float, float], tuple[float, float]] | None = None, mag_lim: tuple[float | None, float | None] | None = None) -> tuple[Transform, DataFrame]:
     """Two catalogs aligned: a first guess (names, triangles or given), then for each (order, tolerance) a match and a fit.
 
     ref, lst: id, name, x, y, m[, xe, ye]. The last match comes back with the model; ``sigma`` cuts its residuals and fits once more.
+    ``area`` (ranges of x and y in the reference) and ``mag_lim`` trim what the fits see; the last match takes all rows.
     """
     side = lambda df: df.withColumns({c: F.lit(1.0) for c in ("xe", "ye") if c not in df.columns})
     ref, lst = side(ref), side(lst)
+    whole = ref, lst
+    if area is not None:
+        ref = filters.restrict_by_area(ref, *area)
+    if mag_lim is not None:
+        ref, lst = (filters.apply_mag_lim(df, *mag_lim) for df in (ref, lst))
 
     def joined(m: DataFrame, how: str | None) -> DataFrame:
         r = ref.select(F.col("id").alias("id_2"), *(F.col(c).alias(f"{c}_ref") for c in ("x", "y", "m", "xe", "ye")))
@@ -241,9 +288,20 @@ def pair_alignment(ref: DataFrame, lst: DataFrame, steps: list[tuple[int, float]
         kept = fits.residual_sigma_cut(there, sigma).select("id_1")
         pairs = pairs.join(kept, "id_1", "left_semi")
         model = fits.fit(pairs, steps[-1][0])[()]
+    ref, lst = whole
     return model, crossmatch.transform_and_match(lst, ref, model, steps[-1][1], dm_tol)
 
 
+def two_columns(ref: DataFrame, lst: DataFrame, model: Transform, matches: DataFrame) -> DataFrame:
+    """(star_id, name, list_id, x, y, m, further columns of both): the matched rows as a table of two lists, 0 the reference and 1 the other, moved into its frame."""
+    both = [c for c in ref.columns if c in lst.columns and c not in ("id", "name")]
+    moved = fits.applied(lst, {(): model})
+    one = matches.select(F.col("id_2").alias("id"), F.col("id_2").alias("star_id")).join(ref, "id").select("star_id", "name", F.lit(0).cast("long").alias("list_id"), *both)
+    names = one.select("star_id", "name")
+    two = matches.select(F.col("id_1").alias("id"), F.col("id_2").alias("star_id")).join(moved.drop("name"), "id").join(names, "star_id").select("star_id", "name", F.lit(1).cast("long").alias("list_id"), *both)
+    return one.unionByName(two)
+
+
 def stitch(lists: dict[int, DataFrame], initial: int, n_iter: int = 5, corr_thresh: float = 0.8, dr_tol: float = 1.0, order: int = 2) -> DataFrame:
     """Frames stitched one after the other onto a growing master: (star_id, name, x, y, m, xe, ye, n_frames).
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from skyloom.common import finite, table
 from skyloom.functions import models
-from skyloom.operators import combine, crossmatch, filters, fits, motion, quality, sky, triangles
+from skyloom.operators import combine, crossmatch, filters, fits, motion, quality, sky, tables, triangles
 from skyloom.sources import catalogs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1001,3 +1001,127 @@ def fixed_width_lines(spark, d):
     """Star lists as lines of fixed width."""
     s = table(spark, d, "starlist")
     return catalogs.to_fixed_width(s.select(F.coalesce("name", F.lit("")).alias("name"), *(F.coalesce(finite(c), F.lit(0.0)).alias(c) for c in ("m", "t", "x", "y", "xe", "ye", "snr", "corr")), F.coalesce("n_frames", F.lit(0)).alias("n_frames"), F.coalesce("flux", F.lit(0)).alias("flux")))
+
+
+# --- further tables and diagnostics
+
+
+def two_lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, d, "starlist_ext").select("list_id", F.col("ext_id").alias("id"), "x", "y", "m")
+    return e.where("list_id = 61").drop("list_id"), e.where("list_id = 62").drop("list_id")
+
+
+def _tagged_sql() -> str:
+    side = lambda k: f"select 0 as list_id, ext_id as id, x, y, {fin('m')} as m from starlist_ext where list_id = {k} and {fin('x')} is not null and {fin('y')} is not null"
+    part = lambda k, i, name: f"select '{name}' as source, ext_id as id, {fin('x')} as x, {fin('y')} as y, ext_id in (select id_{i} from q where sm = 1 and sd = 1) as matched from starlist_ext where list_id = {k}"
+    return f"with a as ({side(61)}), b as ({side(62)}), {_match_ctes(3.0, None)} {part(61, 1, 'reference')} union all {part(62, 2, 'list')}"
+
+
+@query(_tagged_sql())
+def tagged_positions(spark, d):
+    """The rows of two lists and whether they are matched."""
+    a, b = two_lists(spark, d)
+    t = quality.tagged_positions(a, b, crossmatch.cross_match(a, b, 3.0))
+    return t.withColumns({c: finite(c) for c in "xy"})
+
+
+@query(f"with {PAIRS} select star_id, list_id, {rnd('(x_ref - x) / sqrt(xe * xe + xe_ref * xe_ref)', 'dx', 5)}, {rnd('(y_ref - y) / sqrt(ye * ye + ye_ref * ye_ref)', 'dy', 5)} from pairs where abs(x_ref - x) < 1.5 and abs(y_ref - y) < 1.5")
+def residual_arrows(spark, d):
+    """Residuals within 1.5 pixels over their errors."""
+    return rounded(quality.residual_arrows(pairs(spark, d), 1.5, "both").select("star_id", "list_id", "dx", "dy"), 5)
+
+
+@query(f"with {STARS}, {GAIA} select 'reference' as source, star_id as id, vx, vy from stars where {fin('vx')} is not null and {fin('vy')} is not null union all select 'list', source_id, pmra, pmdec from g where {fin('pmra')} is not null and {fin('pmdec')} is not null")
+def velocity_points(spark, d):
+    """The velocities of two catalogs."""
+    return quality.velocity_points(stars(spark, d).withColumnRenamed("star_id", "id"), sources(spark, d).selectExpr("source_id as id", "pmra as vx", "pmdec as vy"))
+
+
+def _ratio_sql() -> str:
+    e = lambda c: f"sqrt(b.v{c}e * b.v{c}e + a.v{c}e * a.v{c}e)"
+    out = ", ".join(f"{rnd(f'(a.v{c} - b.v{c}) * 40', f'dv{c}')}, {rnd(f'{e(c)} * 40', f'dv{c}e')}, {rnd(f'(a.v{c} - b.v{c}) / {e(c)}', f'rv{c}', 5)}" for c in "xy")
+    return f"with {MOVING} select a.star_id, {out} from mv a join mv b on b.star_id = a.star_id + 1"
+
+
+@query(_ratio_sql())
+def velocity_ratios(spark, d):
+    """Differences of velocities, scaled, and over their errors (each star against the one numbered next)."""
+    v = ("vx", "vy", "vxe", "vye")
+    a = moving(spark, d).select("star_id", *(F.col(c).alias(f"{c}_ref") for c in v))
+    b = moving(spark, d).select((F.col("star_id") - 1).alias("star_id"), *v)
+    r = quality.velocity_ratios(a.join(b, "star_id"), 40.0).select("star_id", "dvx", "dvxe", "rvx", "dvy", "dvye", "rvy")
+    return r.select("star_id", *(near(F.col(c), 5 if c[0] == "r" else 6).alias(c) for c in r.columns[1:]))
+
+
+@query(f"with {STARS} select star_id, vx * 1000 as pm_x, vy * 1000 as pm_y from stars where {fin('vx')} is not null and {fin('vy')} is not null")
+def proper_motions(spark, d):
+    """Motions in thousandths."""
+    return quality.proper_motions(stars(spark, d))
+
+
+@query(f"""with {GAIA}, c as (select source_id, ra, dec, {fin('pmra')} as pmra, {fin('pmdec')} as pmdec from g where {fin('ra')} is not null and {fin('dec')} is not null), m as (select avg(ra) as r, avg(dec) as q, avg(pmra) as u, avg(pmdec) as v from c)
+  select source_id, {rnd('(((((ra - r + 180) % 360) + 360) % 360) - 180) * cos(radians(q)) * 3600', 'dx', 3)}, {rnd('(dec - q) * 3600', 'dy', 4)}, {rnd('pmra - u', 'dpm_x', 5)}, {rnd('pmdec - v', 'dpm_y', 5)} from c, m""")
+def centred_offsets(spark, d):
+    """Places and motions about their means."""
+    n = {"dx": 3, "dy": 4, "dpm_x": 5, "dpm_y": 5}
+    o = quality.centred_offsets(sources(spark, d))
+    return o.select("source_id", *(near(F.col(c), k).alias(c) for c, k in n.items()))
+
+
+@query(f"""with {MD}, f as (select distinct star_id, use_in_trans from startable), w as (select md.*, f.use_in_trans from md join f using (star_id)), k as (select 'GOOD' as kind, * from w union all select 'REF', * from w where use_in_trans)
+  select list_id, kind, count(*) as n, {', '.join(rnd(f'{f}(d{c} * 1000)', f'd{c}_{n}', 3) for c in 'xy' for f, n in (('avg', 'mean'), ('stddev_pop', 'std')))} from k group by 1, 2""")
+def quiver_statistics(spark, d):
+    """Means and spreads of the residuals of all stars and of the reference stars."""
+    m = modelled(spark, d).join(stars(spark, d).select("star_id", "use_in_trans"), "star_id")
+    return rounded(quality.quiver_statistics(m), 3)
+
+
+@query(f"with {MD}, n as (select star_id from md group by 1 having count(*) = 12) select star_id, list_id, {rnd('dx', 'dx', 5)}, {rnd('dy', 'dy', 5)}, xe, ye, {rnd('dx / xe', 'sig_x', 4)}, {rnd('dy / ye', 'sig_y', 4)} from md where star_id in (select star_id from n)")
+def residuals_of_detected(spark, d):
+    """Residuals, errors and ratios of the stars with twelve detections."""
+    r = quality.residuals_of_detected(modelled(spark, d), 12)
+    n = {"dx": 5, "dy": 5, "sig_x": 4, "sig_y": 4}
+    return r.select(*(near(F.col(c), n[c]).alias(c) if c in n else F.col(c) for c in r.columns))
+
+
+@query(f"""with {MD}, k as (select 'all' as alignment, * from md union all select 'bright', * from md where m < 16) select alignment, star_id, list_id, {rnd('(dx * cos(radians(-30)) - dy * sin(radians(-30))) / 0.04', 'dx_orig', 4)},
+  {rnd('(dx * sin(radians(-30)) + dy * cos(radians(-30))) / 0.04', 'dy_orig', 4)} from k""")
+def several_alignments(spark, d):
+    """The residuals of several alignments in the original frame."""
+    m = modelled(spark, d)
+    return rounded(quality.several_alignments({"all": m, "bright": m.where("m < 16")}, 30.0).select("alignment", "star_id", "list_id", "dx_orig", "dy_orig"), 4)
+
+
+@query(f"with {MD} select star_id, list_id, {rnd('sqrt(pow(xe * x0, 2) + pow(ye * y0, 2)) / sqrt(x0 * x0 + y0 * y0)', 'd_r_err', 5)}, {rnd('sqrt(pow(xe * y0, 2) + pow(ye * x0, 2)) / sqrt(x0 * x0 + y0 * y0)', 'd_t_err', 5)} from md where x0 * x0 + y0 * y0 > 0")
+def radial_errors(spark, d):
+    """The errors of the residuals along and across the radius."""
+    return rounded(quality.radial_tangential(modelled(spark, d)).select("star_id", "list_id", "d_r_err", "d_t_err"), 5)
+
+
+@query(f"with {READINGS} select star_id, list_id, row_number() over (partition by star_id order by {fin('t')} nulls last, list_id)::int as n from readings")
+def readings_by_time(spark, d):
+    """O2: every star's readings in order of time."""
+    return quality.by_time(readings(spark, d)).select("star_id", "list_id", "n")
+
+
+@query(f"""with {STARS}, {READINGS}, k(list_id) as (values (1), (2), (3), (4)), r as (select star_id, case list_id when 5 then 1 when 7 then 2 else 3 end as list_id, x, y, m, xe, ye from readings where list_id in (5, 7, 9) and star_id in (select star_id from stars)
+    union all select star_id, 4, x, y, m, null, null from readings where list_id = 11 and star_id in (select star_id from stars))
+  select s.star_id, k.list_id::bigint as list_id, case when k.list_id = 2 and s.star_id % 5 = 0 then null else x end as x, case when k.list_id = 2 and s.star_id % 5 = 0 then null else y end as y, m, xe, ye from stars s cross join k left join r on r.star_id = s.star_id and r.list_id = k.list_id""")
+def star_table(spark, d):
+    """M1, M3 to M6: a table from three lists, one more added column by column, some readings made invalid; one row a star and list."""
+    s = stars(spark, d)
+    r = readings(spark, d).join(s.select("star_id"), "star_id", "left_semi")
+    part = lambda k: r.where(F.col("list_id") == k).select("star_id", "x", "y", "m", "xe", "ye")
+    t = tables.StarTable(s.select("star_id", "name"), part(5).withColumn("list_id", F.lit(1).cast("long")).where(F.lit(False)), spark.createDataFrame([], "list_id long, list_name string, list_time double"))
+    for k, lst in enumerate((5, 7, 9), 1):
+        t = tables.add_list(t, part(lst), k)
+    t = tables.add_values(t, 4, **{c: part(11).select("star_id", F.col(c).alias("value")) for c in ("x", "y", "m")})
+    t = tables.invalidated(t, [2], s.where("star_id % 5 = 0"), ["x", "y"])
+    return tables.full(t).select("star_id", "list_id", "x", "y", "m", "xe", "ye")
+
+
+@query(f"with {MOVING} select star_id, {rnd(PX, 'x0')}, {rnd(PY, 'y0')}, {rnd(f'sqrt({XX} * x0e * {XX} * x0e + {XY} * y0e * {XY} * y0e)', 'x0e')}, {rnd(f'{XX} * vx + {XY} * vy', 'vx')}, {rnd(f'sqrt(pow((-2e-6 * vx + 2e-6 * vy) * x0e, 2) + pow((2e-6 * vx + 2e-6 * vy) * y0e, 2) + pow({YX} * vxe, 2) + pow({YY} * vye, 2))', 'vye')} from mv")
+def catalog_moved(spark, d):
+    """Places at the reference time, their errors and motions moved with a catalog."""
+    s = moving(spark, d).withColumns({"x": F.col("x0"), "y": F.col("y0")})
+    return rounded(fits.applied(s, {(): ORDER2}).select("star_id", "x0", "y0", "x0e", "vx", "vye"))

@@ -180,10 +180,24 @@ def write_transform(model: Transform, path: str, **about) -> None:
 
 
 def parse_transform(text: str) -> Transform:
-    """A model from the text of a transform file: its coefficients, and its magnitude offset where that is told."""
+    """A model from the text of a transform file, of the class that its header names (a polynomial where it names none).
+
+    A header's order, where told, must agree with the coefficients.
+    """
     rows = [tuple(map(float, line.split()[:2])) for line in text.splitlines() if line.strip() and not line.lstrip().startswith("#")]
-    told = re.search(r"Delta Mag:\s*([-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?)", text)
-    return models.polynomial([r[0] for r in rows], [r[1] for r in rows], float(told[1]) if told else 0.0)
+    told = dict(re.findall(r"^##\s*([A-Za-z_ ]+):\s*(.*?)\s*$", text, re.M))
+    dm, kind = float(told.get("Delta Mag") or 0.0), told.get("Transform Class", "PolyTransform")
+    cx, cy = [r[0] for r in rows], [r[1] for r in rows]
+    if kind == "four_paramNW":
+        if len(rows) != 3:
+            raise ValueError(f"a similarity has 3 pairs of coefficients, not {len(rows)}")
+        return models.similarity(cx[0], cy[0], cx[1], cx[2], dm)
+    if kind != "PolyTransform":
+        raise ValueError(f"{kind} can't be read")
+    model = models.polynomial(cx, cy, dm)
+    if told.get("Order", str(model.order)) != str(model.order):
+        raise ValueError(f"order {told['Order']} with {len(rows)} pairs of coefficients")
+    return model
 
 
 def read_transform(path: str) -> Transform:
