@@ -132,9 +132,13 @@ def _to(token: str, script: str) -> str:
     return "".join(c if _script(c) == script else back.get(TO_LATIN.get(c, c), c) for c in token)
 
 
+#: A letter of a script that has look-alikes of Latin ones: a text without any has nothing to repair.
+FOREIGN = re.compile("[\u0370-\u03ff\u0400-\u058f\u13a0-\u13ff\u1f00-\u1fff]")
+
+
 def repairs(text: str) -> list[tuple[int, str, str]]:
     """(place, token, repaired token) for the tokens of a plain text that another script's letters would change."""
-    if text.isascii():
+    if not FOREIGN.search(text):
         return []
     toks = [(m.start(), m[0]) for m in TOKEN.finditer(text)]
     counts: dict[str, int] = {}
