@@ -88,6 +88,16 @@ def alike(a: str, b: str) -> bool:
     most = _slips(max(len(a), len(b)))
     if min(len(a), len(b)) < 3 or abs(len(a) - len(b)) > most:
         return False
+    # equal ends cost nothing
+    n = min(len(a), len(b))
+    i = next((k for k in range(n) if a[k] != b[k]), n)
+    n -= i
+    j = next((k for k in range(n) if a[-1 - k] != b[-1 - k]), n)
+    a, b = a[i : len(a) - j], b[i : len(b) - j]
+    if max(len(a), len(b)) <= 1 or not a or not b:
+        return max(len(a), len(b)) <= most
+    if most == 1:
+        return len(a) == len(b) == 2 and a == b[::-1]
     last2, last = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         row = [i]
@@ -158,15 +168,15 @@ class Spellings:
             seen[g] += 1
         if not posts:
             return found
-        at, count = np.unique(np.concatenate(posts), return_counts=True)
+        counts = np.bincount(np.concatenate(posts), minlength=1)
+        at = np.flatnonzero(counts)
+        count = counts[at]
         longer = np.maximum(self.lengths[at], n)
         slips = np.maximum(1, longer // 4)
         at, slips = (x[(np.abs(self.lengths[at] - n) <= slips) & (count >= np.maximum(1, longer + Q - 1 - (Q + 1) * slips))] for x in (at, slips))
         if not len(at):
             return found
-        own = np.zeros(32, np.int16)
-        np.add.at(own, self._hashed(word), 1)
-        diff = self.letters[at] - own
+        diff = self.letters[at] - np.bincount(self._hashed(word), minlength=32)
         apart = np.maximum(np.where(diff > 0, diff, 0).sum(1), np.where(diff < 0, -diff, 0).sum(1))  # slips at least
         return found + [int(v) for v in at[apart <= slips] if v != k and alike(word, self.words[v])]
 
