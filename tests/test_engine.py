@@ -161,7 +161,7 @@ def test_registered_with_production_sizes(spark, data):
     import __spark_entry__ as e
 
     data = data.replace("sf0.001", "sf0.01")  # lists of more than 50 rows
-    t = e.queries()["triangle_geometry_lists"](spark, data)
+    t = e.queries()["triangle_geometry"](spark, data)
     n = spark.read.parquet(f"{data}/starlist_ext.parquet").where("not isnan(x) and not isnan(y) and not isnan(m) and abs(x) < 1e300 and abs(y) < 1e300 and abs(m) < 1e300").groupBy("list_id").count()
     want = {r.list_id: math.comb(min(r["count"], 50), 3) for r in n.collect()}
     got = {r.list_id: r["count"] for r in t.groupBy("list_id").count().collect()}
