@@ -47,7 +47,7 @@ class Settings:
     speed_cell: float = 0.2  # side of the cells of velocity that candidates vote for, in pixels a year
     votes: int = 3  # votes that a motion other than none needs at least; a list votes once, with a name that agrees three times
     fastest: float = 10.0  # pixels a year beyond which no motion is drafted
-    moved: float = 1.0  # pixels off the own place from which on a predicted place is blocked anew
+    moved: float = 2.0  # pixels off the own place from which on a predicted place is blocked anew
     serial: float = 0.1  # a name stem with a larger share of a collection's rows is numbering
     sample: int = 60_000  # most labelled pairs that the classifier is fitted on
 
@@ -313,9 +313,14 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+#: Tracks (48 bytes each) that are sent to all executors; more are joined by a shuffle, to the same result.
+FEW_TRACKS = 500_000
+
+
 def _judged(pairs: DataFrame, tracks: DataFrame, k: Settings) -> DataFrame:
     """The candidates with their offsets from the tracks."""
-    at = pairs.join(tracks, "ib", "left").fillna(0.0, ["p0", "p1", "q0", "q1"]).fillna(0, ["n"])
+    # few tracks go to the candidates, many are met by a shuffle
+    at = pairs.join(F.broadcast(tracks) if tracks.count() <= FEW_TRACKS else tracks, "ib", "left").fillna(0.0, ["p0", "p1", "q0", "q1"]).fillna(0, ["n"])
     dt = F.coalesce("dt", F.lit(0.0))
     off = F.hypot(F.col("du") - F.col("p0") - F.col("p1") * dt, F.col("dv") - F.col("q0") - F.col("q1") * dt)
     slow = F.when(F.col("n") < 3, F.pow(k.motion * F.coalesce("dt", F.lit(5.0)), 2)).otherwise(0.0)
@@ -333,8 +338,7 @@ def _accepted(pairs: DataFrame, k: Settings) -> DataFrame:
 def matched(star: DataFrame, ext: DataFrame, lists: DataFrame, k: Settings = Settings()) -> DataFrame:
     """(row_id, ext_id, confidence): the pairs of detections of one star."""
     times = lists.where(F.col("list_id").isNotNull()).groupBy(F.col("list_id").cast("long").alias("list")).agg(F.min(finite("list_time")).alias("list_t"))
-    a, b = _named(_detections(star, "row_id", times), _detections(ext, "ext_id", times), k)
-    a, b = checkpointed(a), checkpointed(b)
+    a, b = _named(checkpointed(_detections(star, "row_id", times)), checkpointed(_detections(ext, "ext_id", times)), k)
     fits = _frames(a, b, k)
     a, b = _apply(a, fits), _apply(b, fits)
     first = checkpointed(_pairs(_candidates(a, b, k), a, b, k))

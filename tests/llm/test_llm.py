@@ -273,3 +273,12 @@ def test_shortages_go_to_siblings_first(spark):
     beside = part["BB-22", "en", "alpha"] / was["BB-22", "en", "alpha"]
     assert beside > 1.3 and abs(part["AA-11", "de", "alpha"] / was["AA-11", "de", "alpha"] - 1.1) < 0.05
     assert mixing.mixed(docs, targets.limit(0))[0].count() == 0
+
+
+def test_many_tracks_are_joined_to_the_same_result(spark, monkeypatch):
+    star, ext, _ = observed(random.Random(9), 120)
+    lists = spark.createDataFrame([(0, 2012.0), (1, 2016.0), (2, 2021.0), (61, 2015.0)], "list_id long, list_time double")
+    a, b = spark.createDataFrame(star, STAR), spark.createDataFrame(ext, EXT)
+    few = {(r.row_id, r.ext_id) for r in matching.matched(a, b, lists).collect()}
+    monkeypatch.setattr(matching, "FEW_TRACKS", 0)
+    assert few == {(r.row_id, r.ext_id) for r in matching.matched(a, b, lists).collect()} and len(few) > 150
