@@ -830,12 +830,39 @@ def line_chi2(spark, d):
     return rounded(motion.line_chi2(p, ["star_id"], "dt", "x", "s", F.lit(0.1), F.lit(200.0)), 5)
 
 
-@query()
+def _polynomial_sql() -> str:
+    """Parabolas in time by Cramer's rule on the weighted sums of powers."""
+    sums = ", ".join(", ".join([*(f"sum(pow(d, {k}) / ({c}e * {c}e)) as s{c}{k}" for k in range(5)), *(f"sum(pow(d, {k}) * {c} / ({c}e * {c}e)) as t{c}{k}" for k in range(3))]) for c in "xy")
+
+    def minors(c: str) -> dict[str, str]:
+        s = [f"s{c}{k}" for k in range(5)]
+        return {"00": f"({s[2]} * {s[4]} - {s[3]} * {s[3]})", "01": f"({s[1]} * {s[4]} - {s[2]} * {s[3]})", "02": f"({s[1]} * {s[3]} - {s[2]} * {s[2]})", "11": f"({s[0]} * {s[4]} - {s[2]} * {s[2]})", "12": f"({s[0]} * {s[3]} - {s[1]} * {s[2]})", "22": f"({s[0]} * {s[2]} - {s[1]} * {s[1]})"}
+
+    fit = []
+    for c in "xy":
+        m, t = minors(c), [f"t{c}{k}" for k in range(3)]
+        det = f"(s{c}0 * {m['00']} - s{c}1 * {m['01']} + s{c}2 * {m['02']})"
+        fit += [f"case when n > 2 then ({t[0]} * {m['00']} - {t[1]} * {m['01']} + {t[2]} * {m['02']}) / {det} end as p{c}0", f"case when n > 2 then (-{t[0]} * {m['01']} + {t[1]} * {m['11']} - {t[2]} * {m['12']}) / {det} end as p{c}1"]
+        fit += [f"case when n > 2 then ({t[0]} * {m['02']} - {t[1]} * {m['12']} + {t[2]} * {m['22']}) / {det} end as p{c}2", *(f"{m[f'{k}{k}']} / {det} as i{c}{k}" for k in range(3))]
+    out = [rnd("t0", "t0", 5), "n", "n - 3 as dof"]
+    for c in "xy":
+        for k, name in enumerate((f"{c}0", f"v{c}", f"a{c}")):
+            out += [rnd(f"p{c}{k}", name, 4), rnd(f"case when n > 3 then sqrt(i{c}{k} * chi{c} / (n - 3)) end", f"{name}e", 4)]
+        out.append(rnd(f"chi{c}", f"chi2{c}", 3))
+    chi = ", ".join(f"sum(pow(({c} - p{c}0 - p{c}1 * d - p{c}2 * d * d) / {c}e, 2)) as chi{c}" for c in "xy")
+    return f"""with {PLAUSIBLE}, z as (select star_id, sum(t / sqrt(xe * xe + ye * ye)) / sum(1 / sqrt(xe * xe + ye * ye)) as t0 from good group by 1), q as (select good.*, t - t0 as d, t0 from good join z using (star_id)),
+  g as (select star_id, any_value(t0) as t0, count(*) as n, {sums} from q group by 1), f as (select star_id, t0, n, {', '.join(fit)} from g), k as (select star_id, {chi} from q join f using (star_id) group by 1)
+  select star_id, {', '.join(out)} from f join k using (star_id)"""
+
+
+@query(_polynomial_sql())
 def motion_polynomial(spark, d):
     """Motions with an acceleration."""
     p = motion.polynomial_motion(plausible(spark, d), 2)
     part = lambda c: [F.get(f"p{c}{e}", F.lit(k)).alias(f"{n}{e}") for k, n in enumerate((f"{c}0", f"v{c}", f"a{c}")) for e in ("", "e")]
-    return rounded(p.select("star_id", "t0", "n", "dof", *part("x"), "chi2x", *part("y"), "chi2y"), 5)
+    p = p.select("star_id", "t0", "n", "dof", *part("x"), "chi2x", *part("y"), "chi2y")
+    digits = {"t0": 5, "chi2x": 3, "chi2y": 3}
+    return p.select(*(near(F.col(c), digits.get(c, 4)).alias(c) if t == "double" else F.col(c) for c, t in p.dtypes))
 
 
 @query()
@@ -911,9 +938,16 @@ def sigma_flags(spark, d):
     return quality.sigma_flags(modelled(spark, d))
 
 
-@query(f"with {MD} select star_id, list_id, {rnd('(dx * x0 + dy * y0) / sqrt(x0 * x0 + y0 * y0)', 'd_r', 5)}, {rnd('(dx * y0 - dy * x0) / sqrt(x0 * x0 + y0 * y0)', 'd_t', 5)} from md where x0 * x0 + y0 * y0 > 0")
+RADIUS = "sqrt(x0 * x0 + y0 * y0)"
+RADIAL = {
+    "d_r": f"(dx * x0 + dy * y0) / {RADIUS}", "d_t": f"(dx * y0 - dy * x0) / {RADIUS}",
+    "d_r_err": f"sqrt(pow(xe * x0, 2) + pow(ye * y0, 2)) / {RADIUS}", "d_t_err": f"sqrt(pow(xe * y0, 2) + pow(ye * x0, 2)) / {RADIUS}",
+}
+
+
+@query(f"with {MD} select star_id, list_id, {', '.join(rnd(e, n, 5) for n, e in RADIAL.items())} from md where x0 * x0 + y0 * y0 > 0")
 def radial_tangential(spark, d):
-    """Residuals along and across the radius."""
+    """Residuals along and across the radius, with their errors."""
     return rounded(quality.radial_tangential(modelled(spark, d)), 5)
 
 
@@ -1092,12 +1126,6 @@ def several_alignments(spark, d):
     return rounded(quality.several_alignments({"all": m, "bright": m.where("m < 16")}, 30.0).select("alignment", "star_id", "list_id", "dx_orig", "dy_orig"), 4)
 
 
-@query(f"with {MD} select star_id, list_id, {rnd('sqrt(pow(xe * x0, 2) + pow(ye * y0, 2)) / sqrt(x0 * x0 + y0 * y0)', 'd_r_err', 5)}, {rnd('sqrt(pow(xe * y0, 2) + pow(ye * x0, 2)) / sqrt(x0 * x0 + y0 * y0)', 'd_t_err', 5)} from md where x0 * x0 + y0 * y0 > 0")
-def radial_errors(spark, d):
-    """The errors of the residuals along and across the radius."""
-    return rounded(quality.radial_tangential(modelled(spark, d)).select("star_id", "list_id", "d_r_err", "d_t_err"), 5)
-
-
 @query(f"with {READINGS} select star_id, list_id, row_number() over (partition by star_id order by {fin('t')} nulls last, list_id)::int as n from readings")
 def readings_by_time(spark, d):
     """O2: every star's readings in order of time."""
