@@ -426,9 +426,14 @@ def triangle_votes(spark, d):
     return triangles.votes(t1, t2, by=["list_id"])
 
 
-@query(f"""{_votes_sql()}, n1 as (select list_id from g1_t group by 1 having count(*) >= {N_BRIGHT} intersect select list_id from g2_t group by 1 having count(*) >= {N_BRIGHT}),
-  w as (select *, row_number() over (partition by list_id, id_2 order by votes desc, id_1) as k, lead(votes) over (partition by list_id, id_2 order by votes desc, id_1) as nxt from votes where list_id in (select list_id from n1))
-  select list_id, id_1, id_2, votes from w where k = 1 and votes > 2 * coalesce(nxt, 0)""")
+def _triangle_match_ctes() -> str:
+    """CTE ``tm``: the pairs with more than twice the votes of the next."""
+    return f"""{_votes_sql()}, n1 as (select list_id from g1_t group by 1 having count(*) >= {N_BRIGHT} intersect select list_id from g2_t group by 1 having count(*) >= {N_BRIGHT}),
+  vw as (select *, row_number() over (partition by list_id, id_2 order by votes desc, id_1) as k, lead(votes) over (partition by list_id, id_2 order by votes desc, id_1) as nxt from votes where list_id in (select list_id from n1)),
+  tm as (select list_id, id_1, id_2, votes from vw where k = 1 and votes > 2 * coalesce(nxt, 0))"""
+
+
+@query(f"{_triangle_match_ctes()} select list_id, id_1, id_2, votes from tm")
 def triangle_match(spark, d):
     """Of one list with every other the pairs with twice the votes of the next."""
     return triangles.triangle_match(*bright_lists(spark, d), N_BRIGHT, by=["list_id"])
@@ -460,6 +465,14 @@ def epochs_present(spark, d):
     return quality.epochs_of(table(spark, d, "startable_obs"))
 
 
+def guess_sql() -> str:
+    """First transforms of each list from the triangle pairs, where there are three."""
+    every = "select list_id, x, y, m, min(row_id) as id from starlist group by 1, 2, 3, 4"
+    source = f"""(select tm.list_id, b.x, b.y, {fin('b.m')} as m, a.x as x_ref, a.y as y_ref, {fin('a.m')} as m_ref, tm.votes::double as votes from tm join ({every}) a on a.id = tm.id_1 join ({every}) b on b.id = tm.id_2
+    where tm.list_id in (select list_id from tm group by 1 having count(*) >= 3))"""
+    return _fit_sql("votes", source, _triangle_match_ctes().removeprefix("with "))
+
+
 # --- models
 
 ORDER2 = models.polynomial([1.5, 1.0002, -0.0003, 1e-6, -2e-6, 3e-6], [-2.5, 0.0004, 0.9997, -1e-6, 2e-6, 1e-6], -0.25)
@@ -544,12 +557,12 @@ def fit_weights(spark, d):
 # --- fits
 
 
-def _coefficients(spark: SparkSession, found: fits.Fit, n: int) -> DataFrame:
+def coefficients(spark: SparkSession, found: fits.Fit, n: int) -> DataFrame:
     rows = [(k[0], *map(float, t.coefficients[0][:n]), *map(float, t.coefficients[1][:n]), t.mag_offset) for k, t in found.items()]
     return spark.createDataFrame(rows, "list_id long, " + ", ".join(f"{c}{i} double" for c in "ab" for i in range(n)) + ", mag_offset double")
 
 
-def _fit_sql(weight: str, source: str = "pairs") -> str:
+def _fit_sql(weight: str, source: str = "pairs", ctes: str = PAIRS) -> str:
     s = lambda p, q: f"sum(w * w * {p} * {q})"
     products = (("u", "u", "uu"), ("u", "v", "uv"), ("v", "v", "vv"), ("u", "x_ref", "ux"), ("v", "x_ref", "vx"), ("u", "y_ref", "uy"), ("v", "y_ref", "vy"), ("u", "1", "u1"), ("v", "1", "v1"), ("1", "1", "n1"), ("x_ref", "1", "x1"), ("y_ref", "1", "y1"))
     sums = ", ".join(f"{s(p, q)} as {n}" for p, q, n in products)
@@ -559,7 +572,7 @@ def _fit_sql(weight: str, source: str = "pairs") -> str:
         a, b = f"((u{c} * vv - v{c} * uv) / (uu * vv - uv * uv))", f"((v{c} * uu - u{c} * uv) / (uu * vv - uv * uv))"
         k = "a" if c == "x" else "b"
         out += [rnd(f"{c}1 / n1 - {a} * cx - {b} * cy", f"{k}0", 5), rnd(a, f"{k}1", 7), rnd(b, f"{k}2", 7)]
-    return f"""with {PAIRS}, p as (select *, {weight} as w from {source}), c as (select list_id, sum(w * w * x) / sum(w * w) as cx, sum(w * w * y) / sum(w * w) as cy from p group by 1),
+    return f"""with {ctes}, p as (select *, {weight} as w from {source}), c as (select list_id, sum(w * w * x) / sum(w * w) as cx, sum(w * w * y) / sum(w * w) as cy from p group by 1),
   q as (select p.*, x - cx as u, y - cy as v, cx, cy from p join c using (list_id)), s as (select list_id, any_value(cx) as cx, any_value(cy) as cy, {sums}, avg(m_ref - m) as dm from q group by 1)
   select list_id, {', '.join(out)}, {rnd('dm', 'mag_offset')} from s"""
 
@@ -592,20 +605,20 @@ def _moved(df: DataFrame) -> DataFrame:
     return df.select("star_id", "list_id", near(F.col("x"), 5).alias("x"), near(F.col("y"), 5).alias("y"))
 
 
-def _rounded_fit(df: DataFrame) -> DataFrame:
+def rounded_fit(df: DataFrame) -> DataFrame:
     return df.select("list_id", *((near(F.col(c), 5 if c[1] == "0" else 7)).alias(c) for c in df.columns if c[0] in "ab"), near(F.col("mag_offset"), 6).alias("mag_offset"))
 
 
 @query(_fit_sql("1.0::double"))
 def poly_fit(spark, d):
     """an affine transform of each list to the stars' places."""
-    return _rounded_fit(_coefficients(spark, fits.fit(pairs(spark, d), 1, by=["list_id"]), 3))
+    return rounded_fit(coefficients(spark, fits.fit(pairs(spark, d), 1, by=["list_id"]), 3))
 
 
 @query(_fit_sql("1 / (xe * xe + ye * ye + xe_ref * xe_ref + ye_ref * ye_ref)"))
 def poly_fit_weighted(spark, d):
     """F1 with weights."""
-    return _rounded_fit(_coefficients(spark, fits.fit(fits.with_weight(pairs(spark, d), "both,var"), 1, by=["list_id"]), 3))
+    return rounded_fit(coefficients(spark, fits.fit(fits.with_weight(pairs(spark, d), "both,var"), 1, by=["list_id"]), 3))
 
 
 ORDER2_TERMS = ["1.0", "u", "v", "u * u", "u * v", "v * v"]
@@ -639,7 +652,7 @@ TURNED = "(select star_id, list_id, x_ref as x, y_ref as y, m_ref as m, x as x_r
 @query(_fit_sql("1.0::double", TURNED))
 def inverse_fit(spark, d):
     """The inverse transforms."""
-    return _rounded_fit(_coefficients(spark, fits.fit_inverse(pairs(spark, d), 1, by=["list_id"]), 3))
+    return rounded_fit(coefficients(spark, fits.fit_inverse(pairs(spark, d), 1, by=["list_id"]), 3))
 
 
 @query(f"with {PAIRS} select list_id, {rnd('avg(x_ref - x)', 'dx', 7)}, {rnd('avg(y_ref - y)', 'dy', 7)}, {rnd('stddev_samp(x_ref - x) / sqrt(count(*))', 'dxe', 7)}, {rnd('stddev_samp(y_ref - y) / sqrt(count(*))', 'dye', 7)}, count(*) as n from pairs group by 1")

@@ -1,4 +1,4 @@
-"""Queries of the whole pipelines: mosaics, stitching, first transforms. Their results depend on the order of lists, so they have no SQL."""
+"""Queries of the whole pipelines: mosaics, stitching, first transforms. All but the last depend on the order of lists and have no SQL."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from skyloom.common import checkpointed, finite, table
 from skyloom.functions import models
 from skyloom.operators import fits, triangles
 from skyloom.plans.mosaic import Mosaic, pair_alignment, stitch, two_columns
-from skyloom.queries.engine import N_BRIGHT, bright_lists
+from skyloom.queries.engine import N_BRIGHT, bright_lists, coefficients, guess_sql, rounded_fit
 
 #: The frames of the test lists differ by a few pixels: all alignments begin with none.
 SAME = models.polynomial([0.0, 1.0, 0.0], [0.0, 0.0, 1.0])
@@ -54,8 +54,7 @@ def initial_guess(spark: SparkSession, d: str) -> DataFrame:
     enough = found.groupBy("list_id").agg(F.count("*").alias("n")).where("n >= 3").select("list_id")
     a = ref.select("list_id", F.col("id").alias("id_1"), *(finite(c).alias(f"{c}_ref") for c in "xym"))
     pairs = found.join(enough, "list_id", "left_semi").withColumn("w", F.col("votes").cast("double")).join(a, ["list_id", "id_1"]).join(lst.select("list_id", F.col("id").alias("id_2"), *(finite(c).alias(c) for c in "xym")), ["list_id", "id_2"])
-    rows = [(k[0], *map(float, t.coefficients[0]), *map(float, t.coefficients[1]), t.mag_offset) for k, t in fits.fit(pairs, 1, by=["list_id"]).items()]
-    return spark.createDataFrame(rows, "list_id long, a0 double, a1 double, a2 double, b0 double, b1 double, b2 double, mag_offset double")
+    return rounded_fit(coefficients(spark, fits.fit(pairs, 1, by=["list_id"]), 3))
 
 
 def generic_match(spark: SparkSession, d: str) -> DataFrame:
@@ -67,3 +66,4 @@ def generic_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (mosaic_self, mosaic_to_ref, stitched_frames, initial_guess, generic_match)}
+SQL = {"initial_guess": guess_sql()}
