@@ -32,7 +32,10 @@ def triangles(top: DataFrame, by: list[str] | None = None) -> DataFrame:
     # a group's N brightest are a small array, from which all triples are dealt out in place
     t = top.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("r", "id", "x", "y"))).alias("_top"))
     later = lambda c: F.explode(F.filter("_top", lambda e: e["r"] > F.col(f"{c}.r")))
-    t = t.withColumn("_a", F.explode("_top")).withColumn("_b", later("_a")).withColumn("_c", later("_b")).drop("_top")
+    t = t.withColumn("_a", F.explode("_top"))
+    # few small rows become many here: spread by number, or they would be planned as one task
+    t = t.repartition(max(2, t.sparkSession.sparkContext.defaultParallelism), *by, "_a.id")
+    t = t.withColumn("_b", later("_a")).withColumn("_c", later("_b")).drop("_top")
     ux, uy, wx, wy = (F.col(f"_{p}.{c}") - F.col(f"_a.{c}") for p in "bc" for c in "xy")
     # each step is generated, so that the next takes its columns and not its expressions, which would multiply
     t = t.withColumn("_s", F.explode(F.array(F.struct(*(v.alias(n) for n, v in zip(("ux", "uy", "wx", "wy"), (ux, uy, wx, wy)))))))

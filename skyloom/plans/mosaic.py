@@ -233,10 +233,11 @@ def bootstrap_errors(stars: DataFrame, obs: DataFrame, n_boot: int = 100, order:
     # the k-th draw takes the star at a hashed place
     draws = ranked.select("list_id", "_k", "_n", b).withColumn("_k", F.pmod(F.xxhash64(F.lit(seed), "boot", "list_id", "_k"), F.col("_n")).cast("int")).drop("_n")
     sample = draws.join(ranked.select("list_id", "_k", F.col("x_orig").alias("x"), F.col("y_orig").alias("y"), F.col("m_orig").alias("m"), "x_ref", "y_ref", "m_ref"), ["list_id", "_k"])
-    found = fits.fit(checkpointed(sample), order, by=["boot", "list_id"])
+    found = fits.fit(sample, order, by=["boot", "list_id"])
     enough = obs.groupBy("star_id").agg(F.count("x").alias("_d")).join(stars.select("star_id", "use_in_trans"), "star_id").where((F.col("_d") >= epochs_min) | F.col("use_in_trans")).select("star_id")
     each = obs.join(enough, "star_id", "left_semi").select("star_id", "list_id", "t", "xe", "ye", F.col("x_orig").alias("x"), F.col("y_orig").alias("y"), F.col("m_orig").alias("m"), b)
-    moved = checkpointed(fits.applied_by_table(each, found, ["boot", "list_id"]))
+    # the draws are dealt out again where they are needed: n_boot copies of the readings are never written
+    moved = fits.applied_by_table(each, found, ["boot", "list_id"])
     readings = moved.groupBy("star_id", "list_id").agg(*(F.stddev_samp(c).alias(f"{c}e_boot") for c in "xym"))
     if not with_velocities:
         return readings, stars.select("star_id").where(F.lit(False))
