@@ -194,7 +194,9 @@ class Items:
         self.spellings = Spellings(self.vocabulary)
         self.numbers = [[self.spellings.number[w] for w in c] for c in cut]
         self.own = [[i not in s for i in range(len(c))] for c, s in zip(cut, shared)]
-        often = np.bincount(np.concatenate([*map(np.array, filter(None, self.numbers)), np.zeros(0, np.int64)]).astype(np.int64), minlength=len(self.vocabulary))
+        often = np.bincount(
+            np.concatenate([*map(np.array, filter(None, self.numbers)), np.zeros(0, np.int64)]).astype(np.int64), minlength=len(self.vocabulary)
+        )
         weight = np.array([_weight(w) for w in self.vocabulary], np.int64)
         at, place, least = [], [], np.zeros(len(ids), np.int64)
         for k, nums in enumerate(self.numbers):

@@ -202,9 +202,13 @@ FEW_WORDS = 1_000_000
 
 def _good_words(doubtful: DataFrame, texts: DataFrame) -> DataFrame:
     """(word): results of repairs that are words of the corpus: found as such in ``texts`` (_t), or under two spellings among ``doubtful`` (old, new)."""
-    pairs = checkpointed(doubtful.select(F.explode(F.arrays_zip("old", "new")).alias("z")).select(F.col("z.new").alias("word"), F.col("z.old").alias("written")).distinct())
+    pairs = checkpointed(
+        doubtful.select(F.explode(F.arrays_zip("old", "new")).alias("z")).select(F.col("z.new").alias("word"), F.col("z.old").alias("written")).distinct()
+    )
     # as texts have them: composed or decomposed
-    wanted = pairs.select("word").distinct().select("word", F.explode(F.array_distinct(F.array("word", F.pandas_udf(_composed, T.StringType())("word")))).alias("w"))
+    wanted = pairs.select("word").distinct().select(
+        "word", F.explode(F.array_distinct(F.array("word", F.pandas_udf(_composed, T.StringType())("word")))).alias("w")
+    )
     wanted = checkpointed(wanted)
     words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)))).alias("w"))
     if wanted.count() <= FEW_WORDS:  # sought where the texts lie; else words are made distinct before they travel
@@ -221,7 +225,9 @@ def _repaired(doubtful: DataFrame, texts: DataFrame) -> DataFrame:
     """(digest, one_form) of the distinct doubtful texts (digest, _t, old, new)."""
     each = doubtful.groupBy("digest").agg(*(F.first(c).alias(c) for c in ("_t", "old", "new")))
     good = _good_words(each, texts)
-    mine = each.select("digest", F.explode(F.array_distinct("new")).alias("word")).join(good, "word").groupBy("digest").agg(F.collect_set("word").alias("_words"))
+    mine = each.select(
+        "digest", F.explode(F.array_distinct("new")).alias("word")
+    ).join(good, "word").groupBy("digest").agg(F.collect_set("word").alias("_words"))
     return each.select("digest", "_t").join(mine, "digest", "left").select("digest", F.pandas_udf(_finished, T.StringType())("_t", "_words").alias("one_form"))
 
 
@@ -235,7 +241,10 @@ def one_form(df: DataFrame, text: str = "text") -> DataFrame:
     clear = scanned.where(F.coalesce(F.size(f"{p}.old"), F.lit(0)) <= 0).select(*df.columns, F.coalesce(f"{p}.plain", text).alias(name))
     doubtful = scanned.where(F.size(f"{p}.old") > 0)
     texts = df.where(F.length(text) > 0).select(F.col(text).alias("_t"))
-    forms = _repaired(checkpointed(doubtful.select(F.md5(text).alias("digest"), F.col(text).alias("_t"), F.col(f"{p}.old").alias("old"), F.col(f"{p}.new").alias("new"))), texts)
+    forms = _repaired(
+        checkpointed(doubtful.select(F.md5(text).alias("digest"), F.col(text).alias("_t"), F.col(f"{p}.old").alias("old"), F.col(f"{p}.new").alias("new"))),
+        texts
+    )
     mended = doubtful.withColumn(digest, F.md5(text)).join(forms.withColumnsRenamed({"digest": digest, "one_form": name}), digest).select(*df.columns, name)
     return clear.unionByName(mended)
 
@@ -245,10 +254,16 @@ def _looks(df: DataFrame, key: str, text: str) -> DataFrame:
     base = df.where(F.col(key).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("k"), F.col(text).alias("_t"))
     scanned = base.select("k", "_t", _scanned("_t").alias("p"))
     fair = F.size("p.old") == 0
-    seen = checkpointed(scanned.select("k", F.md5("_t").alias("digest"), F.when(fair, F.md5("p.plain")).alias("form"), F.when(~fair, F.col("_t")).alias("_t"), "p.old", "p.new"))
+    seen = checkpointed(
+        scanned.select("k", F.md5("_t").alias("digest"), F.when(fair, F.md5("p.plain")).alias("form"), F.when(~fair, F.col("_t")).alias("_t"), "p.old", "p.new")
+    )
     doubtful = seen.where(F.col("form").isNull())
     forms = _repaired(doubtful, base.select("_t")).select("digest", F.md5("one_form").alias("form"))
-    return checkpointed(seen.where(F.col("form").isNotNull()).select("k", "digest", "form").unionByName(doubtful.select("k", "digest").join(forms, "digest").select("k", "digest", "form")))
+    return checkpointed(
+        seen.where(F.col("form").isNotNull()).select("k", "digest", "form").unionByName(
+            doubtful.select("k", "digest").join(forms, "digest").select("k", "digest", "form")
+        )
+    )
 
 
 def look_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -272,11 +287,15 @@ def same_look(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     classes = looks.groupBy("form", "digest").agg(F.count("*").alias("n"))
     shared = classes.groupBy("form").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("form")
     classes = checkpointed(classes.select("form", "digest").join(shared, "form"))
-    pairs = classes.select("form", F.col("digest").alias("d1")).join(classes.select("form", F.col("digest").alias("d2")), "form").where(F.col("d1") < F.col("d2")).select("d1", "d2")
+    pairs = classes.select("form", F.col("digest").alias("d1")).join(
+        classes.select("form", F.col("digest").alias("d2")), "form"
+    ).where(F.col("d1") < F.col("d2")).select("d1", "d2")
     members = looks.select("k", "digest").join(classes.select("digest"), "digest", "left_semi").distinct()
     hot = hot_keys(members, ["digest"])
     one, two = members.select(F.col("k").alias("k1"), F.col("digest").alias("d1")), members.select(F.col("k").alias("k2"), F.col("digest").alias("d2"))
     left, right, keys = salted(one, pairs, ["d1"], F.col("k1"), hot.withColumnRenamed("digest", "d1") if hot is not None else None)
     half = left.join(right, keys).select("k1", "d2")
     left, right, keys = salted(half, two, ["d2"], F.col("k1"), hot.withColumnRenamed("digest", "d2") if hot is not None else None)
-    return left.join(right, keys).where(F.col("k1") != F.col("k2")).select(F.least("k1", "k2").alias("doc_id_1"), F.greatest("k1", "k2").alias("doc_id_2")).distinct()
+    return left.join(right, keys).where(F.col("k1") != F.col("k2")).select(
+        F.least("k1", "k2").alias("doc_id_1"), F.greatest("k1", "k2").alias("doc_id_2")
+    ).distinct()

@@ -61,10 +61,14 @@ def _detections(df: DataFrame, key: str, times: DataFrame) -> DataFrame:
     low = F.lower(F.trim(F.col("name")))
     rows = df.select(
         F.col(key).cast("long").alias("id"), F.col("list_id").cast("long").alias("list"), finite("x").alias("x"), finite("y").alias("y"), finite("m").alias("m"), F.greatest(e("xe"), e("ye")).alias("s"), finite("t").alias("t"),
-        F.regexp_extract(low, NAME, 1).alias("stem"), F.nullif(F.regexp_extract(low, NAME, 2), F.lit("")).alias("num"), F.regexp_extract(low, NAME, 3).alias("suf"),
+        F.regexp_extract(low, NAME, 1).alias("stem"), F.nullif(
+            F.regexp_extract(low, NAME, 2), F.lit("")
+        ).alias("num"), F.regexp_extract(low, NAME, 3).alias("suf"),
     ).where("id is not null and list is not null and x is not null and y is not null")
     rows = rows.join(times, "list", "left").withColumn("t", F.coalesce("t", "list_t")).drop("list_t")
-    return rows.groupBy("list", "x", "y", "m").agg(F.min("id").alias("id"), *(F.min(c).alias(c) for c in ("s", "t")), F.min_by(F.struct("stem", "num", "suf"), "id").alias("n")).select("id", "list", "x", "y", "m", "s", "t", "n.*")
+    return rows.groupBy("list", "x", "y", "m").agg(
+        F.min("id").alias("id"), *(F.min(c).alias(c) for c in ("s", "t")), F.min_by(F.struct("stem", "num", "suf"), "id").alias("n")
+    ).select("id", "list", "x", "y", "m", "s", "t", "n.*")
 
 
 def _named(a: DataFrame, b: DataFrame, k: Settings) -> tuple[DataFrame, DataFrame]:
@@ -75,14 +79,18 @@ def _named(a: DataFrame, b: DataFrame, k: Settings) -> tuple[DataFrame, DataFram
         stems = often if stems is None else stems.unionByName(often)
     stems = F.broadcast(stems.distinct())
     tag = F.when(F.col("num").isNotNull() & (F.length("stem") > 1), F.concat(F.substring("stem", 1, 3), "num", "suf"))
-    mark = lambda df: df.join(stems.withColumn("dull", F.lit(True)), "stem", "left").withColumn("tag", F.when(F.col("dull").isNull(), tag)).drop("dull")
+    mark = lambda df: df.join(
+        stems.withColumn("dull", F.lit(True)), "stem", "left"
+    ).withColumn("tag", F.when(F.col("dull").isNull(), tag)).drop("dull")
     return mark(a), mark(b)
 
 
 def _weighted(pairs: DataFrame) -> DataFrame:
     """The sums of an affine fit of (bx, by) by (x, y) per list."""
     p = {"1": F.lit(1.0), "x": F.col("x"), "y": F.col("y")}
-    sums = {f"{a}{b}": F.sum(p[a] * p[b]) for a, b in ("11", "1x", "1y", "xx", "xy", "yy")} | {f"{a}{c}": F.sum(p[a] * F.col(c)) for a in p for c in ("bx", "by")}
+    sums = {
+        f"{a}{b}": F.sum(p[a] * p[b]) for a, b in ("11", "1x", "1y", "xx", "xy", "yy")
+    } | {f"{a}{c}": F.sum(p[a] * F.col(c)) for a in p for c in ("bx", "by")}
     return pairs.groupBy("list").agg(*(s.alias(n) for n, s in sums.items()), F.percentile_approx(F.col("bm") - F.col("m"), 0.5).alias("zero"))
 
 
@@ -109,7 +117,9 @@ def _apply(df: DataFrame, fits: dict, names: tuple[str, str, str] = ("u", "v", "
     f = F.broadcast(df.sparkSession.createDataFrame(rows, schema))  # one row a list
     u = F.coalesce(F.col("a0") + F.col("a1") * F.col("x") + F.col("a2") * F.col("y"), F.col("x"))
     v = F.coalesce(F.col("b0") + F.col("b1") * F.col("x") + F.col("b2") * F.col("y"), F.col("y"))
-    return df.join(f, "list", "left").withColumns({names[0]: u, names[1]: v, names[2]: F.col("m") + F.coalesce("zero", F.lit(0.0))}).drop("a0", "a1", "a2", "b0", "b1", "b2", "zero")
+    return df.join(f, "list", "left").withColumns(
+        {names[0]: u, names[1]: v, names[2]: F.col("m") + F.coalesce("zero", F.lit(0.0))}
+    ).drop("a0", "a1", "a2", "b0", "b1", "b2", "zero")
 
 
 def _frames(a: DataFrame, b: DataFrame, k: Settings) -> dict:
@@ -118,10 +128,14 @@ def _frames(a: DataFrame, b: DataFrame, k: Settings) -> dict:
     if first is None:
         return {}
     base = b.where(F.col("list") == first["list"])
-    once = lambda df: df.where(F.col("tag").isNotNull()).groupBy("list", "tag").agg(F.count("*").alias("n"), *(F.min(c).alias(c) for c in ("x", "y", "m"))).where("n = 1").drop("n")
+    once = lambda df: df.where(F.col("tag").isNotNull()).groupBy("list", "tag").agg(
+        F.count("*").alias("n"), *(F.min(c).alias(c) for c in ("x", "y", "m"))
+    ).where("n = 1").drop("n")
     ref = once(base).select("tag", F.col("x").alias("bx"), F.col("y").alias("by"), F.col("m").alias("bm"))
     pairs = checkpointed(once(a.unionByName(b)).join(ref, "tag"))
-    mid = pairs.groupBy("list").agg(F.percentile_approx(F.col("bx") - F.col("x"), 0.5).alias("dx"), F.percentile_approx(F.col("by") - F.col("y"), 0.5).alias("dy")).collect()
+    mid = pairs.groupBy("list").agg(
+        F.percentile_approx(F.col("bx") - F.col("x"), 0.5).alias("dx"), F.percentile_approx(F.col("by") - F.col("y"), 0.5).alias("dy")
+    ).collect()
     fits = {r["list"]: (np.array([r["dx"], 1.0, 0.0]), np.array([r["dy"], 0.0, 1.0]), 0.0) for r in mid}
     # a list without an anchor stays where it is, its magnitudes level with the others' by their medians
     level = {r["list"]: r["m"] for r in a.unionByName(b).groupBy("list").agg(F.percentile_approx("m", 0.5).alias("m")).collect()}
@@ -167,7 +181,12 @@ def _place_bands(k: Settings):
 def _name_bands(k: Settings) -> Column:
     """MinHash bands of the letter groups of a telling name, NULL without one."""
     name = F.concat(F.lit("^"), "stem", "num", "suf", F.lit("$"))
-    grams = F.array_distinct(F.concat(F.transform(F.sequence(F.lit(1), F.length(name) - 2), lambda i: F.substr(name, i, F.lit(3))), F.array(F.concat(F.lit("#"), "num"), F.concat(F.lit("#"), "num", "suf"), "tag")))
+    grams = F.array_distinct(
+        F.concat(
+            F.transform(F.sequence(F.lit(1), F.length(name) - 2), lambda i: F.substr(name, i, F.lit(3))),
+            F.array(F.concat(F.lit("#"), "num"), F.concat(F.lit("#"), "num", "suf"), "tag")
+        )
+    )
 
     def bands_of(hashes: Column) -> Column:
         least = lambda j: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(j))))
@@ -211,7 +230,9 @@ def _predicted(a: DataFrame, b: DataFrame, tracks: DataFrame, known: DataFrame,
     """(ia, ib): further pairs, of the detections of an epoch bin and the places where tracks should be then, that agree in a band."""
     bins = F.broadcast(a.where("t is not null").select(F.floor("t").cast("int").alias("bin")).distinct())  # one row a year
     ahead = b.join(tracks, b["id"] == tracks["ib"]).where("t is not null").crossJoin(bins).withColumn("dt", F.col("bin") + 0.5 - F.col("t"))
-    ahead = ahead.withColumns({"du": F.col("p0") + F.col("p1") * F.col("dt"), "dv": F.col("q0") + F.col("q1") * F.col("dt")}).where(F.hypot("du", "dv") > k.moved)
+    ahead = ahead.withColumns(
+        {"du": F.col("p0") + F.col("p1") * F.col("dt"), "dv": F.col("q0") + F.col("q1") * F.col("dt")}
+    ).where(F.hypot("du", "dv") > k.moved)
     ahead = ahead.select("id", "bin", (F.col("u") + F.col("du")).alias("u"), (F.col("v") + F.col("dv")).alias("v"))
     at = a.where("t is not null").select("id", F.floor("t").cast("int").alias("bin"), "u", "v")
     found = _agreeing(_places(at, k, "ia"), _places(ahead, k, "ib"), _places(at.sample(FEW, seed=7), k, "ia"))
@@ -227,7 +248,9 @@ def _pairs(pairs: DataFrame, a: DataFrame, b: DataFrame, k: Settings) -> DataFra
     right = b.select(F.col("id").alias("ib"), F.substring("stem", 1, 3).alias("stemb"), *(F.col(c).alias(f"{c}b") for c in SIDE))
     both = pairs.join(left, "ia").join(right, "ib")
     # slips of a letter or digit are neither agreement nor contradiction
-    agree = F.when(F.col("taga").isNull() | F.col("tagb").isNull(), 0).when(F.col("taga") == F.col("tagb"), 1).when((F.col("stema") != F.col("stemb")) & (F.levenshtein("numa", "numb") >= 2), -1).otherwise(0)
+    agree = F.when(F.col("taga").isNull() | F.col("tagb").isNull(), 0).when(F.col("taga") == F.col("tagb"), 1).when(
+        (F.col("stema") != F.col("stemb")) & (F.levenshtein("numa", "numb") >= 2), -1
+    ).otherwise(0)
     sq = lambda c: F.pow(F.coalesce(c, F.lit(0.3)), 2)
     out = {
         "agree": agree.cast("byte"), "dm": F.abs(F.col("wa") - F.col("wb")).cast("float"), "dt": (F.col("ta") - F.col("tb")).cast("float"), "du": (F.col("ua") - F.col("ub")).cast("float"), "dv": (F.col("va") - F.col("vb")).cast("float"),
@@ -242,16 +265,23 @@ APART, ALIKE = 0.4, 1.0
 
 def _motions(pairs: DataFrame, k: Settings) -> DataFrame:
     """(ib, vx, vy): the motions that more lists vote for than for standing still; ``votes`` votes at least."""
-    usable = pairs.where((F.coalesce("dm", F.lit(0.0)) < ALIKE) & F.col("dt").isNotNull()).select("ib", "lista", "agree", "dt", "du", "dv", "var0").repartition("ib")
+    usable = pairs.where(
+        (F.coalesce("dm", F.lit(0.0)) < ALIKE) & F.col("dt").isNotNull()
+    ).select("ib", "lista", "agree", "dt", "du", "dv", "var0").repartition("ib")
     still = F.hypot("du", "dv") < 4 * F.sqrt(F.col("var0") + F.pow(k.motion * F.col("dt"), 2))
     vx, vy = F.col("du") / F.col("dt"), F.col("dv") / F.col("dt")
     # two grids each way, half a cell apart, so that agreeing motions share a cell of one of them
     cells = lambda v: (F.floor(v / k.speed_cell) * 2, F.floor(v / k.speed_cell + 0.5) * 2 - 1)
     at = lambda moving, cx, cy, x, y: F.struct(F.lit(moving).alias("moving"), cx.alias("cx"), cy.alias("cy"), x.alias("vx"), y.alias("vy"))
     none = F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(0.0), F.lit(0.0)
-    ballots = [F.when(still, at(False, *none)), *(F.when((F.abs("dt") >= APART) & (F.hypot(vx, vy) <= k.fastest), at(True, cx, cy, vx, vy)) for cx in cells(vx) for cy in cells(vy))]
+    ballots = [
+        F.when(still, at(False, *none)),
+        *(F.when((F.abs("dt") >= APART) & (F.hypot(vx, vy) <= k.fastest), at(True, cx, cy, vx, vy)) for cx in cells(vx) for cy in cells(vy))
+    ]
     votes = usable.select("ib", "lista", "agree", F.explode(F.array_compact(F.array(*ballots))).alias("v")).select("ib", "lista", "agree", "v.*")
-    each = votes.groupBy("ib", "moving", "cx", "cy", "lista").agg(F.avg("vx").alias("vx"), F.avg("vy").alias("vy"), F.max(F.when(F.col("agree") == 1, 2).otherwise(0)).alias("named"))
+    each = votes.groupBy("ib", "moving", "cx", "cy", "lista").agg(
+        F.avg("vx").alias("vx"), F.avg("vy").alias("vy"), F.max(F.when(F.col("agree") == 1, 2).otherwise(0)).alias("named")
+    )
     sums = each.groupBy("ib", "moving", "cx", "cy").agg((F.count("*") + F.sum("named")).alias("votes"), F.avg("vx").alias("vx"), F.avg("vy").alias("vy"))
     best = F.max_by(F.struct("moving", "vx", "vy"), F.struct("votes", ~F.col("moving"), -F.hypot("vx", "vy"), "cx", "cy"))
     return sums.where((F.col("votes") >= k.votes) | ~F.col("moving")).groupBy("ib").agg(best.alias("m")).select("ib", "m.*").where("moving")
@@ -266,7 +296,9 @@ def _links(pairs: DataFrame, k: Settings) -> DataFrame:
     cost = F.pow(off / slack, 2) + F.pow(F.least(F.coalesce(F.col("dm"), F.lit(0.15)) / 0.15, F.lit(20.0)), 2) - 6 * F.col("agree")
     near = at.withColumn("cost", cost).where((off < 4 * slack) & (F.coalesce("dm", F.lit(0.0)) < 3.0))
     best = F.row_number().over(Window.partitionBy("ib", "lista").orderBy("cost", "ia"))
-    return near.withColumn("one", best).where("one = 1").withColumn("var", F.col("var0") + F.when(F.col("moving"), 0.04).otherwise(F.pow(k.motion * F.col("dt"), 2)))
+    return near.withColumn("one", best).where("one = 1").withColumn(
+        "var", F.col("var0") + F.when(F.col("moving"), 0.04).otherwise(F.pow(k.motion * F.col("dt"), 2))
+    )
 
 
 def _tracks(links: DataFrame, k: Settings) -> DataFrame:
@@ -296,7 +328,10 @@ def _features() -> Column:
     """Position and brightness of a candidate pair as numbers for the classifier."""
     z = F.least(F.col("off") / F.sqrt("var1"), F.lit(30.0))
     dm = F.least(F.coalesce("dm", F.lit(0.15)) / F.lit(0.1), F.lit(30.0))
-    return F.array(F.lit(1.0), z, F.log1p(z * z), F.log1p(F.col("off") * 10), dm, F.log1p(dm * dm), F.when(F.col("dm").isNull(), 1.0).otherwise(0.0), F.log1p("n"))
+    return F.array(
+        F.lit(1.0), z, F.log1p(z * z), F.log1p(F.col("off") * 10), dm, F.log1p(dm * dm), F.when(F.col("dm").isNull(), 1.0).otherwise(0.0),
+        F.log1p("n")
+    )
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -350,12 +385,17 @@ def matched(star: DataFrame, ext: DataFrame, lists: DataFrame, k: Settings = Set
     second = checkpointed(_pairs(_predicted(a, b, tracks, known, k).withColumn("blind", F.lit(True)), a, b, k))
     best = _accepted(_judged(first.unionByName(second), tracks, k), k).select("ia", "ib", "confidence")
     # every copy
-    same = lambda df, key: df.select(F.col(key).cast("long").alias("id"), F.col("list_id").cast("long").alias("list"), finite("x").alias("x"), finite("y").alias("y"), finite("m").alias("m"))
+    same = lambda df, key: df.select(
+        F.col(key).cast("long").alias("id"), F.col("list_id").cast("long").alias("list"), finite("x").alias("x"), finite("y").alias("y"),
+        finite("m").alias("m")
+    )
     eq = lambda p, q: (p["list"] == q["list"]) & (p["x"] == q["x"]) & (p["y"] == q["y"]) & p["m"].eqNullSafe(q["m"])
 
     def copies(df: DataFrame, key: str, reps: DataFrame, rep: str) -> DataFrame:
         p, q = same(df, key).alias("p"), reps.select(F.col("id").alias(rep), "list", "x", "y", "m").alias("q")
-        return p.join(q, eq({c: F.col(f"p.{c}") for c in ("list", "x", "y", "m")}, {c: F.col(f"q.{c}") for c in ("list", "x", "y", "m")})).select(F.col("p.id").alias(key), rep)
+        return p.join(
+            q, eq({c: F.col(f"p.{c}") for c in ("list", "x", "y", "m")}, {c: F.col(f"q.{c}") for c in ("list", "x", "y", "m")})
+        ).select(F.col("p.id").alias(key), rep)
 
     out = best.join(copies(star, "row_id", a, "ia"), "ia").join(copies(ext, "ext_id", b, "ib"), "ib")
     return out.select("row_id", "ext_id", "confidence")
@@ -371,7 +411,9 @@ def _posterior(logit: np.ndarray, agree: np.ndarray, wrong: float, chance: float
 def _classifier(pairs: DataFrame, k: Settings) -> Column:
     """The calibrated confidence of a candidate pair as an expression."""
     h = F.pmod(F.xxhash64("ib"), F.lit(1_000_000))
-    labelled = pairs.where("agree <> 0 and blind").select((F.col("agree") == 1).cast("int").alias("y"), "f", F.pmod(h, F.lit(2)).alias("half"), F.xxhash64("ia", "ib").alias("o"))
+    labelled = pairs.where("agree <> 0 and blind").select(
+        (F.col("agree") == 1).cast("int").alias("y"), "f", F.pmod(h, F.lit(2)).alias("half"), F.xxhash64("ia", "ib").alias("o")
+    )
     rows = labelled.orderBy("o").limit(k.sample).select("y", "f", "half").toPandas()
     wrong, chance = 0.08, 0.01  # how often a match's names contradict and a chance pair's agree: starting values
     if len(rows) < 30 or rows["y"].nunique() < 2:
@@ -389,7 +431,9 @@ def _classifier(pairs: DataFrame, k: Settings) -> Column:
             chance = float(np.clip((1 - soft[train]) @ y[train] / max((1 - soft[train]).sum(), 1e-9), 1e-4, 0.2))
         # Platt's calibration on the held-out stars
         shift, scale = _logistic(np.c_[np.ones(held.sum()), x[held] @ w], _posterior(x[held] @ w, y[held], wrong, chance))
-    logit = F.lit(float(shift)) + F.lit(float(scale)) * F.aggregate(F.zip_with(_features(), F.array(*(F.lit(float(v)) for v in w)), lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    logit = F.lit(float(shift)) + F.lit(float(scale)) * F.aggregate(
+        F.zip_with(_features(), F.array(*(F.lit(float(v)) for v in w)), lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v
+    )
     yes, no = np.log((1 - wrong) / chance), np.log(wrong / (1 - chance))
     odds = logit + F.when(F.col("agree") == 1, F.lit(float(yes))).when(F.col("agree") == -1, F.lit(float(no))).otherwise(0.0)
     return 1 / (1 + F.exp(-odds))

@@ -123,20 +123,28 @@ def product_line() -> Column:
     return F.regexp_extract(F.upper("item_sku"), r"^([A-Z]+-?[0-9]{0,2})", 1)
 
 
-def mixed(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", total: float | None = None, stretch: float = 1.0, seed: int = 17, tokenizer: str | None = None, domain: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def mixed(
+    docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", total: float | None = None, stretch: float = 1.0, seed: int = 17,
+    tokenizer: str | None = None, domain: Column | None = None
+) -> tuple[DataFrame, DataFrame]:
     """The mix (doc_id, domain, lang, source, tokens, copies) and its report (source, target_share, tokens, share, copies).
 
     Without ``total`` the mix is ``stretch`` times the largest in which every target that has texts at all gets its share exactly;
     a larger one has shortages.
     """
     want = {}
-    for r in targets.where(F.col("source").isNotNull() & (F.col("target_share") > 0)).select(source_key(F.col("source")).alias("s"), "source", "target_share", "max_repeats").collect():
+    for r in targets.where(F.col("source").isNotNull() & (F.col("target_share") > 0)).select(
+        source_key(F.col("source")).alias("s"), "source", "target_share", "max_repeats"
+    ).collect():
         want[r["s"]] = (r["source"], r["target_share"], max(1, r["max_repeats"] or 1))  # one row a target
     if domain is None:
         domain = product_line() if "item_sku" in docs.columns else F.lit(None).cast("string")
     named = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("?"))
     spark = docs.sparkSession
-    base = docs.select(F.col(key).alias("doc_id"), named(domain).alias("domain"), named(F.lower(F.trim("lang"))).alias("lang"), source_key(F.col("source")).alias("source"), F.col(text).alias("_t"))
+    base = docs.select(
+        F.col(key).alias("doc_id"), named(domain).alias("domain"), named(F.lower(F.trim("lang"))).alias("lang"),
+        source_key(F.col("source")).alias("source"), F.col(text).alias("_t")
+    )
     names = spark.createDataFrame([(s, *v) for s, v in want.items()], "source string, name string, target_share double, max_repeats long")
     base = base.join(F.broadcast(names.select("source", "name", "max_repeats")), "source")
     base = checkpointed(token_counts(base, "_t", "tokens", tokenizer).drop("_t").where("tokens > 0").withColumn("leaf", F.concat_ws("\u0001", *LEVELS)))
@@ -160,10 +168,15 @@ def mixed(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str =
     inside = planned.where((F.col("_before") < F.col("rest")) & (F.col("_before") + F.col("_n") > F.col("rest")))
     upto = F.col("_before") + F.sum("tokens").over(Window.partitionBy("leaf", "_slice").orderBy("_o", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     inside = inside.withColumn("copies", F.col("epochs") + F.when(upto - F.col("tokens") / 2 <= F.col("rest"), 1).otherwise(0))
-    outside = planned.where((F.col("_before") >= F.col("rest")) | (F.col("_before") + F.col("_n") <= F.col("rest"))).withColumn("copies", F.col("epochs") + F.when(F.col("_before") + F.col("_n") <= F.col("rest"), 1).otherwise(0))
+    outside = planned.where((F.col("_before") >= F.col("rest")) | (F.col("_before") + F.col("_n") <= F.col("rest"))).withColumn(
+        "copies", F.col("epochs") + F.when(F.col("_before") + F.col("_n") <= F.col("rest"), 1).otherwise(0)
+    )
     cols = ["doc_id", "domain", "lang", F.col("name").alias("source"), "tokens", "copies"]
     mix = inside.select(*cols).unionByName(outside.select(*cols)).where("copies > 0")
     taken = mix.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("copies"))
     all_ = taken.agg(F.sum("tokens").alias("_all"))
-    report = names.select(F.col("name").alias("source"), "target_share").join(taken, "source", "left").join(F.broadcast(all_)).select("source", "target_share", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce(F.col("tokens") / F.col("_all"), F.lit(0.0)).alias("share"), F.coalesce("copies", F.lit(0)).alias("copies"))
+    report = names.select(F.col("name").alias("source"), "target_share").join(taken, "source", "left").join(F.broadcast(all_)).select(
+        "source", "target_share", F.coalesce("tokens", F.lit(0)).alias("tokens"),
+        F.coalesce(F.col("tokens") / F.col("_all"), F.lit(0.0)).alias("share"), F.coalesce("copies", F.lit(0)).alias("copies")
+    )
     return mix, report

@@ -122,9 +122,14 @@ def test_budgets():
 @pytest.mark.skipif(not Path(mixing.TOKENIZER).exists(), reason="no tokenizer")
 def test_mix_reaches_shares(spark):
     rng = random.Random(3)
-    rows = [(i, sentence(rng, 30), rng.choice(["en", "EN", None, "de"]), s) for i, s in enumerate(rng.choices([" Alpha", "alpha", "BETA", "gamma ", None, "other"], k=1500))] + [(5000, None, "en", "alpha"), (5001, "", "en", "alpha")]
+    rows = [
+        (i, sentence(rng, 30), rng.choice(["en", "EN", None, "de"]), s) for i,
+        s in enumerate(rng.choices([" Alpha", "alpha", "BETA", "gamma ", None, "other"], k=1500))
+    ] + [(5000, None, "en", "alpha"), (5001, "", "en", "alpha")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    targets = spark.createDataFrame([("alpha", 0.2, 1), ("beta", 0.3, 3), ("gamma", 0.4, 2), ("absent", 0.1, 4)], "source string, target_share double, max_repeats long")
+    targets = spark.createDataFrame(
+        [("alpha", 0.2, 1), ("beta", 0.3, 3), ("gamma", 0.4, 2), ("absent", 0.1, 4)], "source string, target_share double, max_repeats long"
+    )
     mix, report = mixing.mixed(docs, targets)
     r = {x.source: x for x in report.collect()}
     for s, w in (("alpha", 0.2), ("beta", 0.3), ("gamma", 0.4)):
@@ -138,15 +143,31 @@ def test_mix_reaches_shares(spark):
 
 
 def observed(rng, n=260):
-    stars = [(rng.uniform(0, 500), rng.uniform(0, 500), rng.uniform(12, 19), rng.gauss(0, 0.05), rng.gauss(0, 0.05), f"{rng.choice(['wen', 'tel', 'zar', 'kal'])}{rng.choice(['dra', 'mun', ''])}{i + 11}") for i in range(n)]
+    stars = [
+        (
+            rng.uniform(0, 500), rng.uniform(0, 500), rng.uniform(12, 19), rng.gauss(0, 0.05), rng.gauss(0, 0.05),
+            f"{rng.choice(['wen', 'tel', 'zar', 'kal'])}{rng.choice(['dra', 'mun', ''])}{i + 11}"
+        ) for i in range(n)
+    ]
     star, ext, truth = [], [], set()
     for lst, (ox, oy, t) in enumerate(((3.0, -1.0, 2012.0), (-2.0, 2.5, 2016.0), (0.5, 1.5, 2021.0))):
         for i, (x, y, m, vx, vy, name) in enumerate(stars):
             if rng.random() < 0.8:
-                star.append((len(star) + 1, lst, name.upper() if rng.random() < 0.5 else f"star_{i * 7 % n}", x + vx * (t - 2015) + ox + rng.gauss(0, 0.05), y + vy * (t - 2015) + oy + rng.gauss(0, 0.05), m + rng.gauss(0, 0.04), 0.05, 0.05, t, i))
+                star.append(
+                    (
+                        len(star) + 1, lst, name.upper() if rng.random() < 0.5 else f"star_{i * 7 % n}",
+                        x + vx * (t - 2015) + ox + rng.gauss(0, 0.05), y + vy * (t - 2015) + oy + rng.gauss(0, 0.05), m + rng.gauss(0, 0.04), 0.05,
+                        0.05, t, i
+                    )
+                )
     for i, (x, y, m, vx, vy, name) in enumerate(stars):
         if rng.random() < 0.8:
-            ext.append((10_000 + i, 61, name if rng.random() < 0.6 else f"ext_{i}", x + rng.gauss(0, 0.05), y + rng.gauss(0, 0.05), m - 18, 0.05, 0.05, 0.02, 2015.0, i))
+            ext.append(
+                (
+                    10_000 + i, 61, name if rng.random() < 0.6 else f"ext_{i}", x + rng.gauss(0, 0.05), y + rng.gauss(0, 0.05), m - 18, 0.05, 0.05,
+                    0.02, 2015.0, i
+                )
+            )
     truth = {(s[0], e[0]) for s in star for e in ext if s[-1] == e[-1]}
     return star, ext, truth
 
@@ -158,7 +179,10 @@ EXT = "ext_id long, list_id long, name string, x double, y double, m double, xe
 def test_matching_planted(spark):
     star, ext, truth = observed(random.Random(4))
     copies = [(90_001, *star[0][1:]), (90_002, *star[5][1:])]
-    odd = [(90_003, 0, "a1", None, 1.0, 1.0, 0.1, 0.1, None, 0), (90_004, None, "a1", 1.0, 1.0, None, None, None, None, 0), (None, 0, None, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 0)]
+    odd = [
+        (90_003, 0, "a1", None, 1.0, 1.0, 0.1, 0.1, None, 0), (90_004, None, "a1", 1.0, 1.0, None, None, None, None, 0),
+        (None, 0, None, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 0)
+    ]
     truth |= {(c[0], e) for c, s in zip(copies, (star[0], star[5])) for r, e in set(truth) if r == s[0]}
     a, b = spark.createDataFrame([*star, *copies, *odd], STAR), spark.createDataFrame(ext, EXT)
     lists = spark.createDataFrame([(0, 2012.0), (1, 2016.0), (2, 2021.0), (61, 2015.0)], "list_id long, list_time double")
@@ -216,13 +240,20 @@ def test_fast_stars_without_names(spark):
         name = f"{rng.choice(['wen', 'tel', 'zar', 'kal'])}{rng.choice(['dra', 'mun', ''])}{i + 11}" if i < 400 else None
         ext.append((10_000 + i, 61, name, x, y, m, 0.05, 0.05, 0.02, 2015.0, 0))
         for lst, t in enumerate(times):
-            star.append((len(star) + 1, lst, name, x + vx * (t - 2015) + rng.gauss(0, 0.05), y + vy * (t - 2015) + rng.gauss(0, 0.05), m + rng.gauss(0, 0.04), 0.05, 0.05, t, 0))
+            star.append(
+                (
+                    len(star) + 1, lst, name, x + vx * (t - 2015) + rng.gauss(0, 0.05), y + vy * (t - 2015) + rng.gauss(0, 0.05),
+                    m + rng.gauss(0, 0.04), 0.05, 0.05, t, 0
+                )
+            )
             if i >= 400:
                 d = abs(t - 2015) * (vx * vx + vy * vy) ** 0.5
                 far.setdefault("near" if d < 4 else "middle" if d < 8 else "far", set()).add((len(star), 10_000 + i))
     lists = spark.createDataFrame([*enumerate(times), (61, 2015.0)], "list_id long, list_time double")
     got = {(r.row_id, r.ext_id) for r in matching.matched(spark.createDataFrame(star, STAR), spark.createDataFrame(ext, EXT), lists).collect()}
-    assert {n: len(got & part) / len(part) >= 0.9 for n, part in far.items()} == dict.fromkeys(("near", "middle", "far"), True), {n: (len(got & part), len(part)) for n, part in far.items()}
+    assert {
+        n: len(got & part) / len(part) >= 0.9 for n, part in far.items()
+    } == dict.fromkeys(("near", "middle", "far"), True), {n: (len(got & part), len(part)) for n, part in far.items()}
 
 
 # --- further scripts, classes, shortages
@@ -255,7 +286,10 @@ def test_words_are_sought_alike_on_both_plans(spark, monkeypatch):
 def test_shortages_go_to_siblings_first(spark):
     rng = random.Random(8)
     rows = []
-    for domain, lang, source, n in (("AA-11", "en", "alpha", 40), ("AA-11", "en", "beta", 40), ("AA-11", "de", "alpha", 40), ("BB-22", "en", "alpha", 80), ("BB-22", "en", "beta", 80)):
+    for domain, lang, source, n in (
+        ("AA-11", "en", "alpha", 40), ("AA-11", "en", "beta", 40), ("AA-11", "de", "alpha", 40), ("BB-22", "en", "alpha", 80),
+        ("BB-22", "en", "beta", 80)
+    ):
         rows += [(len(rows) + i, sentence(rng, 20), lang, source, f"{domain}9") for i in range(n)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, item_sku string")
     targets = spark.createDataFrame([("alpha", 0.3, 1), ("beta", 0.7, 2)], "source string, target_share double, max_repeats long")
@@ -267,8 +301,12 @@ def test_shortages_go_to_siblings_first(spark):
     assert mix.where("source = 'alpha' and copies > 1 or copies > 2").count() == 0
     r = {x.source: x for x in report.collect()}
     assert abs(sum(x.tokens for x in r.values()) / total - 1) < 0.02 and r["beta"].share < 0.7 - 0.01  # beta is used up, alpha took its place
-    part = {(x.domain, x.lang, x.source): x.n for x in mix.groupBy("domain", "lang", "source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("n")).collect()}
-    was = {(x.domain, x.lang, x.source): x.n for x in even.groupBy("domain", "lang", "source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("n")).collect()}
+    part = {
+        (x.domain, x.lang, x.source): x.n for x in mix.groupBy("domain", "lang", "source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("n")).collect()
+    }
+    was = {
+        (x.domain, x.lang, x.source): x.n for x in even.groupBy("domain", "lang", "source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("n")).collect()
+    }
     # what beta lacks in a domain's language goes to alpha beside it; German, without beta, grows as planned only
     beside = part["BB-22", "en", "alpha"] / was["BB-22", "en", "alpha"]
     assert beside > 1.3 and abs(part["AA-11", "de", "alpha"] / was["AA-11", "de", "alpha"] - 1.1) < 0.05
