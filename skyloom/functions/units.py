@@ -20,7 +20,10 @@ from pyspark.sql import functions as F
 ANGLES = {
     "mas": ["mas", "marcsec"],
     "uas": ["uas", "µas", "μas", "uarcsec", "µarcsec", "μarcsec"],
-    "arcsec": ["arcsec", "arcsecs", "arcsecond", "arcseconds", "arc sec", "arc secs", "arc second", "arc seconds", "arc-sec", "arc-second", "arc-seconds", "asec", "as", '"', "″", "''", "seconds of arc", "second of arc"],
+    "arcsec": [
+        "arcsec", "arcsecs", "arcsecond", "arcseconds", "arc sec", "arc secs", "arc second", "arc seconds", "arc-sec", "arc-second", "arc-seconds",
+        "asec", "as", '"', "″", "''", "seconds of arc", "second of arc"
+    ],
     "deg": ["deg", "degs", "degree", "degrees", "°"],
     "pix": ["pix", "px", "pixel", "pixels"],
 }
@@ -30,7 +33,9 @@ TIMES = {"yr": ["yr", "year", "a", "y", "annum", "annus"], "cy": ["cy", "century
 # Words that tell which quantity a unit belongs to, and words that make motions of angles, per year or per century.
 MOTION = ["proper motion", "proper motions", "pm", "motion", "motions", "velocity", "velocities", "speed", "speeds", "vx", "vy", "pmra", "pmdec"]
 ERROR = ["error", "errors", "err", "sigma", "uncertainty", "uncertainties", "x0e", "y0e", "ra_error", "std"]
-EVERY, THINGS = ["every", "all", "each", "any"], ["quantity", "quantities", "value", "values", "column", "columns", "field", "fields", "number", "numbers", "entry", "entries"]
+EVERY, THINGS = ["every", "all", "each", "any"], [
+    "quantity", "quantities", "value", "values", "column", "columns", "field", "fields", "number", "numbers", "entry", "entries"
+]
 BOTH = ["both"]
 PER_YEAR = ["annual", "yearly"]
 PER_CENTURY = ["centennial", "secular"]

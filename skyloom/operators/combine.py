@@ -19,7 +19,9 @@ FLUX = math.log(10) / 2.5
 def distinct_readings(obs: DataFrame, key: str = "obs_id") -> DataFrame:
     """One row for each (star_id, list_id): of repeated ones that with the least key."""
     rest = [c for c in obs.columns if c not in ("star_id", "list_id")]
-    return obs.groupBy("star_id", "list_id").agg(F.min_by(F.struct(*rest), F.coalesce(F.col(key), F.lit(2**62))).alias("_r")).select("star_id", "list_id", *(F.col(f"_r.{c}").alias(c) for c in rest))
+    return obs.groupBy("star_id", "list_id").agg(
+        F.min_by(F.struct(*rest), F.coalesce(F.col(key), F.lit(2**62))).alias("_r")
+    ).select("star_id", "list_id", *(F.col(f"_r.{c}").alias(c) for c in rest))
 
 
 def _median(a: Column) -> Column:
@@ -42,12 +44,21 @@ def clip_rounds(readings: Column, sigma: float, rounds: int = 5) -> Column:
         var = _total(v, lambda x: x * x) / n - mean * mean
         stats = F.struct(_median(v).alias("c"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("s"))
         # the statistics are bound once by a one-element transform
-        return F.element_at(F.transform(F.array(stats), lambda q: F.filter(a, lambda r: (r["v"] >= q["c"] - sigma * q["s"] - 1e-12) & (r["v"] <= q["c"] + sigma * q["s"] + 1e-12))), 1)
+        return F.element_at(
+            F.transform(
+                F.array(stats),
+                lambda q: F.filter(a, lambda r: (r["v"] >= q["c"] - sigma * q["s"] - 1e-12) & (r["v"] <= q["c"] + sigma * q["s"] + 1e-12))
+            ),
+            1
+        )
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), readings, lambda a, _: F.when(F.size(a) > 1, once(a)).otherwise(a))
 
 
-def combine_lists(obs: DataFrame, col: str, weights: str | None = None, mask_val: float | None = None, mask_lists: list[int] | None = None, ismag: bool = False, sigma: float | None = 3.0) -> DataFrame:
+def combine_lists(
+    obs: DataFrame, col: str, weights: str | None = None, mask_val: float | None = None, mask_lists: list[int] | None = None, ismag: bool = False,
+    sigma: float | None = 3.0
+) -> DataFrame:
     """(star_id, <col>0, <col>0e, n): the mean and spread of a column over a star's lists.
 
     Weighted by inverse square errors if ``weights`` names them; magnitudes are combined as fluxes. A star with one surviving
@@ -73,7 +84,9 @@ def combine_lists(obs: DataFrame, col: str, weights: str | None = None, mask_val
     stars = stars.withColumn("a", kept)
     sw = _total(F.col("a"), lambda r: r["w"])
     mean = F.when(F.size("a") > 0, _total(F.col("a"), lambda r: r["w"] * r["v"]) / sw)
-    stars = stars.withColumn("mean", mean).withColumn("var", F.when(F.size("a") > 0, _total_with(F.col("a"), F.col("mean")) / _total(F.col("a"), lambda r: r["w"])))
+    stars = stars.withColumn("mean", mean).withColumn(
+        "var", F.when(F.size("a") > 0, _total_with(F.col("a"), F.col("mean")) / _total(F.col("a"), lambda r: r["w"]))
+    )
     err = F.sqrt(F.greatest("var", F.lit(0.0)))
     if weights:
         err = F.when(F.size("a") == 1, F.col("e")).otherwise(err)
@@ -87,9 +100,14 @@ def _total_with(a: Column, mean: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, r: s + r["w"] * (r["v"] - mean) * (r["v"] - mean))
 
 
-def combine_lists_xym(obs: DataFrame, weighted_xy: bool = True, weighted_m: bool = True, mask_lists: list[int] | None = None, sigma: float | None = 3.0) -> DataFrame:
+def combine_lists_xym(
+    obs: DataFrame, weighted_xy: bool = True, weighted_m: bool = True, mask_lists: list[int] | None = None, sigma: float | None = 3.0
+) -> DataFrame:
     """(star_id, x0, x0e, y0, y0e, m0, m0e)."""
-    parts = [combine_lists(obs, c, w if on else None, mask_lists=mask_lists, ismag=c == "m", sigma=sigma).drop("n") for c, w, on in (("x", "xe", weighted_xy), ("y", "ye", weighted_xy), ("m", "me", weighted_m))]
+    parts = [
+        combine_lists(obs, c, w if on else None, mask_lists=mask_lists, ismag=c == "m", sigma=sigma).drop("n") for c, w,
+        on in (("x", "xe", weighted_xy), ("y", "ye", weighted_xy), ("m", "me", weighted_m))
+    ]
     return parts[0].join(parts[1], "star_id").join(parts[2], "star_id")
 
 
@@ -99,7 +117,10 @@ def updated_aggregates(stars: DataFrame, fresh: DataFrame, keep_original: bool)
     j = stars.alias("s").join(fresh.alias("f"), "star_id", "left")
     keep = F.coalesce(F.col("ref_orig"), F.lit(False)) if keep_original else F.lit(False)
     new = {c: F.when(keep, F.col(f"s.{c}")).otherwise(F.coalesce(F.col(f"f.{c}"), F.col(f"s.{c}"))) for c in cols}
-    return j.select(*(new[c].alias(c) if c in new else F.col("star_id") if c == "star_id" else F.col(f"s.{c}") for c in stars.columns), *(F.col(f"f.{c}") for c in fresh.columns if c != "star_id" and c not in stars.columns))
+    return j.select(
+        *(new[c].alias(c) if c in new else F.col("star_id") if c == "star_id" else F.col(f"s.{c}") for c in stars.columns),
+        *(F.col(f"f.{c}") for c in fresh.columns if c != "star_id" and c not in stars.columns)
+    )
 
 
 def mean_magnitude(obs: DataFrame) -> DataFrame:
@@ -114,7 +135,9 @@ def stitch_mean(obs: DataFrame, col: str, err: str) -> DataFrame:
     good = obs.select("star_id", v.alias("v"), e.alias("e"), w.alias("w")).where("w is not null")
     s = good.groupBy("star_id").agg(F.count("*").alias("n"), F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("v")).alias("swv"), F.first("e").alias("e1"))
     mean = F.col("swv") / F.col("sw")
-    spread = good.join(s.select("star_id", mean.alias("mean")), "star_id").groupBy("star_id").agg(F.sum(F.col("w") * (F.col("v") - F.col("mean")) * (F.col("v") - F.col("mean"))).alias("ss"))
+    spread = good.join(s.select("star_id", mean.alias("mean")), "star_id").groupBy("star_id").agg(
+        F.sum(F.col("w") * (F.col("v") - F.col("mean")) * (F.col("v") - F.col("mean"))).alias("ss")
+    )
     out = s.join(spread, "star_id")
     return out.select("star_id", mean.alias(col), F.when(F.col("n") == 1, F.col("e1")).otherwise(F.sqrt(F.col("ss") / F.col("sw"))).alias(f"{col}e"))
 

@@ -26,7 +26,9 @@ def range_join(a: DataFrame, b: DataFrame, radius: float, by: list[str] | None =
     by = by or []
     side, reach = 2.0 * radius if radius > 0 else 1.0, radius * (1 + 1e-9)
     cell = lambda c: F.floor(c / side)
-    one = lambda df, n: df.select(*by, F.col("id").alias(f"id_{n}"), finite("x").alias(f"x_{n}"), finite("y").alias(f"y_{n}"), finite("m").alias(f"m_{n}")).where(f"id_{n} is not null and x_{n} is not null and y_{n} is not null")
+    one = lambda df, n: df.select(
+        *by, F.col("id").alias(f"id_{n}"), finite("x").alias(f"x_{n}"), finite("y").alias(f"y_{n}"), finite("m").alias(f"m_{n}")
+    ).where(f"id_{n} is not null and x_{n} is not null and y_{n} is not null")
     left = one(a, 1).withColumns({"_cx": cell(F.col("x_1")), "_cy": cell(F.col("y_1"))})
     span = lambda c: F.explode(F.sequence(cell(F.col(c) - reach), cell(F.col(c) + reach)))
     right = one(b, 2).withColumn("_cx", span("x_2")).withColumn("_cy", span("y_2"))
@@ -56,7 +58,9 @@ def cross_match(a: DataFrame, b: DataFrame, dr_tol: float, dm_tol: float | None
     return both(own, "id_2", "id_1", "dr").select(*by, "id_1", "id_2", "dr", "dm")
 
 
-def transform_and_match(a: DataFrame, b: DataFrame, model: Transform, dr_tol: float = 1.0, dm_tol: float | None = None, by: list[str] | None = None) -> DataFrame:
+def transform_and_match(
+    a: DataFrame, b: DataFrame, model: Transform, dr_tol: float = 1.0, dm_tol: float | None = None, by: list[str] | None = None
+) -> DataFrame:
     """cross_match after the model has moved a's positions; magnitudes stay."""
     x, y = model.position(F.col("x").cast("double"), F.col("y").cast("double"))
     return cross_match(a.withColumns({"x": x, "y": y}), b, dr_tol, dm_tol, by)
@@ -65,14 +69,18 @@ def transform_and_match(a: DataFrame, b: DataFrame, model: Transform, dr_tol: fl
 def name_join(a: DataFrame, b: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by..., name, id_1, id_2): names in both that don't begin with ``star``, each with the first row of either side."""
     by = by or []
-    first = lambda df, n: df.where(F.col("name").isNotNull() & ~F.startswith("name", F.lit("star"))).groupBy(*by, "name").agg(F.min("id").alias(f"id_{n}"))
+    first = lambda df, n: df.where(
+        F.col("name").isNotNull() & ~F.startswith("name", F.lit("star"))
+    ).groupBy(*by, "name").agg(F.min("id").alias(f"id_{n}"))
     return first(a, 1).join(first(b, 2), [*by, "name"])
 
 
 def guess_join(a: DataFrame, b: DataFrame, ignore: str = "star", by: list[str] | None = None) -> DataFrame:
     """(by..., name, id_1, id_2) of equal names that don't contain ``ignore``."""
     by = by or []
-    pick = lambda df, n: df.where(F.col("name").isNotNull() & ~F.contains("name", F.lit(ignore))).select(*by, "name", F.col("id").alias(f"id_{n}"))
+    pick = lambda df, n: df.where(
+        F.col("name").isNotNull() & ~F.contains("name", F.lit(ignore))
+    ).select(*by, "name", F.col("id").alias(f"id_{n}"))
     return pick(a, 1).join(pick(b, 2), [*by, "name"])
 
 
@@ -100,9 +108,13 @@ def relabel(stars: DataFrame, labels: DataFrame, dr_tol: float = 0.05, dm_tol: f
     """
     pairs = name_join(labels, stars)
     l, s = labels.alias("l"), stars.alias("s")
-    off = pairs.join(l, F.col("id_1") == F.col("l.id")).join(s, F.col("id_2") == F.col("s.id")).agg(*(F.avg(F.col(f"s.{c}") - F.col(f"l.{c}")).alias(f"d{c}") for c in "xym"))
+    off = pairs.join(l, F.col("id_1") == F.col("l.id")).join(s, F.col("id_2") == F.col("s.id")).agg(
+        *(F.avg(F.col(f"s.{c}") - F.col(f"l.{c}")).alias(f"d{c}") for c in "xym")
+    )
     moved = labels.crossJoin(F.broadcast(off)).withColumns({c: F.col(c) + F.coalesce(F.col(f"d{c}"), F.lit(0.0)) for c in "xym"})  # one row of offsets
-    found = cross_match(stars, moved, dr_tol, dm_tol).join(labels.select(F.col("id").alias("id_2"), F.col("name").alias("_label")), "id_2").select(F.col("id_1").alias("id"), "_label")
+    found = cross_match(stars, moved, dr_tol, dm_tol).join(
+        labels.select(F.col("id").alias("id_2"), F.col("name").alias("_label")), "id_2"
+    ).select(F.col("id_1").alias("id"), "_label")
     return stars.join(found, "id", "left").withColumn("name_orig", F.col("name")).withColumn("name", F.coalesce("_label", "name")).drop("_label")
 
 

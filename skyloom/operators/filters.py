@@ -74,7 +74,9 @@ def drop_undetected(stars: DataFrame, counts: DataFrame, star: str = "star_id",
     return joined.where(keep | F.coalesce(F.col("ref_orig"), F.lit(False)) if keep_original else keep)
 
 
-def pick_good_ref_stars(stars: DataFrame, r_cut=None, m_cut=None, p_err_cut=None, pm_err_cut=None, name_cut: list[str] | None = None, reset: bool = True) -> DataFrame:
+def pick_good_ref_stars(
+    stars: DataFrame, r_cut=None, m_cut=None, p_err_cut=None, pm_err_cut=None, name_cut: list[str] | None = None, reset: bool = True
+) -> DataFrame:
     """Stars that satisfy every given limit: radius, magnitude, mean position error, mean velocity error, names left out."""
     use = F.lit(True) if reset else F.coalesce(F.col("use_in_trans"), F.lit(False))
     if r_cut is not None:
@@ -155,5 +157,7 @@ def epoch_subset(obs: DataFrame, stars: DataFrame, lists: list[int], used: str =
     off = own.join(stars.select("star_id", "m0"), "star_id").join(always, "star_id").withColumn("_d", finite("m0") - finite("m"))
     good = off.where((F.col("_all") == 1) & F.col("_d").isNotNull())
     spread = good.groupBy("list_id").agg(F.median("_d").alias("_m"), F.stddev_pop("_d").alias("_s"))
-    zero = good.join(F.broadcast(spread), "list_id").where(F.abs(F.col("_d") - F.col("_m")) <= sigma * F.col("_s")).groupBy("list_id").agg(F.avg("_d").alias("zero_point"))
+    zero = good.join(F.broadcast(spread), "list_id").where(
+        F.abs(F.col("_d") - F.col("_m")) <= sigma * F.col("_s")
+    ).groupBy("list_id").agg(F.avg("_d").alias("zero_point"))
     return own.join(F.broadcast(zero), "list_id", "left").withColumn("m", F.col("m") + F.coalesce("zero_point", F.lit(0.0)))

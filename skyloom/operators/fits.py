@@ -53,7 +53,10 @@ def fit(pairs: DataFrame, order: int = 1, by: list[str] | None = None, kind: str
     good = pairs.where(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("x_ref").isNotNull() & F.col("y_ref").isNotNull() & (F.col("w") > 0))
     if order == 0 and kind == "poly":
         ww = F.col("w") * F.col("w")
-        rows = good.groupBy(*by).agg((F.sum(ww * (F.col("x_ref") - F.col("x"))) / F.sum(ww)).alias("dx"), (F.sum(ww * (F.col("y_ref") - F.col("y"))) / F.sum(ww)).alias("dy"), F.avg(F.col("m_ref") - F.col("m")).alias("dm")).collect()
+        rows = good.groupBy(*by).agg(
+            (F.sum(ww * (F.col("x_ref") - F.col("x"))) / F.sum(ww)).alias("dx"), (F.sum(ww * (F.col("y_ref") - F.col("y"))) / F.sum(ww)).alias("dy"),
+            F.avg(F.col("m_ref") - F.col("m")).alias("dm")
+        ).collect()
         return {tuple(r[c] for c in by): models.polynomial([r["dx"]], [r["dy"]], (r["dm"] or 0.0) if mag_trans else 0.0) for r in rows if r["dx"] is not None}
     scale = good.groupBy(*by).agg(*(f(F.col(c)).alias(n) for c in "xy" for f, n in ((F.avg, f"_c{c}"), (F.stddev_pop, f"_s{c}"))))
     if kind == "legendre":  # its own domain is [-1, 1]: no conditioning
@@ -100,7 +103,10 @@ def shift_sums(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
     dx, dy = F.col("x_ref") - F.col("x"), F.col("y_ref") - F.col("y")
     if "w" not in pairs.columns:
         n = F.count(dx)
-        return pairs.groupBy(*by).agg(F.avg(dx).alias("dx"), F.avg(dy).alias("dy"), (F.stddev_samp(dx) / F.sqrt(n)).alias("dxe"), (F.stddev_samp(dy) / F.sqrt(n)).alias("dye"), n.alias("n"))
+        return pairs.groupBy(*by).agg(
+            F.avg(dx).alias("dx"), F.avg(dy).alias("dy"), (F.stddev_samp(dx) / F.sqrt(n)).alias("dxe"), (F.stddev_samp(dy) / F.sqrt(n)).alias("dye"),
+            n.alias("n")
+        )
     w = F.col("w")
     mean = lambda d: F.sum(w * d) / F.sum(w)
     err = lambda d: F.sqrt(F.greatest(F.lit(0.0), mean(d * d) - mean(d) * mean(d))) / F.sqrt(F.count(d))
@@ -115,7 +121,10 @@ def similarity_sums(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
     s = lambda p, q: F.sum(F.col(p) * F.col(q)) - n * mean[p] * mean[q]
     den = s("x", "x") + s("y", "y")
     a1, a2 = (s("x", "x_ref") + s("y", "y_ref")) / den, (s("y", "x_ref") - s("x", "y_ref")) / den
-    return pairs.groupBy(*by).agg((mean["x_ref"] - a1 * mean["x"] - a2 * mean["y"]).alias("a0"), a1.alias("a1"), a2.alias("a2"), (mean["y_ref"] + a2 * mean["x"] - a1 * mean["y"]).alias("b0"))
+    return pairs.groupBy(*by).agg(
+        (mean["x_ref"] - a1 * mean["x"] - a2 * mean["y"]).alias("a0"), a1.alias("a1"), a2.alias("a2"),
+        (mean["y_ref"] + a2 * mean["x"] - a1 * mean["y"]).alias("b0")
+    )
 
 
 def fit_similarity(pairs: DataFrame, by: list[str] | None = None) -> Fit:

@@ -22,12 +22,22 @@ def line_fit(df: DataFrame, by: list[str], x: str, y: str, sigma: str | None = N
     good = df.select(*by, finite(x).alias("_x"), finite(y).alias("_y"), finite(w).alias("_w")).where("_x is not null and _y is not null and _w is not null")
     centre = Window.partitionBy(*by)
     good = good.withColumn("_c", F.sum(F.col("_w") * F.col("_x")).over(centre) / F.sum("_w").over(centre)).withColumn("_d", F.col("_x") - F.col("_c"))
-    s = good.groupBy(*by).agg(F.count("*").alias("n"), F.first("_c").alias("c"), F.sum("_w").alias("s"), F.sum(F.col("_w") * F.col("_y")).alias("sy"), F.sum(F.col("_w") * F.col("_d") * F.col("_d")).alias("sdd"), F.sum(F.col("_w") * F.col("_d") * F.col("_y")).alias("sdy"), F.sum(F.col("_w") * F.col("_y") * F.col("_y")).alias("syy"))
+    s = good.groupBy(*by).agg(
+        F.count("*").alias("n"), F.first("_c").alias("c"), F.sum("_w").alias("s"), F.sum(F.col("_w") * F.col("_y")).alias("sy"),
+        F.sum(F.col("_w") * F.col("_d") * F.col("_d")).alias("sdd"), F.sum(F.col("_w") * F.col("_d") * F.col("_y")).alias("sdy"),
+        F.sum(F.col("_w") * F.col("_y") * F.col("_y")).alias("syy")
+    )
     slope = F.when((F.col("n") >= 2) & (F.col("sdd") > 1e-12 * F.col("s")), F.col("sdy") / F.col("sdd"))
     mean = F.col("sy") / F.col("s")
-    out = s.withColumns({"slope": slope, "intercept": mean - slope * F.col("c"), "chi2": F.greatest(F.col("syy") - F.col("sy") * mean - slope * F.col("sdy"), F.lit(0.0))})
+    out = s.withColumns(
+        {"slope": slope, "intercept": mean - slope * F.col("c"), "chi2": F.greatest(F.col("syy") - F.col("sy") * mean - slope * F.col("sdy"), F.lit(0.0))}
+    )
     scale = F.lit(1.0) if absolute_sigma else F.when(F.col("n") > 2, F.sqrt(F.col("chi2") / (F.col("n") - 2)))
-    return out.select(*by, "slope", "intercept", (F.sqrt(1 / F.col("sdd")) * scale).alias("slope_err"), (F.sqrt(1 / F.col("s") + F.col("c") * F.col("c") / F.col("sdd")) * scale).alias("intercept_err"), F.when(slope.isNotNull(), F.col("chi2")).alias("chi2"), "n")
+    return out.select(
+        *by, "slope", "intercept", (F.sqrt(1 / F.col("sdd")) * scale).alias("slope_err"),
+        (F.sqrt(1 / F.col("s") + F.col("c") * F.col("c") / F.col("sdd")) * scale).alias("intercept_err"),
+        F.when(slope.isNotNull(), F.col("chi2")).alias("chi2"), "n"
+    )
 
 
 def line_chi2(df: DataFrame, by: list[str], x: str, y: str, sigma: str, slope: Column, intercept: Column) -> DataFrame:
@@ -36,7 +46,10 @@ def line_chi2(df: DataFrame, by: list[str], x: str, y: str, sigma: str, slope: C
     return df.groupBy(*by).agg(F.sum(r * r).alias("chi2"))
 
 
-def fit_velocities(obs: DataFrame, weighting: str = "var", absolute_sigma: bool = True, fixed_t0: DataFrame | None = None, mask_lists: list[int] | None = None, all_detected: int | None = None, compat: bool = False) -> DataFrame:
+def fit_velocities(
+    obs: DataFrame, weighting: str = "var", absolute_sigma: bool = True, fixed_t0: DataFrame | None = None, mask_lists: list[int] | None = None,
+    all_detected: int | None = None, compat: bool = False
+) -> DataFrame:
     """(star_id, x0, x0e, vx, vxe, y0, ..., t0, n_vfit, chi2_vx, chi2_vy): each star's motion.
 
     obs: star_id, list_id, t, x, y, xe, ye. An epoch without an error gets the mean error of the star's others (1 if there
@@ -71,7 +84,10 @@ def fit_velocities(obs: DataFrame, weighting: str = "var", absolute_sigma: bool
         s2 = e * e if weighting == "var" else e
         w, m = 1 / s2, 1 / (e * e if weighting == "var" else e)
         v, d = F.col(c), F.col("d")
-        aggs += [F.sum(w).alias(f"s{c}"), F.sum(w * d).alias(f"sd{c}"), F.sum(w * d * d).alias(f"sdd{c}"), F.sum(w * v).alias(f"sv{c}"), F.sum(w * d * v).alias(f"sdv{c}"), F.sum(m).alias(f"m{c}"), F.sum(m * v).alias(f"mv{c}")]
+        aggs += [
+            F.sum(w).alias(f"s{c}"), F.sum(w * d).alias(f"sd{c}"), F.sum(w * d * d).alias(f"sdd{c}"), F.sum(w * v).alias(f"sv{c}"),
+            F.sum(w * d * v).alias(f"sdv{c}"), F.sum(m).alias(f"m{c}"), F.sum(m * v).alias(f"mv{c}")
+        ]
         aggs += [F.max_by(v, "t").alias(f"last{c}"), F.min_by(v, "t").alias(f"first{c}")]
     g = good.groupBy("star_id").agg(*aggs)
     flat = F.col("range") <= 1e-9
@@ -81,7 +97,12 @@ def fit_velocities(obs: DataFrame, weighting: str = "var", absolute_sigma: bool
         slope = (F.col(f"s{c}") * F.col(f"sdv{c}") - F.col(f"sd{c}") * F.col(f"sv{c}")) / det
         at = (F.col(f"sdd{c}") * F.col(f"sv{c}") - F.col(f"sd{c}") * F.col(f"sdv{c}")) / det
         mean = F.col(f"mv{c}") / F.col(f"m{c}")
-        g = g.withColumns({f"v{c}": F.when(flat, 0.0).when(two, (F.col(f"last{c}") - F.col(f"first{c}")) / F.col("range")).otherwise(slope), f"{c}0": F.when(flat | two, mean).otherwise(at), f"det{c}": det})
+        g = g.withColumns(
+            {
+                f"v{c}": F.when(flat, 0.0).when(two, (F.col(f"last{c}") - F.col(f"first{c}")) / F.col("range")).otherwise(slope),
+                f"{c}0": F.when(flat | two, mean).otherwise(at), f"det{c}": det
+            }
+        )
     # residuals about the fit, from the sums' own rows: exact where the sums would cancel
     back = good.join(g.select("star_id", "vx", "vy", "x0", "y0"), "star_id")
     sums = []
@@ -97,7 +118,9 @@ def fit_velocities(obs: DataFrame, weighting: str = "var", absolute_sigma: bool
         scale = F.lit(1.0) if absolute_sigma else F.sqrt(F.col(f"chi{c}") / (F.col("n") - 2))
         out |= {
             f"{c}0": F.col(f"{c}0"),
-            f"{c}0e": F.when(flat, F.sqrt(F.col(f"ss{c}") / F.col(f"sm{c}"))).when(two, F.abs(F.col(f"last{c}") - F.col(f"first{c}")) / F.sqrt(F.lit(2.0))).otherwise(F.sqrt(F.col(f"sdd{c}") / F.col(f"det{c}")) * scale),
+            f"{c}0e": F.when(flat, F.sqrt(F.col(f"ss{c}") / F.col(f"sm{c}"))).when(
+                two, F.abs(F.col(f"last{c}") - F.col(f"first{c}")) / F.sqrt(F.lit(2.0))
+            ).otherwise(F.sqrt(F.col(f"sdd{c}") / F.col(f"det{c}")) * scale),
             f"v{c}": F.col(f"v{c}"),
             f"v{c}e": F.when(flat | two, 0.0).otherwise(F.sqrt(F.col(f"s{c}") / F.col(f"det{c}")) * scale),
             f"chi2_v{c}": F.when(flat, 0.0).otherwise(F.col(f"chi{c}")),
@@ -126,7 +149,10 @@ def bootstrap_velocities(obs: DataFrame, n_boot: int, seed: int = 11, weighting:
     value = {c: finite(c) for c in cols[:3]} | {c: F.when(finite(c) != 0, F.abs(finite(c))) if c in obs.columns else F.lit(1.0) for c in cols[3:]}
     one = F.struct("list_id", *(value[c].alias(c) for c in cols))
     # NULLs as NaN: unusable readings are drawn like others
-    stars = obs.groupBy("star_id").agg(F.array_sort(F.collect_list(one)).alias("r")).select("star_id", F.xxhash64(F.lit(seed), "star_id").alias("h"), *(F.transform(F.col(f"r.{c}"), lambda v: F.coalesce(v, F.lit(float("nan")))).alias(c) for c in cols))
+    stars = obs.groupBy("star_id").agg(F.array_sort(F.collect_list(one)).alias("r")).select(
+        "star_id", F.xxhash64(F.lit(seed), "star_id").alias("h"),
+        *(F.transform(F.col(f"r.{c}"), lambda v: F.coalesce(v, F.lit(float("nan")))).alias(c) for c in cols)
+    )
     if fixed_t0 is not None:
         stars = stars.join(fixed_t0.select("star_id", finite("t0").alias("t0")), "star_id", "left")
     else:
@@ -221,7 +247,12 @@ def polynomial_motion(obs: DataFrame, degree: int) -> DataFrame:
         aggs += [F.array(*(F.sum(w * p) for p in u)).alias(f"s{c}"), F.array(*(F.sum(w * p * F.col(c)) for p in u[: degree + 1])).alias(f"b{c}")]
     sums = good.groupBy("star_id").agg(*aggs)
     many = T.ArrayType(T.DoubleType())
-    schema = T.StructType([sums.schema["star_id"], T.StructField("t0", T.DoubleType()), T.StructField("n", T.LongType()), *(T.StructField(f"{a}{c}", many) for c in "xy" for a in "pv")])
+    schema = T.StructType(
+        [
+            sums.schema["star_id"], T.StructField("t0", T.DoubleType()), T.StructField("n", T.LongType()),
+            *(T.StructField(f"{a}{c}", many) for c in "xy" for a in "pv")
+        ]
+    )
     found = sums.mapInPandas(_solved(degree), schema)
     # chi squares from the residuals: exact where the sums would cancel
     back = good.join(found.select("star_id", "px", "py"), "star_id")

@@ -26,7 +26,15 @@ def planar_pairs(df: DataFrame, key: str, x: str, y: str, radius: float, by: lis
     """Pairs (key_1 < key_2, distance) of rows with equal ``by`` at most ``radius`` apart; a NULL in ``by`` is a group of its own."""
     by = by or []
     group = [f"_g{i}" for i in range(len(by))]
-    p = df.select(F.col(key).alias("_k"), finite(x).alias("_x"), finite(y).alias("_y"), *(F.to_json(F.struct(F.col(b))).alias(g) if df.schema[b].dataType.typeName() not in ("long", "integer", "string") else F.coalesce(F.col(b).cast("string"), F.lit("\x00null")).alias(g) for b, g in zip(by, group)))
+    p = df.select(
+        F.col(key).alias("_k"), finite(x).alias("_x"), finite(y).alias("_y"),
+        *(
+            F.to_json(F.struct(F.col(b))).alias(g) if df.schema[b].dataType.typeName() not in ("long", "integer", "string") else F.coalesce(
+                F.col(b).cast("string"), F.lit("\x00null")
+            ).alias(g) for b,
+            g in zip(by, group)
+        )
+    )
     p = p.where(F.col("_k").isNotNull() & F.col("_x").isNotNull() & F.col("_y").isNotNull())
     side, reach = CELL * radius if radius > 0 else 1.0, radius * PAD
     cell = lambda c: F.floor(c / side)
@@ -40,12 +48,17 @@ def planar_pairs(df: DataFrame, key: str, x: str, y: str, radius: float, by: lis
     )
     away = ((F.col("_nx") != F.col("_cx")) | (F.col("_ny") != F.col("_cy"))).alias("_away")
     left = home
-    right = spread.select(F.col("_k").alias("_k2"), F.col("_x").alias("_x2"), F.col("_y").alias("_y2"), *group, F.col("_nx").alias("_cx"), F.col("_ny").alias("_cy"), away)
+    right = spread.select(
+        F.col("_k").alias("_k2"), F.col("_x").alias("_x2"), F.col("_y").alias("_y2"), *group, F.col("_nx").alias("_cx"), F.col("_ny").alias("_cy"),
+        away
+    )
     keys = [*group, "_cx", "_cy"]
     left, right, keys = salted(left, right, keys, F.col("_k"), hot_keys(home, keys))
     dx, dy = F.col("_x") - F.col("_x2"), F.col("_y") - F.col("_y2")
     near = (dx * dx + dy * dy <= F.lit(float(radius) * float(radius))) & (F.col("_k") != F.col("_k2")) & (F.col("_away") | (F.col("_k") < F.col("_k2")))
-    return left.join(right, keys).where(near).select(F.least("_k", "_k2").alias("key_1"), F.greatest("_k", "_k2").alias("key_2"), F.sqrt(dx * dx + dy * dy).alias("distance"))
+    return left.join(right, keys).where(near).select(
+        F.least("_k", "_k2").alias("key_1"), F.greatest("_k", "_k2").alias("key_2"), F.sqrt(dx * dx + dy * dy).alias("distance")
+    )
 
 
 def _angle(ra1: Column, dec1: Column, ra2: Column, dec2: Column) -> Column:
@@ -96,7 +109,9 @@ def sphere_pairs(df: DataFrame, key: str, ra: str, dec: str, radius_deg: float)
     """
     h, r = CELL * radius_deg, radius_deg * PAD
     home = _sky(df, key, ra, dec).withColumn("_b", _band(F.col("_dec"), h)).withColumn("_s", _slot(F.col("_ra"), F.col("_b"), h))
-    reach = F.when(F.abs("_dec") + r >= 90, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(F.lit(r))) / F.cos(F.radians("_dec"))))))
+    reach = F.when(F.abs("_dec") + r >= 90, F.lit(180.0)).otherwise(
+        F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(F.lit(r))) / F.cos(F.radians("_dec")))))
+    )
     spread = (
         home.drop("_b", "_s")
         .withColumn("_reach", reach)
@@ -106,7 +121,9 @@ def sphere_pairs(df: DataFrame, key: str, ra: str, dec: str, radius_deg: float)
     )
     left, right, keys = salted(home, spread, ["_b", "_s"], F.col("_k"), hot_keys(home, ["_b", "_s"]))
     d = _angle(F.col("_ra"), F.col("_dec"), F.col("_ra2"), F.col("_dec2"))
-    pairs = left.join(right, keys).where((F.col("_k") < F.col("_k2")) & (F.abs(F.col("_dec") - F.col("_dec2")) <= r)).withColumn("_d", d).where(F.col("_d") <= radius_deg)
+    pairs = left.join(right, keys).where(
+        (F.col("_k") < F.col("_k2")) & (F.abs(F.col("_dec") - F.col("_dec2")) <= r)
+    ).withColumn("_d", d).where(F.col("_d") <= radius_deg)
     return pairs.groupBy(F.col("_k").alias("key_1"), F.col("_k2").alias("key_2")).agg(F.min("_d").alias("distance"))
 
 
@@ -127,14 +144,23 @@ def region_members(points: DataFrame, key: str, ra: str, dec: str, regions: Data
     box = F.col("shape") == "box"
     g = {c: finite(c).alias(c) for c in ("ra_min", "ra_max", "dec_min", "dec_max", "ra_center", "dec_center", "radius_deg")}
     rg = regions.select(F.col(region).alias("_r"), F.lower("shape").alias("shape"), *g.values()).where(F.col("_r").isNotNull())
-    rg = rg.where(F.when(box, F.col("ra_min").isNotNull() & F.col("ra_max").isNotNull() & (F.col("dec_min") <= F.col("dec_max"))).otherwise((F.col("shape") == "circle") & F.col("ra_center").isNotNull() & F.col("dec_center").isNotNull() & (F.col("radius_deg") >= 0)))
+    rg = rg.where(
+        F.when(box, F.col("ra_min").isNotNull() & F.col("ra_max").isNotNull() & (F.col("dec_min") <= F.col("dec_max"))).otherwise(
+            (F.col("shape") == "circle") & F.col("ra_center").isNotNull() & F.col("dec_center").isNotNull() & (F.col("radius_deg") >= 0)
+        )
+    )
     pad = 1e-6
     lo = F.when(box, F.col("dec_min")).otherwise(F.col("dec_center") - F.col("radius_deg")) - pad
     hi = F.when(box, F.col("dec_max")).otherwise(F.col("dec_center") + F.col("radius_deg")) + pad
     polar = F.abs("dec_center") + F.col("radius_deg") + pad >= 90
     half = F.when(polar, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians("radius_deg")) / F.cos(F.radians("dec_center"))))) + pad)
     west = F.when(box, F.pmod("ra_min", F.lit(360.0)) - pad).otherwise(F.col("ra_center") - half)
-    width = F.when(box, F.when(F.col("ra_max") >= F.col("ra_min"), F.least(F.lit(360.0), F.col("ra_max") - F.col("ra_min"))).otherwise(F.pmod(F.col("ra_max") - F.col("ra_min"), F.lit(360.0))) + 2 * pad).otherwise(2 * half)
+    width = F.when(
+        box,
+        F.when(
+            F.col("ra_max") >= F.col("ra_min"), F.least(F.lit(360.0), F.col("ra_max") - F.col("ra_min"))
+        ).otherwise(F.pmod(F.col("ra_max") - F.col("ra_min"), F.lit(360.0))) + 2 * pad
+    ).otherwise(2 * half)
     rg = rg.withColumns({"_lo": lo, "_hi": hi, "_west": west, "_width": width})
     size = F.greatest(F.col("_hi") - F.col("_lo"), F.col("_width") * F.cos(F.radians((F.col("_hi") + F.col("_lo")) / 2)) / 32)
     top = 3
@@ -154,12 +180,18 @@ def region_members(points: DataFrame, key: str, ra: str, dec: str, regions: Data
     cover = covers[0]
     for c in covers[1:]:
         cover = cover.unionByName(c)
-    at = F.explode(F.array(*(F.struct(F.lit(k).alias("_level"), (b := _band(F.col("_dec"), REGION_CELL * 4**k)).alias("_b"), _slot(F.col("_ra"), b, REGION_CELL * 4**k).alias("_s")) for k in levels)))
+    at = F.explode(
+        F.array(
+            *(F.struct(F.lit(k).alias("_level"), (b := _band(F.col("_dec"), REGION_CELL * 4**k)).alias("_b"), _slot(F.col("_ra"), b, REGION_CELL * 4**k).alias("_s")) for k in levels)
+        )
+    )
     looked = p.withColumn("_at", at).select("_k", "_ra", "_dec", "_at.*")
     east, start, end = F.col("_ra"), F.pmod("ra_min", F.lit(360.0)), F.when(F.col("ra_max") == 360, F.lit(360.0)).otherwise(F.pmod("ra_max", F.lit(360.0)))
     whole = F.col("ra_max") - F.col("ra_min") >= 360
     in_ra = whole | F.when(start <= end, (east >= start) & (east <= end)).otherwise((east >= start) | (east <= end))
-    inside = F.when(box, in_ra & (F.col("_dec") >= F.col("dec_min")) & (F.col("_dec") <= F.col("dec_max"))).otherwise(_angle(F.col("_ra"), F.col("_dec"), F.col("ra_center"), F.col("dec_center")) <= F.col("radius_deg") + EDGE)
+    inside = F.when(box, in_ra & (F.col("_dec") >= F.col("dec_min")) & (F.col("_dec") <= F.col("dec_max"))).otherwise(
+        _angle(F.col("_ra"), F.col("_dec"), F.col("ra_center"), F.col("dec_center")) <= F.col("radius_deg") + EDGE
+    )
     keys = ["_level", "_b", "_s"]
     looked, cover, keys = salted(looked, cover, keys, F.col("_k"), hot_keys(looked, keys))
     return looked.join(cover, keys).where(inside).select(F.col("_r").alias("region_id"), F.col("_k").alias("key")).distinct()

@@ -84,7 +84,9 @@ def f_test(red_chi2_1: float, red_chi2_2: float, v1: int, v2: int) -> tuple[floa
 def histogram(df: DataFrame, col: str, width: float, low: float = 0.0, by: list[str] | None = None) -> DataFrame:
     """(by..., bin, low, n): counts per bin of a given width; missing values have none."""
     v = finite(col)
-    return df.where(v.isNotNull()).groupBy(*(by or []), F.floor((v - low) / width).cast("long").alias("bin")).agg(F.count("*").alias("n")).withColumn("low", low + F.col("bin") * width)
+    return df.where(v.isNotNull()).groupBy(
+        *(by or []), F.floor((v - low) / width).cast("long").alias("bin")
+    ).agg(F.count("*").alias("n")).withColumn("low", low + F.col("bin") * width)
 
 
 def histogram_n(df: DataFrame, col: str, nbins: int) -> DataFrame:
@@ -103,12 +105,17 @@ def error_ratios(pairs: DataFrame, errs: str = "both", outlier: float = 10.0) ->
     r = residuals(pairs).withColumns({"rx": F.col("dx") / sx, "ry": F.col("dy") / sy}).where("rx is not null and ry is not null")
     r = r.withColumn("inlier", (F.abs("rx") < outlier) & (F.abs("ry") < outlier))
     c = F.col("rx") * F.col("rx") + F.col("ry") * F.col("ry")
-    return r, r.agg(F.count("*").alias("n"), F.sum(c).alias("chi2"), F.sum(F.col("inlier").cast("int")).alias("n_in"), F.sum(F.when(F.col("inlier"), c)).alias("chi2_in"))
+    return r, r.agg(
+        F.count("*").alias("n"), F.sum(c).alias("chi2"), F.sum(F.col("inlier").cast("int")).alias("n_in"),
+        F.sum(F.when(F.col("inlier"), c)).alias("chi2_in")
+    )
 
 
 def tagged_positions(a: DataFrame, b: DataFrame, matches: DataFrame) -> DataFrame:
     """All rows of both lists with their source and whether they are matched."""
-    mark = lambda df, side, src: df.select("id", "x", "y").join(matches.select(F.col(side).alias("id")).distinct().withColumn("matched", F.lit(True)), "id", "left").select(F.lit(src).alias("source"), "id", "x", "y", F.coalesce("matched", F.lit(False)).alias("matched"))
+    mark = lambda df, side, src: df.select("id", "x", "y").join(
+        matches.select(F.col(side).alias("id")).distinct().withColumn("matched", F.lit(True)), "id", "left"
+    ).select(F.lit(src).alias("source"), "id", "x", "y", F.coalesce("matched", F.lit(False)).alias("matched"))
     return mark(a, "id_1", "reference").unionByName(mark(b, "id_2", "list"))
 
 
@@ -134,13 +141,17 @@ def residual_arrows(pairs: DataFrame, outlier: float | None = None, errs: str |
 
 def velocity_points(a: DataFrame, b: DataFrame) -> DataFrame:
     """The velocities of both lists (id, vx, vy), told apart by ``source``."""
-    part = lambda df, src: df.select(F.lit(src).alias("source"), "id", finite("vx").alias("vx"), finite("vy").alias("vy")).where("vx is not null and vy is not null")
+    part = lambda df, src: df.select(
+        F.lit(src).alias("source"), "id", finite("vx").alias("vx"), finite("vy").alias("vy")
+    ).where("vx is not null and vy is not null")
     return part(a, "reference").unionByName(part(b, "list"))
 
 
 def proper_motions(stars: DataFrame, scale: float = 1e3) -> DataFrame:
     """Each star's motion, scaled."""
-    return stars.where(finite("vx").isNotNull() & finite("vy").isNotNull()).select("star_id", (finite("vx") * scale).alias("pm_x"), (finite("vy") * scale).alias("pm_y"))
+    return stars.where(finite("vx").isNotNull() & finite("vy").isNotNull()).select(
+        "star_id", (finite("vx") * scale).alias("pm_x"), (finite("vy") * scale).alias("pm_y")
+    )
 
 
 def centred_offsets(sources: DataFrame, key: str = "source_id") -> DataFrame:
@@ -149,7 +160,10 @@ def centred_offsets(sources: DataFrame, key: str = "source_id") -> DataFrame:
     mean = F.broadcast(c.agg(*(F.avg(v).alias(f"_{v}") for v in ("ra", "dec", "pmra", "pmdec"))))  # one row
     at = c.crossJoin(mean)
     turn = F.pmod(F.col("ra") - F.col("_ra") + 180, F.lit(360.0)) - 180
-    return at.select(key, (turn * F.cos(F.radians("_dec")) * 3600).alias("dx"), ((F.col("dec") - F.col("_dec")) * 3600).alias("dy"), (F.col("pmra") - F.col("_pmra")).alias("dpm_x"), (F.col("pmdec") - F.col("_pmdec")).alias("dpm_y"))
+    return at.select(
+        key, (turn * F.cos(F.radians("_dec")) * 3600).alias("dx"), ((F.col("dec") - F.col("_dec")) * 3600).alias("dy"),
+        (F.col("pmra") - F.col("_pmra")).alias("dpm_x"), (F.col("pmdec") - F.col("_pmdec")).alias("dpm_y")
+    )
 
 
 # --- stars and their readings
@@ -184,12 +198,17 @@ def residuals_by_epoch(m: DataFrame) -> DataFrame:
 
 def quiver(m: DataFrame, scale: float = 1e3) -> DataFrame:
     """(list_id, star_id, x, y, dx, dy, dr) of the residuals, scaled."""
-    return m.where("dx is not null and dy is not null").select("list_id", "star_id", "x", "y", (F.col("dx") * scale).alias("dx"), (F.col("dy") * scale).alias("dy"), (F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2) * scale).alias("dr"))
+    return m.where("dx is not null and dy is not null").select(
+        "list_id", "star_id", "x", "y", (F.col("dx") * scale).alias("dx"), (F.col("dy") * scale).alias("dy"),
+        (F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2) * scale).alias("dr")
+    )
 
 
 def quiver_statistics(m: DataFrame, reference: str = "use_in_trans", scale: float = 1e3) -> DataFrame:
     """(list_id, kind, n, mean and population spread of dx and dy, scaled): ``GOOD`` of all stars with residuals, ``REF`` of the flagged ones."""
-    good = m.where("dx is not null and dy is not null").withColumn("kind", F.explode(F.when(F.coalesce(F.col(reference), F.lit(False)), F.array(F.lit("GOOD"), F.lit("REF"))).otherwise(F.array(F.lit("GOOD")))))
+    good = m.where("dx is not null and dy is not null").withColumn(
+        "kind", F.explode(F.when(F.coalesce(F.col(reference), F.lit(False)), F.array(F.lit("GOOD"), F.lit("REF"))).otherwise(F.array(F.lit("GOOD"))))
+    )
     aggs = [f(F.col(f"d{c}") * scale).alias(f"d{c}_{n}") for c in "xy" for f, n in ((F.avg, "mean"), (F.stddev_pop, "std"))]
     return good.groupBy("list_id", "kind").agg(F.count("*").alias("n"), *aggs)
 
@@ -226,14 +245,19 @@ def mean_residual_per_star(m: DataFrame) -> DataFrame:
 def chi2_per_star(m: DataFrame) -> DataFrame:
     """(star_id, n_detect, chi2_x, chi2_y, dof): of the readings about the motion."""
     good = m.where("sig_x is not null and sig_y is not null")
-    return good.groupBy("star_id").agg(F.count("*").alias("n_detect"), F.sum(F.col("sig_x") ** 2).alias("chi2_x"), F.sum(F.col("sig_y") ** 2).alias("chi2_y")).withColumn("dof", F.col("n_detect") - 2)
+    return good.groupBy("star_id").agg(
+        F.count("*").alias("n_detect"), F.sum(F.col("sig_x") ** 2).alias("chi2_x"), F.sum(F.col("sig_y") ** 2).alias("chi2_y")
+    ).withColumn("dof", F.col("n_detect") - 2)
 
 
 def chi2_medians(per_star: DataFrame, n_detect: int | None = None) -> DataFrame:
     """Medians of the reduced chi squares (of stars with so many detections)."""
     s = per_star.where(F.col("dof") > 0)
     s = s.where(F.col("n_detect") == n_detect) if n_detect else s
-    return s.agg(F.count("*").alias("n"), F.median(F.col("chi2_x") / F.col("dof")).alias("red_chi2_x"), F.median(F.col("chi2_y") / F.col("dof")).alias("red_chi2_y"))
+    return s.agg(
+        F.count("*").alias("n"), F.median(F.col("chi2_x") / F.col("dof")).alias("red_chi2_x"),
+        F.median(F.col("chi2_y") / F.col("dof")).alias("red_chi2_y")
+    )
 
 
 def chi2_mag_per_star(m: DataFrame, compat: bool = False) -> DataFrame:
@@ -252,7 +276,10 @@ def sigma_flags(m: DataFrame, limit: float = 4.0) -> DataFrame:
 def radial_tangential(m: DataFrame) -> DataFrame:
     """Each reading's residual along and across the direction from the origin to its star, with the errors of both where x and y have errors."""
     r0 = F.sqrt(F.col("x0") ** 2 + F.col("y0") ** 2)
-    out = [((F.col("dx") * F.col("x0") + F.col("dy") * F.col("y0")) / r0).alias("d_r"), ((F.col("dx") * F.col("y0") - F.col("dy") * F.col("x0")) / r0).alias("d_t")]
+    out = [
+        ((F.col("dx") * F.col("x0") + F.col("dy") * F.col("y0")) / r0).alias("d_r"),
+        ((F.col("dx") * F.col("y0") - F.col("dy") * F.col("x0")) / r0).alias("d_t")
+    ]
     if {"xe", "ye"} <= set(m.columns):
         along = lambda a, b: F.sqrt((F.col("xe") * F.col(a)) ** 2 + (F.col("ye") * F.col(b)) ** 2) / r0
         out += [along("x0", "y0").alias("d_r_err"), along("y0", "x0").alias("d_t_err")]
@@ -279,13 +306,18 @@ def original_frame(m: DataFrame, turn: float, scale: float = 0.04) -> DataFrame:
     """Residuals turned back by ``turn`` degrees and in pixels of ``scale``, with their direction within [0, 360) and length."""
     dx, dy = F.col("dx") / scale, F.col("dy") / scale
     rx, ry = rotated(dx, dy, -turn)
-    return m.where("dx is not null and dy is not null").select("star_id", "list_id", "m", rx.alias("dx_orig"), ry.alias("dy_orig"), F.pmod(angle_of(dx, dy) - turn, F.lit(360.0)).alias("angle"), F.sqrt(dx * dx + dy * dy).alias("modulus"))
+    return m.where("dx is not null and dy is not null").select(
+        "star_id", "list_id", "m", rx.alias("dx_orig"), ry.alias("dy_orig"), F.pmod(angle_of(dx, dy) - turn, F.lit(360.0)).alias("angle"),
+        F.sqrt(dx * dx + dy * dy).alias("modulus")
+    )
 
 
 def errors_by_magnitude(stars: DataFrame) -> DataFrame:
     """Per star its radius, magnitude and mean errors of place and motion (in thousandths)."""
     e = lambda a, b: (F.col(a) + F.col(b)) / 2 * 1e3
-    return stars.select("star_id", "m0", F.sqrt(F.col("x0") ** 2 + F.col("y0") ** 2).alias("r"), e("x0e", "y0e").alias("pos_err"), e("vxe", "vye").alias("pm_err"))
+    return stars.select(
+        "star_id", "m0", F.sqrt(F.col("x0") ** 2 + F.col("y0") ** 2).alias("r"), e("x0e", "y0e").alias("pos_err"), e("vxe", "vye").alias("pm_err")
+    )
 
 
 def trend_line(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -27,7 +27,9 @@ def parse_angle(text: str, hours: bool = False) -> float:
 def cone(df: DataFrame, ra: float, dec: float, radius_arcsec: float, limit: int | None = 50_000, key: str = "source_id") -> DataFrame:
     """Rows within a radius of a point, with ``dist`` in degrees; the nearest ``limit`` of them."""
     r = radius_arcsec / 3600
-    near = df.where(F.abs(finite("dec") - dec) <= r).withColumn("dist", great_circle(finite("ra"), finite("dec"), F.lit(float(ra)), F.lit(float(dec)))).where(F.col("dist") <= r)
+    near = df.where(F.abs(finite("dec") - dec) <= r).withColumn(
+        "dist", great_circle(finite("ra"), finite("dec"), F.lit(float(ra)), F.lit(float(dec)))
+    ).where(F.col("dist") <= r)
     return near.orderBy("dist", key).limit(limit) if limit else near
 
 
@@ -57,7 +59,9 @@ def name_targets(plane: DataFrame, targets: DataFrame, dr_max: float = 0.2) -> D
 
     A star nearest to several targets takes the first of their names. More than ``TARGETS_MOST`` targets are refused.
     """
-    short = targets.select(F.col("name").alias("tn"), finite("x").alias("tx"), finite("y").alias("ty")).where("tn is not null and tx is not null and ty is not null")
+    short = targets.select(
+        F.col("name").alias("tn"), finite("x").alias("tx"), finite("y").alias("ty")
+    ).where("tn is not null and tx is not null and ty is not null")
     if short.limit(TARGETS_MOST + 1).count() > TARGETS_MOST:
         raise ValueError(f"more than {TARGETS_MOST} targets")
     # by cells twice as wide as the reach, so each star meets the targets about it only
@@ -67,8 +71,12 @@ def name_targets(plane: DataFrame, targets: DataFrame, dr_max: float = 0.2) -> D
     for c, n in (("tx", "_cx"), ("ty", "_cy")):
         t = t.withColumn(n, F.explode(F.sequence(cell(F.col(c) - reach), cell(F.col(c) + reach))))
     dr = F.sqrt((F.col("x0") - F.col("tx")) ** 2 + (F.col("y0") - F.col("ty")) ** 2)
-    near = plane.withColumns({"_cx": cell(F.col("x0")), "_cy": cell(F.col("y0"))}).join(F.broadcast(t), ["_cx", "_cy"]).withColumn("_dr", dr).where(F.col("_dr") < dr_max)
-    best = near.groupBy("tn").agg(F.min(F.struct("_dr", "name")).alias("_b")).select("tn", F.col("_b.name").alias("name")).groupBy("name").agg(F.min("tn").alias("tn"))
+    near = plane.withColumns(
+        {"_cx": cell(F.col("x0")), "_cy": cell(F.col("y0"))}
+    ).join(F.broadcast(t), ["_cx", "_cy"]).withColumn("_dr", dr).where(F.col("_dr") < dr_max)
+    best = near.groupBy("tn").agg(
+        F.min(F.struct("_dr", "name")).alias("_b")
+    ).select("tn", F.col("_b.name").alias("name")).groupBy("name").agg(F.min("tn").alias("tn"))
     return plane.join(F.broadcast(best), "name", "left").withColumn("name", F.coalesce("tn", "name")).drop("tn").select(*plane.columns)
 
 
@@ -79,5 +87,9 @@ def at_epoch(df: DataFrame, epoch: float, ra: float, dec: float) -> DataFrame:
     zero = lambda c: F.coalesce(finite(c), F.lit(0.0))
     x, y = east + zero("pmra") / 1e3 * dt, north + zero("pmdec") / 1e3 * dt
     err = lambda e, v: F.sqrt((finite(e) / 1e3) ** 2 + (zero(v) / 1e3 * dt) ** 2)
-    out = df.select(F.col("source_id").cast("string").alias("name"), (-x).alias("x"), y.alias("y"), err("ra_error", "pmra_error").alias("xe"), err("dec_error", "pmdec_error").alias("ye"), finite("phot_g_mean_mag").alias("m"), (1 / finite("phot_g_mean_flux_over_error")).alias("me"), F.lit(float(epoch)).alias("t"))
+    out = df.select(
+        F.col("source_id").cast("string").alias("name"), (-x).alias("x"), y.alias("y"), err("ra_error", "pmra_error").alias("xe"),
+        err("dec_error", "pmdec_error").alias("ye"), finite("phot_g_mean_mag").alias("m"), (1 / finite("phot_g_mean_flux_over_error")).alias("me"),
+        F.lit(float(epoch)).alias("t")
+    )
     return out.withColumns({"x_avg": F.col("x"), "y_avg": F.col("y"), "m_avg": F.col("m")})

@@ -208,13 +208,18 @@ def implausible(obs: DataFrame, lists: DataFrame, key: str = "obs_id", star: str
     times = lists.where(F.col("list_id").isNotNull()).groupBy(F.col("list_id").alias("_list")).agg(F.min(finite("list_time")).alias("_list_time"))
     values = [present(f).alias(f) for f in (*FIELDS, "ye", "me")]
     # an id of 0 stands for a missing one, which _named tells: with NULLs pandas would make doubles of all
-    base = obs.select(F.coalesce(F.col(key), F.lit(0)).cast("long").alias("_id"), F.col(key).isNotNull().alias("_named"), F.col(star).alias("_star"), F.col(epoch).alias("_list"), finite("t").alias("_own"), *values)
+    base = obs.select(
+        F.coalesce(F.col(key), F.lit(0)).cast("long").alias("_id"), F.col(key).isNotNull().alias("_named"), F.col(star).alias("_star"),
+        F.col(epoch).alias("_list"), finite("t").alias("_own"), *values
+    )
     base = base.join(times, "_list", "left").withColumn("_t", F.coalesce("_own", "_list_time")).drop("_own", "_list_time")
     # 128 bits tell a reading from others; NULLs are marked, as the hash passes over them
     whole = [F.col("_list"), *(x for c in ("_t", *FIELDS, "ye", "me") for x in (F.col(c), F.col(c).isNull()))]
     same = {"_c1": F.xxhash64(*whole), "_c2": F.xxhash64(F.lit(1), *whole), "_alone": F.col("_list").isNull()}
     rows = base.where(F.col("_star").isNotNull()).withColumns({**same, "_chunk": F.lit(0).cast("long"), "_core": F.lit(True)})
-    lone = base.where(F.col("_star").isNull()).withColumn("field", F.explode(F.array_compact(F.array(*(F.when(impossible(f), F.lit(f)) for f in FIELDS))))).where("_named").select("_id", "field")
+    lone = base.where(F.col("_star").isNull()).withColumn(
+        "field", F.explode(F.array_compact(F.array(*(F.when(impossible(f), F.lit(f)) for f in FIELDS))))
+    ).where("_named").select("_id", "field")
 
     def cases(df: DataFrame) -> DataFrame:
         parted = df.repartition("_star", "_chunk").sortWithinPartitions("_star", "_chunk", F.col("_t").asc_nulls_last(), *ORDER[1:])
@@ -241,7 +246,9 @@ def _chunked(rows: DataFrame) -> DataFrame:
 
     Places in the order of time come from counts per slice (quantiles of time) plus the place within the slice.
     """
-    once = rows.where("not _alone").groupBy("_star", "_list", "_t", *FIELDS, "ye", "me", "_c1", "_c2", "_alone").agg(F.min("_id").alias("_id"), F.max("_named").alias("_named"))
+    once = rows.where("not _alone").groupBy(
+        "_star", "_list", "_t", *FIELDS, "ye", "me", "_c1", "_c2", "_alone"
+    ).agg(F.min("_id").alias("_id"), F.max("_named").alias("_named"))
     cols = ["_star", "_list", "_t", *FIELDS, "ye", "me", "_c1", "_c2", "_alone", "_id", "_named"]
     reps = once.select(*cols).unionByName(rows.where("_alone").select(*cols))
     timed = reps.where(F.col("_t").isNotNull())

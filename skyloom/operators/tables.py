@@ -50,7 +50,13 @@ def create(stars: DataFrame, lists: list[DataFrame], ref_list: int = 0, times: l
         raise ValueError("times and names: one for each list")
     spark = stars.sparkSession
     info = spark.createDataFrame([], "list_id long, list_name string, list_time double")
-    table = StarTable(stars, _checked(lists[0], "list 0").select("star_id", F.lit(0).cast("long").alias("list_id"), *(c for c in lists[0].columns if c not in ("star_id", "list_id"))).where(F.lit(False)), info, ref_list)
+    table = StarTable(
+        stars,
+        _checked(lists[0], "list 0").select(
+            "star_id", F.lit(0).cast("long").alias("list_id"), *(c for c in lists[0].columns if c not in ("star_id", "list_id"))
+        ).where(F.lit(False)),
+        info, ref_list
+    )
     for k, df in enumerate(lists):
         table = add_list(table, df, k, None if times is None else times[k], None if names is None else names[k])
     return table
@@ -58,7 +64,9 @@ def create(stars: DataFrame, lists: list[DataFrame], ref_list: int = 0, times: l
 
 def add_list(table: StarTable, rows: DataFrame | None, list_id: int, time: float | None = None, name: str | None = None) -> StarTable:
     """The table with one list more; without rows an epoch that has no reading yet."""
-    info = table.lists.sparkSession.createDataFrame([(list_id, name, None if time is None else float(time))], "list_id long, list_name string, list_time double")
+    info = table.lists.sparkSession.createDataFrame(
+        [(list_id, name, None if time is None else float(time))], "list_id long, list_name string, list_time double"
+    )
     if table.lists.where(F.col("list_id") == list_id).limit(1).count():
         raise ValueError(f"list {list_id} is there already")
     obs = table.obs

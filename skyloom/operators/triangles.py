@@ -19,7 +19,9 @@ from skyloom.common import finite
 def ranked(df: DataFrame, n: int, by: list[str] | None = None) -> DataFrame:
     """(by..., id, x, y, r): the n brightest rows of each group with their rank from 1."""
     by = by or []
-    good = df.select(*by, "id", finite("x").alias("x"), finite("y").alias("y"), finite("m").alias("m")).where("id is not null and x is not null and y is not null and m is not null")
+    good = df.select(
+        *by, "id", finite("x").alias("x"), finite("y").alias("y"), finite("m").alias("m")
+    ).where("id is not null and x is not null and y is not null and m is not null")
     if not by:
         top = good.orderBy("m", "id").limit(n)
         return top.withColumn("r", F.row_number().over(Window.orderBy("m", "id"))).select("id", "x", "y", "r")
@@ -69,7 +71,9 @@ def votes(t1: DataFrame, t2: DataFrame, bins_vmax: int = 200, bins_angle: int =
     """(by..., id_1, id_2, votes): of each bin the first triangle of list 1 (by ranks) meets every triangle of list 2."""
     by = by or []
     ev, ea = bin_edges(bins_vmax, bins_angle)
-    binned = lambda t: t.withColumns({"bv": digitize(F.col("vmax"), ev), "ba": digitize(F.col("angle"), ea)}).where(F.col("bv").between(1, len(ev) - 1) & F.col("ba").between(1, len(ea) - 1))
+    binned = lambda t: t.withColumns({"bv": digitize(F.col("vmax"), ev), "ba": digitize(F.col("angle"), ea)}).where(
+        F.col("bv").between(1, len(ev) - 1) & F.col("ba").between(1, len(ea) - 1)
+    )
     # ranks as one number, and the corners found again by it: a plain aggregate
     rank = F.col("ra").cast("long") * (1 << 42) + F.col("rb").cast("long") * (1 << 21) + F.col("rc").cast("long")
     ordered = binned(t1).withColumn("_rank", rank)

@@ -50,9 +50,15 @@ def with_units(df: DataFrame, catalogs: DataFrame, fields: list[Field], texts: l
     ``texts``: (column, field it is about or "") in the order in which they count.
     """
     note = units.stated(F.col("_note"))
-    cat = catalogs.where(F.col("catalog").isNotNull()).groupBy(F.col("catalog").alias("_catalog")).agg(F.max(finite("mas_per_pix")).alias("_scale"), F.max("note").alias("_note")).withColumn("_cat", note).select("_catalog", "_scale", F.col("_cat.motion").alias("_cat_motion"), F.col("_cat.error").alias("_cat_error"))
+    cat = catalogs.where(F.col("catalog").isNotNull()).groupBy(F.col("catalog").alias("_catalog")).agg(F.max(finite("mas_per_pix")).alias("_scale"), F.max("note").alias("_note")).withColumn("_cat", note).select(
+        "_catalog", "_scale", F.col("_cat.motion").alias("_cat_motion"), F.col("_cat.error").alias("_cat_error")
+    )
     told = df.withColumns({f"_told{i}": units.stated(F.col(c).cast("string"), about) for i, (c, about) in enumerate(texts)})
-    own = {k: F.coalesce(*(F.col(f"_told{i}.{k}") for i, (_, about) in enumerate(texts) if about in ("", k)), F.lit(None).cast("string")) for k in ("motion", "error")}
+    own = {
+        k: F.coalesce(
+            *(F.col(f"_told{i}.{k}") for i, (_, about) in enumerate(texts) if about in ("", k)), F.lit(None).cast("string")
+        ) for k in ("motion", "error")
+    }
     told = told.withColumns({f"_own_{k}": c for k, c in own.items()}).drop(*(f"_told{i}" for i in range(len(texts))))
     told = told.join(cat, told["catalog"] == cat["_catalog"], "left")
     for f in fields:
@@ -64,8 +70,13 @@ def with_units(df: DataFrame, catalogs: DataFrame, fields: list[Field], texts: l
         unit = F.coalesce(f"_unit_{f.column}", f"_guess_{f.column}") if guess is not None else F.col(f"_unit_{f.column}")
         has = ~F.isnan(F.col(f.column).cast("double"))
         told = told.withColumn(f"{f.column}_unit", F.when(F.col(f.column).isNotNull() & has, unit))
-        told = told.join(F.broadcast(fac.select(F.col("unit").alias(f"{f.column}_unit"), F.col("factor").alias("_f"), F.col("pixels").alias("_p"))), f"{f.column}_unit", "left")
-        told = told.withColumn(f"{f.column}_mas", F.when(has, F.col(f.column).cast("double")) * F.col("_f") * F.when(F.col("_p"), F.col("_scale")).otherwise(1.0)).drop("_f", "_p")
+        told = told.join(
+            F.broadcast(fac.select(F.col("unit").alias(f"{f.column}_unit"), F.col("factor").alias("_f"), F.col("pixels").alias("_p"))),
+            f"{f.column}_unit", "left"
+        )
+        told = told.withColumn(
+            f"{f.column}_mas", F.when(has, F.col(f.column).cast("double")) * F.col("_f") * F.when(F.col("_p"), F.col("_scale")).otherwise(1.0)
+        ).drop("_f", "_p")
     return told.select(*(F.col(c) for c in df.columns), *(F.col(f"{f.column}_{x}") for f in fields for x in ("unit", "mas")))
 
 
@@ -90,7 +101,10 @@ def _guesses(told: DataFrame, fields: list[Field]) -> DataFrame | None:
         like = [c for ff, c in cols if ff is f and usual[f"{f.column}:{c}"] is not None]
         best = None
         for u in ends:
-            miss = sum((F.coalesce(F.abs(F.col(f"_m_{f.column}_{c}") + shift(F.lit(u)) - F.lit(usual[f"{f.column}:{c}"])), F.lit(0.0)) for c in like), F.lit(0.0))
+            miss = sum(
+                (F.coalesce(F.abs(F.col(f"_m_{f.column}_{c}") + shift(F.lit(u)) - F.lit(usual[f"{f.column}:{c}"])), F.lit(0.0)) for c in like),
+                F.lit(0.0)
+            )
             usable = F.when(F.array_contains(pixels, F.lit(u)), F.col("_scale").isNotNull()).otherwise(True)
             s = F.when(usable & F.col(f"_m_{f.column}_{f.column}").isNotNull() & F.lit(bool(like)), F.struct(miss.alias("miss"), F.lit(u).alias("unit")))
             best = s if best is None else F.least(best, s)

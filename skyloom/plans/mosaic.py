@@ -86,7 +86,10 @@ class Mosaic:
     def _std(self, df: DataFrame, lst: int) -> DataFrame:
         base = {"xe": 1.0, "ye": 1.0, "me": 1.0, "t": 0.0}
         out = df.withColumns({c: F.lit(v) for c, v in base.items() if c not in df.columns})
-        return out.select(F.lit(lst).cast("long").alias("list_id"), F.col("row_id").cast("long").alias("id"), "name", *(F.col(c).cast("double").alias(c) for c in ("x", "y", "m", "xe", "ye", "me", "t")))
+        return out.select(
+            F.lit(lst).cast("long").alias("list_id"), F.col("row_id").cast("long").alias("id"), "name",
+            *(F.col(c).cast("double").alias(c) for c in ("x", "y", "m", "xe", "ye", "me", "t"))
+        )
 
     def _seed(self) -> DataFrame:
         """The stars to begin with: the reference, or the list chosen for it."""
@@ -95,7 +98,10 @@ class Mosaic:
         cols = {"x0e": 0.0, "y0e": 0.0, "m0e": 0.0, "vx": None, "vy": None, "vxe": None, "vye": None, "t0": None}
         src = src.withColumns({c: F.lit(v).cast("double") for c, v in cols.items() if c not in src.columns})
         key = F.col("row_id").cast("long")
-        return src.select(F.concat(F.lit("r"), key).alias("star_id"), F.coalesce("name", F.concat(F.lit("r"), key)).alias("name"), *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "m0", *cols)), F.lit(True).alias("use_in_trans"), F.lit(True).alias("ref_orig"))
+        return src.select(
+            F.concat(F.lit("r"), key).alias("star_id"), F.coalesce("name", F.concat(F.lit("r"), key)).alias("name"),
+            *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "m0", *cols)), F.lit(True).alias("use_in_trans"), F.lit(True).alias("ref_orig")
+        )
 
     def guess(self, ref: DataFrame, lst: DataFrame) -> Transform:
         """A first transform from equal names or from triangles of the brightest."""
@@ -129,7 +135,9 @@ class Mosaic:
         tol, order = per_iteration(self.outlier_tol, self.iters, "outlier_tol")[it], per_iteration(self.order, self.iters, "order")[it]
         a = ref.select(F.col("star_id").alias("id"), "x", "y", "m")
         moved = fits.applied(trimmed, {(): model})
-        pairs = self._pairs(trimmed_ref, trimmed, crossmatch.cross_match(moved, a, dr, dm).select(F.col("id_2").alias("id_1"), F.col("id_1").alias("id_2"))).where("use_in_trans")
+        pairs = self._pairs(
+            trimmed_ref, trimmed, crossmatch.cross_match(moved, a, dr, dm).select(F.col("id_2").alias("id_1"), F.col("id_1").alias("id_2"))
+        ).where("use_in_trans")
         if tol is not None:
             there = fits.applied(pairs.withColumns({"_x": F.col("x"), "_y": F.col("y")}), {(): model})
             kept = fits.outlier_rejection(there, tol).select("id_2")
@@ -149,13 +157,23 @@ class Mosaic:
         return filters.reference_at(s, t)
 
     def _take_in(self, stars, obs, moved, found, used):
-        rows = moved.join(found, "id").join(used.withColumn("_used", F.lit(True)), "id", "left").withColumn("used_in_trans", F.coalesce("_used", F.lit(False))).drop("_used")
-        cols = ["star_id", "list_id", "x", "y", "m", "xe", "ye", "me", "t", "x_orig", "y_orig", "m_orig", "used_in_trans", F.col("name").alias("name_in_list"), F.col("id").alias("obs_id")]
+        rows = moved.join(found, "id").join(
+            used.withColumn("_used", F.lit(True)), "id", "left"
+        ).withColumn("used_in_trans", F.coalesce("_used", F.lit(False))).drop("_used")
+        cols = [
+            "star_id", "list_id", "x", "y", "m", "xe", "ye", "me", "t", "x_orig", "y_orig", "m_orig", "used_in_trans",
+            F.col("name").alias("name_in_list"), F.col("id").alias("obs_id")
+        ]
         fresh = crossmatch.unmatched(moved, found, "id", "id")
         new_id = F.concat(F.lit("n"), F.col("list_id"), F.lit("_"), F.col("id"))
         fresh = fresh.withColumn("star_id", new_id).withColumn("used_in_trans", F.lit(False))
         none = F.lit(None).cast("double")
-        new_stars = fresh.select("star_id", crossmatch.new_name(F.col("list_id"), F.col("name")).alias("name"), F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("m").alias("m0"), F.col("xe").alias("x0e"), F.col("ye").alias("y0e"), F.col("me").alias("m0e"), *(none.alias(c) for c in ("vx", "vy", "vxe", "vye")), F.col("t").alias("t0"), F.lit(self.use_ref_new).alias("use_in_trans"), F.lit(False).alias("ref_orig"))
+        new_stars = fresh.select(
+            "star_id", crossmatch.new_name(F.col("list_id"), F.col("name")).alias("name"), F.col("x").alias("x0"), F.col("y").alias("y0"),
+            F.col("m").alias("m0"), F.col("xe").alias("x0e"), F.col("ye").alias("y0e"), F.col("me").alias("m0e"),
+            *(none.alias(c) for c in ("vx", "vy", "vxe", "vye")), F.col("t").alias("t0"), F.lit(self.use_ref_new).alias("use_in_trans"),
+            F.lit(False).alias("ref_orig")
+        )
         readings = rows.select(*cols).unionByName(fresh.select(*cols))
         # each list's readings are written once; what is read again is only the columns that the means take
         obs = [*(obs or []), checkpointed(readings)]
@@ -210,7 +228,12 @@ class Mosaic:
         every = checkpointed(every)
         found = crossmatch.cross_match(every, refs, dr_tol, dm_tol, by=["list_id"])
         rows = every.join(found.select("list_id", F.col("id_1").alias("id"), F.col("id_2").alias("star_id")), ["list_id", "id"])
-        return checkpointed(rows.select("star_id", "list_id", "x", "y", "m", "xe", "ye", "me", "t", "x_orig", "y_orig", "m_orig", F.col("name").alias("name_in_list"), F.col("id").alias("obs_id")))
+        return checkpointed(
+            rows.select(
+                "star_id", "list_id", "x", "y", "m", "xe", "ye", "me", "t", "x_orig", "y_orig", "m_orig", F.col("name").alias("name_in_list"),
+                F.col("id").alias("obs_id")
+            )
+        )
 
 
 def _together(obs: list[DataFrame]) -> DataFrame:
@@ -220,22 +243,37 @@ def _together(obs: list[DataFrame]) -> DataFrame:
     return out
 
 
-def bootstrap_errors(stars: DataFrame, obs: DataFrame, n_boot: int = 100, order: int = 1, seed: int = 3, epochs_min: int = -1, with_velocities: bool = True) -> tuple[DataFrame, DataFrame]:
+def bootstrap_errors(
+    stars: DataFrame, obs: DataFrame, n_boot: int = 100, order: int = 1, seed: int = 3, epochs_min: int = -1, with_velocities: bool = True
+) -> tuple[DataFrame, DataFrame]:
     """Errors from reference stars drawn with replacement.
 
     (star_id, list_id, xe_boot, ye_boot, me_boot) and, if asked for, the spreads of the motions (star_id, x0e_boot, ...). For
     every draw and list the transform is fitted anew, in one aggregate over all of them, and every reading moved by it. For the motions
     as many lists as there are are drawn with replacement too, the same for all stars in a draw; t0 stays the star's (its mean time where it has none).
     """
-    good = obs.join(stars.where("use_in_trans").select("star_id", F.col("x0").alias("x_ref"), F.col("y0").alias("y_ref"), F.col("m0").alias("m_ref")), "star_id").where("x_orig is not null and x_ref is not null")
-    ranked = good.withColumn("_k", F.row_number().over(Window.partitionBy("list_id").orderBy("star_id")) - 1).withColumn("_n", F.count("*").over(Window.partitionBy("list_id")))
+    good = obs.join(
+        stars.where("use_in_trans").select("star_id", F.col("x0").alias("x_ref"), F.col("y0").alias("y_ref"), F.col("m0").alias("m_ref")), "star_id"
+    ).where("x_orig is not null and x_ref is not null")
+    ranked = good.withColumn(
+        "_k", F.row_number().over(Window.partitionBy("list_id").orderBy("star_id")) - 1
+    ).withColumn("_n", F.count("*").over(Window.partitionBy("list_id")))
     b = F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("boot")
     # the k-th draw takes the star at a hashed place
-    draws = ranked.select("list_id", "_k", "_n", b).withColumn("_k", F.pmod(F.xxhash64(F.lit(seed), "boot", "list_id", "_k"), F.col("_n")).cast("int")).drop("_n")
-    sample = draws.join(ranked.select("list_id", "_k", F.col("x_orig").alias("x"), F.col("y_orig").alias("y"), F.col("m_orig").alias("m"), "x_ref", "y_ref", "m_ref"), ["list_id", "_k"])
+    draws = ranked.select("list_id", "_k", "_n", b).withColumn(
+        "_k", F.pmod(F.xxhash64(F.lit(seed), "boot", "list_id", "_k"), F.col("_n")).cast("int")
+    ).drop("_n")
+    sample = draws.join(
+        ranked.select("list_id", "_k", F.col("x_orig").alias("x"), F.col("y_orig").alias("y"), F.col("m_orig").alias("m"), "x_ref", "y_ref", "m_ref"),
+        ["list_id", "_k"]
+    )
     found = fits.fit(sample, order, by=["boot", "list_id"])
-    enough = obs.groupBy("star_id").agg(F.count("x").alias("_d")).join(stars.select("star_id", "use_in_trans"), "star_id").where((F.col("_d") >= epochs_min) | F.col("use_in_trans")).select("star_id")
-    each = obs.join(enough, "star_id", "left_semi").select("star_id", "list_id", "t", "xe", "ye", F.col("x_orig").alias("x"), F.col("y_orig").alias("y"), F.col("m_orig").alias("m"), b)
+    enough = obs.groupBy("star_id").agg(F.count("x").alias("_d")).join(stars.select("star_id", "use_in_trans"), "star_id").where(
+        (F.col("_d") >= epochs_min) | F.col("use_in_trans")
+    ).select("star_id")
+    each = obs.join(enough, "star_id", "left_semi").select(
+        "star_id", "list_id", "t", "xe", "ye", F.col("x_orig").alias("x"), F.col("y_orig").alias("y"), F.col("m_orig").alias("m"), b
+    )
     # the draws are dealt out again where they are needed: n_boot copies of the readings are never written
     moved = fits.applied_by_table(each, found, ["boot", "list_id"])
     readings = moved.groupBy("star_id", "list_id").agg(*(F.stddev_samp(c).alias(f"{c}e_boot") for c in "xym"))
@@ -243,16 +281,26 @@ def bootstrap_errors(stars: DataFrame, obs: DataFrame, n_boot: int = 100, order:
         return readings, stars.select("star_id").where(F.lit(False))
     every = obs.select("list_id").distinct().withColumn("_k", F.row_number().over(Window.orderBy("list_id")) - 1)
     n = every.count()
-    drawn = every.select("_k", b).withColumn("_k", F.pmod(F.xxhash64(F.lit(seed), F.lit("epochs"), "boot", "_k"), F.lit(n)).cast("int")).join(every, "_k").drop("_k")
+    drawn = every.select("_k", b).withColumn(
+        "_k", F.pmod(F.xxhash64(F.lit(seed), F.lit("epochs"), "boot", "_k"), F.lit(n)).cast("int")
+    ).join(every, "_k").drop("_k")
     again = moved.join(F.broadcast(drawn), ["boot", "list_id"]).withColumn("star_id", F.struct("star_id", "boot"))  # n_boot rows a list
     own = motion.fit_velocities(obs.select("star_id", "list_id", "t", "x", "y", "xe", "ye")).select("star_id", F.col("t0").alias("_own"))
-    t0 = stars.select("star_id", finite("t0").alias("t0")).join(own, "star_id").select("star_id", F.coalesce("t0", "_own").alias("t0"), b).select(F.struct("star_id", "boot").alias("star_id"), "t0")
+    t0 = stars.select("star_id", finite("t0").alias("t0")).join(own, "star_id").select(
+        "star_id", F.coalesce("t0", "_own").alias("t0"), b
+    ).select(F.struct("star_id", "boot").alias("star_id"), "t0")
     v = motion.fit_velocities(again, fixed_t0=t0)
-    spread = v.groupBy(F.col("star_id.star_id").alias("star_id")).agg(*(F.stddev_samp(a).alias(e) for a, e in (("x0", "x0e_boot"), ("y0", "y0e_boot"), ("vx", "vxe_boot"), ("vy", "vye_boot"))))
+    spread = v.groupBy(F.col("star_id.star_id").alias("star_id")).agg(
+        *(F.stddev_samp(a).alias(e) for a, e in (("x0", "x0e_boot"), ("y0", "y0e_boot"), ("vx", "vxe_boot"), ("vy", "vye_boot")))
+    )
     return readings, spread
 
 
-def pair_alignment(ref: DataFrame, lst: DataFrame, steps: list[tuple[int, float]], dm_tol: float | None = None, weights: str | None = None, start: Transform | None = None, mode: str = "triangle", n_bright: int = 50, sigma: float | None = None, area: tuple[tuple[float, float], tuple[float, float]] | None = None, mag_lim: tuple[float | None, float | None] | None = None) -> tuple[Transform, DataFrame]:
+def pair_alignment(
+    ref: DataFrame, lst: DataFrame, steps: list[tuple[int, float]], dm_tol: float | None = None, weights: str | None = None,
+    start: Transform | None = None, mode: str = "triangle", n_bright: int = 50, sigma: float | None = None,
+    area: tuple[tuple[float, float], tuple[float, float]] | None = None, mag_lim: tuple[float | None, float | None] | None = None
+) -> tuple[Transform, DataFrame]:
     """Two catalogs aligned: a first guess (names, triangles or given), then for each (order, tolerance) a match and a fit.
 
     ref, lst: id, name, x, y, m[, xe, ye]. The last match comes back with the model; ``sigma`` cuts its residuals and fits once more.
@@ -297,9 +345,13 @@ def two_columns(ref: DataFrame, lst: DataFrame, model: Transform, matches: DataF
     """(star_id, name, list_id, x, y, m, further columns of both): the matched rows as a table of two lists, 0 the reference and 1 the other, moved into its frame."""
     both = [c for c in ref.columns if c in lst.columns and c not in ("id", "name")]
     moved = fits.applied(lst, {(): model})
-    one = matches.select(F.col("id_2").alias("id"), F.col("id_2").alias("star_id")).join(ref, "id").select("star_id", "name", F.lit(0).cast("long").alias("list_id"), *both)
+    one = matches.select(F.col("id_2").alias("id"), F.col("id_2").alias("star_id")).join(ref, "id").select(
+        "star_id", "name", F.lit(0).cast("long").alias("list_id"), *both
+    )
     names = one.select("star_id", "name")
-    two = matches.select(F.col("id_1").alias("id"), F.col("id_2").alias("star_id")).join(moved.drop("name"), "id").join(names, "star_id").select("star_id", "name", F.lit(1).cast("long").alias("list_id"), *both)
+    two = matches.select(F.col("id_1").alias("id"), F.col("id_2").alias("star_id")).join(moved.drop("name"), "id").join(names, "star_id").select(
+        "star_id", "name", F.lit(1).cast("long").alias("list_id"), *both
+    )
     return one.unionByName(two)
 
 
@@ -314,7 +366,9 @@ def stitch(lists: dict[int, DataFrame], initial: int, n_iter: int = 5, corr_thre
         return df.select(F.col("row_id").cast("long").alias("id"), "name", "x", "y", "m", "xe", "ye")
 
     first = ready(initial)
-    obs = checkpointed(first.select(F.concat(F.lit(f"f{initial}_"), "id").alias("star_id"), F.lit(initial).cast("long").alias("list_id"), "name", "x", "y", "m", "xe", "ye"))
+    obs = checkpointed(
+        first.select(F.concat(F.lit(f"f{initial}_"), "id").alias("star_id"), F.lit(initial).cast("long").alias("list_id"), "name", "x", "y", "m", "xe", "ye")
+    )
     for k in lists:
         if k == initial:
             continue

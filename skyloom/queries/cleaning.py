@@ -20,7 +20,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     lists = neighbours.planar_pairs(table(spark, d, "starlist"), "row_id", "x", "y", PIXELS, by=["list_id"])
     sky = neighbours.sphere_pairs(gaia, "source_id", "ra", "dec", ARCSEC / 3600)
     regions = neighbours.region_members(gaia, "source_id", "ra", "dec", table(spark, d, "sky_regions"))
-    return out(lists, "starlist").unionByName(out(sky, "gaia")).unionByName(out(regions.select(F.col("region_id").alias("key_1"), F.col("key").alias("key_2")), "region"))
+    return out(lists, "starlist").unionByName(out(sky, "gaia")).unionByName(
+        out(regions.select(F.col("region_id").alias("key_1"), F.col("key").alias("key_2")), "region")
+    )
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -38,19 +40,29 @@ def p3_valid(spark: SparkSession, d: str) -> DataFrame:
     return raw_lines.load(table(spark, d, "starlist_raw"))
 
 
-GAIA = dict(fields=[unify.Field("pmra", "motion", ("pmra_error",)), unify.Field("ra_error", "error", ("dec_error",))], texts=[("pm_unit", "motion"), ("err_unit", "error"), ("remark", "")])
+GAIA = dict(
+    fields=[unify.Field("pmra", "motion", ("pmra_error",)), unify.Field("ra_error", "error", ("dec_error",))],
+    texts=[("pm_unit", "motion"), ("err_unit", "error"), ("remark", "")]
+)
 STARS = dict(fields=[unify.Field("vx", "motion", ("vxe",)), unify.Field("x0e", "error", ("y0e",))], texts=[("unit_note", "")])
 
 
 def _converted(spark: SparkSession, d: str) -> list[tuple[str, str, DataFrame, list[unify.Field]]]:
     catalogs = table(spark, d, "catalogs")
-    return [(name, key, unify.with_units(table(spark, d, name), catalogs, **how), how["fields"]) for name, key, how in (("gaia", "source_id", GAIA), ("startable", "star_id", STARS))]
+    return [
+        (name, key, unify.with_units(table(spark, d, name), catalogs, **how), how["fields"]) for name, key,
+        how in (("gaia", "source_id", GAIA), ("startable", "star_id", STARS))
+    ]
 
 
 def _fields(spark: SparkSession, d: str) -> DataFrame:
     out = None
     for name, key, df, fields in _converted(spark, d):
-        each = F.inline(F.array(*(F.struct(F.lit(f.column).alias("field"), F.col(f"{f.column}_unit").alias("unit"), F.col(f"{f.column}_mas").alias("value")) for f in fields)))
+        each = F.inline(
+            F.array(
+                *(F.struct(F.lit(f.column).alias("field"), F.col(f"{f.column}_unit").alias("unit"), F.col(f"{f.column}_mas").alias("value")) for f in fields)
+            )
+        )
         one = df.select(F.lit(name).alias("tbl"), F.col(key).alias("row_key"), each)
         out = one if out is None else out.unionByName(one)
     return out

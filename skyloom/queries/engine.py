@@ -73,7 +73,9 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
     s = stars(spark, d).select("star_id", finite("x0").alias("x_ref"), finite("y0").alias("y_ref"), finite("m0").alias("m_ref"))
     r = readings(spark, d).select("star_id", "list_id", *(finite(c).alias(c) for c in ("x", "y", "m", "xe", "ye")))
     good = r.where("x is not null and y is not null and m is not null and xe > 0 and ye > 0 and abs(x) < 10000 and abs(y) < 10000 and abs(m) < 40")
-    return good.join(s, "star_id").where("x_ref is not null and y_ref is not null and m_ref is not null").withColumns({"xe_ref": F.lit(0.05), "ye_ref": F.lit(0.07)})
+    return good.join(s, "star_id").where(
+        "x_ref is not null and y_ref is not null and m_ref is not null"
+    ).withColumns({"xe_ref": F.lit(0.05), "ye_ref": F.lit(0.07)})
 
 
 PAIRS = f"""{STARS}, {READINGS}, pairs as (select r.star_id, r.list_id, r.x, r.y, r.m, r.xe, r.ye, s.x0 as x_ref, s.y0 as y_ref, s.m0 as m_ref, 0.05::double as xe_ref, 0.07::double as ye_ref
@@ -114,7 +116,9 @@ def filter_magnitude(spark, d):
     return filters.apply_mag_lim(stars(spark, d), 13, 17.5).select("star_id")
 
 
-@query(f"with {STARS} select star_id, case when coalesce({fin('m0')} < 13 or {fin('m0')} >= 17.5, false) then false else use_in_trans end as use_in_trans from stars")
+@query(
+    f"with {STARS} select star_id, case when coalesce({fin('m0')} < 13 or {fin('m0')} >= 17.5, false) then false else use_in_trans end as use_in_trans from stars"
+)
 def magnitude_flag(spark, d):
     """P5: the flag put down outside [13, 17.5)."""
     return filters.mag_lim_as_flag(stars(spark, d), 13, 17.5, m="m0").select("star_id", "use_in_trans")
@@ -126,13 +130,19 @@ def detections(spark, d):
     return filters.detections(readings(spark, d))
 
 
-@query(f"with {STARS}, {READINGS}, c as (select star_id, count({fin('x')}) as n from readings group by star_id) select s.star_id, coalesce(n, 0)::bigint as n_detect from stars s left join c using (star_id) where coalesce(n, 0) > 0")
+@query(
+    f"with {STARS}, {READINGS}, c as (select star_id, count({fin('x')}) as n from readings group by star_id) select s.star_id, coalesce(n, 0)::bigint as n_detect from stars s left join c using (star_id) where coalesce(n, 0) > 0"
+)
 def drop_undetected(spark, d):
     """Stars with detections."""
-    return filters.drop_undetected(stars(spark, d), filters.detections(readings(spark, d))).select("star_id", F.col("n_detect").cast("bigint").alias("n_detect"))
+    return filters.drop_undetected(stars(spark, d), filters.detections(readings(spark, d))).select(
+        "star_id", F.col("n_detect").cast("bigint").alias("n_detect")
+    )
 
 
-@query(f"with {STARS} select star_id from stars where sqrt(x0 * x0 + y0 * y0) < 400 and m0 < 18 and (vxe + vye) / 2 < 0.5 and not isnan(x0) and not isnan(y0) and not isnan(m0) and not isnan(vxe) and not isnan(vye)")
+@query(
+    f"with {STARS} select star_id from stars where sqrt(x0 * x0 + y0 * y0) < 400 and m0 < 18 and (vxe + vye) / 2 < 0.5 and not isnan(x0) and not isnan(y0) and not isnan(m0) and not isnan(vxe) and not isnan(vye)"
+)
 def good_ref_stars(spark, d):
     """Reference stars by radius, magnitude and error of motion."""
     s = stars(spark, d)
@@ -151,7 +161,9 @@ def epoch_zero_point(spark, d):
     return rounded(filters.epoch_subset(p.select("star_id", "list_id", "m", "used_in_trans"), s, every).select("star_id", "list_id", "m"), 7)
 
 
-@query(f"with {STARS}, {READINGS} select r.star_id, r.obs_id, s.name, {rnd('r.t', 't', 4)} from readings r left join stars s using (star_id) where r.list_id = 7")
+@query(
+    f"with {STARS}, {READINGS} select r.star_id, r.obs_id, s.name, {rnd('r.t', 't', 4)} from readings r left join stars s using (star_id) where r.list_id = 7"
+)
 def epoch_extract(spark, d):
     """P10: one epoch as a star list."""
     return rounded(filters.epoch(readings(spark, d), stars(spark, d), 7).select("star_id", "obs_id", "name", "t"), 4)
@@ -167,7 +179,9 @@ def position_at_time(spark, d):
     return filters.position_at(s, 2018.5).select("star_id", "x_t", "y_t")
 
 
-@query(f"""with r as (select distinct on (list_id, x, y, m) * from starlist order by list_id, x, y, m, row_id) select row_id, name, x as x0, y as y0, m as m0, t as t0, xe as x0e, ye as y0e, x, y, m, t, xe, ye from r where list_id = 43""")
+@query(
+    f"""with r as (select distinct on (list_id, x, y, m) * from starlist order by list_id, x, y, m, row_id) select row_id, name, x as x0, y as y0, m as m0, t as t0, xe as x0e, ye as y0e, x, y, m, t, xe, ye from r where list_id = 43"""
+)
 def renamed_for_reference(spark, d):
     """A list's columns renamed to a reference's and its reading columns filled in again."""
     s = table(spark, d, "starlist").where("list_id = 43").select("row_id", "name", "x", "y", "m", "t", "xe", "ye")
@@ -188,7 +202,9 @@ def _reference_sql() -> str:
 @query(_reference_sql())
 def reference_list(spark, d):
     """The reference list at a time, with errors."""
-    s = stars(spark, d).withColumns({c: finite(c) for c in ("x0", "y0", "x0e", "y0e", "vx", "vy", "vxe", "vye", "t0")}).where("x0 is not null and x0e is not null and t0 is not null")
+    s = stars(spark, d).withColumns(
+        {c: finite(c) for c in ("x0", "y0", "x0e", "y0e", "vx", "vy", "vxe", "vye", "t0")}
+    ).where("x0 is not null and x0e is not null and t0 is not null")
     return filters.reference_at(s, 2018.5).select("star_id", "x", "y", near(F.col("xe"), 6).alias("xe"), near(F.col("ye"), 6).alias("ye"))
 
 
@@ -209,7 +225,9 @@ def sources(spark: SparkSession, d: str) -> DataFrame:
 
 ZERO = {c: f"coalesce({fin(c)}, 0)" for c in ("pmra", "pmdec", "pmra_error", "pmdec_error")}
 PLANE = {
-    "x0": rnd(f"-{EAST} * cos(radians({DEC})) * 3600", "x0", 4), "y0": rnd(f"({fin('dec')} - ({DEC})) * 3600", "y0", 4), "x0e": rnd(f"{fin('ra_error')} * cos(radians({DEC})) / 1000", "x0e", 9), "y0e": f"{fin('dec_error')} / 1000 as y0e",
+    "x0": rnd(f"-{EAST} * cos(radians({DEC})) * 3600", "x0", 4), "y0": rnd(f"({fin('dec')} - ({DEC})) * 3600", "y0", 4), "x0e": rnd(
+        f"{fin('ra_error')} * cos(radians({DEC})) / 1000", "x0e", 9
+    ), "y0e": f"{fin('dec_error')} / 1000 as y0e",
     "vx": f"{ZERO['pmra']} / -1000 + 0.0 as vx", "vy": f"{ZERO['pmdec']} / 1000 as vy", "vxe": f"{ZERO['pmra_error']} / 1000 as vxe", "vye": f"{ZERO['pmdec_error']} / 1000 as vye",
     "t0": f"{fin('ref_epoch')} as t0", "m": f"{fin('phot_g_mean_mag')} as m", "me": rnd(f"1.09 / {fin('phot_g_mean_flux_over_error')}", "me", 9),
 }
@@ -318,7 +336,9 @@ def both_names(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return table(spark, d, "starlist").select(F.col("row_id").alias("id"), "name"), table(spark, d, "starlist_ext").select(F.col("ext_id").alias("id"), "name")
 
 
-@query("with a as (select name, min(row_id) as id_1 from starlist where not starts_with(name, 'star') group by 1), b as (select name, min(ext_id) as id_2 from starlist_ext where not starts_with(name, 'star') group by 1) select name, id_1, id_2 from a join b using (name)")
+@query(
+    "with a as (select name, min(row_id) as id_1 from starlist where not starts_with(name, 'star') group by 1), b as (select name, min(ext_id) as id_2 from starlist_ext where not starts_with(name, 'star') group by 1) select name, id_1, id_2 from a join b using (name)"
+)
 def match_names(spark, d):
     """Equal names, first rows."""
     return crossmatch.name_join(*both_names(spark, d))
@@ -330,7 +350,9 @@ def guess_names(spark, d):
     return crossmatch.guess_join(*both_names(spark, d))
 
 
-@query(f"with m as ({_match_sql(3.0, 0.5)}), {READINGS} select list_id - 1 as list_id, obs_id as id from readings where (list_id - 1, obs_id) not in (select list_id, id_2 from m)")
+@query(
+    f"with m as ({_match_sql(3.0, 0.5)}), {READINGS} select list_id - 1 as list_id, obs_id as id from readings where (list_id - 1, obs_id) not in (select list_id, id_2 from m)"
+)
 def new_sources(spark, d):
     """Readings of the next list that no match has."""
     a, b = epochs(spark, d)
@@ -345,8 +367,13 @@ def copy_over(spark, d):
 
 
 def labelled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    s = stars(spark, d).select(F.col("star_id").alias("id"), "name", finite("x0").alias("x"), finite("y0").alias("y"), finite("m0").alias("m")).where("x is not null and y is not null and m is not null")
-    return s, s.select("id", F.concat("name", F.when(F.col("id") % 3 == 0, F.lit("_new")).otherwise(F.lit(""))).alias("name"), (F.col("x") + 0.01).alias("x"), "y", "m")
+    s = stars(spark, d).select(
+        F.col("star_id").alias("id"), "name", finite("x0").alias("x"), finite("y0").alias("y"), finite("m0").alias("m")
+    ).where("x is not null and y is not null and m is not null")
+    return s, s.select(
+        "id", F.concat("name", F.when(F.col("id") % 3 == 0, F.lit("_new")).otherwise(F.lit(""))).alias("name"), (F.col("x") + 0.01).alias("x"), "y",
+        "m"
+    )
 
 
 def _relabel_sql() -> str:
@@ -367,7 +394,9 @@ def relabel(spark, d):
     return crossmatch.relabel(s, labels).select("id", "name", "name_orig")
 
 
-@query(f"with m as ({_match_sql(3.0, 0.5)}), {READINGS} select m.id_1, m.id_2, a.star_id::varchar as name, b.star_id::varchar as name_2 from m join readings a on a.obs_id = m.id_1 join readings b on b.obs_id = m.id_2")
+@query(
+    f"with m as ({_match_sql(3.0, 0.5)}), {READINGS} select m.id_1, m.id_2, a.star_id::varchar as name, b.star_id::varchar as name_2 from m join readings a on a.obs_id = m.id_1 join readings b on b.obs_id = m.id_2"
+)
 def pair_table(spark, d):
     """Matched rows side by side."""
     a, b = epochs(spark, d)
@@ -411,7 +440,9 @@ def _votes_sql() -> str:
   u as (select list_id, a1 as id_1, a2 as id_2 from h union all select list_id, b1, b2 from h union all select list_id, c1, c2 from h), votes as (select list_id, id_1, id_2, count(*) as votes from u group by 1, 2, 3)"""
 
 
-@query(f"with {_triangles_sql('select list_id, ext_id as id, x, y, m from starlist_ext', 'g')} select list_id, a, b, c, {rnd('vmax', 'vmax', 9)}, {rnd('angle', 'angle', 7)} from g")
+@query(
+    f"with {_triangles_sql('select list_id, ext_id as id, x, y, m from starlist_ext', 'g')} select list_id, a, b, c, {rnd('vmax', 'vmax', 9)}, {rnd('angle', 'angle', 7)} from g"
+)
 def triangle_geometry(spark, d):
     """Triangles of each external list's 50 brightest."""
     e = table(spark, d, "starlist_ext").select("list_id", F.col("ext_id").alias("id"), "x", "y", "m")
@@ -483,7 +514,9 @@ def moving(spark: SparkSession, d: str) -> DataFrame:
     return s.where(" and ".join(f"{c} is not null" for c in ("x0", "y0", "x0e", "y0e", "vx", "vy", "vxe", "vye")))
 
 
-MOVING = f"{STARS}, mv as (select star_id, x0, y0, m0, x0e, y0e, vx, vy, vxe, vye from stars where " + " and ".join(f"{fin(c)} is not null" for c in ("x0", "y0", "x0e", "y0e", "vx", "vy", "vxe", "vye")) + ")"
+MOVING = f"{STARS}, mv as (select star_id, x0, y0, m0, x0e, y0e, vx, vy, vxe, vye from stars where " + " and ".join(
+    f"{fin(c)} is not null" for c in ("x0", "y0", "x0e", "y0e", "vx", "vy", "vxe", "vye")
+) + ")"
 PX = "(1.5 + 1.0002 * x0 - 0.0003 * y0 + 1e-6 * x0 * x0 - 2e-6 * x0 * y0 + 3e-6 * y0 * y0)"
 PY = "(-2.5 + 0.0004 * x0 + 0.9997 * y0 - 1e-6 * x0 * x0 + 2e-6 * x0 * y0 + 1e-6 * y0 * y0)"
 XX, XY = "(1.0002 + 2e-6 * x0 - 2e-6 * y0)", "(-0.0003 - 2e-6 * x0 + 6e-6 * y0)"
@@ -501,7 +534,9 @@ def poly_apply(spark, d):
     return s.select("star_id", *model_columns(("x", "y", "m"), (*ORDER2.position(F.col("x0"), F.col("y0")), ORDER2.magnitude(F.col("m0")))))
 
 
-@query(f"with {MOVING} select star_id, {rnd(f'sqrt({XX} * x0e * {XX} * x0e + {XY} * y0e * {XY} * y0e)', 'xe')}, {rnd(f'sqrt({YX} * x0e * {YX} * x0e + {YY} * y0e * {YY} * y0e)', 'ye')} from mv")
+@query(
+    f"with {MOVING} select star_id, {rnd(f'sqrt({XX} * x0e * {XX} * x0e + {XY} * y0e * {XY} * y0e)', 'xe')}, {rnd(f'sqrt({YX} * x0e * {YX} * x0e + {YY} * y0e * {YY} * y0e)', 'ye')} from mv"
+)
 def poly_error(spark, d):
     """Errors of moved places."""
     return moving(spark, d).select("star_id", *model_columns(("xe", "ye"), ORDER2.position_error(*(F.col(c) for c in ("x0", "y0", "x0e", "y0e")))))
@@ -517,13 +552,17 @@ def poly_velocity(spark, d):
   {rnd(f'sqrt(pow((-2e-6 * vx + 2e-6 * vy) * x0e, 2) + pow((2e-6 * vx + 2e-6 * vy) * y0e, 2) + pow({YX} * vxe, 2) + pow({YY} * vye, 2))', 'vye')} from mv""")
 def poly_velocity_error(spark, d):
     """T5: errors of moved velocities."""
-    return moving(spark, d).select("star_id", *model_columns(("vxe", "vye"), ORDER2.velocity_error(*(F.col(c) for c in ("x0", "y0", "vx", "vy", "x0e", "y0e", "vxe", "vye")))))
+    return moving(spark, d).select(
+        "star_id", *model_columns(("vxe", "vye"), ORDER2.velocity_error(*(F.col(c) for c in ("x0", "y0", "vx", "vy", "x0e", "y0e", "vxe", "vye"))))
+    )
 
 
 SHIFTED = models.shift(0.1, 25.0, (0.02, 0.03))
 
 
-@query(f"with {MOVING} select star_id, {rnd('x0 + 0.1', 'x')}, {rnd('y0 + 25', 'y')}, {rnd('sqrt(x0e * x0e + 0.02 * 0.02::double)', 'xe')}, {rnd('sqrt(y0e * y0e + 0.03 * 0.03::double)', 'ye')} from mv")
+@query(
+    f"with {MOVING} select star_id, {rnd('x0 + 0.1', 'x')}, {rnd('y0 + 25', 'y')}, {rnd('sqrt(x0e * x0e + 0.02 * 0.02::double)', 'xe')}, {rnd('sqrt(y0e * y0e + 0.03 * 0.03::double)', 'ye')} from mv"
+)
 def shift_apply(spark, d):
     """A shift with its error."""
     c = [F.col(k) for k in ("x0", "y0", "x0e", "y0e")]
@@ -545,7 +584,10 @@ def legendre_apply(spark, d):
 @query(f"with {MOVING} select star_id, {rnd('x0 / 1000 - 1', 'u', 9)}, {rnd('x0e / 1000', 'ue', 10)} from mv")
 def domain_map(spark, d):
     """A domain mapped to [-1, 1]."""
-    return moving(spark, d).select("star_id", near(models.to_domain(F.col("x0"), 0.0, 2000.0), 9).alias("u"), near(models.error_to_domain(F.col("x0e"), 0.0, 2000.0), 10).alias("ue"))
+    return moving(spark, d).select(
+        "star_id", near(models.to_domain(F.col("x0"), 0.0, 2000.0), 9).alias("u"),
+        near(models.error_to_domain(F.col("x0e"), 0.0, 2000.0), 10).alias("ue")
+    )
 
 
 @query(f"with {PAIRS} select star_id, list_id, {rnd('1 / (xe * xe + ye * ye + xe_ref * xe_ref + ye_ref * ye_ref)', 'w')} from pairs")
@@ -564,7 +606,10 @@ def coefficients(spark: SparkSession, found: fits.Fit, n: int) -> DataFrame:
 
 def _fit_sql(weight: str, source: str = "pairs", ctes: str = PAIRS) -> str:
     s = lambda p, q: f"sum(w * w * {p} * {q})"
-    products = (("u", "u", "uu"), ("u", "v", "uv"), ("v", "v", "vv"), ("u", "x_ref", "ux"), ("v", "x_ref", "vx"), ("u", "y_ref", "uy"), ("v", "y_ref", "vy"), ("u", "1", "u1"), ("v", "1", "v1"), ("1", "1", "n1"), ("x_ref", "1", "x1"), ("y_ref", "1", "y1"))
+    products = (
+        ("u", "u", "uu"), ("u", "v", "uv"), ("v", "v", "vv"), ("u", "x_ref", "ux"), ("v", "x_ref", "vx"), ("u", "y_ref", "uy"), ("v", "y_ref", "vy"),
+        ("u", "1", "u1"), ("v", "1", "v1"), ("1", "1", "n1"), ("x_ref", "1", "x1"), ("y_ref", "1", "y1")
+    )
     sums = ", ".join(f"{s(p, q)} as {n}" for p, q, n in products)
     # centred by the weighted means, so the constant drops out
     out = []
@@ -606,7 +651,10 @@ def _moved(df: DataFrame) -> DataFrame:
 
 
 def rounded_fit(df: DataFrame) -> DataFrame:
-    return df.select("list_id", *((near(F.col(c), 5 if c[1] == "0" else 7)).alias(c) for c in df.columns if c[0] in "ab"), near(F.col("mag_offset"), 6).alias("mag_offset"))
+    return df.select(
+        "list_id", *((near(F.col(c), 5 if c[1] == "0" else 7)).alias(c) for c in df.columns if c[0] in "ab"),
+        near(F.col("mag_offset"), 6).alias("mag_offset")
+    )
 
 
 @query(_fit_sql("1.0::double"))
@@ -631,7 +679,9 @@ def poly_fit_order2(spark, d):
     return _moved(fits.applied_by_table(p, fits.fit(p, 2, by=["list_id"]), ["list_id"]))
 
 
-@query(f"with {PAIRS}, f as ({_regressed_sql('pairs', ['1.0', 'u', 'v', 'u * v'])}) select star_id, list_id, {rnd('x_fit', 'x', 5)}, {rnd('y_fit', 'y', 5)} from f")
+@query(
+    f"with {PAIRS}, f as ({_regressed_sql('pairs', ['1.0', 'u', 'v', 'u * v'])}) select star_id, list_id, {rnd('x_fit', 'x', 5)}, {rnd('y_fit', 'y', 5)} from f"
+)
 def legendre_fit(spark, d):
     """The readings moved by each list's Legendre series on the mapped domain."""
     p = pairs(spark, d)
@@ -655,7 +705,9 @@ def inverse_fit(spark, d):
     return rounded_fit(coefficients(spark, fits.fit_inverse(pairs(spark, d), 1, by=["list_id"]), 3))
 
 
-@query(f"with {PAIRS} select list_id, {rnd('avg(x_ref - x)', 'dx', 7)}, {rnd('avg(y_ref - y)', 'dy', 7)}, {rnd('stddev_samp(x_ref - x) / sqrt(count(*))', 'dxe', 7)}, {rnd('stddev_samp(y_ref - y) / sqrt(count(*))', 'dye', 7)}, count(*) as n from pairs group by 1")
+@query(
+    f"with {PAIRS} select list_id, {rnd('avg(x_ref - x)', 'dx', 7)}, {rnd('avg(y_ref - y)', 'dy', 7)}, {rnd('stddev_samp(x_ref - x) / sqrt(count(*))', 'dxe', 7)}, {rnd('stddev_samp(y_ref - y) / sqrt(count(*))', 'dye', 7)}, count(*) as n from pairs group by 1"
+)
 def shift_fit(spark, d):
     """mean shifts of each list."""
     return rounded(fits.shift_sums(pairs(spark, d), ["list_id"]), 7)
@@ -673,13 +725,17 @@ def similarity_fit(spark, d):
 R = "sqrt((x_ref - x) * (x_ref - x) + (y_ref - y) * (y_ref - y))"
 
 
-@query(f"with {PAIRS}, s as (select list_id, stddev_pop({R}) as s from pairs group by 1) select star_id, list_id from pairs join s using (list_id) where {R} < 2.5 * s")
+@query(
+    f"with {PAIRS}, s as (select list_id, stddev_pop({R}) as s from pairs group by 1) select star_id, list_id from pairs join s using (list_id) where {R} < 2.5 * s"
+)
 def outlier_reject(spark, d):
     """Pairs within 2.5 spreads, list by list."""
     return fits.outlier_rejection(pairs(spark, d), 2.5, ["list_id"]).select("star_id", "list_id")
 
 
-@query(f"with {PAIRS}, s as (select list_id, stddev_pop({R}) as s from pairs group by 1) select star_id, list_id from pairs join s using (list_id) where {R} <= 3 * s")
+@query(
+    f"with {PAIRS}, s as (select list_id, stddev_pop({R}) as s from pairs group by 1) select star_id, list_id from pairs join s using (list_id) where {R} <= 3 * s"
+)
 def residual_cut(spark, d):
     """Residuals cut at three spreads."""
     return fits.residual_sigma_cut(pairs(spark, d), 3.0, ["list_id"]).select("star_id", "list_id")
@@ -691,8 +747,12 @@ def residual_cut(spark, d):
 def _combine_sql(v: str, w: str, e: str, out: str, weighted: bool) -> str:
     parts = [f"{READINGS}, c0 as (select star_id, v, w from (select star_id, {v} as v, {w} as w from readings) where v is not null and w is not null)"]
     for k in range(5):
-        parts.append(f"s{k} as (select star_id, median(v) as c, sqrt(greatest(avg(v * v) - avg(v) * avg(v), 0)) as s from c{k} group by 1), c{k + 1} as (select c{k}.* from c{k} join s{k} using (star_id) where v >= c - 3 * s - 1e-12 and v <= c + 3 * s + 1e-12)")
-    parts.append(f"m as (select star_id, sum(w * v) / sum(w) as mean, count(*) as n from c5 group by 1), z as (select star_id, sum(w * (v - mean) * (v - mean)) / sum(w) as var from c5 join m using (star_id) group by 1), e as (select star_id, avg({e}) as e from readings group by 1)")
+        parts.append(
+            f"s{k} as (select star_id, median(v) as c, sqrt(greatest(avg(v * v) - avg(v) * avg(v), 0)) as s from c{k} group by 1), c{k + 1} as (select c{k}.* from c{k} join s{k} using (star_id) where v >= c - 3 * s - 1e-12 and v <= c + 3 * s + 1e-12)"
+        )
+    parts.append(
+        f"m as (select star_id, sum(w * v) / sum(w) as mean, count(*) as n from c5 group by 1), z as (select star_id, sum(w * (v - mean) * (v - mean)) / sum(w) as var from c5 join m using (star_id) group by 1), e as (select star_id, avg({e}) as e from readings group by 1)"
+    )
     return f"with {', '.join(parts)} {out}"
 
 
@@ -706,14 +766,22 @@ def combine_weighted(spark, d):
     return rounded(combine.combine_lists(readings(spark, d), "x", "xe").withColumn("n", F.col("n").cast("bigint")))
 
 
-@query(_combine_sql(fin("y"), "1.0", "0.0", f"select e.star_id, {rnd('mean', 'y0', 9)}, {rnd('sqrt(var)', 'y0e', 5)}, coalesce(n, 0)::bigint as n from e left join m using (star_id) left join z using (star_id)", False))
+@query(
+    _combine_sql(
+        fin("y"), "1.0", "0.0",
+        f"select e.star_id, {rnd('mean', 'y0', 9)}, {rnd('sqrt(var)', 'y0e', 5)}, coalesce(n, 0)::bigint as n from e left join m using (star_id) left join z using (star_id)",
+        False
+    )
+)
 def combine_plain(spark, d):
     """G1 without weights."""
     c = combine.combine_lists(readings(spark, d), "y")
     return c.select("star_id", near(F.col("y0"), 9).alias("y0"), near(F.col("y0e"), 5).alias("y0e"), F.col("n").cast("bigint").alias("n"))
 
 
-@query(f"with {READINGS} select star_id, {rnd(f'-2.5 * log10(avg(pow(10.0, -{fin("m")} / 2.5)))', 'm_avg')} from readings where abs({fin('m')}) < 40 group by 1")
+@query(
+    f"with {READINGS} select star_id, {rnd(f'-2.5 * log10(avg(pow(10.0, -{fin("m")} / 2.5)))', 'm_avg')} from readings where abs({fin('m')}) < 40 group by 1"
+)
 def mean_magnitude(spark, d):
     """Mean magnitudes in flux."""
     return rounded(combine.mean_magnitude(readings(spark, d).where(F.abs(finite("m")) < 40)))
@@ -740,7 +808,9 @@ def combine_magnitude(spark, d):
     return rounded(combine.combine_lists(readings(spark, d), "m", "me", ismag=True).withColumn("n", F.col("n").cast("bigint")))
 
 
-@query(f"select star_id, x0, x0e, y0, y0e, m0, m0e from ({_combined_sql('x')}) a join ({_combined_sql('y')}) b using (star_id) join ({_combined_sql('m')}) c using (star_id)")
+@query(
+    f"select star_id, x0, x0e, y0, y0e, m0, m0e from ({_combined_sql('x')}) a join ({_combined_sql('y')}) b using (star_id) join ({_combined_sql('m')}) c using (star_id)"
+)
 def combine_all(spark, d):
     """Places and magnitudes."""
     return rounded(combine.combine_lists_xym(readings(spark, d)))
@@ -786,14 +856,25 @@ def _motions_sql(power: int, source: str = "loose", complete: int | None = None)
     w = lambda c: f"(1 / ({c}e * {c}e))" if power == 2 else f"(1 / {c}e)"
     mean = lambda c: f"avg(case when x is not null then {c} end) over (partition by star_id)"
     fill = {c: c if complete else f"coalesce({c}, {mean(c)}, 1.0)" for c in ("xe", "ye")}
-    sums = ", ".join(f"sum({w(c)}) as s{c}, sum({w(c)} * d) as sd{c}, sum({w(c)} * d * d) as sdd{c}, sum({w(c)} * {c}) as sv{c}, sum({w(c)} * d * {c}) as sdv{c}, max_by({c}, t) as l{c}, min_by({c}, t) as f{c}" for c in "xy")
+    sums = ", ".join(
+        f"sum({w(c)}) as s{c}, sum({w(c)} * d) as sd{c}, sum({w(c)} * d * d) as sdd{c}, sum({w(c)} * {c}) as sv{c}, sum({w(c)} * d * {c}) as sdv{c}, max_by({c}, t) as l{c}, min_by({c}, t) as f{c}" for c in "xy"
+    )
     det = lambda c: f"(sdd{c} * s{c} - sd{c} * sd{c})"
-    fit = ", ".join(f"case when span <= 1e-9 then 0 when n = 2 then (l{c} - f{c}) / span else (s{c} * sdv{c} - sd{c} * sv{c}) / {det(c)} end as v{c}, case when span <= 1e-9 or n = 2 then sv{c} / s{c} else (sdd{c} * sv{c} - sd{c} * sdv{c}) / {det(c)} end as {c}0" for c in "xy")
+    fit = ", ".join(
+        f"case when span <= 1e-9 then 0 when n = 2 then (l{c} - f{c}) / span else (s{c} * sdv{c} - sd{c} * sv{c}) / {det(c)} end as v{c}, case when span <= 1e-9 or n = 2 then sv{c} / s{c} else (sdd{c} * sv{c} - sd{c} * sdv{c}) / {det(c)} end as {c}0" for c in "xy"
+    )
     chi = ", ".join(f"sum(pow({c} - {c}0 - v{c} * d, 2) * {w(c)}) as chi{c}" for c in "xy")
     out = []
     for c in "xy":
-        out += [rnd(f"{c}0", f"{c}0", 5), rnd(f"case when span <= 1e-9 then sqrt(chi{c} / s{c}) when n = 2 then abs(l{c} - f{c}) / sqrt(2.0) else sqrt(sdd{c} / {det(c)}) end", f"{c}0e", 5), rnd(f"v{c}", f"v{c}", 5)]
-        out += [rnd(f"case when span <= 1e-9 or n = 2 then 0 else sqrt(s{c} / {det(c)}) end", f"v{c}e", 5), rnd(f"case when span <= 1e-9 then 0 else chi{c} end", f"chi2_v{c}", 2)]
+        out += [
+            rnd(f"{c}0", f"{c}0", 5),
+            rnd(f"case when span <= 1e-9 then sqrt(chi{c} / s{c}) when n = 2 then abs(l{c} - f{c}) / sqrt(2.0) else sqrt(sdd{c} / {det(c)}) end", f"{c}0e", 5),
+            rnd(f"v{c}", f"v{c}", 5)
+        ]
+        out += [
+            rnd(f"case when span <= 1e-9 or n = 2 then 0 else sqrt(s{c} / {det(c)}) end", f"v{c}e", 5),
+            rnd(f"case when span <= 1e-9 then 0 else chi{c} end", f"chi2_v{c}", 2)
+        ]
     having = f"having count(*) >= {complete}" if complete else ""
     return f"""with {LOOSE}, src as (select * from {source}), filled as (select star_id, t, x, y, {fill['xe']} as xe, {fill['ye']} as ye from src),
   ok as (select *, 1 / sqrt(xe * xe + ye * ye) as w from filled where t is not null and x is not null and y is not null and xe is not null and ye is not null), z as (select star_id, sum(t * w) / sum(w) as t0 from ok group by 1),
@@ -845,18 +926,31 @@ def line_chi2(spark, d):
 
 def _polynomial_sql() -> str:
     """Parabolas in time by Cramer's rule on the weighted sums of powers."""
-    sums = ", ".join(", ".join([*(f"sum(pow(d, {k}) / ({c}e * {c}e)) as s{c}{k}" for k in range(5)), *(f"sum(pow(d, {k}) * {c} / ({c}e * {c}e)) as t{c}{k}" for k in range(3))]) for c in "xy")
+    sums = ", ".join(
+        ", ".join(
+            [*(f"sum(pow(d, {k}) / ({c}e * {c}e)) as s{c}{k}" for k in range(5)), *(f"sum(pow(d, {k}) * {c} / ({c}e * {c}e)) as t{c}{k}" for k in range(3))]
+        ) for c in "xy"
+    )
 
     def minors(c: str) -> dict[str, str]:
         s = [f"s{c}{k}" for k in range(5)]
-        return {"00": f"({s[2]} * {s[4]} - {s[3]} * {s[3]})", "01": f"({s[1]} * {s[4]} - {s[2]} * {s[3]})", "02": f"({s[1]} * {s[3]} - {s[2]} * {s[2]})", "11": f"({s[0]} * {s[4]} - {s[2]} * {s[2]})", "12": f"({s[0]} * {s[3]} - {s[1]} * {s[2]})", "22": f"({s[0]} * {s[2]} - {s[1]} * {s[1]})"}
+        return {
+            "00": f"({s[2]} * {s[4]} - {s[3]} * {s[3]})", "01": f"({s[1]} * {s[4]} - {s[2]} * {s[3]})", "02": f"({s[1]} * {s[3]} - {s[2]} * {s[2]})",
+            "11": f"({s[0]} * {s[4]} - {s[2]} * {s[2]})", "12": f"({s[0]} * {s[3]} - {s[1]} * {s[2]})", "22": f"({s[0]} * {s[2]} - {s[1]} * {s[1]})"
+        }
 
     fit = []
     for c in "xy":
         m, t = minors(c), [f"t{c}{k}" for k in range(3)]
         det = f"(s{c}0 * {m['00']} - s{c}1 * {m['01']} + s{c}2 * {m['02']})"
-        fit += [f"case when n > 2 then ({t[0]} * {m['00']} - {t[1]} * {m['01']} + {t[2]} * {m['02']}) / {det} end as p{c}0", f"case when n > 2 then (-{t[0]} * {m['01']} + {t[1]} * {m['11']} - {t[2]} * {m['12']}) / {det} end as p{c}1"]
-        fit += [f"case when n > 2 then ({t[0]} * {m['02']} - {t[1]} * {m['12']} + {t[2]} * {m['22']}) / {det} end as p{c}2", *(f"{m[f'{k}{k}']} / {det} as i{c}{k}" for k in range(3))]
+        fit += [
+            f"case when n > 2 then ({t[0]} * {m['00']} - {t[1]} * {m['01']} + {t[2]} * {m['02']}) / {det} end as p{c}0",
+            f"case when n > 2 then (-{t[0]} * {m['01']} + {t[1]} * {m['11']} - {t[2]} * {m['12']}) / {det} end as p{c}1"
+        ]
+        fit += [
+            f"case when n > 2 then ({t[0]} * {m['02']} - {t[1]} * {m['12']} + {t[2]} * {m['22']}) / {det} end as p{c}2",
+            *(f"{m[f'{k}{k}']} / {det} as i{c}{k}" for k in range(3))
+        ]
     out = [rnd("t0", "t0", 5), "n", "n - 3 as dof"]
     for c in "xy":
         for k, name in enumerate((f"{c}0", f"v{c}", f"a{c}")):
@@ -899,7 +993,9 @@ def modelled(spark: SparkSession, d: str) -> DataFrame:
 
 def _modelled_sql() -> str:
     det = lambda c: f"(sdd{c} * s{c} - sd{c} * sd{c})"
-    sums = ", ".join(f"sum(1 / ({c}e * {c}e)) as s{c}, sum(d / ({c}e * {c}e)) as sd{c}, sum(d * d / ({c}e * {c}e)) as sdd{c}, sum({c} / ({c}e * {c}e)) as sv{c}, sum(d * {c} / ({c}e * {c}e)) as sdv{c}" for c in "xy")
+    sums = ", ".join(
+        f"sum(1 / ({c}e * {c}e)) as s{c}, sum(d / ({c}e * {c}e)) as sd{c}, sum(d * d / ({c}e * {c}e)) as sdd{c}, sum({c} / ({c}e * {c}e)) as sv{c}, sum(d * {c} / ({c}e * {c}e)) as sdv{c}" for c in "xy"
+    )
     fit = ", ".join(f"(sdd{c} * sv{c} - sd{c} * sdv{c}) / {det(c)} as {c}0, (s{c} * sdv{c} - sd{c} * sv{c}) / {det(c)} as v{c}" for c in "xy")
     return f"""{PLAUSIBLE}, z as (select star_id, sum(t / sqrt(xe * xe + ye * ye)) / sum(1 / sqrt(xe * xe + ye * ye)) as t0 from good group by 1), q as (select good.*, t - t0 as d, t0 from good join z using (star_id)),
   s as (select star_id, any_value(t0) as t0, {sums} from q group by 1 having count(*) >= 3), fit as (select star_id, t0, {fit} from s), mm as (select star_id, -2.5 * log10(avg(pow(10.0, -m / 2.5))) as m0 from good where abs(m) < 40 group by 1),
@@ -909,7 +1005,9 @@ def _modelled_sql() -> str:
 MD = _modelled_sql()
 
 
-@query(f"with {MD} select list_id, count(*) as n, {', '.join(rnd(f'{f}(abs(d{c}))', f'd{c}_{n}', 5) for c in 'xym' for f, n in (('avg', 'mean'), ('stddev_pop', 'std')))} from md group by 1")
+@query(
+    f"with {MD} select list_id, count(*) as n, {', '.join(rnd(f'{f}(abs(d{c}))', f'd{c}_{n}', 5) for c in 'xym' for f, n in (('avg', 'mean'), ('stddev_pop', 'std')))} from md group by 1"
+)
 def resid_by_epoch(spark, d):
     """Mean residuals of each list."""
     return rounded(quality.residuals_by_epoch(modelled(spark, d)), 5)
@@ -927,25 +1025,33 @@ def resid_per_star(spark, d):
     return rounded(quality.mean_residual_per_star(modelled(spark, d)), 5)
 
 
-@query(f"with {MD} select star_id, count(*) as n_detect, {rnd('sum(pow(dx / xe, 2))', 'chi2_x', 3)}, {rnd('sum(pow(dy / ye, 2))', 'chi2_y', 3)}, count(*) - 2 as dof from md group by 1")
+@query(
+    f"with {MD} select star_id, count(*) as n_detect, {rnd('sum(pow(dx / xe, 2))', 'chi2_x', 3)}, {rnd('sum(pow(dy / ye, 2))', 'chi2_y', 3)}, count(*) - 2 as dof from md group by 1"
+)
 def chi2_per_star(spark, d):
     """Chi squares of each star's motion."""
     return rounded(quality.chi2_per_star(modelled(spark, d)), 3)
 
 
-@query(f"with {MD}, c as (select star_id, count(*) - 2 as dof, sum(pow(dx / xe, 2)) as cx, sum(pow(dy / ye, 2)) as cy from md group by 1) select count(*) as n, {rnd('median(cx / dof)', 'red_chi2_x', 5)}, {rnd('median(cy / dof)', 'red_chi2_y', 5)} from c where dof > 0")
+@query(
+    f"with {MD}, c as (select star_id, count(*) - 2 as dof, sum(pow(dx / xe, 2)) as cx, sum(pow(dy / ye, 2)) as cy from md group by 1) select count(*) as n, {rnd('median(cx / dof)', 'red_chi2_x', 5)}, {rnd('median(cy / dof)', 'red_chi2_y', 5)} from c where dof > 0"
+)
 def chi2_medians(spark, d):
     """Medians of the reduced chi squares."""
     return rounded(quality.chi2_medians(quality.chi2_per_star(modelled(spark, d))), 5)
 
 
-@query(f"with {MD} select star_id, count(*) as n_detect, {rnd('sum(pow(dm / me, 2))', 'chi2_m', 3)}, {rnd('case when count(*) > 1 then sum(pow(dm / me, 2)) / (count(*) - 1) end', 'red_chi2_m', 3)} from md where me > 0 and dm is not null group by 1")
+@query(
+    f"with {MD} select star_id, count(*) as n_detect, {rnd('sum(pow(dm / me, 2))', 'chi2_m', 3)}, {rnd('case when count(*) > 1 then sum(pow(dm / me, 2)) / (count(*) - 1) end', 'red_chi2_m', 3)} from md where me > 0 and dm is not null group by 1"
+)
 def chi2_magnitude(spark, d):
     """Chi squares of magnitudes."""
     return rounded(quality.chi2_mag_per_star(modelled(spark, d)), 3)
 
 
-@query(f"with {MD} select star_id, list_id, f.field from md, (values ('x'), ('y'), ('m')) f(field) where case f.field when 'x' then abs(dx / xe) > 4 when 'y' then abs(dy / ye) > 4 else me > 0 and abs(dm / me) > 4 end")
+@query(
+    f"with {MD} select star_id, list_id, f.field from md, (values ('x'), ('y'), ('m')) f(field) where case f.field when 'x' then abs(dx / xe) > 4 when 'y' then abs(dy / ye) > 4 else me > 0 and abs(dm / me) > 4 end"
+)
 def sigma_flags(spark, d):
     """Readings more than four errors off."""
     return quality.sigma_flags(modelled(spark, d))
@@ -964,19 +1070,25 @@ def radial_tangential(spark, d):
     return rounded(quality.radial_tangential(modelled(spark, d)), 5)
 
 
-@query(f"with {MD} select star_id, list_id, {rnd('(dx * cos(radians(-30)) - dy * sin(radians(-30))) / 0.04', 'dx_orig', 4)}, {rnd('sqrt(dx * dx + dy * dy) / 0.04', 'modulus', 4)} from md")
+@query(
+    f"with {MD} select star_id, list_id, {rnd('(dx * cos(radians(-30)) - dy * sin(radians(-30))) / 0.04', 'dx_orig', 4)}, {rnd('sqrt(dx * dx + dy * dy) / 0.04', 'modulus', 4)} from md"
+)
 def original_frame(spark, d):
     """Residuals turned into the original frame."""
     return rounded(quality.original_frame(modelled(spark, d), 30.0).select("star_id", "list_id", "dx_orig", "modulus"), 4)
 
 
-@query(f"with {PAIRS}, p as (select floor((m_ref - m) / 0.5) as b from pairs) select b::bigint as bin, count(*) as n, {rnd('b * 0.5', 'low')} from p group by b")
+@query(
+    f"with {PAIRS}, p as (select floor((m_ref - m) / 0.5) as b from pairs) select b::bigint as bin, count(*) as n, {rnd('b * 0.5', 'low')} from p group by b"
+)
 def magnitude_histogram(spark, d):
     """Differences of magnitudes by bins."""
     return rounded(quality.histogram(quality.residuals(pairs(spark, d)), "dm", 0.5))
 
 
-@query(f"with {PAIRS}, p as (select floor((x_ref - x) / 0.25) as b from pairs) select b::bigint as bin, count(*) as n, {rnd('b * 0.25', 'low')} from p group by b")
+@query(
+    f"with {PAIRS}, p as (select floor((x_ref - x) / 0.25) as b from pairs) select b::bigint as bin, count(*) as n, {rnd('b * 0.25', 'low')} from p group by b"
+)
 def position_histogram(spark, d):
     """Differences of places by bins."""
     return rounded(quality.histogram(quality.residuals(pairs(spark, d)), "dx", 0.25))
@@ -985,7 +1097,9 @@ def position_histogram(spark, d):
 CHI = "(pow((x_ref - x) / sqrt(xe * xe + xe_ref * xe_ref), 2) + pow((y_ref - y) / sqrt(ye * ye + ye_ref * ye_ref), 2))"
 
 
-@query(f"with {PAIRS} select list_id, {rnd(f'sum({CHI})', 'chi2', 2)}, count(*) as n, 2 * count(*) - 6 as dof, {rnd(f'sum({CHI}) / (2 * count(*) - 6)', 'red_chi2', 3)} from pairs group by 1 having 2 * count(*) > 6")
+@query(
+    f"with {PAIRS} select list_id, {rnd(f'sum({CHI})', 'chi2', 2)}, count(*) as n, 2 * count(*) - 6 as dof, {rnd(f'sum({CHI}) / (2 * count(*) - 6)', 'red_chi2', 3)} from pairs group by 1 having 2 * count(*) > 6"
+)
 def chi2_alignment(spark, d):
     """Chi square of each list's alignment under six parameters."""
     out = quality.alignment_chi2(pairs(spark, d), 6, by=["list_id"]).where("dof > 0")
@@ -995,13 +1109,17 @@ def chi2_alignment(spark, d):
 IN = "(abs((x_ref - x) / sqrt(xe * xe + xe_ref * xe_ref)) < 10 and abs((y_ref - y) / sqrt(ye * ye + ye_ref * ye_ref)) < 10)"
 
 
-@query(f"with {PAIRS} select count(*) as n, {rnd(f'sum({CHI})', 'chi2', 1)}, sum(case when {IN} then 1 else 0 end)::bigint as n_in, {rnd(f'sum(case when {IN} then {CHI} end)', 'chi2_in', 1)} from pairs")
+@query(
+    f"with {PAIRS} select count(*) as n, {rnd(f'sum({CHI})', 'chi2', 1)}, sum(case when {IN} then 1 else 0 end)::bigint as n_in, {rnd(f'sum(case when {IN} then {CHI} end)', 'chi2_in', 1)} from pairs"
+)
 def error_ratios(spark, d):
     """D3: residuals over errors with and without outliers."""
     return rounded(quality.error_ratios(pairs(spark, d))[1], 1)
 
 
-@query(f"with {STARS} select star_id, {rnd(f'sqrt({fin("x0")} * {fin("x0")} + {fin("y0")} * {fin("y0")})', 'r', 5)}, {rnd(f'({fin("vxe")} + {fin("vye")}) / 2 * 1000', 'pm_err', 6)} from stars")
+@query(
+    f"with {STARS} select star_id, {rnd(f'sqrt({fin("x0")} * {fin("x0")} + {fin("y0")} * {fin("y0")})', 'r', 5)}, {rnd(f'({fin("vxe")} + {fin("vye")}) / 2 * 1000', 'pm_err', 6)} from stars"
+)
 def errors_by_magnitude(spark, d):
     """Radius and errors of each star."""
     s = stars(spark, d).withColumns({c: finite(c) for c in ("x0", "y0", "x0e", "y0e", "vxe", "vye")})
@@ -1030,24 +1148,37 @@ def charge_trend_power(spark, d):
 # --- files
 
 
-LIS = "printf('%-13s  %6.3f  %8.3f  %9.3f  %9.3f  %9.3f  %9.3f  %20.4f  %6.2f  %8d  %20.0f', coalesce(name, ''), " + ", ".join(f"coalesce({fin(c)}, 0)::double" for c in ("m", "t", "x", "y", "xe", "ye", "snr", "corr")) + ", n_frames::bigint, flux::double)"
+LIS = "printf('%-13s  %6.3f  %8.3f  %9.3f  %9.3f  %9.3f  %9.3f  %20.4f  %6.2f  %8d  %20.0f', coalesce(name, ''), " + ", ".join(
+    f"coalesce({fin(c)}, 0)::double" for c in ("m", "t", "x", "y", "xe", "ye", "snr", "corr")
+) + ", n_frames::bigint, flux::double)"
 
 
 @query(f"select {LIS} as value from starlist where n_frames is not null and flux is not null")
 def lis_lines(spark, d):
     """Star lists as lines of .lis files."""
-    s = table(spark, d, "starlist").where("n_frames is not null and flux is not null").withColumns({c: F.coalesce(finite(c), F.lit(0.0)) for c in ("m", "t", "x", "y", "xe", "ye", "snr", "corr")})
+    s = table(spark, d, "starlist").where("n_frames is not null and flux is not null").withColumns(
+        {c: F.coalesce(finite(c), F.lit(0.0)) for c in ("m", "t", "x", "y", "xe", "ye", "snr", "corr")}
+    )
     return catalogs.to_lis_lines(s)
 
 
-WIDE = {"name": "coalesce(name, '')", **{c: f"coalesce({fin(c)}, 0)::double" for c in ("m", "t", "x", "y", "xe", "ye", "snr", "corr")}, "n_frames": "coalesce(n_frames, 0)::bigint", "flux": "coalesce(flux, 0)::double"}
+WIDE = {
+    "name": "coalesce(name, '')", **{c: f"coalesce({fin(c)}, 0)::double" for c in ("m", "t", "x", "y", "xe", "ye", "snr", "corr")},
+    "n_frames": "coalesce(n_frames, 0)::bigint", "flux": "coalesce(flux, 0)::double"
+}
 
 
 @query("select printf('" + " ".join(catalogs.WIDTHS[c] for c in WIDE) + "', " + ", ".join(WIDE.values()) + ") as value from starlist")
 def fixed_width_lines(spark, d):
     """Star lists as lines of fixed width."""
     s = table(spark, d, "starlist")
-    return catalogs.to_fixed_width(s.select(F.coalesce("name", F.lit("")).alias("name"), *(F.coalesce(finite(c), F.lit(0.0)).alias(c) for c in ("m", "t", "x", "y", "xe", "ye", "snr", "corr")), F.coalesce("n_frames", F.lit(0)).alias("n_frames"), F.coalesce("flux", F.lit(0)).alias("flux")))
+    return catalogs.to_fixed_width(
+        s.select(
+            F.coalesce("name", F.lit("")).alias("name"),
+            *(F.coalesce(finite(c), F.lit(0.0)).alias(c) for c in ("m", "t", "x", "y", "xe", "ye", "snr", "corr")),
+            F.coalesce("n_frames", F.lit(0)).alias("n_frames"), F.coalesce("flux", F.lit(0)).alias("flux")
+        )
+    )
 
 
 # --- further tables and diagnostics
@@ -1072,21 +1203,29 @@ def tagged_positions(spark, d):
     return t.withColumns({c: finite(c) for c in "xy"})
 
 
-@query(f"with {PAIRS} select star_id, list_id, {rnd('(x_ref - x) / sqrt(xe * xe + xe_ref * xe_ref)', 'dx', 5)}, {rnd('(y_ref - y) / sqrt(ye * ye + ye_ref * ye_ref)', 'dy', 5)} from pairs where abs(x_ref - x) < 1.5 and abs(y_ref - y) < 1.5")
+@query(
+    f"with {PAIRS} select star_id, list_id, {rnd('(x_ref - x) / sqrt(xe * xe + xe_ref * xe_ref)', 'dx', 5)}, {rnd('(y_ref - y) / sqrt(ye * ye + ye_ref * ye_ref)', 'dy', 5)} from pairs where abs(x_ref - x) < 1.5 and abs(y_ref - y) < 1.5"
+)
 def residual_arrows(spark, d):
     """Residuals within 1.5 pixels over their errors."""
     return rounded(quality.residual_arrows(pairs(spark, d), 1.5, "both").select("star_id", "list_id", "dx", "dy"), 5)
 
 
-@query(f"with {STARS}, {GAIA} select 'reference' as source, star_id as id, vx, vy from stars where {fin('vx')} is not null and {fin('vy')} is not null union all select 'list', source_id, pmra, pmdec from g where {fin('pmra')} is not null and {fin('pmdec')} is not null")
+@query(
+    f"with {STARS}, {GAIA} select 'reference' as source, star_id as id, vx, vy from stars where {fin('vx')} is not null and {fin('vy')} is not null union all select 'list', source_id, pmra, pmdec from g where {fin('pmra')} is not null and {fin('pmdec')} is not null"
+)
 def velocity_points(spark, d):
     """The velocities of two catalogs."""
-    return quality.velocity_points(stars(spark, d).withColumnRenamed("star_id", "id"), sources(spark, d).selectExpr("source_id as id", "pmra as vx", "pmdec as vy"))
+    return quality.velocity_points(
+        stars(spark, d).withColumnRenamed("star_id", "id"), sources(spark, d).selectExpr("source_id as id", "pmra as vx", "pmdec as vy")
+    )
 
 
 def _ratio_sql() -> str:
     e = lambda c: f"sqrt(b.v{c}e * b.v{c}e + a.v{c}e * a.v{c}e)"
-    out = ", ".join(f"{rnd(f'(a.v{c} - b.v{c}) * 40', f'dv{c}')}, {rnd(f'{e(c)} * 40', f'dv{c}e')}, {rnd(f'(a.v{c} - b.v{c}) / {e(c)}', f'rv{c}', 5)}" for c in "xy")
+    out = ", ".join(
+        f"{rnd(f'(a.v{c} - b.v{c}) * 40', f'dv{c}')}, {rnd(f'{e(c)} * 40', f'dv{c}e')}, {rnd(f'(a.v{c} - b.v{c}) / {e(c)}', f'rv{c}', 5)}" for c in "xy"
+    )
     return f"with {MOVING} select a.star_id, {out} from mv a join mv b on b.star_id = a.star_id + 1"
 
 
@@ -1123,7 +1262,9 @@ def quiver_statistics(spark, d):
     return rounded(quality.quiver_statistics(m), 3)
 
 
-@query(f"with {MD}, n as (select star_id from md group by 1 having count(*) = 12) select star_id, list_id, {rnd('dx', 'dx', 5)}, {rnd('dy', 'dy', 5)}, xe, ye, {rnd('dx / xe', 'sig_x', 4)}, {rnd('dy / ye', 'sig_y', 4)} from md where star_id in (select star_id from n)")
+@query(
+    f"with {MD}, n as (select star_id from md group by 1 having count(*) = 12) select star_id, list_id, {rnd('dx', 'dx', 5)}, {rnd('dy', 'dy', 5)}, xe, ye, {rnd('dx / xe', 'sig_x', 4)}, {rnd('dy / ye', 'sig_y', 4)} from md where star_id in (select star_id from n)"
+)
 def residuals_of_detected(spark, d):
     """Residuals, errors and ratios of the stars with twelve detections."""
     r = quality.residuals_of_detected(modelled(spark, d), 12)
@@ -1153,7 +1294,10 @@ def star_table(spark, d):
     s = stars(spark, d)
     r = readings(spark, d).join(s.select("star_id"), "star_id", "left_semi")
     part = lambda k: r.where(F.col("list_id") == k).select("star_id", "x", "y", "m", "xe", "ye")
-    t = tables.StarTable(s.select("star_id", "name"), part(5).withColumn("list_id", F.lit(1).cast("long")).where(F.lit(False)), spark.createDataFrame([], "list_id long, list_name string, list_time double"))
+    t = tables.StarTable(
+        s.select("star_id", "name"), part(5).withColumn("list_id", F.lit(1).cast("long")).where(F.lit(False)),
+        spark.createDataFrame([], "list_id long, list_name string, list_time double")
+    )
     for k, lst in enumerate((5, 7, 9), 1):
         t = tables.add_list(t, part(lst), k)
     t = tables.add_values(t, 4, **{c: part(11).select("star_id", F.col(c).alias("value")) for c in ("x", "y", "m")})
@@ -1161,7 +1305,9 @@ def star_table(spark, d):
     return tables.full(t).select("star_id", "list_id", "x", "y", "m", "xe", "ye")
 
 
-@query(f"with {MOVING} select star_id, {rnd(PX, 'x0')}, {rnd(PY, 'y0')}, {rnd(f'sqrt({XX} * x0e * {XX} * x0e + {XY} * y0e * {XY} * y0e)', 'x0e')}, {rnd(f'{XX} * vx + {XY} * vy', 'vx')}, {rnd(f'sqrt(pow((-2e-6 * vx + 2e-6 * vy) * x0e, 2) + pow((2e-6 * vx + 2e-6 * vy) * y0e, 2) + pow({YX} * vxe, 2) + pow({YY} * vye, 2))', 'vye')} from mv")
+@query(
+    f"with {MOVING} select star_id, {rnd(PX, 'x0')}, {rnd(PY, 'y0')}, {rnd(f'sqrt({XX} * x0e * {XX} * x0e + {XY} * y0e * {XY} * y0e)', 'x0e')}, {rnd(f'{XX} * vx + {XY} * vy', 'vx')}, {rnd(f'sqrt(pow((-2e-6 * vx + 2e-6 * vy) * x0e, 2) + pow((2e-6 * vx + 2e-6 * vy) * y0e, 2) + pow({YX} * vxe, 2) + pow({YY} * vye, 2))', 'vye')} from mv"
+)
 def catalog_moved(spark, d):
     """Places at the reference time, their errors and motions moved with a catalog."""
     s = moving(spark, d).withColumns({"x": F.col("x0"), "y": F.col("y0")})

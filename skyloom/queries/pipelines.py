@@ -20,7 +20,11 @@ def star_lists(spark: SparkSession, d: str, name: str, key: str) -> dict[int, Da
     t = table(spark, d, name)
     once = t.groupBy("list_id", "x", "y", "m").agg(F.min(key).alias(key)).select(key)
     more = [F.coalesce(finite(c), F.lit(v)).alias(c) for c, v in (("xe", 1.0), ("ye", 1.0), ("me", 1.0), ("corr", 1.0)) if c in t.columns]
-    rows = checkpointed(t.join(once, key, "left_semi").select("list_id", F.col(key).alias("row_id"), "name", *(finite(c).alias(c) for c in ("x", "y", "m", "t")), *more).where("x is not null and y is not null and m is not null"))
+    rows = checkpointed(
+        t.join(once, key, "left_semi").select(
+            "list_id", F.col(key).alias("row_id"), "name", *(finite(c).alias(c) for c in ("x", "y", "m", "t")), *more
+        ).where("x is not null and y is not null and m is not null")
+    )
     numbers = sorted(r["list_id"] for r in rows.select("list_id").where("list_id is not null").distinct().collect())  # one row a list
     return {k: rows.where(F.col("list_id") == k).drop("list_id") for k in numbers}
 
@@ -36,7 +40,10 @@ def mosaic_self(spark: SparkSession, d: str) -> DataFrame:
 def mosaic_to_ref(spark: SparkSession, d: str) -> DataFrame:
     """R2: the external lists taken to a star list as their reference, with motions; their readings."""
     lists = star_lists(spark, d, "starlist_ext", "ext_id")
-    m = Mosaic(lists, reference=star_lists(spark, d, "starlist", "row_id")[44], iters=2, dr_tol=[4.0, 2.0], outlier_tol=[3.0, 3.0], trans_input=[SAME] * len(lists), use_vel=True, use_ref_new=False, update_ref_orig=False)
+    m = Mosaic(
+        lists, reference=star_lists(spark, d, "starlist", "row_id")[44], iters=2, dr_tol=[4.0, 2.0], outlier_tol=[3.0, 3.0],
+        trans_input=[SAME] * len(lists), use_vel=True, use_ref_new=False, update_ref_orig=False
+    )
     return m.fit()[1].select("star_id", "list_id", "obs_id", "x", "y", "m")
 
 
@@ -53,7 +60,9 @@ def initial_guess(spark: SparkSession, d: str) -> DataFrame:
     found = checkpointed(triangles.triangle_match(ref, lst, N_BRIGHT, by=["list_id"]))
     enough = found.groupBy("list_id").agg(F.count("*").alias("n")).where("n >= 3").select("list_id")
     a = ref.select("list_id", F.col("id").alias("id_1"), *(finite(c).alias(f"{c}_ref") for c in "xym"))
-    pairs = found.join(enough, "list_id", "left_semi").withColumn("w", F.col("votes").cast("double")).join(a, ["list_id", "id_1"]).join(lst.select("list_id", F.col("id").alias("id_2"), *(finite(c).alias(c) for c in "xym")), ["list_id", "id_2"])
+    pairs = found.join(enough, "list_id", "left_semi").withColumn("w", F.col("votes").cast("double")).join(a, ["list_id", "id_1"]).join(
+        lst.select("list_id", F.col("id").alias("id_2"), *(finite(c).alias(c) for c in "xym")), ["list_id", "id_2"]
+    )
     return rounded_fit(coefficients(spark, fits.fit(pairs, 1, by=["list_id"]), 3))
 
 

@@ -46,7 +46,10 @@ def _table(spark: SparkSession, path: str, names: list[str] | None, text_columns
         cols = (LIST + (LIST_ERRORS if n >= len(LIST) + len(LIST_ERRORS) else LIST_PLAIN))[:n]
     cells = F.split("value", r"\s+")
     kinds = {"N_frames": "bigint", "N_fnd": "bigint"}
-    out = [(F.get(cells, F.lit(i)) if c in text_columns else finite(F.get(cells, F.lit(i)).try_cast("double")).cast(kinds.get(c, "double"))).alias(c) for i, c in enumerate(cols)]
+    out = [
+        (F.get(cells, F.lit(i)) if c in text_columns else finite(F.get(cells, F.lit(i)).try_cast("double")).cast(kinds.get(c, "double"))).alias(c) for i,
+        c in enumerate(cols)
+    ]
     return body.select("row_id", *out)
 
 
@@ -127,25 +130,35 @@ LIS_DIGITS = {"m": 3, "t": 3, "x": 3, "y": 3, "xe": 3, "ye": 3, "snr": 4, "corr"
 def to_lis_lines(df: DataFrame) -> DataFrame:
     """(value): the lines of a .lis file, the columns at fixed places."""
     n = "N_frames" if "N_frames" in df.columns else "n_frames"
-    cols = [F.coalesce(F.col("name"), F.lit("")), *(_tie(F.col(c).cast("double"), k) for c, k in LIS_DIGITS.items()), F.col(n).cast("long"), _tie(F.col("flux").cast("double"), 0)]
+    cols = [
+        F.coalesce(F.col("name"), F.lit("")), *(_tie(F.col(c).cast("double"), k) for c, k in LIS_DIGITS.items()), F.col(n).cast("long"),
+        _tie(F.col("flux").cast("double"), 0)
+    ]
     return df.select(F.format_string(LIS_FORMAT, *cols).alias("value"))
 
 
 def write_lis(df: DataFrame, path: str, order: str = "row_id") -> None:
     """A .lis file with its header line: one catalog image, so one file."""
-    head = "# name".ljust(13) + "  " + "  ".join(c.rjust(w) for c, w in zip(("m", "t", "x", "y", "xe", "ye", "snr", "corr", "N_frames", "flux"), (6, 8, 9, 9, 9, 9, 20, 6, 8, 20)))
+    head = "# name".ljust(13) + "  " + "  ".join(
+        c.rjust(w) for c, w in zip(("m", "t", "x", "y", "xe", "ye", "snr", "corr", "N_frames", "flux"), (6, 8, 9, 9, 9, 9, 20, 6, 8, 20))
+    )
     body = to_lis_lines(df.orderBy(order).coalesce(1)) if order in df.columns else to_lis_lines(df.coalesce(1))
     df.sparkSession.createDataFrame([(head,)], "value string").coalesce(1).unionByName(body).coalesce(1).write.mode("error").text(path)
 
 
 # Formats of the fixed-width list.
-WIDTHS = {"name": "%-13s", "m": "%8.4f", "t": "%10.3f", "x": "%15.7f", "y": "%15.7f", "xe": "%15.7f", "ye": "%15.7f", "snr": "%10.4f", "corr": "%5.2f", "n_frames": "%3d", "N_frames": "%3d", "flux": "%10.1f"}
+WIDTHS = {
+    "name": "%-13s", "m": "%8.4f", "t": "%10.3f", "x": "%15.7f", "y": "%15.7f", "xe": "%15.7f", "ye": "%15.7f", "snr": "%10.4f", "corr": "%5.2f",
+    "n_frames": "%3d", "N_frames": "%3d", "flux": "%10.1f"
+}
 
 
 def to_fixed_width(df: DataFrame) -> DataFrame:
     """(value): one line a row, every known column by its own format."""
     cols = [c for c in df.columns if c in WIDTHS]
-    kind = lambda c: F.col(c).cast("string") if c == "name" else F.col(c).cast("long") if "frames" in c else _tie(F.col(c).cast("double"), int(re.search(r"\.(\d+)f", WIDTHS[c])[1]))
+    kind = lambda c: F.col(c).cast("string") if c == "name" else F.col(c).cast("long") if "frames" in c else _tie(
+        F.col(c).cast("double"), int(re.search(r"\.(\d+)f", WIDTHS[c])[1])
+    )
     return df.select(F.format_string(" ".join(WIDTHS[c] for c in cols), *(kind(c) for c in cols)).alias("value"))
 
 
@@ -165,11 +178,16 @@ def open_archive(spark: SparkSession, path: str) -> DataFrame:
 # --- transform files
 
 
-def transform_text(model: Transform, starlist: str, reference: str, n_trans: int, delta_mag: float = 0.0, restrict: bool = False, weights: str | None = None) -> str:
+def transform_text(
+    model: Transform, starlist: str, reference: str, n_trans: int, delta_mag: float = 0.0, restrict: bool = False, weights: str | None = None
+) -> str:
     if model.kind not in ("PolyTransform", "four_paramNW"):
         raise ValueError(f"{model.kind} can't be written")
     cx, cy = model.coefficients
-    head = {"Date": date.today(), "File": f"{starlist}, Reference: {reference}", "Directory": os.getcwd(), "Transform Class": model.kind, "Order": model.order, "Restrict": restrict, "Weights": weights, "N_coeff": len(cx), "N_trans": n_trans, "Delta Mag": delta_mag}
+    head = {
+        "Date": date.today(), "File": f"{starlist}, Reference: {reference}", "Directory": os.getcwd(), "Transform Class": model.kind,
+        "Order": model.order, "Restrict": restrict, "Weights": weights, "N_coeff": len(cx), "N_trans": n_trans, "Delta Mag": delta_mag
+    }
     lines = [f"## {k}: {v}" for k, v in head.items()] + [f"{'# Xcoeff':16s} {'Ycoeff':16s}"] + [f"{a:16.6e}  {b:16.6e}" for a, b in zip(cx, cy)]
     return "\n".join(lines) + "\n"
 
@@ -212,6 +230,8 @@ def starlist_frame(spark: SparkSession, rows: list[tuple], columns: list[str]) -
         raise ValueError(f"a star list needs {sorted(missing)}")
     if ("xe" in columns) != ("ye" in columns):
         raise TypeError("xe and ye: both or neither")
-    schema = T.StructType([T.StructField(c, T.StringType() if c in ("name", "use") else T.LongType() if c in ("row_id", "list_id", "n_frames") else T.DoubleType()) for c in columns])
+    schema = T.StructType(
+        [T.StructField(c, T.StringType() if c in ("name", "use") else T.LongType() if c in ("row_id", "list_id", "n_frames") else T.DoubleType()) for c in columns]
+    )
     df = spark.createDataFrame(rows, schema)
     return df if "row_id" in columns else df.withColumn("row_id", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("long") - 1)

@@ -61,7 +61,9 @@ def cells(lines: DataFrame, line: str = "raw_line", layout: str = "layout") -> D
         def piece(s: Column, i: Column) -> Column:
             outside, edge = i % 2 == 0, (i == 0) | (i == last)
             doubled = outside & ~edge & (s == "")
-            fits = F.when(~outside | doubled | (last == 0), True).otherwise(((i == 0) | F.regexp(s, starts)) & ((i == last) | F.regexp(s, ends)) | edge & blank(s))
+            fits = F.when(~outside | doubled | (last == 0), True).otherwise(
+                ((i == 0) | F.regexp(s, starts)) & ((i == last) | F.regexp(s, ends)) | edge & blank(s)
+            )
             cut = F.when(q["comma"], F.replace(s, F.lit(","), F.lit(CUT))).otherwise(F.regexp_replace(s, r"[ \t]+", CUT))
             return F.struct(F.when(doubled, F.lit('"')).when(outside, cut).otherwise(s).alias("v"), fits.alias("ok"))
 
@@ -69,7 +71,10 @@ def cells(lines: DataFrame, line: str = "raw_line", layout: str = "layout") -> D
 
     def joined(q: Column) -> Column:
         text = F.array_join(F.transform(q["p"], lambda p: p["v"]), "")
-        return F.struct(F.transform(F.split(text, CUT, -1), lambda c: F.trim(c, F.lit(BLANKS))).alias("cells"), (q["odd"] | F.exists(q["p"], lambda p: ~p["ok"])).alias("bad"))
+        return F.struct(
+            F.transform(F.split(text, CUT, -1), lambda c: F.trim(c, F.lit(BLANKS))).alias("cells"),
+            (q["odd"] | F.exists(q["p"], lambda p: ~p["ok"])).alias("bad")
+        )
 
     done = F.element_at(F.transform(F.transform(F.transform(F.array(whole), with_count), line_cells), joined), 1)
     return base.withColumn("_done", done).withColumn("_cells", F.col("_done.cells")).withColumn("_bad_quotes", F.col("_done.bad")).drop("_text", "_done")
@@ -78,7 +83,10 @@ def cells(lines: DataFrame, line: str = "raw_line", layout: str = "layout") -> D
 def failures(lines: DataFrame, key: str = "line_id", line: str = "raw_line", layout: str = "layout") -> DataFrame:
     """(line_id, reason): each failing line once, with the first reason that holds."""
     spark = lines.sparkSession
-    cut = cells(lines.select(F.col(key).alias("_key"), F.col(line).alias("_line"), F.col(layout).alias("_layout")).where(F.col("_key").isNotNull()), "_line", "_layout")
+    cut = cells(
+        lines.select(F.col(key).alias("_key"), F.col(line).alias("_line"), F.col(layout).alias("_layout")).where(F.col("_key").isNotNull()), "_line",
+        "_layout"
+    )
     rows = cut.select("_key", "_bad_quotes", F.size("_cells").alias("_count"), F.posexplode("_cells").alias("_pos", "_value"))
     # the first cell also carries the rules of the whole line
     at = F.explode(F.when(F.col("_pos") == 0, F.array(F.lit(-1), F.lit(0))).otherwise(F.array(F.col("_pos")))).alias("_at")
@@ -90,7 +98,9 @@ def failures(lines: DataFrame, key: str = "line_id", line: str = "raw_line", lay
         .otherwise(
             F.coalesce(F.regexp("_value", F.col("must")), F.lit(True))
             & ~F.coalesce(F.contains("_value", F.col("mustnt")), F.lit(False))
-            & F.when(F.col("least").isNull(), True).otherwise(F.coalesce(F.when(F.col("open"), v > F.col("least")).otherwise(v >= F.col("least")) & (v < float("inf")), F.lit(False)))
+            & F.when(F.col("least").isNull(), True).otherwise(
+                F.coalesce(F.when(F.col("open"), v > F.col("least")).otherwise(v >= F.col("least")) & (v < float("inf")), F.lit(False))
+            )
             & F.when(F.col("most").isNull(), True).otherwise(F.coalesce(v <= F.col("most"), F.lit(False)))
         )
     )

@@ -23,7 +23,10 @@ def angle(a, b):
 def test_planar_pairs_brute_force(spark):
     rng = random.Random(1)
     rows = [(i, rng.choice([1, 2, None]), rng.uniform(-20, 20), rng.uniform(-20, 20), "x") for i in range(400)]
-    rows += [(1000, 1, None, 1.0, "x"), (1001, 1, NAN, 1.0, "x"), (1002, 1, INF, 1.0, "x"), (None, 1, 1.0, 1.0, "x"), (1003, 2, 5.0, 5.0, "a"), (1004, 2, 5.0, 5.0, "b"), (1005, 2, 1e300, 5.0, "b")]
+    rows += [
+        (1000, 1, None, 1.0, "x"), (1001, 1, NAN, 1.0, "x"), (1002, 1, INF, 1.0, "x"), (None, 1, 1.0, 1.0, "x"), (1003, 2, 5.0, 5.0, "a"),
+        (1004, 2, 5.0, 5.0, "b"), (1005, 2, 1e300, 5.0, "b")
+    ]
     df = spark.createDataFrame(rows, "id long, g long, x double, y double, key_1 string")
     got = {(r.key_1, r.key_2) for r in neighbours.planar_pairs(df, "id", "x", "y", 1.5, by=["g"]).collect()}
     good = [r for r in rows if r[0] is not None and r[2] is not None and math.isfinite(r[2])]
@@ -59,9 +62,19 @@ def test_sphere_pairs_brute_force(spark):
 
 def test_region_members(spark):
     rng = random.Random(4)
-    pts = [(i, rng.uniform(0, 360), math.degrees(math.asin(rng.uniform(-1, 1)))) for i in range(1500)] + [(5000, 10.0, 5.0), (5001, 350.0, 0.0), (5002, 0.0, 89.99), (5003, None, 1.0)]
-    regions = [(1, "box", 350.0, 10.0, -5.0, 5.0, None, None, None), (2, "circle", None, None, None, None, 0.0, 89.5, 2.0), (3, "circle", None, None, None, None, 180.0, 0.0, 60.0), (4, "box", 0.0, 360.0, 60.0, 70.0, None, None, None), (5, "box", None, 1.0, 1.0, 2.0, None, None, None), (6, "circle", None, None, None, None, 20.0, 20.0, 0.001), (7, "spiral", 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0)]
-    rg = spark.createDataFrame(regions, "region_id long, shape string, ra_min double, ra_max double, dec_min double, dec_max double, ra_center double, dec_center double, radius_deg double")
+    pts = [
+        (i, rng.uniform(0, 360), math.degrees(math.asin(rng.uniform(-1, 1)))) for i in range(1500)
+    ] + [(5000, 10.0, 5.0), (5001, 350.0, 0.0), (5002, 0.0, 89.99), (5003, None, 1.0)]
+    regions = [
+        (1, "box", 350.0, 10.0, -5.0, 5.0, None, None, None), (2, "circle", None, None, None, None, 0.0, 89.5, 2.0),
+        (3, "circle", None, None, None, None, 180.0, 0.0, 60.0), (4, "box", 0.0, 360.0, 60.0, 70.0, None, None, None),
+        (5, "box", None, 1.0, 1.0, 2.0, None, None, None), (6, "circle", None, None, None, None, 20.0, 20.0, 0.001),
+        (7, "spiral", 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0)
+    ]
+    rg = spark.createDataFrame(
+        regions,
+        "region_id long, shape string, ra_min double, ra_max double, dec_min double, dec_max double, ra_center double, dec_center double, radius_deg double"
+    )
     df = spark.createDataFrame(pts, "id long, ra double, dec double")
     got = {(r.region_id, r.key) for r in neighbours.region_members(df, "id", "ra", "dec", rg).collect()}
     want = set()
@@ -81,7 +94,12 @@ OBS = "obs_id long, star_id long, list_id long, x double, y double, m double, xe
 
 
 def sky_star(star, n, first, rng, t0=2000.0):
-    return [[first + i, star, i, 100 + 0.1 * i + rng.gauss(0, 0.05), 50 - 0.2 * i + rng.gauss(0, 0.05), 15 + rng.gauss(0, 0.02), 0.05 + rng.uniform(0, 0.01), 0.05, 0.02, t0 + i, "clash"] for i in range(n)]
+    return [
+        [
+            first + i, star, i, 100 + 0.1 * i + rng.gauss(0, 0.05), 50 - 0.2 * i + rng.gauss(0, 0.05), 15 + rng.gauss(0, 0.02),
+            0.05 + rng.uniform(0, 0.01), 0.05, 0.02, t0 + i, "clash"
+        ] for i in range(n)
+    ]
 
 
 def test_implausible_readings(spark):
@@ -96,11 +114,17 @@ def test_implausible_readings(spark):
     rows[26][5], rows[27][6], rows[28][3] = INF, -1.0, -5000.0
     copy = list(rows[4])
     copy[0] = 999
-    lone = [[700, None, 1, 1e9, 1.0, 1.0, 1.0, 1.0, 1.0, 2000.0, "c"], [701, None, 1, None, NAN, 1.0, 1.0, 1.0, 1.0, None, "c"], [702, 4, None, 1.0, 1.0, 99.0, 1.0, 1.0, 1.0, None, "c"]]
+    lone = [
+        [700, None, 1, 1e9, 1.0, 1.0, 1.0, 1.0, 1.0, 2000.0, "c"], [701, None, 1, None, NAN, 1.0, 1.0, 1.0, 1.0, None, "c"],
+        [702, 4, None, 1.0, 1.0, 99.0, 1.0, 1.0, 1.0, None, "c"]
+    ]
     df = spark.createDataFrame([tuple(r) for r in [*rows, copy, *lone]], OBS)
     lists = spark.createDataFrame([(i, 2000.0 + i) for i in range(12)], "list_id long, list_time double")
     got = {(r.obs_id, r.field) for r in spikes.implausible(df, lists).collect()}
-    assert got == {(104, "x"), (999, "x"), (107, "m"), (109, "xe"), *((i, "y") for i in range(201, 205)), (302, "m"), (303, "xe"), (304, "x"), (700, "x"), (702, "m")}
+    assert got == {
+        (104, "x"), (999, "x"), (107, "m"), (109, "xe"), *((i, "y") for i in range(201, 205)), (302, "m"), (303, "xe"), (304, "x"), (700, "x"),
+        (702, "m")
+    }
     assert spikes.implausible(df.limit(0), lists).count() == 0
 
 
@@ -161,10 +185,20 @@ def test_hot_cell_of_points_and_regions(spark, monkeypatch):
 
     monkeypatch.setattr(neighbours, "hot_keys", hot)
     rng = random.Random(12)
-    pts = [(i, rng.uniform(9.0, 9.4), rng.uniform(5.0, 5.4)) if i % 5 < 2 else (i, rng.uniform(0, 360), math.degrees(math.asin(rng.uniform(-1, 1)))) for i in range(500)]
+    pts = [
+        (i, rng.uniform(9.0, 9.4), rng.uniform(5.0, 5.4)) if i % 5 < 2 else (
+            i, rng.uniform(0, 360), math.degrees(math.asin(rng.uniform(-1, 1)))
+        ) for i in range(500)
+    ]
     df = spark.createDataFrame(pts, "k long, ra double, dec double")
-    shapes = [(1, "box", 0.0, 360.0, -90.0, 90.0, None, None, None), (2, "box", 300.0, 60.0, -30.0, 40.0, None, None, None), (3, "circle", None, None, None, None, 9.2, 5.2, 0.1), (4, "circle", None, None, None, None, 0.0, 89.0, 30.0)]
-    regions = spark.createDataFrame(shapes, "region_id long, shape string, ra_min double, ra_max double, dec_min double, dec_max double, ra_center double, dec_center double, radius_deg double")
+    shapes = [
+        (1, "box", 0.0, 360.0, -90.0, 90.0, None, None, None), (2, "box", 300.0, 60.0, -30.0, 40.0, None, None, None),
+        (3, "circle", None, None, None, None, 9.2, 5.2, 0.1), (4, "circle", None, None, None, None, 0.0, 89.0, 30.0)
+    ]
+    regions = spark.createDataFrame(
+        shapes,
+        "region_id long, shape string, ra_min double, ra_max double, dec_min double, dec_max double, ra_center double, dec_center double, radius_deg double"
+    )
     got = sorted((r.region_id, r.key) for r in neighbours.region_members(df, "k", "ra", "dec", regions).collect())
     want = [(1, k) for k, _, _ in pts] + [(2, k) for k, ra, dec in pts if (ra >= 300 or ra <= 60) and -30 <= dec <= 40]
     want += [(3, k) for k, ra, dec in pts if angle((ra, dec), (9.2, 5.2)) <= 0.1] + [(4, k) for k, ra, dec in pts if angle((ra, dec), (0.0, 89.0)) <= 30]
@@ -174,13 +208,26 @@ def test_hot_cell_of_points_and_regions(spark, monkeypatch):
 def test_raw_lines(spark):
     ok = "a 1 2 3 4 5 6 7 0.5 2 9"
     lines = [
-        (1, "blank", ok, None), (2, "blank", "   \t\r", None), (3, "blank", None, None), (4, "comma", '# "x', None), (5, "blank", '"a b" 1 2 3 4 nan NaN 7 .5 +2 9e3 \r', None),
-        (6, "blank", '"a 1 2 3 4 5 6 7 0.5 2 9', "quotes"), (7, "blank", 'a"b 1 2 3 4 5 6 7 0.5 2 9', "quotes"), (8, "blank", '"a"b 1 2 3 4 5 6 7 0.5 2 9', "quotes"), (9, "comma", ok.replace(" ", " , "), None),
-        (10, "comma", '"a,""b""",1,2,3,4,5,6,7,1,2,9', None), (11, "comma", "a,,1,2,3,4,5,6,7,1,2,9", "columns"), (12, "blank", "a 1", "columns"), (13, "comma", '" ",1,2,3,4,5,6,7,9,2,9', "name"), (14, "blank", "�k 1 2 3 4 5 6 7 0.5 2 9", "name"),
-        (15, "blank", "a 1 2 3 4 5 6 7 nan 2 9", "corr"), (16, "blank", "a 1 2 3 4 5 6 7 1.01 2 9", "corr"), (17, "blank", "a 1 2 3 4 5 6 7 1 2.0 9", "n_frames"), (18, "blank", "a 1 2 3 4 5 6 7 1 0 9", "n_frames"),
-        (19, "blank", "a 1 2 3 4 5 6 7 1 2 0", "flux"), (20, "blank", "a 1 2 3 4 5 6 7 1 2 1e999", "flux"), (21, "comma", '"",1,2,3,4,5,6,7,1,2,9', "name"), (22, "blank", "a 1 2 3 4 5 6 7 1 ８ 9", "n_frames"), (23, "blank", '"' + 'x""' * 20000 + '" 1 2 3 4 5 6 7 1 2 9', None),
+        (1, "blank", ok, None), (2, "blank", "   \t\r", None), (3, "blank", None, None), (4, "comma", '# "x', None), (
+            5, "blank", '"a b" 1 2 3 4 nan NaN 7 .5 +2 9e3 \r', None
+        ),
+        (6, "blank", '"a 1 2 3 4 5 6 7 0.5 2 9', "quotes"), (7, "blank", 'a"b 1 2 3 4 5 6 7 0.5 2 9', "quotes"), (
+            8, "blank", '"a"b 1 2 3 4 5 6 7 0.5 2 9', "quotes"
+        ), (9, "comma", ok.replace(" ", " , "), None),
+        (
+            10, "comma", '"a,""b""",1,2,3,4,5,6,7,1,2,9', None
+        ), (11, "comma", "a,,1,2,3,4,5,6,7,1,2,9", "columns"), (12, "blank", "a 1", "columns"), (13, "comma", '" ",1,2,3,4,5,6,7,9,2,9', "name"), (14, "blank", "�k 1 2 3 4 5 6 7 0.5 2 9", "name"),
+        (15, "blank", "a 1 2 3 4 5 6 7 nan 2 9", "corr"), (16, "blank", "a 1 2 3 4 5 6 7 1.01 2 9", "corr"), (
+            17, "blank", "a 1 2 3 4 5 6 7 1 2.0 9", "n_frames"
+        ), (18, "blank", "a 1 2 3 4 5 6 7 1 0 9", "n_frames"),
+        (19, "blank", "a 1 2 3 4 5 6 7 1 2 0", "flux"), (20, "blank", "a 1 2 3 4 5 6 7 1 2 1e999", "flux"), (21, "comma", '"",1,2,3,4,5,6,7,1,2,9', "name"), (22, "blank", "a 1 2 3 4 5 6 7 1 ８ 9", "n_frames"), (
+            23, "blank", '"' + 'x""' * 20000 + '" 1 2 3 4 5 6 7 1 2 9', None
+        ),
     ]
-    df = spark.createDataFrame([(i, 7, lay, ln, "clash") for i, lay, ln, _ in lines] + [(None, 7, "blank", "broken", "c")], "line_id long, list_id long, layout string, raw_line string, reason string")
+    df = spark.createDataFrame(
+        [(i, 7, lay, ln, "clash") for i, lay, ln, _ in lines] + [(None, 7, "blank", "broken", "c")],
+        "line_id long, list_id long, layout string, raw_line string, reason string"
+    )
     got = {r.line_id: r.reason for r in raw_lines.failures(df).collect()}
     assert got == {i: w for i, _, _, w in lines if w}
     valid = {r.line_id: r for r in raw_lines.load(df).collect()}
@@ -191,12 +238,22 @@ def test_raw_lines(spark):
 @pytest.mark.parametrize(
     "text,unit",
     [
-        ("pm given as mas yr-1", ("mas/yr", None)), ("errors in as", (None, "arcsec")), ('sigma is " here', (None, "arcsec")), ("as/100yr // µas", ("arcsec/cy", "uas")), ("errors quoted in pixels and motions quoted in px/yr", ("pix/yr", "pix")),
-        ("NB units! °/yr for motion and 0.001 arcsec for errors", ("deg/yr", "mas")), ("see night log", (None, None)), ("", (None, None)), (None, (None, None)), ("Centennial proper motion, arcsec; mean error of right ascension, arcsec.", ("arcsec/cy", "arcsec")),
-        ("Values in 10^-3 arcsec; motions per annum", ("mas/yr", "mas")), ("Motions are in arcseconds per hundred years, while uncertainties are given in detector pixels", ("arcsec/cy", "pix")), ("all columns in decimal degrees", ("deg/yr", "deg")),
-        ("errors below 0.3 arcsec, motions mas yr⁻¹", ("mas/yr", "arcsec")), ("1/1000 arcsec for errors", (None, "mas")), ("pm in 1e-6 arcsec/yr", ("uas/yr", None)), ("milli-arc-seconds a year", ("mas/yr", None)), ("motion: arcsec a century; sigma: a thousandth of that", ("arcsec/cy", "mas")),
+        ("pm given as mas yr-1", ("mas/yr", None)), ("errors in as", (None, "arcsec")), ('sigma is " here', (None, "arcsec")), ("as/100yr // µas", ("arcsec/cy", "uas")), (
+            "errors quoted in pixels and motions quoted in px/yr", ("pix/yr", "pix")
+        ),
+        ("NB units! °/yr for motion and 0.001 arcsec for errors", ("deg/yr", "mas")), ("see night log", (None, None)), ("", (None, None)), (None, (None, None)), (
+            "Centennial proper motion, arcsec; mean error of right ascension, arcsec.", ("arcsec/cy", "arcsec")
+        ),
+        ("Values in 10^-3 arcsec; motions per annum", ("mas/yr", "mas")), (
+            "Motions are in arcseconds per hundred years, while uncertainties are given in detector pixels", ("arcsec/cy", "pix")
+        ), ("all columns in decimal degrees", ("deg/yr", "deg")),
+        ("errors below 0.3 arcsec, motions mas yr⁻¹", ("mas/yr", "arcsec")), ("1/1000 arcsec for errors", (None, "mas")), ("pm in 1e-6 arcsec/yr", ("uas/yr", None)), ("milli-arc-seconds a year", ("mas/yr", None)), (
+            "motion: arcsec a century; sigma: a thousandth of that", ("arcsec/cy", "mas")
+        ),
         ("millionths of an arcsecond each year", ("uas/yr", None)), ("0.5 arcsec errors", (None, "arcsec")), ("all entries in pixels", ("pix/yr", "pix")),
-        ("Velocities are detector pixels each year, and position errors are pixels too.", ("pix/yr", "pix")), ("x" * 100_000, (None, None)), ("mas/yr " * 20_000, ("mas/yr", None)),
+        (
+            "Velocities are detector pixels each year, and position errors are pixels too.", ("pix/yr", "pix")
+        ), ("x" * 100_000, (None, None)), ("mas/yr " * 20_000, ("mas/yr", None)),
     ],
 )
 def test_units_in_text(text, unit):
@@ -204,10 +261,18 @@ def test_units_in_text(text, unit):
 
 
 def test_units_of_rows(spark):
-    cats = spark.createDataFrame([("a", None, "motions in mas/yr, errors in mas"), ("b", 10.0, "motions in pixels per year; errors in pixels"), ("c", None, None)], "catalog string, mas_per_pix double, note string")
+    cats = spark.createDataFrame(
+        [("a", None, "motions in mas/yr, errors in mas"), ("b", 10.0, "motions in pixels per year; errors in pixels"), ("c", None, None)],
+        "catalog string, mas_per_pix double, note string"
+    )
     rng = np.random.default_rng(1)
-    rows = [(i, "a", float(v), float(v) / 10, None, 1) for i, v in enumerate(rng.uniform(1, 9, 60))] + [(100 + i, "c", float(v) / 1000, float(v) / 1e4, None, 1) for i, v in enumerate(rng.uniform(1, 9, 60))]
-    rows += [(500, "b", 0.5, 0.05, None, 1), (501, "b", 500.0, 0.05, "pm given as uas/yr", 1), (502, None, 1.0, 1.0, None, 1), (503, "a", None, NAN, None, 1), (500, "b", 0.5, 0.05, None, 1)]
+    rows = [(i, "a", float(v), float(v) / 10, None, 1) for i, v in enumerate(rng.uniform(1, 9, 60))] + [
+        (100 + i, "c", float(v) / 1000, float(v) / 1e4, None, 1) for i, v in enumerate(rng.uniform(1, 9, 60))
+    ]
+    rows += [
+        (500, "b", 0.5, 0.05, None, 1), (501, "b", 500.0, 0.05, "pm given as uas/yr", 1), (502, None, 1.0, 1.0, None, 1),
+        (503, "a", None, NAN, None, 1), (500, "b", 0.5, 0.05, None, 1)
+    ]
     df = spark.createDataFrame(rows, "id long, catalog string, pm double, err double, remark string, unit int")
     out = unify.with_units(df, cats, [unify.Field("pm", "motion"), unify.Field("err", "error")], [("remark", "")])
     got = {r.id: r for r in out.collect()}

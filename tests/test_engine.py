@@ -21,7 +21,10 @@ M2 = [-6.05, -2.00, -2.65, -2.30, -3.79, -2.06, -2.10, -2.38, -3.30]
 
 
 def cat(spark, x, y, m, first=0):
-    return spark.createDataFrame([(first + i, f"s{first + i}", float(a), float(b), float(c)) for i, (a, b, c) in enumerate(zip(x, y, m))], "id long, name string, x double, y double, m double")
+    return spark.createDataFrame(
+        [(first + i, f"s{first + i}", float(a), float(b), float(c)) for i, (a, b, c) in enumerate(zip(x, y, m))],
+        "id long, name string, x double, y double, m double"
+    )
 
 
 def pairs_of(df):
@@ -112,7 +115,13 @@ def test_motion_goldens_and_degenerate_stars(spark):
         assert math.isclose(r.x0, 2.25 + 5 * r.star_id) and math.isclose(r.vx, 1.0) and math.isclose(r.t0, 2017.25) and r.vxe > 0
     for r in motion.fit_velocities(tiny(spark), mask_lists=[1], absolute_sigma=False).collect():
         assert abs(r.x0e) < 1e-6 and abs(r.vxe) < 1e-6
-    odd = spark.createDataFrame([(1, 0, 2000.0, 5.0, 6.0, 0.1, 0.1), (2, 0, 2000.0, 1.0, 1.0, 0.1, 0.1), (2, 1, 2002.0, 3.0, 5.0, 0.1, 0.1), (3, 0, None, None, 1.0, 0.1, 0.1), (4, 0, 2000.0, 1.0, 1.0, 0.1, 0.1), (4, 1, 2000.0, 3.0, 1.0, 0.1, 0.1)], "star_id long, list_id long, t double, x double, y double, xe double, ye double")
+    odd = spark.createDataFrame(
+        [
+            (1, 0, 2000.0, 5.0, 6.0, 0.1, 0.1), (2, 0, 2000.0, 1.0, 1.0, 0.1, 0.1), (2, 1, 2002.0, 3.0, 5.0, 0.1, 0.1),
+            (3, 0, None, None, 1.0, 0.1, 0.1), (4, 0, 2000.0, 1.0, 1.0, 0.1, 0.1), (4, 1, 2000.0, 3.0, 1.0, 0.1, 0.1)
+        ],
+        "star_id long, list_id long, t double, x double, y double, xe double, ye double"
+    )
     got = {r.star_id: r for r in motion.fit_velocities(odd).collect()}
     assert (got[1].x0, got[1].vx, got[1].x0e, got[1].n_vfit) == (5.0, 0.0, 0.0, 1)
     assert math.isclose(got[2].vx, 1.0) and math.isclose(got[2].x0e, 2 / math.sqrt(2)) and got[2].vxe == 0
@@ -126,9 +135,16 @@ def test_motion_goldens_and_degenerate_stars(spark):
 @pytest.mark.parametrize("degree", [0, 1, 2, 4])
 def test_polynomial_motion(spark, degree):
     rng = np.random.default_rng(9)
-    data = {s: (np.sort(rng.uniform(2005, 2022, n)), rng.normal(0, 50, n), rng.normal(0, 50, n), rng.uniform(0.05, 0.3, n), rng.uniform(0.05, 0.3, n)) for s, n in ((1, 12), (2, 7), (3, degree + 1), (4, degree))}
+    data = {
+        s: (np.sort(rng.uniform(2005, 2022, n)), rng.normal(0, 50, n), rng.normal(0, 50, n), rng.uniform(0.05, 0.3, n), rng.uniform(0.05, 0.3, n)) for s,
+        n in ((1, 12), (2, 7), (3, degree + 1), (4, degree))
+    }
     rows = [(s, *map(float, r)) for s, v in data.items() for r in zip(*v)] + [(5, 2010.0, 1.0, 1.0, 0.1, 0.1)] * (degree + 3)
-    got = {r.star_id: r for r in motion.polynomial_motion(spark.createDataFrame(rows, "star_id long, t double, x double, y double, xe double, ye double"), degree).collect()}
+    got = {
+        r.star_id: r for r in motion.polynomial_motion(
+            spark.createDataFrame(rows, "star_id long, t double, x double, y double, xe double, ye double"), degree
+        ).collect()
+    }
     for s in (1, 2):
         t, x, y, xe, ye = data[s]
         w = 1 / np.hypot(xe, ye)
@@ -144,7 +160,9 @@ def test_polynomial_motion(spark, degree):
 
 def test_bootstrap_velocities_statistics(spark):
     rng = np.random.default_rng(10)
-    rows = [(s, k, 2010.0 + k, 0.3 * k + rng.normal(0, 1), rng.normal(0, 1), 0.5, None if k == 1 else 0.5) for s in range(3) for k in range(15)] + [(9, 0, None, None, None, None, None)]
+    rows = [
+        (s, k, 2010.0 + k, 0.3 * k + rng.normal(0, 1), rng.normal(0, 1), 0.5, None if k == 1 else 0.5) for s in range(3) for k in range(15)
+    ] + [(9, 0, None, None, None, None, None)]
     df = spark.createDataFrame(rows, "star_id long, list_id long, t double, x double, y double, xe double, ye double")
     got = {r.star_id: r for r in motion.bootstrap_velocities(df, 4000).collect()}
     assert got[9].vxe_boot is None and len(got) == 4
@@ -162,7 +180,9 @@ def test_registered_with_production_sizes(spark, data):
 
     data = data.replace("sf0.001", "sf0.01")  # lists of more than 50 rows
     t = e.queries()["triangle_geometry"](spark, data)
-    n = spark.read.parquet(f"{data}/starlist_ext.parquet").where("not isnan(x) and not isnan(y) and not isnan(m) and abs(x) < 1e300 and abs(y) < 1e300 and abs(m) < 1e300").groupBy("list_id").count()
+    n = spark.read.parquet(f"{data}/starlist_ext.parquet").where(
+        "not isnan(x) and not isnan(y) and not isnan(m) and abs(x) < 1e300 and abs(y) < 1e300 and abs(m) < 1e300"
+    ).groupBy("list_id").count()
     want = {r.list_id: math.comb(min(r["count"], 50), 3) for r in n.collect()}
     got = {r.list_id: r["count"] for r in t.groupBy("list_id").count().collect()}
     assert len(got) == len(want) > 1 and all(0.9 * want[k] <= v <= want[k] for k, v in got.items()) and max(want.values()) == 19_600
@@ -175,7 +195,9 @@ def test_weighted_line(spark):
     a = np.c_[np.ones(4), x] / s[:, None]
     cov = np.linalg.inv(a.T @ a)
     c = cov @ (a.T @ (y / s))
-    assert np.allclose([r.intercept, r.slope, r.intercept_err, r.slope_err], [*c, *np.sqrt(np.diag(cov))]) and math.isclose(r.chi2, float((((y - c[0] - c[1] * x) / s) ** 2).sum()))
+    assert np.allclose(
+        [r.intercept, r.slope, r.intercept_err, r.slope_err], [*c, *np.sqrt(np.diag(cov))]
+    ) and math.isclose(r.chi2, float((((y - c[0] - c[1] * x) / s) ** 2).sum()))
 
 
 def test_models():
@@ -191,7 +213,9 @@ def test_models():
     assert np.allclose(p.velocity_error(x, y, vx, vy, 0.1, 0.2, 0.3, 0.4), np.sqrt(sum((k * s) ** 2 for k, s in zip(e, (0.1, 0.2, 0.3, 0.4)))), rtol=1e-3)
     leg = models.legendre([0.0, 1, 0, 0, 0, 0, 0, 0, 0.5], [0.0] * 9, 2)
     assert np.isclose(leg.position(0.4, 0.6)[0], 0.4 + 0.5 * (3 * 0.16 - 1) / 2 * (3 * 0.36 - 1) / 2)
-    assert models.from_domain(models.to_domain(7.0, 2.0, 12.0), 2.0, 12.0) == 7.0 and quality.n_parameters(p) == 20 and quality.n_parameters(models.similarity(0, 0, 1, 0)) == 4
+    assert models.from_domain(
+        models.to_domain(7.0, 2.0, 12.0), 2.0, 12.0
+    ) == 7.0 and quality.n_parameters(p) == 20 and quality.n_parameters(models.similarity(0, 0, 1, 0)) == 4
     with pytest.raises(ValueError):
         models.polynomial([1.0, 2.0], [1.0, 2.0])
 
@@ -199,7 +223,10 @@ def test_models():
 def noisy_pairs(spark, n=400, order=2):
     rng = np.random.default_rng(3)
     x, y = rng.uniform(0, 1000, n), rng.uniform(0, 1000, n)
-    t = models.polynomial([5.0, 1.001, 0.002, 1e-6, 2e-6, -1e-6][: len(models.powers(order))], [-3.0, -0.003, 0.998, -2e-6, 1e-6, 3e-6][: len(models.powers(order))], 0.3)
+    t = models.polynomial(
+        [5.0, 1.001, 0.002, 1e-6, 2e-6, -1e-6][: len(models.powers(order))], [-3.0, -0.003, 0.998, -2e-6, 1e-6, 3e-6][: len(models.powers(order))],
+        0.3
+    )
     xr, yr = t.position(x, y)
     rows = [tuple(map(float, r)) for r in np.c_[x, y, np.full(n, 15.0), xr, yr, np.full(n, 15.3)]]
     return t, spark.createDataFrame(rows, "x double, y double, m double, x_ref double, y_ref double, m_ref double")
@@ -209,7 +236,10 @@ def test_fits_recover_models(spark):
     t, p = noisy_pairs(spark)
     got = fits.fit(p, 2)[()]
     assert np.allclose(got.coefficients, t.coefficients, atol=1e-6) and math.isclose(got.mag_offset, 0.3)
-    assert np.allclose(fits.fit(fits.with_weight(p.withColumns({c: F.lit(0.1) for c in ("xe", "ye", "xe_ref", "ye_ref")}), "both,var"), 2)[()].coefficients, t.coefficients, atol=1e-6)
+    assert np.allclose(
+        fits.fit(fits.with_weight(p.withColumns({c: F.lit(0.1) for c in ("xe", "ye", "xe_ref", "ye_ref")}), "both,var"), 2)[()].coefficients,
+        t.coefficients, atol=1e-6
+    )
     bad = p.withColumn("x_ref", F.when(F.rand(1) < 0.05, F.col("x_ref") + 50).otherwise(F.col("x_ref")))
     clipped, kept = fits.fit_clipped(bad, 2)
     assert np.allclose(clipped[()].coefficients, t.coefficients, atol=1e-3) and kept.count() < 400
@@ -240,7 +270,10 @@ def lists_of(spark, n=120):
     out = {}
     for k, (dx, dy, dm) in enumerate(((0, 0, 0.0), (6.5, 10.1, 0.1), (100.3, 50.5, -0.3))):
         keep = rng.random(n) < 0.9
-        rows = [(int(i), f"n{i}", float(a), float(b), float(c), 0.1, 0.1, 0.05, 2018.5 + k, 0.9) for i, (a, b, c, q) in enumerate(zip(x + dx + rng.normal(0, 0.1, n), y + dy + rng.normal(0, 0.1, n), m + dm + rng.normal(0, 0.02, n), keep)) if q]
+        rows = [
+            (int(i), f"n{i}", float(a), float(b), float(c), 0.1, 0.1, 0.05, 2018.5 + k, 0.9) for i,
+            (a, b, c, q) in enumerate(zip(x + dx + rng.normal(0, 0.1, n), y + dy + rng.normal(0, 0.1, n), m + dm + rng.normal(0, 0.02, n), keep)) if q
+        ]
         out[k] = spark.createDataFrame(rows, "row_id long, name string, x double, y double, m double, xe double, ye double, me double, t double, corr double")
     return out, (x, y, m)
 
@@ -266,7 +299,10 @@ def test_bootstrap_draws_epochs_and_keeps_t0(spark):
         stars.append((name, place(0), 50.0, 15.0, 2012.0 if name == "line" else None, False))
         obs += [(name, k, place(k), 50.0, 15.0, 2010.0 + k) for k in range(6)]
     s = spark.createDataFrame(stars, "star_id string, x0 double, y0 double, m0 double, t0 double, use_in_trans boolean")
-    o = spark.createDataFrame([(a, b, x, y, m, 0.1, 0.1, 0.1, t, x, y, m) for a, b, x, y, m, t in obs], "star_id string, list_id long, x double, y double, m double, xe double, ye double, me double, t double, x_orig double, y_orig double, m_orig double")
+    o = spark.createDataFrame(
+        [(a, b, x, y, m, 0.1, 0.1, 0.1, t, x, y, m) for a, b, x, y, m, t in obs],
+        "star_id string, list_id long, x double, y double, m double, xe double, ye double, me double, t double, x_orig double, y_orig double, m_orig double"
+    )
     readings, v = bootstrap_errors(s, o, n_boot=12)
     got = {r.star_id: r for r in v.collect()}
     assert all(r.xe_boot < 1e-6 for r in readings.collect()) and got["s0"].vxe_boot < 1e-6
@@ -277,7 +313,10 @@ def test_bootstrap_draws_epochs_and_keeps_t0(spark):
 
 def test_mosaic_to_reference_keeps_it(spark):
     lists, (x, y, m) = lists_of(spark)
-    ref = spark.createDataFrame([(i, f"n{i}", float(a), float(b), float(c)) for i, (a, b, c) in enumerate(zip(x, y, m))], "row_id long, name string, x0 double, y0 double, m0 double")
+    ref = spark.createDataFrame(
+        [(i, f"n{i}", float(a), float(b), float(c)) for i, (a, b, c) in enumerate(zip(x, y, m))],
+        "row_id long, name string, x0 double, y0 double, m0 double"
+    )
     job = Mosaic({1: lists[1]}, reference=ref, iters=1, dr_tol=2.0, init_guess_mode="name", update_ref_orig=False, calc_trans_inverse=True)
     stars, obs, trans = job.fit()
     kept = stars.where("ref_orig").select("star_id", "x0").collect()
@@ -297,7 +336,10 @@ def test_pair_alignment_and_stitch(spark):
 
 def test_files(spark, tmp_path):
     rows = [(0, "star one"[:4], 12.5, 2010.5, 1.25, 2.5, 0.01, 0.02, 20.0, 0.9, 3, 500.0), (1, "b", 13.5, 2010.5, 3.25, 4.5, 0.03, 0.04, 10.0, 0.8, 2, 50.0)]
-    df = spark.createDataFrame(rows, "row_id long, name string, m double, t double, x double, y double, xe double, ye double, snr double, corr double, n_frames long, flux double")
+    df = spark.createDataFrame(
+        rows,
+        "row_id long, name string, m double, t double, x double, y double, xe double, ye double, snr double, corr double, n_frames long, flux double"
+    )
     catalogs.write_lis(df, str(tmp_path / "a.lis"))
     back = catalogs.read_lis(spark, str(tmp_path / "a.lis")).orderBy("row_id").collect()
     assert [r.name for r in back] == ["star", "b"] and back[1].x == 3.25 and back[0].me == 1 / 20
@@ -322,7 +364,9 @@ def test_files(spark, tmp_path):
 def test_small_helpers(spark):
     f, p = quality.f_test(2.0, 1.0, 10, 20)
     assert f == 2.0 and math.isclose(p, 0.0891, abs_tol=2e-3)
-    assert math.isclose(sky.parse_angle("17:45:40.04", hours=True), 266.41683, abs_tol=1e-4) and math.isclose(sky.parse_angle("-29 00 28.1"), -29.00781, abs_tol=1e-4)
+    assert math.isclose(
+        sky.parse_angle("17:45:40.04", hours=True), 266.41683, abs_tol=1e-4
+    ) and math.isclose(sky.parse_angle("-29 00 28.1"), -29.00781, abs_tol=1e-4)
     df = spark.createDataFrame([(1, None), (2, float("nan")), (3, 5.0), (4, 10.0)], "id long, m double")
     assert {r.id for r in filters.restrict_by_value(df, m_min=5, m_max=20).collect()} == {1, 2, 4}
     with pytest.raises(ValueError):

@@ -79,7 +79,10 @@ def test_transform_files_by_class():
 def test_labels_with_acceleration(spark, tmp_path):
     path = str(tmp_path / "label.dat")
     columns = [c for c in catalogs.LABEL_ACCEL]
-    values = {"name": "s1", "use": "8", "m": 10.0, "x0": 1.0, "y0": 2.0, "x0e": 0.3, "y0e": 0.4, "vx": 100.0, "vy": -200.0, "vxe": 10.0, "vye": 20.0, "ax": 2.0, "ay": 4.0, "axe": 0.2, "aye": 0.1, "t0": 2000.0}
+    values = {
+        "name": "s1", "use": "8", "m": 10.0, "x0": 1.0, "y0": 2.0, "x0e": 0.3, "y0e": 0.4, "vx": 100.0, "vy": -200.0, "vxe": 10.0, "vye": 20.0,
+        "ax": 2.0, "ay": 4.0, "axe": 0.2, "aye": 0.1, "t0": 2000.0
+    }
     with open(path, "w") as f:
         f.write("# " + " ".join(columns) + "\n" + " ".join(str(values.get(c, 0.0)) for c in columns) + "\n")
     r = catalogs.read_label_accel(spark, path, time=2010.0, flip_x=False).first()
@@ -90,7 +93,10 @@ def test_labels_with_acceleration(spark, tmp_path):
 
 def test_catalog_moves_as_a_whole(spark):
     model = models.similarity(10.0, 20.0, math.cos(0.3), math.sin(0.3), 0.5)
-    df = spark.createDataFrame([(1, 5.0, 6.0, 4.0, 3.0, 15.0, 0.1, 0.2, 0.3, 0.4, 1.0, 2.0, 0.01, 0.02)], "id long, x double, y double, x0 double, y0 double, m double, xe double, ye double, x0e double, y0e double, vx double, vy double, vxe double, vye double")
+    df = spark.createDataFrame(
+        [(1, 5.0, 6.0, 4.0, 3.0, 15.0, 0.1, 0.2, 0.3, 0.4, 1.0, 2.0, 0.01, 0.02)],
+        "id long, x double, y double, x0 double, y0 double, m double, xe double, ye double, x0e double, y0e double, vx double, vy double, vxe double, vye double"
+    )
     r = fits.applied(df, {(): model}).first()
     assert all(abs(p - q) < 1e-12 for p, q in zip((r.x, r.y, r.x0, r.y0), (*model.position(5.0, 6.0), *model.position(4.0, 3.0)))) and r.m == 15.5
     assert all(abs(p - q) < 1e-12 for p, q in zip((r.x0e, r.y0e), model.position_error(4.0, 3.0, 0.3, 0.4)))
@@ -137,7 +143,13 @@ def moving_lists(spark, n=60, seed=5):
     out, shift = {}, {0: (0.0, 0.0), 1: (1.0, -0.5), 2: (-0.7, 0.8), 3: (0.4, 0.6)}
     for k, (dx, dy) in shift.items():
         t = 2010.0 + 2 * k
-        rows = [(i, f"n{i}", x + vx * (t - 2010) - dx + rng.gauss(0, 0.01), y + vy * (t - 2010) - dy + rng.gauss(0, 0.01), m + rng.gauss(0, 0.01), 0.01, 0.01, 0.01, t) for i, (x, y, m, vx, vy) in enumerate(stars)]
+        rows = [
+            (
+                i, f"n{i}", x + vx * (t - 2010) - dx + rng.gauss(0, 0.01), y + vy * (t - 2010) - dy + rng.gauss(0, 0.01), m + rng.gauss(0, 0.01),
+                0.01, 0.01, 0.01, t
+            ) for i,
+            (x, y, m, vx, vy) in enumerate(stars)
+        ]
         out[k] = spark.createDataFrame(rows, LIST)
     return stars, out, shift
 
@@ -171,8 +183,14 @@ def test_settings_are_normalised_and_logged(spark, tmp_path):
 
 
 def test_weighting_of_means(spark):
-    obs = spark.createDataFrame([("s", 0, 2000.0, 1.0, 1.0, 10.0, 1.0, 1.0, 0.1), ("s", 1, 2001.0, 3.0, 3.0, 11.0, 2.0, 2.0, 0.3)], "star_id string, list_id long, t double, x double, y double, m double, xe double, ye double, me double")
-    stars = spark.createDataFrame([("s", 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, False)], "star_id string, x0 double, y0 double, m0 double, x0e double, y0e double, m0e double, ref_orig boolean")
+    obs = spark.createDataFrame(
+        [("s", 0, 2000.0, 1.0, 1.0, 10.0, 1.0, 1.0, 0.1), ("s", 1, 2001.0, 3.0, 3.0, 11.0, 2.0, 2.0, 0.3)],
+        "star_id string, list_id long, t double, x double, y double, m double, xe double, ye double, me double"
+    )
+    stars = spark.createDataFrame(
+        [("s", 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, False)],
+        "star_id string, x0 double, y0 double, m0 double, x0e double, y0e double, m0e double, ref_orig boolean"
+    )
     _, lists, _ = moving_lists(spark, 3)
     at = lambda **how: Mosaic(lists, **how).aggregates(stars, obs).first()
     plain = -2.5 * math.log10((10**-4 + 10**-4.4) / 2)
@@ -186,5 +204,7 @@ def test_two_catalogs_with_trims(spark):
     same = models.polynomial([0.0, 1.0, 0.0], [0.0, 0.0, 1.0])
     model, found = pair_alignment(ref, lst, [(1, 4.0), (1, 2.0)], 0.3, start=same, area=((20.0, 380.0), (20.0, 380.0)), mag_lim=(None, 17.5), sigma=3.0)
     both = two_columns(ref, lst, model, found)
-    assert found.count() > 45 and both.count() == 2 * found.count() and set(both.columns) == {"star_id", "name", "list_id", "x", "y", "m", "xe", "ye", "me", "t", "snr"}
+    assert found.count() > 45 and both.count() == 2 * found.count() and set(both.columns) == {
+        "star_id", "name", "list_id", "x", "y", "m", "xe", "ye", "me", "t", "snr"
+    }
     assert both.where("list_id = 1 and snr = 1").count() == found.count() and found.where("id_1 <> id_2").count() == 0
