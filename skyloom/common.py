@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -83,3 +83,22 @@ def free_name(df: DataFrame, base: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def exact_median(df: DataFrame, by: list[str], value: Column, name: str = "median") -> DataFrame:
+    """(by..., name): the median of each group without any group in one task's memory.
+
+    Approximate quantiles bracket the middle; the values below are counted, and only the fiftieth of a group within the bracket is ordered.
+    NULLs don't count; a group without values, or of a NULL key, has no row; without groups an empty table has the median NULL.
+    """
+    rows = df.select(*by, value.alias("_v")).where("_v is not null")
+    ends = rows.groupBy(*by).agg(F.percentile_approx("_v", [0.49, 0.51], 1000).alias("_q"), F.count("*").alias("_n"))
+    at = (rows.join(ends, by) if by else rows.crossJoin(F.broadcast(ends))).withColumns({"_lo": F.col("_q")[0], "_hi": F.col("_q")[1]})
+    below = at.groupBy(*by).agg(F.sum((F.col("_v") < F.col("_lo")).cast("long")).alias("_below"))
+    middle = at.where("_v >= _lo and _v <= _hi").select(*by, "_v", "_n")
+    # without a group all rows are one: ranked by value all the same, as there are few of them left
+    rank = F.row_number().over((Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_v")) - 1
+    ranked = middle.withColumn("_r", rank)
+    placed = (ranked.join(below, by) if by else ranked.crossJoin(F.broadcast(below))).withColumn("_k", F.col("_r") + F.col("_below"))
+    mid = placed.where((F.col("_k") == F.floor((F.col("_n") - 1) / 2)) | (F.col("_k") == F.floor(F.col("_n") / 2)))
+    return mid.groupBy(*by).agg(F.avg("_v").alias(name))

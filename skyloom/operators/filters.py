@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.common import finite, present
+from skyloom.common import exact_median, finite, present
 
 
 def outside(c: Column, low=None, high=None) -> Column:
@@ -156,7 +156,7 @@ def epoch_subset(obs: DataFrame, stars: DataFrame, lists: list[int], used: str =
     always = own.groupBy("star_id").agg(F.min(F.col(used).cast("int")).alias("_all"))
     off = own.join(stars.select("star_id", "m0"), "star_id").join(always, "star_id").withColumn("_d", finite("m0") - finite("m"))
     good = off.where((F.col("_all") == 1) & F.col("_d").isNotNull())
-    spread = good.groupBy("list_id").agg(F.median("_d").alias("_m"), F.stddev_pop("_d").alias("_s"))
+    spread = exact_median(good, ["list_id"], F.col("_d"), "_m").join(good.groupBy("list_id").agg(F.stddev_pop("_d").alias("_s")), "list_id")
     zero = good.join(F.broadcast(spread), "list_id").where(
         F.abs(F.col("_d") - F.col("_m")) <= sigma * F.col("_s")
     ).groupBy("list_id").agg(F.avg("_d").alias("zero_point"))

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.common import finite
+from skyloom.common import exact_median, finite
 from skyloom.functions.models import Transform
 
 # --- pairs: x, y, m, xe, ye (transformed list) against x_ref, y_ref, m_ref, xe_ref, ye_ref
@@ -254,10 +254,10 @@ def chi2_medians(per_star: DataFrame, n_detect: int | None = None) -> DataFrame:
     """Medians of the reduced chi squares (of stars with so many detections)."""
     s = per_star.where(F.col("dof") > 0)
     s = s.where(F.col("n_detect") == n_detect) if n_detect else s
-    return s.agg(
-        F.count("*").alias("n"), F.median(F.col("chi2_x") / F.col("dof")).alias("red_chi2_x"),
-        F.median(F.col("chi2_y") / F.col("dof")).alias("red_chi2_y")
-    )
+    out = s.agg(F.count("*").alias("n"))  # one row each
+    for c in "xy":
+        out = out.join(F.broadcast(exact_median(s, [], F.col(f"chi2_{c}") / F.col("dof"), f"red_chi2_{c}")), how="left", on=F.lit(True))
+    return out
 
 
 def chi2_mag_per_star(m: DataFrame, compat: bool = False) -> DataFrame:

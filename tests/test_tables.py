@@ -208,3 +208,19 @@ def test_two_catalogs_with_trims(spark):
         "star_id", "name", "list_id", "x", "y", "m", "xe", "ye", "me", "t", "snr"
     }
     assert both.where("list_id = 1 and snr = 1").count() == found.count() and found.where("id_1 <> id_2").count() == 0
+
+
+def test_exact_median(spark):
+    rng = random.Random(3)
+    rows = [(g, rng.choice([rng.gauss(0, 1), 0.5, None]), 1) for g, n in ((1, 5001), (2, 4000), (3, 1), (4, 2)) for _ in range(n)] + [(5, None, 1), (6, 7.0, 1), (6, 7.0, 1)]
+    df = spark.createDataFrame(rows, "g long, v double, median int")
+    want = {}
+    for g in {r[0] for r in rows}:
+        v = sorted(r[1] for r in rows if r[0] == g and r[1] is not None)
+        if v:
+            want[g] = (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2
+    got = {r.g: r.median for r in common.exact_median(df, ["g"], F.col("v")).collect()}
+    assert got == want
+    every = sorted(r[1] for r in rows if r[1] is not None)
+    assert common.exact_median(df, [], F.col("v")).first()["median"] == (every[(len(every) - 1) // 2] + every[len(every) // 2]) / 2
+    assert common.exact_median(df.limit(0), ["g"], F.col("v")).count() == 0 and common.exact_median(df.limit(0), [], F.col("v")).first()["median"] is None
