@@ -16,12 +16,17 @@ from skyloom.common import finite
 FLUX = math.log(10) / 2.5
 
 
+#: Types whose values an aggregate keeps in place, so that it hashes and needn't sort.
+PLAIN = ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz")
+
+
 def distinct_readings(obs: DataFrame, key: str = "obs_id") -> DataFrame:
     """One row for each (star_id, list_id): of repeated ones that with the least key."""
     rest = [c for c in obs.columns if c not in ("star_id", "list_id")]
-    return obs.groupBy("star_id", "list_id").agg(
-        F.min_by(F.struct(*rest), F.coalesce(F.col(key), F.lit(2**62))).alias("_r")
-    ).select("star_id", "list_id", *(F.col(f"_r.{c}").alias(c) for c in rest))
+    order, group = F.coalesce(F.col(key), F.lit(2**62)), obs.groupBy("star_id", "list_id")
+    if all(t in PLAIN for c, t in obs.dtypes if c in rest):
+        return group.agg(*(F.min_by(c, order).alias(c) for c in rest))
+    return group.agg(F.min_by(F.struct(*rest), order).alias("_r")).select("star_id", "list_id", *(F.col(f"_r.{c}").alias(c) for c in rest))
 
 
 def _median(a: Column) -> Column:
