@@ -312,6 +312,12 @@ class Items:
         For each place (i, j) and number of altered words the longest passage of own words that ends there.
         """
         item, own = self.numbers[k], self.own[k]
+        # at least so many words of the stretch that a passage spans must be alike to one of the item's on these diagonals
+        met = [0]
+        for j, same in enumerate(text):
+            met.append(met[-1] + (bool(same) and not same.isdisjoint(item[max(0, j + shift) : max(0, j + shift + BAND)])))
+        if all(b - a < WORDS - BUDGET for a, b in zip(met, met[min(REACH + 1, len(text)) :])):
+            return False
         none = (0,) * (BUDGET + 1)
         last: dict[int, tuple[int, ...]] = {}
         for j, same in enumerate(text):
