@@ -30,9 +30,14 @@ def query(sql: str | None = None):
     return add
 
 
+#: Beyond this size (bad readings reach 1e9) doubles have fewer sure digits: they are rounded to at most COARSE.
+LARGE, COARSE = 1e5, 4
+
+
 def near(v: Column, digits: int) -> Column:
     """The value rounded, so that the order of sums doesn't show; -0 as 0."""
-    return F.round(v, digits) + F.lit(0.0)
+    fine = F.round(v, digits)
+    return (F.when(F.abs(v) > LARGE, F.round(v, COARSE)).otherwise(fine) if digits > COARSE else fine) + F.lit(0.0)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -44,7 +49,8 @@ def fin(c: str) -> str:
 
 
 def rnd(e: str, name: str, digits: int = 6) -> str:
-    return f"round({e}, {digits}) + 0.0 as {name}"
+    fine = f"round({e}, {digits})"
+    return f"(case when abs({e}) > {LARGE} then round({e}, {COARSE}) else {fine} end) + 0.0 as {name}" if digits > COARSE else f"{fine} + 0.0 as {name}"
 
 
 # --- inputs: stars without re-sent rows, readings one an epoch, pairs of readings and their stars
