@@ -74,31 +74,80 @@ def combine_lists(
     v = finite(col)
     if mask_val is not None:
         v = F.when(F.abs(v - mask_val) > 1e-8 + 1e-5 * abs(mask_val), v)
-    flux = F.pow(F.lit(10.0), -v / 2.5) if ismag else v
-    if weights:
-        e = finite(weights) * flux * FLUX if ismag else finite(weights)
-        w = F.when(e != 0, 1 / (e * e))
-    else:
-        e, w = F.lit(None).cast("double"), F.lit(1.0)
+    flux, e, w = _terms(v, finite(weights) if weights else None, ismag)
     rows = obs.select("star_id", "list_id", flux.alias("v"), w.alias("w"), e.alias("e"))
     usable = F.col("v").isNotNull() & F.col("w").isNotNull()
     if mask_lists:
         usable = usable & ~F.col("list_id").isin(mask_lists)
     stars = rows.groupBy("star_id").agg(F.collect_list(F.when(usable, F.struct("v", "w"))).alias("a"), F.avg("e").alias("e"))
-    kept = clip_rounds(F.col("a"), sigma) if sigma else F.col("a")
-    stars = stars.withColumn("a", kept)
-    sw = _total(F.col("a"), lambda r: r["w"])
-    mean = F.when(F.size("a") > 0, _total(F.col("a"), lambda r: r["w"] * r["v"]) / sw)
-    stars = stars.withColumn("mean", mean).withColumn(
-        "var", F.when(F.size("a") > 0, _total_with(F.col("a"), F.col("mean")) / _total(F.col("a"), lambda r: r["w"]))
-    )
-    err = F.sqrt(F.greatest("var", F.lit(0.0)))
-    if weights:
-        err = F.when(F.size("a") == 1, F.col("e")).otherwise(err)
-    out, oe = F.col("mean"), err
+    if sigma:
+        stars = stars.withColumn("a", clip_rounds(F.col("a"), sigma))
+    stars = stars.withColumn("mean", _mean(F.col("a"))).withColumn("var", _variance(F.col("a"), F.col("mean")))
+    out, err = _told(F.col("a"), F.col("mean"), F.col("var"), F.col("e") if weights else None, ismag)
+    return stars.select("star_id", out.alias(f"{col}0"), err.alias(f"{col}0e"), F.size("a").alias("n"))
+
+
+def _terms(v: Column, error: Column | None, ismag: bool) -> tuple[Column, Column, Column]:
+    """Of a reading what is averaged (a magnitude's flux), its error and its weight."""
+    flux = F.pow(F.lit(10.0), -v / 2.5) if ismag else v
+    if error is None:
+        return flux, F.lit(None).cast("double"), F.lit(1.0)
+    e = error * flux * FLUX if ismag else error
+    return flux, e, F.when(e != 0, 1 / (e * e))
+
+
+def _mean(a: Column) -> Column:
+    return F.when(F.size(a) > 0, _total(a, lambda r: r["w"] * r["v"]) / _total(a, lambda r: r["w"]))
+
+
+def _variance(a: Column, mean: Column) -> Column:
+    return F.when(F.size(a) > 0, _total_with(a, mean) / _total(a, lambda r: r["w"]))
+
+
+def _told(a: Column, mean: Column, var: Column, e: Column | None, ismag: bool) -> tuple[Column, Column]:
+    """The mean and its spread, those of fluxes as magnitudes; of a single reading with an error (``e``) that instead of the spread."""
+    err = F.sqrt(F.greatest(var, F.lit(0.0)))
+    if e is not None:
+        err = F.when(F.size(a) == 1, e).otherwise(err)
     if ismag:
-        out, oe = -2.5 * F.log10("mean"), err / FLUX / F.col("mean")
-    return stars.select("star_id", out.alias(f"{col}0"), F.when(F.size("a") > 0, oe).alias(f"{col}0e"), F.size("a").alias("n"))
+        mean, err = -2.5 * F.log10(mean), err / FLUX / mean
+    return mean, F.when(F.size(a) > 0, err)
+
+
+#: A star's readings so far as a column of the star: what its means and motion take.
+HELD = "array<struct<list_id: bigint, t: double, x: double, xe: double, y: double, ye: double, m: double, me: double>>"
+
+
+def held(df: DataFrame) -> DataFrame:
+    """(star_id, readings): the readings of each star in an array."""
+    cols = [F.col(c).cast("long" if c == "list_id" else "double").alias(c) for c in ("list_id", "t", "x", "xe", "y", "ye", "m", "me")]
+    return df.groupBy("star_id").agg(F.collect_list(F.struct(*cols)).alias("readings"))
+
+
+def means_of_held(stars: DataFrame, readings: str, weighted: bool, keep_original: bool, sigma: float = 3.0) -> DataFrame:
+    """The stars with x0, y0, m0 and their errors combined, as by combine_lists, from an array of readings (HELD); without an array they stay."""
+
+    def terms(c: str) -> Column:
+        of = lambda r: _terms(finite(r[c]), finite(r[f"{c}e"]) if weighted else None, c == "m")
+        return F.transform(readings, lambda r: F.struct(*(p.alias(n) for p, n in zip(of(r), ("v", "e", "w")))))
+
+    out, errors = stars.withColumns({f"_a{c}": terms(c) for c in "xym"}), {}
+    for c in "xym":
+        a, e = F.col(f"_a{c}"), F.filter(F.transform(f"_a{c}", lambda r: r["e"]), lambda e: e.isNotNull())
+        errors[f"_e{c}"] = F.when(F.size(e) > 0, _total(e, lambda v: v) / F.size(e))
+        usable = F.filter(a, lambda r: r["v"].isNotNull() & r["w"].isNotNull())
+        errors[f"_a{c}"] = F.transform(usable, lambda r: F.struct(r["v"].alias("v"), r["w"].alias("w")))
+    out = out.withColumns(errors)
+    out = out.withColumns({f"_a{c}": clip_rounds(F.col(f"_a{c}"), sigma) for c in "xym"})
+    out = out.withColumns({f"_m{c}": _mean(F.col(f"_a{c}")) for c in "xym"})
+    out = out.withColumns({f"_v{c}": _variance(F.col(f"_a{c}"), F.col(f"_m{c}")) for c in "xym"})
+    keep = F.coalesce(F.col("ref_orig"), F.lit(False)) if keep_original else F.lit(False)
+    new = {}
+    for c in "xym":
+        told = _told(*(F.col(f"_{k}{c}") for k in "amv"), F.col(f"_e{c}") if weighted else None, c == "m")
+        for name, v in zip((f"{c}0", f"{c}0e"), told):
+            new[name] = F.when(keep, F.col(name)).otherwise(F.coalesce(v, F.col(name)))
+    return out.select(*(new[c].alias(c) if c in new else c for c in stars.columns))
 
 
 def _total_with(a: Column, mean: Column) -> Column:

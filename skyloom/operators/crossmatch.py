@@ -18,30 +18,50 @@ from skyloom.functions.models import Transform
 from skyloom.operators.hot import hot_keys, salted
 
 
-def range_join(a: DataFrame, b: DataFrame, radius: float, by: list[str] | None = None) -> DataFrame:
+def _placed(df: DataFrame, n: int, cols: list[str]) -> DataFrame:
+    """The rows that can match, with the columns ``cols``."""
+    return df.select(
+        *cols, F.col("id").alias(f"id_{n}"), finite("x").alias(f"x_{n}"), finite("y").alias(f"y_{n}"), finite("m").alias(f"m_{n}")
+    ).where(f"id_{n} is not null and x_{n} is not null and y_{n} is not null")
+
+
+def _cell(c: Column, radius: float) -> Column:
+    return F.floor(c / (2.0 * radius if radius > 0 else 1.0))
+
+
+def hot_cells(a: DataFrame, radius: float, by: list[str] | None = None) -> DataFrame | None:
+    """The cells with very many rows of a, for range_join."""
+    left = _placed(a, 1, by or []).withColumns({"_cx": _cell(F.col("x_1"), radius), "_cy": _cell(F.col("y_1"), radius)})
+    return hot_keys(left, [*(by or []), "_cx", "_cy"])
+
+
+def range_join(
+    a: DataFrame, b: DataFrame, radius: float, by: list[str] | None = None, carry: tuple[list[str], list[str]] = ([], []),
+    hot: DataFrame | bool | None = True
+) -> DataFrame:
     """Pairs of rows of a (id_1, x_1, y_1, m_1) and b (id_2, ...) with equal ``by`` columns at most ``radius`` apart, with d2.
 
-    b is put into every cell its disc touches, a stays in its own.
+    b is put into every cell its disc touches, a stays in its own. If b lacks columns of ``by``, its rows belong to each of a's groups.
+    ``carry``: further columns of a and of b that come along. ``hot``: the hot cells where they are known, None where there are none.
     """
     by = by or []
-    side, reach = 2.0 * radius if radius > 0 else 1.0, radius * (1 + 1e-9)
-    cell = lambda c: F.floor(c / side)
-    one = lambda df, n: df.select(
-        *by, F.col("id").alias(f"id_{n}"), finite("x").alias(f"x_{n}"), finite("y").alias(f"y_{n}"), finite("m").alias(f"m_{n}")
-    ).where(f"id_{n} is not null and x_{n} is not null and y_{n} is not null")
-    left = one(a, 1).withColumns({"_cx": cell(F.col("x_1")), "_cy": cell(F.col("y_1"))})
-    span = lambda c: F.explode(F.sequence(cell(F.col(c) - reach), cell(F.col(c) + reach)))
-    right = one(b, 2).withColumn("_cx", span("x_2")).withColumn("_cy", span("y_2"))
-    keys = [*by, "_cx", "_cy"]
-    left, right, keys = salted(left, right, keys, F.col("id_1"), hot_keys(left, keys))
+    shared, reach = [c for c in by if c in b.columns], radius * (1 + 1e-9)
+    left = _placed(a, 1, [*by, *carry[0]]).withColumns({"_cx": _cell(F.col("x_1"), radius), "_cy": _cell(F.col("y_1"), radius)})
+    span = lambda c: F.explode(F.sequence(_cell(F.col(c) - reach, radius), _cell(F.col(c) + reach, radius)))
+    right = _placed(b, 2, [*shared, *carry[1]]).withColumn("_cx", span("x_2")).withColumn("_cy", span("y_2"))
+    keys = [*shared, "_cx", "_cy"]
+    left, right, keys = salted(left, right, keys, F.col("id_1"), hot_keys(left, keys) if hot is True else hot)
     dx, dy = F.col("x_1") - F.col("x_2"), F.col("y_1") - F.col("y_2")
     return left.join(right, keys).withColumn("d2", dx * dx + dy * dy).where(F.col("d2") <= float(radius) ** 2).drop("_cx", "_cy", "_salt")
 
 
-def cross_match(a: DataFrame, b: DataFrame, dr_tol: float, dm_tol: float | None = None, by: list[str] | None = None, metric: str = "euclid") -> DataFrame:
-    """(by..., id_1, id_2, dr, dm): the unconfused matches. ``metric`` "x_only" ranks several candidates by |dx| alone."""
+def cross_match(
+    a: DataFrame, b: DataFrame, dr_tol: float, dm_tol: float | None = None, by: list[str] | None = None, metric: str = "euclid",
+    carry: tuple[list[str], list[str]] = ([], []), hot: DataFrame | bool | None = True
+) -> DataFrame:
+    """(by..., id_1, id_2, dr, dm, carried columns): the unconfused matches. ``metric`` "x_only" ranks several candidates by |dx| alone."""
     by = by or []
-    c = range_join(a, b, dr_tol, by).withColumn("dm", F.col("m_1") - F.col("m_2")).withColumn("adm", F.abs("dm")).withColumn("dr", F.sqrt("d2"))
+    c = range_join(a, b, dr_tol, by, carry, hot).withColumn("dm", F.col("m_1") - F.col("m_2")).withColumn("adm", F.abs("dm")).withColumn("dr", F.sqrt("d2"))
     c = c.withColumn("near", F.abs(F.col("x_1") - F.col("x_2")) if metric == "x_only" else F.col("dr"))
     if dm_tol is not None:
         c = c.where(F.col("adm") <= dm_tol)
@@ -55,7 +75,7 @@ def cross_match(a: DataFrame, b: DataFrame, dr_tol: float, dm_tol: float | None
     own = both(c, "id_1", "id_2", "near")
     if dm_tol is not None:
         own = own.where(F.col("adm") < dm_tol)
-    return both(own, "id_2", "id_1", "dr").select(*by, "id_1", "id_2", "dr", "dm")
+    return both(own, "id_2", "id_1", "dr").select(*by, "id_1", "id_2", "dr", "dm", *carry[0], *carry[1])
 
 
 def transform_and_match(

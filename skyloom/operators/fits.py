@@ -219,9 +219,9 @@ def _residuals(pairs: DataFrame, fits: Fit, by: list[str]) -> DataFrame:
     return moved.withColumns({"_dx": F.col("x_ref") - F.col("x"), "_dy": F.col("y_ref") - F.col("y"), "x": F.col("_x"), "y": F.col("_y")}).drop("_x", "_y")
 
 
-def outlier_rejection(pairs: DataFrame, tol: float, by: list[str] | None = None) -> DataFrame:
-    """Pairs whose distance from the reference is below ``tol`` times the distances' population spread (about their own mean)."""
-    r = F.sqrt((F.col("x_ref") - F.col("x")) ** 2 + (F.col("y_ref") - F.col("y")) ** 2)
+def outlier_rejection(pairs: DataFrame, tol: float, by: list[str] | None = None, distance: str | None = None) -> DataFrame:
+    """Pairs whose distance from the reference (``distance`` if there is such a column) is below ``tol`` times the distances' population spread (about their own mean)."""
+    r = F.col(distance) if distance else F.sqrt((F.col("x_ref") - F.col("x")) ** 2 + (F.col("y_ref") - F.col("y")) ** 2)
     return _rejected(pairs, r, tol, by or [], strict=True)
 
 

@@ -11,13 +11,21 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.common import checkpointed, finite, released
 from skyloom.functions import models
 from skyloom.functions.models import Transform
 from skyloom.operators import combine, crossmatch, filters, fits, motion, triangles
+from skyloom.operators.hot import HOT_ROWS
+
+#: What a fit takes of either side of a match.
+FITTED = ("x", "y", "m", "xe", "ye")
+
+
+def none_held() -> Column:
+    return F.array().cast(combine.HELD)
 
 
 def per_iteration(value, n: int, name: str) -> list:
@@ -57,6 +65,7 @@ class Mosaic:
     iter_callback: Callable | None = None
     trans: dict[int, Transform] = field(default_factory=dict)
     trans_inverse: dict[int, Transform] = field(default_factory=dict)
+    _written: dict[int, tuple[DataFrame, float, int]] = field(default_factory=dict, init=False, repr=False)
 
     def __post_init__(self) -> None:
         if not self.lists:
@@ -74,7 +83,7 @@ class Mosaic:
 
     def settings(self) -> dict:
         """The settings as plain values, for the log of a run."""
-        plain = {k: v for k, v in vars(self).items() if k not in ("lists", "reference", "iter_callback", "trans", "trans_inverse")}
+        plain = {k: v for k, v in vars(self).items() if k not in ("lists", "reference", "iter_callback", "trans", "trans_inverse", "_written")}
         models_ = {k: {"kind": t.kind, "coefficients": t.coefficients, "mag_offset": t.mag_offset} for k, t in (self.trans_input or {}).items()}
         return plain | {"lists": list(self.lists), "to_reference": self.reference is not None, "trans_input": models_}
 
@@ -123,66 +132,73 @@ class Mosaic:
         r = ref.select(F.col("star_id").alias("id_1"), "use_in_trans", *(F.col(c).alias(f"{c}_ref") for c in ("x", "y", "m", "xe", "ye")))
         return matches.select("id_1", "id_2").join(r, "id_1").join(lst.withColumnRenamed("id", "id_2"), "id_2")
 
-    def one_pass(self, stars: DataFrame, obs: list[DataFrame] | None, lst_id: int, it: int) -> tuple[DataFrame, list[DataFrame]]:
-        """Fit one list to the stars and take its readings in."""
-        lst = checkpointed(self._std(self.lists[lst_id], lst_id))
-        t = lst.agg(F.min_by("t", "id")).first()[0] or 0.0
+    def _read(self, lst_id: int) -> tuple[DataFrame, float, int]:
+        """A list in its usual form, written once for all passes, with its time and its rows."""
+        if lst_id not in self._written:
+            lst = checkpointed(self._std(self.lists[lst_id], lst_id))
+            t, n = lst.agg(F.min_by("t", "id"), F.count("*")).first()
+            self._written[lst_id] = lst, t or 0.0, n
+        return self._written[lst_id]
+
+    def one_pass(self, stars: DataFrame, lst_id: int, it: int) -> DataFrame:
+        """Fit one list to the stars (which hold their readings of this iteration) and take its readings in."""
+        lst, t, n = self._read(lst_id)
         ref = self._reference_at(stars, t)
         trimmed_ref = filters.mag_lim_as_flag(ref, *(self.ref_mag_lim or (None, None)))
         trimmed = filters.apply_mag_lim(lst, *((self.mag_lim or {}).get(lst_id) or (None, None)))
         model = self.trans.get(lst_id) or (self.trans_input or {}).get(lst_id) or self.guess(trimmed_ref.where("use_in_trans"), trimmed)
         dr, dm = per_iteration(self.dr_tol, self.iters, "dr_tol")[it], per_iteration(self.dm_tol, self.iters, "dm_tol")[it]
         tol, order = per_iteration(self.outlier_tol, self.iters, "outlier_tol")[it], per_iteration(self.order, self.iters, "order")[it]
-        a = ref.select(F.col("star_id").alias("id"), "x", "y", "m")
-        moved = fits.applied(trimmed, {(): model})
-        pairs = self._pairs(
-            trimmed_ref, trimmed, crossmatch.cross_match(moved, a, dr, dm).select(F.col("id_2").alias("id_1"), F.col("id_1").alias("id_2"))
-        ).where("use_in_trans")
-        if tol is not None:
-            there = fits.applied(pairs.withColumns({"_x": F.col("x"), "_y": F.col("y")}), {(): model})
-            kept = fits.outlier_rejection(there, tol).select("id_2")
-            pairs = pairs.join(kept, "id_2", "left_semi")
-        pairs = checkpointed(fits.with_weight(pairs, self.weights))
+        a = trimmed_ref.select(F.col("star_id").alias("id"), "x", "y", "m", "use_in_trans", *(F.col(c).alias(f"{c}_ref") for c in FITTED))
+        moved = fits.applied(trimmed.withColumns({f"{c}_own": F.col(c) for c in FITTED}), {(): model})
+        # the matches carry what the fit takes, so nothing is joined to them
+        hot = crossmatch.hot_cells(moved, dr) if n > HOT_ROWS else None
+        carry = [f"{c}_own" for c in FITTED], ["use_in_trans", *(f"{c}_ref" for c in FITTED)]
+        matches = checkpointed(crossmatch.cross_match(moved, a, dr, dm, carry=carry, hot=hot).where("use_in_trans"))
+        pairs = matches if tol is None else fits.outlier_rejection(matches, tol, distance="dr")
+        pairs = fits.with_weight(pairs.withColumnsRenamed({f"{c}_own": c for c in FITTED}), self.weights)
         used = fits.fit(pairs, order, mag_trans=self.mag_trans)
         model = used.get((), model)
         self.trans[lst_id] = model
         if self.calc_trans_inverse:
             self.trans_inverse[lst_id] = fits.fit_inverse(pairs, order)[()]
-        moved = checkpointed(fits.applied(lst.withColumns({f"{c}_orig": F.col(c) for c in ("x", "y", "m")}), {(): model}))
-        found = crossmatch.cross_match(moved, a, dr, dm).select(F.col("id_1").alias("id"), F.col("id_2").alias("star_id"))
-        return self._take_in(stars, obs, moved, checkpointed(found), pairs.select(F.col("id_2").alias("id")))
+        moved = fits.applied(lst, {(): model})
+        # the fit moves a list by about the tolerance: where no cell was hot none becomes so
+        found = crossmatch.cross_match(moved, a, dr, dm, hot=True if hot is not None else None).select(F.col("id_1").alias("id"), F.col("id_2").alias("star_id"))
+        out = self._take_in(stars, checkpointed(moved.join(found, "id", "left")))
+        released(matches)
+        return out
 
     def _reference_at(self, stars: DataFrame, t: float) -> DataFrame:
         s = stars if self.use_vel else stars.withColumns({c: F.lit(None).cast("double") for c in ("vx", "vy", "vxe", "vye")})
         return filters.reference_at(s, t)
 
-    def _take_in(self, stars, obs, moved, found, used):
-        rows = moved.join(found, "id").join(
-            used.withColumn("_used", F.lit(True)), "id", "left"
-        ).withColumn("used_in_trans", F.coalesce("_used", F.lit(False))).drop("_used")
-        cols = [
-            "star_id", "list_id", "x", "y", "m", "xe", "ye", "me", "t", "x_orig", "y_orig", "m_orig", "used_in_trans",
-            F.col("name").alias("name_in_list"), F.col("id").alias("obs_id")
-        ]
-        fresh = crossmatch.unmatched(moved, found, "id", "id")
-        new_id = F.concat(F.lit("n"), F.col("list_id"), F.lit("_"), F.col("id"))
-        fresh = fresh.withColumn("star_id", new_id).withColumn("used_in_trans", F.lit(False))
+    def _take_in(self, stars: DataFrame, readings: DataFrame) -> DataFrame:
+        """The stars with a list's readings (star_id NULL where they match none) and the new stars among those."""
+        fresh = F.col("star_id").isNull()
+        readings_of = readings.withColumn("star_id", F.when(fresh, F.concat(F.lit("n"), F.col("list_id"), F.lit("_"), F.col("id"))).otherwise(F.col("star_id")))
         none = F.lit(None).cast("double")
-        new_stars = fresh.select(
-            "star_id", crossmatch.new_name(F.col("list_id"), F.col("name")).alias("name"), F.col("x").alias("x0"), F.col("y").alias("y0"),
-            F.col("m").alias("m0"), F.col("xe").alias("x0e"), F.col("ye").alias("y0e"), F.col("me").alias("m0e"),
-            *(none.alias(c) for c in ("vx", "vy", "vxe", "vye")), F.col("t").alias("t0"), F.lit(self.use_ref_new).alias("use_in_trans"),
-            F.lit(False).alias("ref_orig")
+        new_stars = readings.where(fresh).select(
+            F.concat(F.lit("n"), F.col("list_id"), F.lit("_"), F.col("id")).alias("star_id"), crossmatch.new_name(F.col("list_id"), F.col("name")).alias("name"),
+            F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("m").alias("m0"), F.col("xe").alias("x0e"), F.col("ye").alias("y0e"),
+            F.col("me").alias("m0e"), *(none.alias(c) for c in ("vx", "vy", "vxe", "vye")), F.col("t").alias("t0"),
+            F.lit(self.use_ref_new).alias("use_in_trans"), F.lit(False).alias("ref_orig"), none_held().alias("readings")
         )
-        readings = rows.select(*cols).unionByName(fresh.select(*cols))
-        # each list's readings are written once; what is read again is only the columns that the means take
-        obs = [*(obs or []), checkpointed(readings)]
-        grown = stars.unionByName(new_stars)
-        if self.update_ref_orig != "periter":
-            grown = self.aggregates(grown, _together(obs))
+        # a star keeps its readings with it: only those that this list shows are combined anew
+        grown = stars.unionByName(new_stars).join(combine.held(readings_of).withColumnRenamed("readings", "_more"), "star_id", "left")
+        grown = grown.withColumn("readings", F.when(F.col("_more").isNull(), F.col("readings")).otherwise(F.concat("readings", "_more")))
+        before = None
+        if self.update_ref_orig == "periter":
+            grown = grown.drop("_more")
+        elif self.use_vel:
+            before = checkpointed(grown.drop("_more"))
+            grown = self.aggregates(before, before.select("star_id", F.inline("readings")))
+        else:
+            grown = grown.withColumn("_shown", F.when(F.col("_more").isNotNull(), F.col("readings")))
+            grown = combine.means_of_held(grown, "_shown", self.weighting is not None, self.update_ref_orig is False).drop("_more", "_shown")
         out = checkpointed(grown)
-        released(stars, moved, found)
-        return out, obs
+        released(stars, readings, before)
+        return out
 
     def aggregates(self, stars: DataFrame, obs: DataFrame) -> DataFrame:
         """The stars' places, magnitudes and (if asked for) motions from their readings so far."""
@@ -199,19 +215,24 @@ class Mosaic:
 
     def fit(self) -> tuple[DataFrame, DataFrame, dict[int, Transform]]:
         """(stars, readings, transforms)."""
-        stars, obs = checkpointed(self._seed()), None
+        stars = checkpointed(self._seed())
         for it in range(self.iters):
-            obs = None
+            begun, stars = stars, stars.withColumn("readings", none_held())
             for lst in self.lists:
-                stars, obs = self.one_pass(stars, obs, lst, it)
-            counts = filters.detections(_together(obs))
-            before, stars = stars, checkpointed(filters.drop_undetected(stars, counts, keep_original=self.reference is not None).drop("n_detect"))
-            released(before, *obs)
+                stars = self.one_pass(stars, lst, it)
+            released(begun)
+            shown = F.size(F.filter("readings", lambda r: finite(r["x"]).isNotNull())) > 0
+            if self.reference is not None:
+                shown = shown | F.coalesce("ref_orig", F.lit(False))
+            before, stars = stars, checkpointed(stars.where(shown).drop("readings"))
+            released(before)
             if self.iter_callback:
                 self.iter_callback(stars, it)
         obs = self.match_lists(stars, per_iteration(self.dr_tol, self.iters, "dr_tol")[-1], per_iteration(self.dm_tol, self.iters, "dm_tol")[-1])
         stars = self.aggregates(stars, obs)
         stars = checkpointed(filters.drop_undetected(stars, filters.detections(obs)))
+        released(*(lst for lst, _, _ in self._written.values()))
+        self._written.clear()
         if self.iter_callback:
             self.iter_callback(stars, self.iters)
         return stars, obs, self.trans
@@ -219,28 +240,26 @@ class Mosaic:
     def match_lists(self, stars: DataFrame, dr_tol: float, dm_tol: float | None) -> DataFrame:
         """The final match of all lists at once, each against the stars at its own time, without new stars."""
         every, refs = None, None
-        for lst_id, df in self.lists.items():
-            lst = self._std(df, lst_id)
-            t = lst.agg(F.min_by("t", "id")).first()[0] or 0.0
+        for lst_id in self.lists:
+            lst, t, _ = self._read(lst_id)
             moved = fits.applied(lst.withColumns({f"{c}_orig": F.col(c) for c in ("x", "y", "m")}), {(): self.trans[lst_id]})
-            ref = self._reference_at(stars, t).select(F.lit(lst_id).cast("long").alias("list_id"), F.col("star_id").alias("id"), "x", "y", "m")
-            every, refs = (moved if every is None else every.unionByName(moved)), (ref if refs is None else refs.unionByName(ref))
+            every = moved if every is None else every.unionByName(moved)
+            if self.use_vel:
+                ref = self._reference_at(stars, t).select(F.lit(lst_id).cast("long").alias("list_id"), F.col("star_id").alias("id"), "x", "y", "m")
+                refs = ref if refs is None else refs.unionByName(ref)
+        if not self.use_vel:  # the stars are in the same place for all lists
+            refs = self._reference_at(stars, 0.0).select(F.col("star_id").alias("id"), "x", "y", "m")
         every = checkpointed(every)
         found = crossmatch.cross_match(every, refs, dr_tol, dm_tol, by=["list_id"])
         rows = every.join(found.select("list_id", F.col("id_1").alias("id"), F.col("id_2").alias("star_id")), ["list_id", "id"])
-        return checkpointed(
+        out = checkpointed(
             rows.select(
                 "star_id", "list_id", "x", "y", "m", "xe", "ye", "me", "t", "x_orig", "y_orig", "m_orig", F.col("name").alias("name_in_list"),
                 F.col("id").alias("obs_id")
             )
         )
-
-
-def _together(obs: list[DataFrame]) -> DataFrame:
-    out = obs[0]
-    for df in obs[1:]:
-        out = out.unionByName(df)
-    return out
+        released(every)
+        return out
 
 
 def bootstrap_errors(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skyloom import common
 from skyloom.functions import models
-from skyloom.operators import fits, motion, quality, sky, tables
+from skyloom.operators import combine, crossmatch, fits, motion, quality, sky, tables
 from skyloom.plans.mosaic import Mosaic, pair_alignment, two_columns
 from skyloom.sources import catalogs
 
@@ -224,3 +224,34 @@ def test_exact_median(spark):
     every = sorted(r[1] for r in rows if r[1] is not None)
     assert common.exact_median(df, [], F.col("v")).first()["median"] == (every[(len(every) - 1) // 2] + every[len(every) // 2]) / 2
     assert common.exact_median(df.limit(0), ["g"], F.col("v")).count() == 0 and common.exact_median(df.limit(0), [], F.col("v")).first()["median"] is None
+
+
+def test_means_of_held_readings(spark):
+    rng = random.Random(11)
+    some = lambda v: rng.choice([v, v, v, v, None, float("nan")])
+    rows = [
+        (f"s{i}", k, 2000.0 + k, some(rng.gauss(5, 0.1)), some(0.1 + 0.1 * rng.random()), rng.gauss(7, 0.1) + (50 if k == 9 else 0), some(0.2), some(rng.gauss(15, 0.2)), some(0.05))
+        for i in range(40) for k in range(i % 12)
+    ]
+    obs = spark.createDataFrame(rows, "star_id string, list_id long, t double, x double, xe double, y double, ye double, m double, me double")
+    stars = spark.createDataFrame(
+        [(f"s{i}", *[float(i)] * 6, i % 5 == 0) for i in range(40)],
+        "star_id string, x0 double, y0 double, m0 double, x0e double, y0e double, m0e double, ref_orig boolean"
+    )
+    told = lambda df: {r.star_id: [*r][1:7] for r in df.collect()}
+    for weighted, keep in ((True, False), (False, True)):
+        job = Mosaic({0: obs}, weighting="var" if weighted else None, update_ref_orig=not keep)
+        want = told(job.aggregates(stars, obs))
+        got = told(combine.means_of_held(stars.join(combine.held(obs), "star_id", "left"), "readings", weighted, keep))
+        assert all((a is None) == (b is None) and (a is None or abs(a - b) < 1e-9) for s in want for a, b in zip(want[s], got[s]))
+        assert got["s0"] == [0.0] * 6 and got["s11"][0] != 11.0
+
+
+def test_cross_match_of_stars_common_to_all_groups(spark):
+    a = spark.createDataFrame([(k, i, 10.0 * i + 0.1 * k, 3.0, 15.0) for k in range(3) for i in range(20)], "list_id long, id long, x double, y double, m double")
+    b = spark.createDataFrame([(100 + i, 10.0 * i, 3.0, 15.0, f"n{i}") for i in range(15)], "id long, x double, y double, m double, name string")
+    each = b.crossJoin(spark.range(3).select(F.col("id").alias("list_id")))
+    rows = lambda df: sorted(tuple(r) for r in df.select("list_id", "id_1", "id_2").collect())
+    common = crossmatch.cross_match(a, b, 1.0, by=["list_id"], carry=([], ["name"]))
+    assert rows(common) == rows(crossmatch.cross_match(a, each, 1.0, by=["list_id"])) and len(rows(common)) == 45
+    assert common.where("name = concat('n', id_1)").count() == 45
