@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -71,6 +72,16 @@ def released(*dfs: DataFrame | None) -> None:
             _hadoop(df.sparkSession, path, lambda fs, p: fs.delete(p, True))
 
 
+def swept(df: DataFrame) -> DataFrame:
+    """The table of ``checkpointed``, once the shuffle files of the plans that made it may go.
+
+    Spark removes them when its driver has collected the plans as garbage, which a driver with memory to spare puts off.
+    """
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return df
+
+
 def _hadoop(spark: SparkSession, path: str, do) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     do(p.getFileSystem(spark._jsc.hadoopConfiguration()), p)

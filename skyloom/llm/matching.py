@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.common import checkpointed, finite
+from skyloom.common import checkpointed, finite, released, swept
 from skyloom.operators.hot import HOT_ROWS, hot_keys, salted
 
 
@@ -133,6 +133,7 @@ def _frames(a: DataFrame, b: DataFrame, k: Settings) -> dict:
     ).where("n = 1").drop("n")
     ref = once(base).select("tag", F.col("x").alias("bx"), F.col("y").alias("by"), F.col("m").alias("bm"))
     pairs = checkpointed(once(a.unionByName(b)).join(ref, "tag"))
+    swept(pairs)
     mid = pairs.groupBy("list").agg(
         F.percentile_approx(F.col("bx") - F.col("x"), 0.5).alias("dx"), F.percentile_approx(F.col("by") - F.col("y"), 0.5).alias("dy")
     ).collect()
@@ -145,6 +146,7 @@ def _frames(a: DataFrame, b: DataFrame, k: Settings) -> dict:
     for clip in (40.0, 8.0, 3.0, 2.0):
         r = _apply(pairs, fits)
         fits = fits | _solve(r.where(F.hypot(F.col("u") - F.col("bx"), F.col("v") - F.col("by")) < clip).drop("u", "v", "w"), 8)
+    released(pairs)
     return fits
 
 
@@ -376,14 +378,22 @@ def matched(star: DataFrame, ext: DataFrame, lists: DataFrame, k: Settings = Set
     a, b = _named(checkpointed(_detections(star, "row_id", times)), checkpointed(_detections(ext, "ext_id", times)), k)
     fits = _frames(a, b, k)
     a, b = _apply(a, fits), _apply(b, fits)
-    first = checkpointed(_pairs(_candidates(a, b, k), a, b, k))
-    tracks = checkpointed(_tracks(_links(first, k), k))
+    # what a step has shuffled is swept away after it: the steps' files never lie on the disk together
+    candidates = swept(checkpointed(_candidates(a, b, k)))
+    first = swept(checkpointed(_pairs(candidates, a, b, k)))
+    released(candidates)
+    drafts = swept(checkpointed(_tracks(_links(first, k), k)))
     known = first.select("ia", "ib")
     # once more with the motions that the accepted pairs show
-    links = _accepted(_judged(first, tracks, k), k).where("dt is not null").withColumn("var", F.col("var0") + 0.04)
-    tracks = checkpointed(_tracks(links, k).unionByName(tracks.join(links.select("ib"), "ib", "left_anti")))
-    second = checkpointed(_pairs(_predicted(a, b, tracks, known, k).withColumn("blind", F.lit(True)), a, b, k))
-    best = _accepted(_judged(first.unionByName(second), tracks, k), k).select("ia", "ib", "confidence")
+    links = _accepted(_judged(first, drafts, k), k).where("dt is not null").withColumn("var", F.col("var0") + 0.04)
+    links = swept(checkpointed(links))
+    tracks = swept(checkpointed(_tracks(links, k).unionByName(drafts.join(links.select("ib"), "ib", "left_anti"))))
+    released(drafts, links)
+    further = swept(checkpointed(_predicted(a, b, tracks, known, k)))
+    second = swept(checkpointed(_pairs(further.withColumn("blind", F.lit(True)), a, b, k)))
+    released(further)
+    best = swept(checkpointed(_accepted(_judged(first.unionByName(second), tracks, k), k).select("ia", "ib", "confidence")))
+    released(first, second, tracks)
     # every copy
     same = lambda df, key: df.select(
         F.col(key).cast("long").alias("id"), F.col("list_id").cast("long").alias("list"), finite("x").alias("x"), finite("y").alias("y"),

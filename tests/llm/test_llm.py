@@ -320,3 +320,17 @@ def test_many_tracks_are_joined_to_the_same_result(spark, monkeypatch):
     few = {(r.row_id, r.ext_id) for r in matching.matched(a, b, lists).collect()}
     monkeypatch.setattr(matching, "FEW_TRACKS", 0)
     assert few == {(r.row_id, r.ext_id) for r in matching.matched(a, b, lists).collect()} and len(few) > 150
+
+
+def test_matching_leaves_few_tables_on_disk(spark, data):
+    from skyloom.common import shared_folder, table
+    from skyloom.llm import matching
+
+    import os
+
+    folder = shared_folder(spark).removeprefix("file:")
+    kept = lambda: {n for n in os.listdir(folder) if n.startswith("skyloom-")} if os.path.isdir(folder) else set()
+    before = kept()
+    out = matching.matched(*(table(spark, data, n) for n in ("starlist", "starlist_ext", "lists")))
+    assert len(kept() - before) <= 3  # the detections of both sides and the accepted pairs
+    assert out.count() > 0
